@@ -281,7 +281,7 @@ def repeated_intervals(docs: DataFrame, window: int = 13) -> tuple[DataFrame, Da
     copies = by.join(firsts, ["h", "c"]).where("doc_id > first").select("key").distinct()
     anchors = _anchor_rows(usable, window, shards).groupBy("r").applyInArrow(_repeated, "key bigint, anchor bigint")
     own = anchors.join(copies, "key", "left_anti").groupBy("key").agg(F.collect_set("anchor").alias("own"))
-    known = usable.join(own, "key")
+    known = rows.join(own, "key")  # dealt as remove_repeats() deals them, so the texts move once
     found = _fragment_rows(known, window, shards).groupBy("shard").applyInArrow(_search(window), "key bigint, start int, n int")
     marks = found.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("runs")).withColumn("copy", F.lit(False))
     all_of = copies.select("key", F.lit(None).cast("array<struct<start:int,n:int>>").alias("runs"), F.lit(True).alias("copy"))
