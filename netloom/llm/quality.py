@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,13 +65,13 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns `keep`, and f: the RAW numbers of the text (null: empty). No other column is read."""
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "f array<double>"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.encode() if t is not None else b"" for t in b.pop("_text")]
-            b["f"] = list(text_features(texts))
-            yield b
+            x = text_features([(t or "").encode() for t in b.column(b.num_columns - 1).to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, RAW * (len(x) + 1), RAW), pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], names=[*b.schema.names[:-1], "f"])
 
-    return docs.select(*[f"`{c}`" for c in keep], docs["text"].alias("_text")).mapInPandas(run, schema)
+    return docs.select(*[f"`{c}`" for c in keep], docs["text"].alias("_text")).mapInArrow(run, schema)
 
 
 def _sigmoid(x):
@@ -185,29 +186,26 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str] = ("doc_
     known = table.join(near, "doc_id").select("doc_id", "f", "label").dropDuplicates(["doc_id"])
     model = fit(table, known)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = b.pop("f")
-            b["score"] = model.score(np.stack(f.to_numpy())) if len(b) else np.empty(0)
-            yield b
+            x = b.column(b.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, RAW)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(x))], names=[*b.schema.names[:-1], "score"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
-    return table.mapInPandas(run, schema), model
+    return table.select(*[f"`{c}`" for c in keep], "f").mapInArrow(run, schema), model
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = ACCEPT) -> DataFrame:
     """docs without those that score below `least`; texts are read a second time, by the fitted model."""
     _, model = score_documents(docs.select("doc_id", "text"), labels)
-    names = docs.columns
+    at = docs.columns.index("text")
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                texts = [t.encode() if t is not None else b"" for t in b["text"]]
-                b = b[model.score(text_features(texts)) >= least]
-            yield b[names]
+            x = text_features([(t or "").encode() for t in b.column(at).to_pylist()])
+            yield b.filter(pa.array(model.score(x) >= least, pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
