@@ -89,9 +89,14 @@ def wa_pin_gradient(positions: DataFrame, gamma: float, most: int) -> DataFrame:
     return _pin_gradient(positions, gamma, most).select("pin_id", tidy(c("gx")).alias("gx"), tidy(c("gy")).alias("gy"))
 
 
+def node_gradient(positions: DataFrame, gamma: float, most: int) -> DataFrame:
+    """node_id, gx, gy: pin gradients summed over each node's pins, as they come."""
+    return _pin_gradient(positions, gamma, most).groupBy("node_id").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"))
+
+
 def wa_node_gradient(positions: DataFrame, gamma: float, most: int) -> DataFrame:
-    """node_id, gx, gy: pin gradients summed over each node's pins."""
-    return _pin_gradient(positions, gamma, most).groupBy("node_id").agg(tidy(F.sum("gx")).alias("gx"), tidy(F.sum("gy")).alias("gy"))
+    """node_gradient(), rounded."""
+    return node_gradient(positions, gamma, most).select("node_id", tidy(c("gx")).alias("gx"), tidy(c("gy")).alias("gy"))
 
 
 def root_sink_wa(stars: DataFrame, gamma: float) -> DataFrame:

@@ -51,8 +51,8 @@ query("wa_wirelength", lambda n: wl.wa_wirelength(n.pin_positions, GAMMA, MAX_DE
 query("wa_pin_gradient", lambda n: wl.wa_pin_gradient(n.pin_positions, GAMMA, MAX_DEGREE), f"select pin_id, {_r('gx')} as gx, {_r('gy')} as gy from wag", WAG)
 query("wa_node_gradient", lambda n: wl.wa_node_gradient(n.pin_positions, GAMMA, MAX_DEGREE), f"select node_id, {_r('sum(gx)')} as gx, {_r('sum(gy)')} as gy from wag group by node_id", WAG)
 query("root_sink_wa", lambda n: wl.root_sink_wa(n.stars, GAMMA), f"select net_id, {_r('sum((1 + layer / 8) * ((px - root_px) * tanh((px - root_px) / 8) + (py - root_py) * tanh((py - root_py) / 8)))')} as wl from stars group by net_id")
-NODE_GRAD = "ng as (select node_id, (round(sum(gx), 6) + 0.0) as gx, (round(sum(gy), 6) + 0.0) as gy from wag group by node_id), cnt as (select node_id, count(*) as n from pins group by node_id)"
-query("precond_gradient", lambda n: wl.preconditioned(wl.wa_node_gradient(n.pin_positions, GAMMA, MAX_DEGREE), n.pins, n.nodes, 0.5, 2.0), f"select node_id, {_r('gx / greatest(1.0, n + w * h)')} as gx, {_r('gy / greatest(1.0, n + w * h)')} as gy from ng join cnt using (node_id) join nodes using (node_id)", WAG + ", " + NODE_GRAD)
+NODE_GRAD = "ng as (select node_id, (round(sum(gx), 6) + 0.0) as gx, (round(sum(gy), 6) + 0.0) as gy, sum(gx) as rx, sum(gy) as ry from wag group by node_id), cnt as (select node_id, count(*) as n from pins group by node_id)"
+query("precond_gradient", lambda n: wl.preconditioned(wl.node_gradient(n.pin_positions, GAMMA, MAX_DEGREE), n.pins, n.nodes, 0.5, 2.0), f"select node_id, {_r('rx / greatest(1.0, n + w * h)')} as gx, {_r('ry / greatest(1.0, n + w * h)')} as gy from ng join cnt using (node_id) join nodes using (node_id)", WAG + ", " + NODE_GRAD)
 query("norm_ratio", lambda n: wl.norm_ratio(wl.wa_node_gradient(n.pin_positions, GAMMA, MAX_DEGREE)), "select round(sum(abs(gx)) / sum(abs(gy)), 4) as l1_ratio, round(sqrt(sum(gx * gx)) / sqrt(sum(gy * gy)), 4) as l2_ratio from ng", WAG + ", " + NODE_GRAD)
 
 # Counts and derived columns
