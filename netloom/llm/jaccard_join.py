@@ -13,11 +13,13 @@ from netloom.llm.common import MULT, blocks_of, components, gram_hashes, hashed_
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Orders of the tokens; a pair must share a prefix token under each. Smallest hashes that gather copies round a leader.
-ORDERS, LEADERS = 2, 4
+ORDERS, LEADERS = 2, 8
 #: Tokens with a place of their own in the orders, by frequency; all others count as rare. The bound keeps the list,
 #: which every executor holds, at 9 bytes times this; it changes the orders only, never the links.
-FREQUENT = 100_000
-_SALTS = [np.uint64((0x9FB21C651E98DF25 * (2 * i + 1)) & ((1 << 64) - 1)) for i in range(8)]
+FREQUENT = 300_000
+#: 64-bit words of a set's parity bitmap, and rows of a token that are held against each other at once.
+BITMAP, BLOCK = 8, 2048
+_SALTS = [np.uint64((0x9FB21C651E98DF25 * (2 * i + 1)) & ((1 << 64) - 1)) for i in range(ORDERS + LEADERS)]
 
 
 def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -74,15 +76,15 @@ def _long(x: np.ndarray) -> pa.Array:
 def frequent_tokens(docs: DataFrame, n: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that many documents hold, sorted, and a rank by the logarithm of their count.
 
-    Counts cover all documents by lossy counting: a task sends the tokens it meets four times or more within a few
-    million; the tokens of the largest sums are taken, `most` at most."""
+    Counts cover all documents by lossy counting: a task gathers up to three million tokens and sends those it met twice
+    or more, or oftener the more it gathered; the tokens of the largest sums are taken, `most` at most."""
 
     def run(batches):
         held, size = [], 0
 
         def sums():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= 4
+            often = counts >= 2 + size // 1_000_000
             return pa.RecordBatch.from_arrays([_long(tokens[often]), pa.array(counts[often])], names=["token", "c"])
 
         for b in batches:
@@ -107,22 +109,100 @@ def signature(s: np.ndarray) -> int:
     """A 64-bit hash of a set; sets that differ are taken as different when these do, and those that agree as equal."""
     if not len(s):
         return 0
-    h = np.array([np.add.reduce(mixed(s)) * np.uint64(MULT) + np.uint64(len(s)) + np.bitwise_xor.reduce(s)])
+    h = np.add.reduce(mixed(s), keepdims=True) * np.uint64(MULT) + np.uint64(len(s)) + np.bitwise_xor.reduce(s)
     return int(mixed(h).view(np.int64)[0])
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """The parity of the tokens that fall on each of 64 * BITMAP bits: two sets differ in as many tokens, at least, as
+    their bitmaps do in bits."""
+    bits = np.bincount((mixed(s ^ _SALTS[0]) & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
 def _sketch(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, sig, leaders) of every row."""
+    """(doc_id, n, sig, leaders, bits) of every row."""
 
     def run(batches):
         for b in batches:
             rows = []
             for s in sets_of(b.column(1).to_pylist(), n):
-                least = [int(mixed(s ^ _SALTS[4 + i]).min().view(np.int64)) for i in range(LEADERS)] if len(s) else []
-                rows.append((len(s), signature(s), least))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "leaders"])
+                least = [int(mixed(s ^ _SALTS[ORDERS + i]).min().view(np.int64)) for i in range(LEADERS)] if len(s) else []
+                rows.append((len(s), signature(s), least, bitmap(s)))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=["doc_id", "n", "sig", "leaders", "bits"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sig bigint, leaders array<bigint>, bits binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sig bigint, leaders array<bigint>")
+def near_enough(n: np.ndarray, m: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes n and m that differ in `apart` tokens at least may still link: a link's difference is at
+    most (100 - percent) / (100 + percent) of the sizes' sum."""
+    return (100 + percent) * apart <= (100 - percent) * (n + m)
+
+
+def _candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, o): pairs of rows (token, sig, n, g, bits) of one token and different groups whose sizes and bitmaps allow
+    a link; o is the bit of the token's order. A token's rows come one after the other and are compared in blocks, by
+    numpy, so what leaves is near the number of links and not the square of the rows."""
+    dealt = rows.repartition("token").sortWithinPartitions("token")
+
+    def run(batches):
+        def pairs(token, sig, n, g, bits):
+            """Of complete runs of equal tokens."""
+            begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            size = np.diff(np.append(begin, len(token)))
+            out = []
+
+            def keep(i, j):
+                ok = g[i] != g[j]
+                i, j = i[ok], j[ok]
+                apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                ok = near_enough(n[i], n[j], apart, percent)
+                i, j = i[ok], j[ok]
+                out.append((np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j]), token[i] & (ORDERS - 1)))
+
+            few = size <= 64
+            for width in np.unique(size[few]):
+                if width < 2:
+                    continue
+                at = begin[few & (size == width)]
+                x, y = np.triu_indices(width, 1)
+                step = max(1, 400_000 // len(x))
+                for k in range(0, len(at), step):
+                    own = at[k : k + step, None]
+                    keep((own + x).ravel(), (own + y).ravel())
+            for first, count in zip(begin[~few].tolist(), size[~few].tolist()):
+                for i in range(first, first + count, BLOCK):
+                    x = np.arange(i, min(first + count, i + BLOCK))
+                    for j in range(i, first + count, 64):
+                        y = np.arange(j, min(first + count, j + 64))
+                        u, v = np.repeat(x, len(y)), np.tile(y, len(x))
+                        ok = u < v
+                        keep(u[ok], v[ok])
+            if not out:
+                return None
+            a, b, o = (np.concatenate([x[i] for x in out]) for i in range(3))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array((1 << o).astype(np.int32))], names=["a", "b", "o"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            now.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, BITMAP))
+            held.append(now)
+            if now[0][0] == now[0][-1] and len(held) > 1 and held[0][0][0] == now[0][0]:
+                continue  # the run goes on
+            whole = [np.concatenate([h[i] for h in held]) for i in range(5)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))
+            if cut and (out := pairs(*[w[:cut] for w in whole])) is not None:
+                yield out
+            held = [[w[cut:] for w in whole]]
+        if held and (out := pairs(*[np.concatenate([h[i] for h in held]) for i in range(5)])) is not None:
+            yield out
+
+    return dealt.select("token", "sig", "n", "g", "bits").mapInArrow(run, "a bigint, b bigint, o int")
 
 
 def _prefix_rows(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
@@ -154,21 +234,17 @@ def _prefix_rows(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, ra
     return docs.select("text").mapInArrow(run, "token bigint, sig bigint, n bigint")
 
 
-def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, n: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """The pairs (a, b) of signatures that link, judged on the whole texts of their first documents.
-
-    Before the sets are compared they must share a prefix token under every order."""
+def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of signatures that link, judged on the whole texts of their first documents."""
     both = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
     wanted = both.join(members.select("sig", "first"), "sig")
     texts = docs.select(F.col("doc_id").alias("first"), "text").join(wanted, "first").select("sig", "text").dropDuplicates(["sig"])
     texts = written(texts, "texts")
     left = texts.select(F.col("sig").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("sig").alias("b"), F.col("text").alias("tb"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    share = docs.sparkSession.sparkContext.broadcast((frequent, rank))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").sortWithinPartitions("a")
 
     def run(batches):
-        frequent, rank = share.value
         memory: dict = {}
 
         def known(sig, text):
@@ -176,16 +252,11 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, n: int, per
             if got is None:
                 if len(memory) > 64:
                     memory.clear()
-                s = text_set(text, n)
-                got = memory[sig] = (s, [np.sort(prefix(s, o, percent)) for o in orders_of(s, frequent, rank)])
+                got = memory[sig] = text_set(text, n)
             return got
 
         for b in batches:
-            out = []
-            for x, y, tx, ty in zip(*(c.to_pylist() for c in b.columns)):
-                (s, ps), (t, pt) = known(x, tx), known(y, ty)
-                if all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(ps, pt)) and linked(s, t, percent):
-                    out.append((x, y))
+            out = [(x, y) for x, y, tx, ty in zip(*(c.to_pylist() for c in b.columns)) if linked(known(x, tx), known(y, ty), percent)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint")
@@ -197,8 +268,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     similarity of percent / 100 or more.
 
     Equal sets are one class from the start, so exact copies cost one row each. Classes that share a smallest hash are
-    compared with that hash's leader, which gathers large groups of near copies in linear time; after that, classes of
-    different groups that share a prefix token under every order are candidates, and all are verified. So no link
+    compared with that hash's two leaders, those whose smallest hashes most others share, as an original's are: this
+    gathers large groups of near copies in linear time. After that, classes of different groups that share a prefix token
+    under every order, and whose sizes and parity bitmaps allow a link, are candidates, and all are verified. So no link
     between different groups is missed, and no pairs within a group are written out.
 
     Null and empty texts have an empty set: n_shingles 0, linked with nothing. Shorter texts count their whole
@@ -206,28 +278,30 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     documents' smallest id, or null if there is none."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sketch = written(_sketch(docs, n), "sketch")
-    members = written(sketch.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("leaders").alias("leaders")).where("first is not null"), "classes")
+    members = written(sketch.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("leaders").alias("leaders"), F.first("bits").alias("bits")).where("first is not null"), "classes")
     frequent, rank = frequent_tokens(docs, n)
     close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     rows = members.select("sig", "n", F.posexplode("leaders").alias("i", "h"))
-    heads = rows.groupBy("i", "h").agg(F.min(F.struct("sig", "n")).alias("head"), F.count("*").alias("c")).where("c > 1").select("i", "h", "head")
-    stars = rows.join(heads, ["i", "h"]).where((F.col("sig") != F.col("head.sig")) & close(F.col("n"), F.col("head.n")))
-    stars = written(stars.select(F.col("head.sig").alias("a"), F.col("sig").alias("b")).distinct(), "stars")
-    first = written(_verified(stars, members, docs, n, percent, frequent, rank), "links")
+    counts = rows.groupBy("i", "h").agg(F.count("*").alias("c")).where("c > 1")
+    crowd = written(rows.join(counts, ["i", "h"]), "crowd")
+    crowd = crowd.join(crowd.groupBy("sig").agg(F.sum("c").alias("score")), "sig")
+    head = lambda *tie: F.max(F.struct("score", *tie, F.col("sig").alias("s"), F.col("n").alias("m")))
+    heads = crowd.groupBy("i", "h").agg(head().alias("x"), head(F.bitwise_not("sig").alias("t")).alias("y"))
+    heads = heads.select("i", "h", F.explode(F.array_distinct(F.array(F.struct("x.s", "x.m"), F.struct("y.s", "y.m")))).alias("z")).select("i", "h", "z.s", "z.m")
+    stars = crowd.select("i", "h", "sig", "n").join(heads, ["i", "h"]).where((F.col("sig") != F.col("s")) & close(F.col("n"), F.col("m")))
+    stars = written(stars.select(F.least("s", "sig").alias("a"), F.greatest("s", "sig").alias("b")).distinct(), "stars")
+    first = written(_verified(stars, members, docs, n, percent), "links")
     groups = written(components(first), "groups")
 
     by = Window.partitionBy("token")
     shared = _prefix_rows(docs, n, percent, frequent, rank).withColumns({"_l": F.min("sig").over(by), "_h": F.max("sig").over(by)}).where("_l < _h").select("token", "sig", "n").distinct()
     shared = shared.join(groups.withColumnRenamed("id", "sig"), "sig", "left").select("token", "sig", "n", F.coalesce("component", "sig").alias("g"))
-    mixed_up = written(shared.withColumns({"_l": F.min("g").over(by), "_h": F.max("g").over(by)}).where("_l < _h").select("token", "sig", "n", "g"), "shared")
-    held = mixed_up.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    met = mixed_up.join(held.withColumnRenamed("g", "other"), "token").where("g < other").where((100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low")))
-    other = mixed_up.select("token", F.col("g").alias("other"), F.col("sig").alias("b"), F.col("n").alias("m"))
-    pairs = met.select("token", "other", F.col("sig").alias("a"), "n").join(other, ["token", "other"]).where(close(F.col("n"), F.col("m")))
-    pairs = pairs.groupBy("a", "b").agg(F.expr(f"bit_or(shiftleft(1, cast(token & {ORDERS - 1} as int)))").alias("seen")).where(f"seen = {2**ORDERS - 1}").select("a", "b")
+    mixed_up = shared.withColumns({"_l": F.min("g").over(by), "_h": F.max("g").over(by)}).where("_l < _h").select("token", "sig", "n", "g")
+    mixed_up = mixed_up.join(members.select("sig", "bits"), "sig")
+    pairs = _candidates(mixed_up, percent).groupBy("a", "b").agg(F.expr("bit_or(o)").alias("seen")).where(f"seen = {2**ORDERS - 1}").select("a", "b")
     pairs = written(pairs, "pairs")
-    second = written(_verified(pairs, members, docs, n, percent, frequent, rank), "links")
+    second = written(_verified(pairs, members, docs, n, percent), "links")
 
     whole = components(first.union(second))
     named = members.select("sig", "first").join(whole.withColumnRenamed("id", "sig"), "sig", "left").select("sig", "first", F.coalesce("component", "sig").alias("g"))
