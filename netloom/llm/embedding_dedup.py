@@ -63,28 +63,27 @@ def range_search(v: np.ndarray, edges: np.ndarray, queries: np.ndarray, least: f
     n = len(v)
     first = np.searchsorted(edges[:, 0], np.arange(n + 1))
     many = np.diff(first)
-    wide = max(1, int(many.max(initial=0)))
-    table = np.full((n + 1, wide), n, dtype=np.int64)
-    table[edges[:, 0], np.arange(len(edges)) - first[edges[:, 0]]] = edges[:, 1]
-    padded = np.vstack([v, np.zeros((1, v.shape[1]))])
     found = []
     for low in range(0, len(queries), 256):
         q = queries[low : low + 256]
         m = len(q)
-        sims = np.full((m, n + 1), -np.inf)  # of the nodes measured so far
-        done = np.zeros((m, n + 1), dtype=bool)
-        done[:, n] = True
+        sims = np.full((m, n), -np.inf)  # of the nodes measured so far
+        done = np.zeros((m, n), dtype=bool)
         rows = np.arange(m)
 
         def measure(r, nodes):
-            """Measures neighbours of (row, node) pairs."""
-            to = table[nodes]
-            rr, tt = np.repeat(r, wide), to.ravel()
-            new = (tt < n) & np.isneginf(sims[rr, tt])
-            rr, tt = rr[new], tt[new]
-            for i in range(0, len(rr), 1 << 15):
-                a, b = rr[i : i + (1 << 15)], tt[i : i + (1 << 15)]
-                sims[a, b] = np.einsum("ij,ij->i", q[a], padded[b])
+            """Measures the neighbours of (row, node) pairs, a bounded number at a time."""
+            upto = np.cumsum(many[nodes])
+            at = 0
+            while at < len(nodes):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 16), side="right")))
+                count = many[nodes[at:to]]
+                rr = np.repeat(r[at:to], count)
+                tt = edges[np.arange(count.sum()) + np.repeat(first[nodes[at:to]] - (np.cumsum(count) - count), count), 1]
+                new = np.isneginf(sims[rr, tt])
+                rr, tt = rr[new], tt[new]
+                sims[rr, tt] = np.einsum("ij,ij->i", q[rr], v[tt])
+                at = to
 
         sims[:, start] = q @ v[start]
         active = rows
@@ -106,7 +105,7 @@ def range_search(v: np.ndarray, edges: np.ndarray, queries: np.ndarray, least: f
                 break
             done[r, nodes] = True
             measure(r, nodes)
-        r, nodes = np.nonzero(sims[:, :n] >= least - 1e-6)
+        r, nodes = np.nonzero(sims >= least - 1e-6)
         found.append(np.stack([r + low, nodes], 1))
     return np.concatenate(found) if found else np.empty((0, 2), np.int64)
 
