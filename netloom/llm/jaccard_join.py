@@ -141,9 +141,18 @@ def near_enough(n: np.ndarray, m: np.ndarray, apart: np.ndarray, percent: int) -
     return (100 + percent) * apart <= (100 - percent) * (n + m)
 
 
+def shared_tokens(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """How many tokens the prefixes of two linked sets share at least, under any order.
+
+    Of the two prefixes let A's end first. B's prefix then holds every token of B up to there, and A lacks at most its
+    size less the overlap that a link needs; so all of A's prefix but these is shared."""
+    overlap = -(-percent * (n + m) // (100 + percent))
+    return np.maximum(1, overlap + 1 + (-percent * np.maximum(n, m)) // 100)
+
+
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, o): pairs of rows (token, sig, n, g, bits) of one token and different groups whose sizes and bitmaps allow
-    a link; o is the bit of the token's order. A token's rows come one after the other and are compared in blocks, by
+    """(a, b, o, need): pairs of rows (token, sig, n, g, bits) of one token and different groups whose sizes and bitmaps
+    allow a link; o is the token's order, need how many prefix tokens a link of these sizes shares in each order. A token's rows come one after the other and are compared in blocks, by
     numpy, so what leaves is near the number of links and not the square of the rows."""
     dealt = rows.repartition("token").sortWithinPartitions("token")
 
@@ -160,7 +169,7 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
                 apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
                 ok = near_enough(n[i], n[j], apart, percent)
                 i, j = i[ok], j[ok]
-                out.append((np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j]), token[i] & (ORDERS - 1)))
+                out.append((np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j]), token[i] & (ORDERS - 1), shared_tokens(n[i], n[j], percent)))
 
             few = size <= 64
             for width in np.unique(size[few]):
@@ -182,8 +191,8 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
                         keep(u[ok], v[ok])
             if not out:
                 return None
-            a, b, o = (np.concatenate([x[i] for x in out]) for i in range(3))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array((1 << o).astype(np.int32))], names=["a", "b", "o"])
+            a, b, o, need = (np.concatenate([x[i] for x in out]) for i in range(4))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(o.astype(np.int32)), pa.array(need.astype(np.int32))], names=["a", "b", "o", "need"])
 
         held: list[tuple] = []
         for batch in batches:
@@ -202,7 +211,7 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
         if held and (out := pairs(*[np.concatenate([h[i] for h in held]) for i in range(5)])) is not None:
             yield out
 
-    return dealt.select("token", "sig", "n", "g", "bits").mapInArrow(run, "a bigint, b bigint, o int")
+    return dealt.select("token", "sig", "n", "g", "bits").mapInArrow(run, "a bigint, b bigint, o int, need int")
 
 
 def _prefix_rows(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
@@ -269,8 +278,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     Equal sets are one class from the start, so exact copies cost one row each. Classes that share a smallest hash are
     compared with that hash's two leaders, those whose smallest hashes most others share, as an original's are: this
-    gathers large groups of near copies in linear time. After that, classes of different groups that share a prefix token
-    under every order, and whose sizes and parity bitmaps allow a link, are candidates, and all are verified. So no link
+    gathers large groups of near copies in linear time. After that, classes of different groups that share enough
+    prefix tokens under every order, and whose sizes and parity bitmaps allow a link, are candidates, and all are verified. So no link
     between different groups is missed, and no pairs within a group are written out.
 
     Null and empty texts have an empty set: n_shingles 0, linked with nothing. Shorter texts count their whole
@@ -299,7 +308,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     shared = shared.join(groups.withColumnRenamed("id", "sig"), "sig", "left").select("token", "sig", "n", F.coalesce("component", "sig").alias("g"))
     mixed_up = shared.withColumns({"_l": F.min("g").over(by), "_h": F.max("g").over(by)}).where("_l < _h").select("token", "sig", "n", "g")
     mixed_up = mixed_up.join(members.select("sig", "bits"), "sig")
-    pairs = _candidates(mixed_up, percent).groupBy("a", "b").agg(F.expr("bit_or(o)").alias("seen")).where(f"seen = {2**ORDERS - 1}").select("a", "b")
+    counts = [F.count_if(F.col("o") == i).alias(f"c{i}") for i in range(ORDERS)]
+    pairs = _candidates(mixed_up, percent).groupBy("a", "b").agg(F.first("need").alias("need"), *counts)
+    pairs = pairs.where(" and ".join(f"c{i} >= need" for i in range(ORDERS))).select("a", "b")
     pairs = written(pairs, "pairs")
     second = written(_verified(pairs, members, docs, n, percent), "links")
 
