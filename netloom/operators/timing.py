@@ -17,7 +17,7 @@ def levels(arcs: DataFrame, most: int = 1000) -> DataFrame:
     out = cut(ids.withColumn("level", F.lit(0).cast("bigint")))
     front = out
     for k in range(1, most + 1):
-        front = cut(front.join(arcs, c("node_id") == c("src"), "left_semi").join(arcs, c("node_id") == c("src")).select(c("dst").alias("node_id")).distinct().withColumn("level", F.lit(k).cast("bigint")))
+        front = cut(front.join(arcs, c("node_id") == c("src")).select(c("dst").alias("node_id")).distinct().withColumn("level", F.lit(k).cast("bigint")))
         if front.isEmpty():
             return out
         out = cut(out.unionByName(front).groupBy("node_id").agg(F.max("level").alias("level")))
