@@ -38,6 +38,13 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def thinned(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The rows of df, about 4 * `rows` of them, whose hash of key is lowest: what a bounded sample is picked from, so
+    that partitions don't each send as many rows as the sample has. All rows if there are no more."""
+    share = min(1.0, 4 * rows / max(1, df.count()))
+    return df if share == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder that scratch() named, through the file system that holds it."""
     jvm = spark.sparkContext._jvm

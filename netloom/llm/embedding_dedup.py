@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import components, written
+from netloom.llm.common import components, thinned, written
 
 #: Vectors that centres are fitted on at most, vectors a shard should hold, shards that a vector enters.
 SAMPLE, SHARD, OVERLAP = 20_000, 800, 3
@@ -221,7 +221,7 @@ def audit_recall(classes: DataFrame, links: DataFrame, least: float, most: int =
 
     The picked vectors meet all others in blocks, so the cost grows with the rows."""
     spark = classes.sparkSession
-    picked = classes.orderBy(F.xxhash64("rep")).limit(most).select("rep", "label", "dim", "v").collect()
+    picked = thinned(classes, "rep", most).orderBy(F.xxhash64("rep")).limit(most).select("rep", "label", "dim", "v").collect()
     if not picked:
         return 1.0
     groups: dict = {}

@@ -77,7 +77,7 @@ def frequent_tokens(docs: DataFrame, n: int, most: int = FREQUENT) -> tuple[np.n
     """Tokens that many documents hold, sorted, and a rank by the logarithm of their count.
 
     Counts cover all documents by lossy counting: a task gathers up to three million tokens and sends those it met twice
-    or more, or oftener the more it gathered; the tokens of the largest sums are taken, `most` at most."""
+    or more, or oftener the more it gathered; the tokens of the largest sums are taken, down to a sum that leaves `most` at most."""
 
     def run(batches):
         held, size = [], 0
@@ -97,8 +97,16 @@ def frequent_tokens(docs: DataFrame, n: int, most: int = FREQUENT) -> tuple[np.n
         if held:
             yield sums()
 
-    counts = docs.select("text").mapInArrow(run, "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c")).where("c >= 8")
-    top = counts.orderBy(F.desc("c"), "token").limit(most).toPandas()
+    counts = written(docs.select("text").mapInArrow(run, "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c")).where("c >= 8"), "counts")
+    level = F.floor(16 * F.log2(F.col("c").cast("double")))
+    levels = {r["l"]: r["n"] for r in counts.groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect()}  # 16 for each doubling
+    least, taken = 1 << 30, 0
+    for l in sorted(levels, reverse=True):
+        taken += levels[l]
+        if taken > most:
+            break
+        least = l
+    top = counts.where(level >= int(least)).toPandas()
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     rank = np.minimum(1 + np.log2(np.maximum(top["c"].to_numpy(np.float64), 1)).astype(np.int64), 62) if len(top) else np.empty(0, np.int64)

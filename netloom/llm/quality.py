@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import blocks_of, hashed_texts, written
+from netloom.llm.common import blocks_of, hashed_texts, thinned, written
 
 #: Most labelled rows that a fit uses, picked by a hash of doc_id; all unlabelled rows are used.
 LABELLED_ROWS = 50_000
@@ -121,7 +121,7 @@ def fit(unlabelled: DataFrame, labelled: DataFrame, steps: int = STEPS, bound: i
     prior is the share of positives among the labelled rows that the bound leaves (0.5 without any). Every step sums
     the gradient over all unlabelled rows on the executors; the driver holds sums only. Negative labels serve the
     prior and the last calibration of the score (two numbers). Without positives the score is the prior."""
-    rows = labelled.where("label is not null").orderBy(F.xxhash64("doc_id"), "label", "f").limit(bound).collect()
+    rows = thinned(labelled.where("label is not null"), "doc_id", bound).orderBy(F.xxhash64("doc_id"), "label", "f").limit(bound).collect()
     raw = np.array([r["f"] for r in rows]).reshape(-1, RAW)
     y = np.array([r["label"] for r in rows], dtype=float)
     width = 1 + 3 * RAW

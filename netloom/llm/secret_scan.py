@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.common import thinned
+
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
@@ -79,7 +81,7 @@ def identifiers(texts: Iterable[str | None], seed: int = 23) -> list[str]:
 
 def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
     """A bounded sample to fit on: random strings, and identifiers from `rows` documents that a hash of doc_id picks."""
-    picked = docs.where("text is not null").select("doc_id", F.substring("text", 1, chars).alias("t")).orderBy(F.xxhash64("doc_id"), "t").limit(rows)
+    picked = thinned(docs, "doc_id", rows).where("text is not null").select("doc_id", F.substring("text", 1, chars).alias("t")).orderBy(F.xxhash64("doc_id"), "t").limit(rows)
     texts = [r["t"] for r in picked.collect()]
     clean = [TOKEN.sub(" ", ASSIGN.sub(" ", t)) for t in texts]
     return [(s, 1) for s in random_strings()] + [(s, 0) for s in identifiers(clean)]
