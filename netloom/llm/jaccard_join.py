@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -256,7 +257,12 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, n: int, per
     both = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
     wanted = both.join(members.select("sig", "first"), "sig")
     texts = docs.select(F.col("doc_id").alias("first"), "text").join(wanted, "first").select("sig", "text").dropDuplicates(["sig"])
-    texts = written(texts, "texts")
+
+    def packed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress((t or "").encode(), 1) for t in b.column(1).to_pylist()], pa.binary())], names=["sig", "text"])
+
+    texts = written(texts.mapInArrow(packed, "sig bigint, text binary"), "texts")
     left = texts.select(F.col("sig").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("sig").alias("b"), F.col("text").alias("tb"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").sortWithinPartitions("a")
@@ -269,7 +275,7 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, n: int, per
             if got is None:
                 if len(memory) > 64:
                     memory.clear()
-                got = memory[sig] = text_set(text, n)
+                got = memory[sig] = text_set(zlib.decompress(text).decode(), n)
             return got
 
         for b in batches:
@@ -320,9 +326,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     pairs = _candidates(mixed_up, percent).groupBy("a", "b").agg(F.first("need").alias("need"), *counts)
     pairs = pairs.where(" and ".join(f"c{i} >= need" for i in range(ORDERS))).select("a", "b")
     pairs = written(pairs, "pairs")
-    second = written(_verified(pairs, members, docs, n, percent), "links")
-
-    whole = components(first.union(second))
+    tree = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # most pairs fall into one group by these
+    second = written(_verified(tree, members, docs, n, percent), "links")
+    groups = written(components(first.union(second)), "groups")
+    of = lambda x: groups.select(F.col("id").alias(x), F.col("component").alias(f"g{x}"))
+    apart = F.coalesce("ga", "a") != F.coalesce("gb", "b")
+    rest = written(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).join(tree, ["a", "b"], "left_anti").select("a", "b"), "pairs")
+    third = written(_verified(rest, members, docs, n, percent), "links")
+
+    whole = components(first.union(second).union(third))
     named = members.select("sig", "first").join(whole.withColumnRenamed("id", "sig"), "sig", "left").select("sig", "first", F.coalesce("component", "sig").alias("g"))
     least = named.groupBy("g").agg(F.min("first").alias("component_id"))
     classes = named.join(least, "g").select("sig", "component_id")
