@@ -88,7 +88,8 @@ def test_rows_abutment_overlap_blanks(spark):
 def test_table_inside_and_beyond(spark):
     arcs = spark.createDataFrame([(2, 100, 1.25), (9, 101, 3.5)], "src bigint, dst bigint, delay double")
     got = {r["src"]: r["value"] for r in timing.lut_delay(arcs).collect()}
-    assert got[2] == 1.5 and got[9] == 6.0 * 9 / 4
+    row, next_row = 4 + (8 - 4) * (9 - 4) / 4, 8 + (16 - 8) * (9 - 4) / 4  # at y = 9, beyond the axis
+    assert got[2] == 1.5 and got[9] == row + (next_row - row) * (3.5 - 1.5)
 
 
 def test_chain_of_arcs(spark):
