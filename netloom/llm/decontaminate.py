@@ -33,6 +33,20 @@ def template(tokens: Column) -> Column:
     return F.transform(tokens, one)
 
 
+def fold(token: Column) -> Column:
+    """A token whatever its case; upper case first, as it writes some letters as two."""
+    return F.lower(F.upper(token))
+
+
+def caseless_template(tokens: Column) -> Column:
+    """Tokens with typed placeholders for numbers and units, else folded: without names, which only case tells."""
+    return F.transform(tokens, lambda t: F.when((t >= "0") & (t < ":"), NUMBER).when(F.lower(t).isin(UNITS), UNIT).otherwise(fold(t)))
+
+
+#: The templates of the SQL twin, and those of the whole search, whose windows are united.
+TYPED, WHOLE = (template,), (template, caseless_template)
+
+
 def _starts(n: Column, window: int) -> Column:
     return F.when(n >= window, F.sequence(F.lit(1), n - window + 1)).otherwise(F.array().cast("array<int>"))
 
@@ -46,12 +60,12 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
+def benchmark_windows(items: DataFrame, window: int = WINDOW, templates=TYPED) -> DataFrame:
     """(h, item_id, place, words, slots, size): every window of the items' templates with enough plain words.
 
     Items shorter than a window, or with slots only, can't be found; null items have no windows."""
     cut = lambda raw, t: F.transform(_starts(F.size(raw), window), lambda i: F.struct(F.size(raw).alias("size"), i.alias("place"), F.slice(t, i, window).alias("words"), F.slice(raw, i, window).alias("slots")))
-    found = _let(raw_tokens(F.col("text")), lambda raw: _let(template(raw), lambda t: cut(raw, t)))
+    found = _let(raw_tokens(F.col("text")), lambda raw: F.array_distinct(F.concat(*[_let(f(raw), lambda t: cut(raw, t)) for f in templates])))
     rows = items.select("item_id", F.explode(found).alias("x")).select("item_id", "x.*")
     rows = rows.where(F.size(F.filter("words", lambda w: ~_is_slot(w))) >= PLAIN)
     return rows.select(F.xxhash64("words").alias("h"), "item_id", "place", "words", "slots", "size")
@@ -77,7 +91,7 @@ def _bit(h: Column, k: int) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 58 - 5 * k).bitwiseAND(F.lit(63)).cast("int"))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS, templates=TYPED) -> DataFrame:
     """(doc_id, item_id, n_windows, n_slots, n_changed): the benchmark items that documents hold, copied or with other
     numbers, names or units.
 
@@ -87,9 +101,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_wo
     throughout, and for no two. A passage counts if its windows cover least_words words of the item (or the whole item,
     if that is shorter). n_changed counts the slots whose value is another.
 
+    With the templates of WHOLE, windows are also looked up whatever their case, and slots agree whatever theirs.
+
     Texts are read whole, and only documents with windows that the filter passes go on. Null and empty texts hold
     nothing; documents with the same doc_id count as one."""
-    listed = benchmark_windows(items, window).persist()
+    listed = benchmark_windows(items, window, templates).persist()
     count = listed.count()
     if not count:
         listed.unpersist()
@@ -110,12 +126,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_wo
         hits = F.filter(hashed, lambda x: maybe(x["h"], table))
         return F.transform(hits, lambda x: F.struct(x["h"].alias("h"), x["place"].alias("at"), F.slice(t, x["place"], window).alias("t"), F.slice(raw, x["place"], window).alias("raw")))
 
-    found = _let(raw_tokens(F.col("text")), lambda raw: _let(template(raw), lambda t: cut(raw, t)))
+    found = _let(raw_tokens(F.col("text")), lambda raw: F.array_distinct(F.concat(*[_let(f(raw), lambda t: cut(raw, t)) for f in templates])))
     rows = docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.h", "x.at", "x.t", "x.raw")
-    own = benchmark_windows(items, window)
+    own = benchmark_windows(items, window, templates)
     met = rows.join(F.broadcast(own) if count <= BROADCAST_WINDOWS else own, "h").where(F.col("t") == F.col("words"))
     places = F.filter(F.sequence(F.lit(1), F.lit(window)), lambda i: _is_slot(F.element_at("t", i)))
-    pairs = F.transform(places, lambda i: F.struct((F.col("place") + i).alias("p"), F.element_at("slots", i).alias("a"), F.element_at("raw", i).alias("b")))
+    value = fold if len(templates) > 1 else lambda t: t
+    pairs = F.transform(places, lambda i: F.struct((F.col("place") + i).alias("p"), value(F.element_at("slots", i)).alias("a"), value(F.element_at("raw", i)).alias("b")))
     met = met.select("doc_id", "item_id", "size", (F.col("at") - F.col("place")).alias("shift"), "place", pairs.alias("pairs"))
     passages = met.groupBy("doc_id", "item_id", "shift").agg(
         F.first("size").alias("size"), F.countDistinct("place").alias("n_windows"), F.min("place").alias("low"), F.max("place").alias("high"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
@@ -130,9 +147,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_wo
     return best.where(enough).select("doc_id", "item_id", "x.n_windows", F.col("x.n_slots").cast("bigint").alias("n_slots"), F.col("x.n_changed").cast("bigint").alias("n_changed"))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, templates=TYPED) -> DataFrame:
     """docs without those that hold a benchmark item; rows with a null doc_id stay."""
-    return docs.join(find_leaks(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(find_leaks(docs, items, templates=templates).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -141,6 +158,13 @@ def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_whole_leaks(spark, sf_dir: str) -> DataFrame:
+    """The leaks of all benchmark items in all documents whatever their case; op8_benchmark_decontamination is held to
+    its SQL twin, which tells names by case alone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), templates=WHOLE)
+
+
 _UNIT_SQL = ", ".join(f"'{u}'" for u in UNITS)
 _TEMPLATE_SQL = f"""list_transform(raw, lambda t: case when t >= '0' and t < ':' then '<num>' when lower(t) in ({_UNIT_SQL}) then '<unit>'
       when lower(t) <> t and lower(t[2:]) = t[2:] then '<name>' else lower(t) end)"""
