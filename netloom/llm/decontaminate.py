@@ -91,6 +91,33 @@ def _bit(h: Column, k: int) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 58 - 5 * k).bitwiseAND(F.lit(63)).cast("int"))
 
 
+def _agreeing(met: DataFrame, window: int, least_words: int) -> DataFrame:
+    """The leaks among windows met: passages with enough words that agree, where a slot is taken by itself.
+
+    An item's value agrees with itself and with the other value that stands for it most often in the passage (its own
+    goes first, then the smallest, where two are as frequent). Slots with any other value don't count as words, the rest
+    of their windows does; two values of an item may have the same value in a document."""
+    passages = met.groupBy("doc_id", "item_id", "shift").agg(
+        F.first("size").alias("size"), F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    )
+    same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"])
+    values = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))))
+    passages = passages.withColumn("v", values)
+    counted = F.transform("v", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.size(F.filter("pairs", lambda p: same(p, x))).alias("n")))
+    goes_first = lambda y, x: (y["n"] > x["n"]) | ((y["n"] == x["n"]) & ((y["a"] == y["b"]) | (y["b"] < x["b"])))
+    beaten = lambda v: F.filter(v, lambda x: (x["a"] != x["b"]) & F.exists(v, lambda y: (y["a"] == x["a"]) & (y["b"] != x["b"]) & goes_first(y, x)))
+    several = F.size("v") != F.size(F.array_distinct(F.transform("v", lambda x: x["a"])))
+    wrong = F.when(several, _let(counted, beaten)).otherwise(F.array().cast("array<struct<a:string,b:string,n:int>>"))
+    passages = passages.withColumn("wrong", wrong)
+    n_wrong = F.size(F.filter("pairs", lambda p: F.exists("wrong", lambda x: same(p, x))))
+    n_covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda i: F.sequence(i, i + window - 1)))))
+    passages = passages.withColumn("n_words", n_covered - n_wrong).where(F.col("n_words") >= F.least(F.lit(least_words), F.col("size")))
+    count = lambda x: F.size(x).cast("bigint")
+    rows = passages.select("doc_id", "item_id", "n_words", count("places").alias("n_windows"), count("pairs").alias("n_slots"), count(F.filter("pairs", lambda p: p["a"] != p["b"])).alias("n_changed"))
+    best = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "n_words", -F.col("n_changed"), "n_slots", "n_changed")).alias("x"))
+    return best.select("doc_id", "item_id", "x.n_windows", "x.n_slots", "x.n_changed")
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS, templates=TYPED) -> DataFrame:
     """(doc_id, item_id, n_windows, n_slots, n_changed): the benchmark items that documents hold, copied or with other
     numbers, names or units.
@@ -101,7 +128,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_wo
     throughout, and for no two. A passage counts if its windows cover least_words words of the item (or the whole item,
     if that is shorter). n_changed counts the slots whose value is another.
 
-    With the templates of WHOLE, windows are also looked up whatever their case, and slots agree whatever theirs.
+    With the templates of WHOLE, windows are also looked up whatever their case, slots agree whatever theirs, and one
+    that doesn't is only itself no word of the passage (_agreeing).
 
     Texts are read whole, and only documents with windows that the filter passes go on. Null and empty texts hold
     nothing; documents with the same doc_id count as one."""
@@ -134,6 +162,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_wo
     value = fold if len(templates) > 1 else lambda t: t
     pairs = F.transform(places, lambda i: F.struct((F.col("place") + i).alias("p"), value(F.element_at("slots", i)).alias("a"), value(F.element_at("raw", i)).alias("b")))
     met = met.select("doc_id", "item_id", "size", (F.col("at") - F.col("place")).alias("shift"), "place", pairs.alias("pairs"))
+    if len(templates) > 1:
+        return _agreeing(met, window, least_words)
     passages = met.groupBy("doc_id", "item_id", "shift").agg(
         F.first("size").alias("size"), F.countDistinct("place").alias("n_windows"), F.min("place").alias("low"), F.max("place").alias("high"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
@@ -159,8 +189,8 @@ def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def op8_whole_leaks(spark, sf_dir: str) -> DataFrame:
-    """The leaks of all benchmark items in all documents whatever their case; op8_benchmark_decontamination is held to
-    its SQL twin, which tells names by case alone."""
+    """The leaks of all benchmark items in all documents whatever their case, edited ones too; the query
+    op8_benchmark_decontamination is held to its SQL twin, which tells names by case alone and drops whole passages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), templates=WHOLE)
 
