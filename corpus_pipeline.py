@@ -27,7 +27,7 @@ def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with secrets replaced in their texts."""
-    return secret_scan.redact(docs, secret_scan.fit_markov(secret_scan.labelled_sample(docs)))
+    return secret_scan.redact(docs, secret_scan.fit_on(docs))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import thinned
-
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
@@ -22,8 +20,6 @@ TOKEN_LEAST = 20
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % TOKEN_LEAST)
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Rows that the models may learn identifiers from, and characters read of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 500, 4000
 #: A token is a secret from this log-likelihood ratio on: the odds against a random token are taken as e ** 20.
 LEAST_RATIO = 20.0
 
@@ -35,19 +31,19 @@ def _codes(token: str) -> np.ndarray:
     return np.concatenate(([0], table[np.frombuffer(token.encode("ascii", "replace"), dtype=np.uint8) & 127]))
 
 
-def fit_markov(samples: Iterable[tuple[str, int]]) -> np.ndarray:
+def fit_markov(samples: Iterable[tuple[str, int]], ordinary: np.ndarray | None = None) -> np.ndarray:
     """log P(next | last, random) - log P(next | last, ordinary) from labelled strings (1: random), with add-one smoothing.
 
-    Row and column 0 stand for the start and for characters outside the alphabet. Classes without samples are uniform."""
+    `ordinary` are bigrams of more ordinary strings. Row and column 0 stand for the start and for characters outside the alphabet. Classes without samples are uniform."""
     size = len(ALPHABET) + 1
     counts = np.ones((2, size, size))
     texts: tuple[list[str], list[str]] = ([], [])
     for text, label in samples:
         texts[int(label)].append(text)
     for own, count in zip(texts, counts):
-        c = _codes(" ".join(own))
-        seen = np.bincount(c[:-1] * size + c[1:], minlength=size * size).reshape(size, size)
-        count[:, 1:] += seen[:, 1:]
+        count[:, 1:] += _bigrams(own).reshape(size, size)[:, 1:]
+    if ordinary is not None:
+        counts[0, :, 1:] += ordinary[:, 1:]
     logs = np.log(counts / counts.sum(axis=2, keepdims=True))
     return logs[1] - logs[0]
 
@@ -79,12 +75,34 @@ def identifiers(texts: Iterable[str | None], seed: int = 23) -> list[str]:
     return out
 
 
-def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """A bounded sample to fit on: random strings, and identifiers from `rows` documents that a hash of doc_id picks."""
-    picked = thinned(docs, "doc_id", rows).where("text is not null").select("doc_id", F.substring("text", 1, chars).alias("t")).orderBy(F.xxhash64("doc_id"), "t").limit(rows)
-    texts = [r["t"] for r in picked.collect()]
-    clean = [TOKEN.sub(" ", ASSIGN.sub(" ", t)) for t in texts]
-    return [(s, 1) for s in random_strings()] + [(s, 0) for s in identifiers(clean)]
+def _bigrams(strings: list[str]) -> np.ndarray:
+    size = len(ALPHABET) + 1
+    c = _codes(" ".join(strings))
+    return np.bincount(c[:-1] * size + c[1:], minlength=size * size)
+
+
+def ordinary_bigrams(docs: DataFrame) -> np.ndarray:
+    """Bigrams of the identifiers of all whole texts, summed on the executors; a text gives the same ones wherever it lies."""
+    size = len(ALPHABET) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, dtype=np.int64)
+        for b in batches:
+            for x in b.column(0):
+                total += _bigrams(identifiers([TOKEN.sub(" ", ASSIGN.sub(" ", x.as_py()))]))
+        cells = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
+
+    out = np.zeros(size * size, dtype=np.int64)
+    counted = docs.where("text is not null").select("text").mapInArrow(run, "cell bigint, n bigint")
+    for r in counted.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 68 * 68 rows at most
+        out[r["cell"]] = r["n"]
+    return out.reshape(size, size)
+
+
+def fit_on(docs: DataFrame) -> np.ndarray:
+    """The model of the labelled random strings against the identifiers of all docs."""
+    return fit_markov([(s, 1) for s in random_strings()], ordinary_bigrams(docs))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -166,7 +184,7 @@ def redact(docs: DataFrame, model: np.ndarray, mark: str = "[SECRET]", least: fl
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
     """The spans of all documents and their digest."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = scan_secrets(docs, fit_markov(labelled_sample(docs)), ["doc_id"])
+    found = scan_secrets(docs, fit_on(docs), ["doc_id"])
     line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("secrets", lambda s: s["kind"] != "markov")
     count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")

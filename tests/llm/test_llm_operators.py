@@ -370,6 +370,17 @@ def test_redaction(spark):
     assert secret_scan.scan_secrets(df.where("false"), model, ["doc_id"]).count() == 0
 
 
+def test_markov_learns_from_all_whole_texts(spark):
+    texts = ["short words of a text"] * 700 + [None, "", "plain words " * 400 + "zqxj zqxj zqxj"]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    plain = [(s, 0) for t in texts for s in secret_scan.identifiers([t])]
+    keys = [(s, 1) for s in secret_scan.random_strings()]
+    assert np.array_equal(secret_scan.fit_on(df), secret_scan.fit_markov(keys + plain))
+    assert np.array_equal(secret_scan.fit_on(df.repartition(7)), secret_scan.fit_on(df))
+    z, q = (secret_scan.ALPHABET.index(c) + 1 for c in "zq")
+    assert secret_scan.ordinary_bigrams(df)[z, q] >= 3  # past the first 4,000 characters
+
+
 # 10
 def test_escapes():
     rng = random.Random(6)
