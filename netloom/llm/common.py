@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.plans.shared import Folder
+
 MULT = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(MULT, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
@@ -15,27 +15,9 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _POWERS: list[np.ndarray] = []
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; sets a directory only where the session has none."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        sc = spark.sparkContext
-        held = sc._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            top = held.get()
-        else:
-            top = "file:///tmp/netloom-checkpoints"
-            sc.setCheckpointDir(top)
-            top = sc._jsc.sc().getCheckpointDir().get()
-    return f"{top.rstrip('/')}/netloom-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """df as a Parquet table in the shared folder, which cuts its lineage and outlives a lost executor."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Folder(df.sparkSession).put(df, name)
 
 
 def thinned(df: DataFrame, key: str, rows: int) -> DataFrame:
@@ -45,13 +27,6 @@ def thinned(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df if share == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that scratch() named, through the file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """MULT ** i and its inverse modulo 2 ** 64, for i below n at least."""
     if not _POWERS or len(_POWERS[0]) < n:
@@ -126,6 +101,11 @@ def hashed_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, counts
 
 
+def repeat_ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ..: counts[0] numbers, then counts[1] from starts[1] on, and so on."""
+    return np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of n words, at the place of its first word; empty if there are fewer words."""
     m = len(words) - n + 1
@@ -143,18 +123,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps over tables in the shared folder until the links no longer change;
     what comes to the driver is a count and a sum. Loops and nulls are ignored; no links give an empty table.
     A star step groups by node with min() only, so a node with very many links needs no list of them."""
-    spark = edges.sparkSession
+    folder = Folder(edges.sparkSession)
     pairs = edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     )
-    pairs = written(pairs.distinct(), "links")
+    pairs = folder.put(pairs.distinct(), "0")
 
     def mark(df):
         r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         return r["n"], r["s"]
 
     was = mark(pairs)
-    for _ in range(rounds):
+    for k in range(rounds):
         if not was[0]:
             break
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -163,7 +143,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        pairs = written(small, "links")
+        pairs = folder.put(small, f"{k + 1}")
+        folder.drop(f"{k}")
         now = mark(pairs)
         if now == was:
             break

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,40 +9,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import MULT, blocks_of, components, gram_hashes, hashed_texts, mixed, word_hashes, written
+from netloom.llm.common import MULT, blocks_of, components, gram_hashes, hashed_texts, mixed, repeat_ranges
+from netloom.plans.shared import Folder
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Orders of the tokens; a pair must share a prefix token under each. Smallest hashes that gather copies round a leader.
-ORDERS, LEADERS = 2, 8
+#: Orders of the tokens; a pair must share prefix tokens under each.
+ORDERS = 2
 #: Tokens with a place of their own in the orders, by frequency; all others count as rare. The bound keeps the list,
 #: which every executor holds, at 9 bytes times this; it changes the orders only, never the links.
 FREQUENT = 300_000
-#: 64-bit words of a set's parity bitmap, and rows of a token that are held against each other at once.
-BITMAP, BLOCK = 8, 2048
-_SALTS = [np.uint64((0x9FB21C651E98DF25 * (2 * i + 1)) & ((1 << 64) - 1)) for i in range(ORDERS + LEADERS)]
+#: Sets that share a token from which on they are grouped round leaders first, and rows of a token that meet in one block.
+CROWD, BLOCK = 32, 2048
+#: Pairs that a head's text serves in one task, and ids of documents that are broadcast at most.
+SERVED, BROADCAST_IDS = 1000, 500_000
+_SALTS = [np.uint64((0x9FB21C651E98DF25 * (2 * i + 1)) & ((1 << 64) - 1)) for i in range(ORDERS + 2)]
 
 
-def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
-    """The sorted distinct hashes of runs of n words; of fewer words, one hash of them all; of none, nothing."""
-    if len(words) >= n:
-        return np.unique(gram_hashes(words, n))
-    if not len(words):
-        return np.empty(0, np.uint64)
-    return gram_hashes(words, len(words)) ^ np.uint64(0x5851F42D4C957F2D * len(words) & ((1 << 64) - 1))
+# sets of texts
+def laid_sets(texts: list[str | None], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of blocks of texts: their sets of shingle hashes laid end to end, each sorted and distinct, and their sizes.
 
-
-def text_set(text: str | None, n: int) -> np.ndarray:
-    return shingle_set(word_hashes((text or "").encode().translate(_LOWER)), n)
-
-
-def sets_of(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+    A set holds the runs of n words; of fewer words, one hash of them all; of none, nothing. A-Z are lower-cased."""
     raw = [(t or "").encode().translate(_LOWER) for t in texts]
     for low, high in blocks_of(raw):
         words, counts = hashed_texts(raw[low:high])
-        at = 0
-        for c in counts.tolist():
-            yield shingle_set(words[at : at + c], n)
-            at += c
+        begin = np.cumsum(counts) - counts
+        some = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
+        start = np.cumsum(some) - some
+        flat = np.empty(int(some.sum()), np.uint64)
+        long = np.flatnonzero(counts >= n)
+        if len(long):
+            at = repeat_ranges(start[long], some[long])
+            flat[at] = gram_hashes(words, n)[repeat_ranges(begin[long], some[long])]
+        for i in np.flatnonzero((counts > 0) & (counts < n)).tolist():
+            c = int(counts[i])
+            flat[start[i]] = gram_hashes(words[begin[i] : begin[i] + c], c)[0] ^ np.uint64(0x5851F42D4C957F2D * c & ((1 << 64) - 1))
+        for a, z in zip(start[long].tolist(), (start + some)[long].tolist()):
+            flat[a:z].sort()
+        new = np.ones(len(flat), dtype=bool)
+        new[1:] = flat[1:] != flat[:-1]
+        new[start[some > 0]] = True
+        before = np.concatenate(([0], np.cumsum(new)))
+        yield flat[new], before[start + some] - before[start]
+
+
+def sets_of(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    for flat, sizes in laid_sets(texts, n):
+        yield from np.split(flat, np.cumsum(sizes)[:-1])
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -54,51 +67,125 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def prefix(s: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
-    """The tokens that come first in an order, one more than a partner may lack."""
-    keep = len(s) - -(-percent * len(s) // 100) + 1
-    return s[np.argpartition(order, keep - 1)[:keep]] if keep < len(s) else s
+def _per_set(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sums, modulo 2 ** 64, of values over sets laid end to end."""
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
+
+
+def signatures(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set; sets with the same size and both hashes count as equal."""
+    out = []
+    for salt in _SALTS[ORDERS:]:
+        out.append(mixed(_per_set(mixed(flat ^ salt), sizes) * np.uint64(MULT) + sizes.astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
+
+
+def bitmaps(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The parity of each set's tokens that fall on each of m bits, m a power of two, twice the size at least: two sets
+    differ in as many tokens, at least, as their bitmaps do in bits."""
+    m = 1 << np.ceil(np.log2(np.maximum(32, sizes)) + 1).astype(np.int64)
+    first = np.cumsum(m) - m
+    spot = (mixed(flat ^ _SALTS[0]) & np.repeat((m - 1).astype(np.uint64), sizes)).astype(np.int64) + np.repeat(first, sizes)
+    packed = np.packbits((np.bincount(spot, minlength=int(m.sum())) & 1).astype(np.uint8), bitorder="little")
+    return [packed[a : a + k].tobytes() for a, k in zip((first >> 3).tolist(), (m >> 3).tolist())]
 
 
+def bits_apart(x: bytes, y: bytes) -> int:
+    """In how many bits two bitmaps differ, the longer folded to the length of the shorter."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) > len(a):
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def near_enough(n: int, m: int, apart: int, percent: int) -> bool:
+    """Whether sets of sizes n and m that differ in `apart` tokens at least may still link: a link's difference is at
+    most (100 - percent) / (100 + percent) of the sizes' sum."""
+    return (100 + percent) * apart <= (100 - percent) * (n + m)
+
+
+# orders and prefixes
 def orders_of(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
     """The places of tokens under each order: rarer ranks first, and a different scramble within a rank."""
-    where = np.searchsorted(frequent, s)
-    np.minimum(where, max(0, len(frequent) - 1), out=where)
     high = np.zeros(len(s), dtype=np.uint64)
     if len(frequent):
+        where = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         high = np.where(frequent[where] == s, rank[where], 0).astype(np.uint64) << np.uint64(58)
     return [high | (mixed(s ^ _SALTS[i]) >> np.uint64(6)) for i in range(ORDERS)]
 
 
+def prefix_size(n, percent: int):
+    """How many tokens come first in an order that a set of n must share one of: one more than a partner may lack."""
+    return n - -(-percent * n // 100) + 1
+
+
+def shared_tokens(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """How many tokens the prefixes of two linked sets share at least, under any order.
+
+    Of the two prefixes let A's end first. B's prefix then holds every token of B up to there, and A lacks at most its
+    size less the overlap that a link needs; so all of A's prefix but these is shared."""
+    overlap = -(-percent * (n + m) // (100 + percent))
+    return np.maximum(1, overlap + 1 + (-percent * np.maximum(n, m)) // 100)
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def frequent_tokens(docs: DataFrame, n: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that many documents hold, sorted, and a rank by the logarithm of their count.
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
+
+
+def _sketch(docs: DataFrame, n: int) -> DataFrame:
+    """One pass over the texts: (doc_id, n, s1, s2, bits) of every row, and rows (tokens, counts) of tokens that recur.
 
-    Counts cover all documents by lossy counting: a task gathers up to three million tokens and sends those it met twice
-    or more, or oftener the more it gathered; the tokens of the largest sums are taken, down to a sum that leaves `most` at most."""
+    Counts come by lossy counting: a task gathers three million tokens and sends those it met twice or more, or oftener
+    the more it gathered."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    names = ["doc_id", "n", "s1", "s2", "bits", "tokens", "counts"]
 
     def run(batches):
         held, size = [], 0
 
-        def sums():
+        def recurring():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= 2 + size // 1_000_000
-            return pa.RecordBatch.from_arrays([_long(tokens[often]), pa.array(counts[often])], names=["token", "c"])
+            rows = [None, None, None, None, None, tokens[often].tobytes(), counts[often].astype(np.int64).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(rows, kinds)], names=names)
 
         for b in batches:
-            for s in sets_of(b.column(0).to_pylist(), n):
-                held.append(s)
-                size += len(s)
+            at = 0
+            for flat, sizes in laid_sets(b.column(1).to_pylist(), n):
+                s1, s2 = signatures(flat, sizes)
+                k = len(sizes)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, k), pa.array(sizes), pa.array(s1), pa.array(s2), pa.array(bitmaps(flat, sizes), pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
+                at += k
+                held.append(flat)
+                size += len(flat)
                 if size > 3_000_000:
-                    yield sums()
+                    yield recurring()
                     held, size = [], 0
         if held:
-            yield sums()
+            yield recurring()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, bits binary, tokens binary, counts binary")
+
+
+def frequent_tokens(sketch: DataFrame, folder: Folder, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of the largest sums, sorted, and a rank by the logarithm of their count; down to a sum that leaves
+    `most` at most."""
+
+    def run(batches):
+        for b in batches:
+            for t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield _batch(token=np.frombuffer(t, np.int64), c=np.frombuffer(c, np.int64))
 
-    counts = written(docs.select("text").mapInArrow(run, "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c")).where("c >= 8"), "counts")
+    sums = sketch.where("tokens is not null").select("tokens", "counts").mapInArrow(run, "token bigint, c bigint")
+    counts = folder.put(sums.groupBy("token").agg(F.sum("c").alias("c")).where("c >= 8"), "counts")
     level = F.floor(16 * F.log2(F.col("c").cast("double")))
     levels = {r["l"]: r["n"] for r in counts.groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect()}  # 16 for each doubling
     least, taken = 1 << 30, 0
@@ -108,181 +195,295 @@ def frequent_tokens(docs: DataFrame, n: int, most: int = FREQUENT) -> tuple[np.n
             break
         least = l
     top = counts.where(level >= int(least)).toPandas()
+    folder.drop("counts")
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     rank = np.minimum(1 + np.log2(np.maximum(top["c"].to_numpy(np.float64), 1)).astype(np.int64), 62) if len(top) else np.empty(0, np.int64)
     return tokens[order], rank[order]
 
 
-def signature(s: np.ndarray) -> int:
-    """A 64-bit hash of a set; sets that differ are taken as different when these do, and those that agree as equal."""
-    if not len(s):
-        return 0
-    h = np.add.reduce(mixed(s), keepdims=True) * np.uint64(MULT) + np.uint64(len(s)) + np.bitwise_xor.reduce(s)
-    return int(mixed(h).view(np.int64)[0])
-
-
-def bitmap(s: np.ndarray) -> bytes:
-    """The parity of the tokens that fall on each of 64 * BITMAP bits: two sets differ in as many tokens, at least, as
-    their bitmaps do in bits."""
-    bits = np.bincount((mixed(s ^ _SALTS[0]) & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
-
-
-def _sketch(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, sig, leaders, bits) of every row."""
+def _prefix_rows(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """(token, sig, n) for each prefix token of each order; the order's number is in the lowest bit of token. Equal sets
+    that a task meets together send one set of rows."""
+    share = docs.sparkSession.sparkContext.broadcast((frequent, rank))
 
     def run(batches):
+        frequent, rank = share.value
         for b in batches:
-            rows = []
-            for s in sets_of(b.column(1).to_pylist(), n):
-                least = [int(mixed(s ^ _SALTS[ORDERS + i]).min().view(np.int64)) for i in range(LEADERS)] if len(s) else []
-                rows.append((len(s), signature(s), least, bitmap(s)))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=["doc_id", "n", "sig", "leaders", "bits"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sig bigint, leaders array<bigint>, bits binary")
-
+            for flat, sizes in laid_sets(b.column(0).to_pylist(), n):
+                sig, _ = signatures(flat, sizes)
+                _, one = np.unique(sig, return_index=True)
+                one = one[sizes[one] > 0]
+                if not len(one):
+                    continue
+                keep, start = prefix_size(sizes, percent), np.cumsum(sizes) - sizes
+                tokens = []
+                for i, order in enumerate(orders_of(flat, frequent, rank)):
+                    own = [a + np.argpartition(order[a : a + c], k - 1)[:k] if k < c else np.arange(a, a + c) for a, c, k in zip(start[one].tolist(), sizes[one].tolist(), keep[one].tolist())]
+                    tokens.append((flat[np.concatenate(own)] & ~np.uint64(1)) | np.uint64(i))
+                k = np.repeat(one, keep[one])
+                yield _batch(token=_long(np.concatenate(tokens)), sig=np.tile(sig[k], ORDERS), n=np.tile(sizes[k], ORDERS))
 
-def near_enough(n: np.ndarray, m: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of sizes n and m that differ in `apart` tokens at least may still link: a link's difference is at
-    most (100 - percent) / (100 + percent) of the sizes' sum."""
-    return (100 + percent) * apart <= (100 - percent) * (n + m)
+    return docs.select("text").mapInArrow(run, "token bigint, sig bigint, n bigint")
 
 
-def shared_tokens(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """How many tokens the prefixes of two linked sets share at least, under any order.
+def _shared(rows: DataFrame) -> DataFrame:
+    """(token, sig, n, at): the rows of tokens that several sets have in their prefix, each set once; `at` numbers a
+    token's rows from 0. A token's rows are streamed, never gathered."""
+    dealt = rows.repartition("token").sortWithinPartitions("token", "sig")
 
-    Of the two prefixes let A's end first. B's prefix then holds every token of B up to there, and A lacks at most its
-    size less the overlap that a link needs; so all of A's prefix but these is shared."""
-    overlap = -(-percent * (n + m) // (100 + percent))
-    return np.maximum(1, overlap + 1 + (-percent * np.maximum(n, m)) // 100)
+    def run(batches):
+        last = None  # the last row: token, sig, n, at, and whether it went out
+        for b in batches:
+            if not b.num_rows:
+                continue
+            token, sig, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            lead = 0
+            if last:
+                token, sig, n = (np.concatenate(([x], y)) for x, y in zip(last, (token, sig, n)))
+                lead = last[3]
+            keep = np.ones(len(token), dtype=bool)
+            keep[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
+            token, sig, n = token[keep], sig[keep], n[keep]
+            new = np.ones(len(token), dtype=bool)
+            new[1:] = token[1:] != token[:-1]
+            begin = np.flatnonzero(new)
+            at = np.arange(len(token)) - np.repeat(begin, np.diff(np.append(begin, len(token))))
+            at[: begin[1] if len(begin) > 1 else len(at)] += lead
+            out = at > 0
+            out[:-1] |= ~new[1:]
+            if last and last[4]:
+                out[0] = False
+            went = bool(out[-1]) or bool(len(token) == 1 and last and last[4])
+            last = (token[-1], sig[-1], n[-1], int(at[-1]), went)
+            if out.any():
+                yield _batch(token=token[out], sig=sig[out], n=n[out], at=at[out])
+
+    return dealt.mapInArrow(run, "token bigint, sig bigint, n bigint, at bigint")
+
+
+def _in_blocks(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows (token, node, n, g) dealt into cells (token, cell, side): any two of a token's rows with different groups
+    meet in one cell, as rows of side 0, or as one of side 1 and one of side 2.
+
+    Only the tokens of `hot`, which have more than BLOCK rows, have several cells. The rows of such a token's largest
+    group fall into blocks that meet the blocks of all other rows, but not each other; so what is sent grows with the
+    rows of a token as long as most of them are of one group."""
+    plain = rows.join(hot, "token", "left_anti").select("token", F.lit(0).cast("bigint").alias("cell"), F.lit(0).alias("side"), "node", "n", "g")
+    crowded = rows.join(hot, "token")
+    sizes = crowded.groupBy("token", "g").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "g")).alias("top"), F.sum("c").alias("all"))
+    parts = lambda c: F.ceil(c / BLOCK)
+    sizes = sizes.where(F.col("all") > F.col("top.c")).select("token", F.col("top.g").alias("main"), parts(F.col("top.c")).alias("mains"), parts(F.col("all") - F.col("top.c")).alias("others"))
+    x = crowded.join(sizes, "token")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("g") == F.col("main"), F.col("mains")).otherwise(F.col("others")))
+    x = x.withColumn("own", own)
+    wide = F.col("mains") + F.col("others")
+    cell = lambda i, j, side: F.struct((i * wide + j).alias("cell"), side.alias("side"))
+    upto = lambda c: F.sequence(F.lit(0).cast("bigint"), c - 1)
+    of_main = F.transform(upto(F.col("others")), lambda j: cell(F.col("own"), F.col("mains") + j, F.lit(1)))
+    with_main = F.transform(upto(F.col("mains")), lambda i: cell(i, F.col("mains") + F.col("own"), F.lit(2)))
+    with_others = F.transform(upto(F.col("others")), lambda j: cell(F.col("mains") + F.least(j, F.col("own")), F.col("mains") + F.greatest(j, F.col("own")), F.when(j == F.col("own"), 0).when(F.col("own") < j, 1).otherwise(2)))
+    cells = F.when(F.col("g") == F.col("main"), of_main).otherwise(F.concat(with_main, with_others))
+    split = x.withColumn("x", F.explode(cells)).select("token", "x.cell", "x.side", "node", "n", "g")
+    return plain.unionByName(split)
 
 
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, o, need): pairs of rows (token, sig, n, g, bits) of one token and different groups whose sizes and bitmaps
-    allow a link; o is the token's order, need how many prefix tokens a link of these sizes shares in each order. A token's rows come one after the other and are compared in blocks, by
-    numpy, so what leaves is near the number of links and not the square of the rows."""
-    dealt = rows.repartition("token").sortWithinPartitions("token")
+    """(a, b): pairs of rows (token, cell, side, node, n, g) of different groups whose sizes allow a link and that share
+    as many prefix tokens under every order as a link of these sizes does. A cell's rows come one after the other and
+    meet in blocks, by numpy; what leaves is counted by pair first."""
+    dealt = rows.repartition("token", "cell").sortWithinPartitions("token", "cell")
 
     def run(batches):
-        def pairs(token, sig, n, g, bits):
-            """Of complete runs of equal tokens."""
-            begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            size = np.diff(np.append(begin, len(token)))
-            out = []
-
-            def keep(i, j):
-                ok = g[i] != g[j]
-                i, j = i[ok], j[ok]
-                apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-                ok = near_enough(n[i], n[j], apart, percent)
-                i, j = i[ok], j[ok]
-                out.append((np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j]), token[i] & (ORDERS - 1), shared_tokens(n[i], n[j], percent)))
-
-            few = size <= 64
-            for width in np.unique(size[few]):
+        out: list[tuple] = []
+        size = 0
+
+        def counted():
+            a, b, o, need = (np.concatenate([x[i] for x in out]) for i in range(4))
+            order = np.lexsort((b, a))
+            a, b, o, need = a[order], b[order], o[order], need[order]
+            new = np.ones(len(a), dtype=bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            begin = np.flatnonzero(new)
+            sums = [np.add.reduceat((o == i).astype(np.int64), begin) for i in range(ORDERS)]
+            return _batch(a=a[begin], b=b[begin], need=np.minimum.reduceat(need, begin), **{f"c{i}": x for i, x in enumerate(sums)})
+
+        def keep(whole, i, j):
+            nonlocal size
+            token, node, n, g = whole[0], whole[3], whole[4], whole[5]
+            ok = (g[i] != g[j]) & (node[i] != node[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            if len(i):
+                out.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), token[i] & (ORDERS - 1), shared_tokens(n[i], n[j], percent)))
+                size += len(i)
+
+        def pairs(whole):
+            """Of complete cells; yields when many pairs are held."""
+            nonlocal out, size
+            token, cell, side = whole[:3]
+            new = np.ones(len(token), dtype=bool)
+            new[1:] = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])
+            begin = np.flatnonzero(new)
+            many = np.diff(np.append(begin, len(token)))
+            few = (many <= 64) & (np.maximum.reduceat(side, begin) == 0)
+            for width in np.unique(many[few]):
                 if width < 2:
                     continue
-                at = begin[few & (size == width)]
+                first = begin[few & (many == width)]
                 x, y = np.triu_indices(width, 1)
                 step = max(1, 400_000 // len(x))
-                for k in range(0, len(at), step):
-                    own = at[k : k + step, None]
-                    keep((own + x).ravel(), (own + y).ravel())
-            for first, count in zip(begin[~few].tolist(), size[~few].tolist()):
-                for i in range(first, first + count, BLOCK):
-                    x = np.arange(i, min(first + count, i + BLOCK))
-                    for j in range(i, first + count, 64):
-                        y = np.arange(j, min(first + count, j + 64))
+                for k in range(0, len(first), step):
+                    own = first[k : k + step, None]
+                    keep(whole, (own + x).ravel(), (own + y).ravel())
+                    if size > 1_500_000:
+                        yield counted()
+                        out, size = [], 0
+            for a, c in zip(begin[~few].tolist(), many[~few].tolist()):
+                at = np.arange(a, a + c)
+                same, one, two = (at[side[at] == k] for k in range(3))
+                for left, right in ((same, same), (one, two)):
+                    for k in range(0, len(left), 256):
+                        x = left[k : k + 256]
+                        y = right[k:] if left is right else right
+                        if not len(y):
+                            continue
                         u, v = np.repeat(x, len(y)), np.tile(y, len(x))
-                        ok = u < v
-                        keep(u[ok], v[ok])
-            if not out:
-                return None
-            a, b, o, need = (np.concatenate([x[i] for x in out]) for i in range(4))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(o.astype(np.int32)), pa.array(need.astype(np.int32))], names=["a", "b", "o", "need"])
-
-        held: list[tuple] = []
+                        if left is right:
+                            ok = u < v
+                            u, v = u[ok], v[ok]
+                        keep(whole, u, v)
+                        if size > 1_500_000:
+                            yield counted()
+                            out, size = [], 0
+
+        held: list[list] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            now.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, BITMAP))
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
             held.append(now)
-            if now[0][0] == now[0][-1] and len(held) > 1 and held[0][0][0] == now[0][0]:
-                continue  # the run goes on
-            whole = [np.concatenate([h[i] for h in held]) for i in range(5)]
-            cut = int(np.searchsorted(whole[0], whole[0][-1]))
-            if cut and (out := pairs(*[w[:cut] for w in whole])) is not None:
-                yield out
+            if len(held) > 1 and (now[0][-1], now[1][-1]) == (held[0][0][0], held[0][1][0]):
+                continue  # the cell goes on
+            whole = [np.concatenate([h[i] for h in held]) for i in range(6)]
+            last = np.flatnonzero((whole[0] != whole[0][-1]) | (whole[1] != whole[1][-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield from pairs([w[:cut] for w in whole])
             held = [[w[cut:] for w in whole]]
-        if held and (out := pairs(*[np.concatenate([h[i] for h in held]) for i in range(5)])) is not None:
-            yield out
+        if held:
+            yield from pairs([np.concatenate([h[i] for h in held]) for i in range(6)])
+        if out:
+            yield counted()
 
-    return dealt.select("token", "sig", "n", "g", "bits").mapInArrow(run, "a bigint, b bigint, o int, need int")
+    counts = ", ".join(f"c{i} bigint" for i in range(ORDERS))
+    found = dealt.select("token", "cell", "side", "node", "n", "g").mapInArrow(run, f"a bigint, b bigint, need bigint, {counts}")
+    found = found.groupBy("a", "b").agg(F.min("need").alias("need"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(ORDERS)])
+    return found.where(" and ".join(f"c{i} >= need" for i in range(ORDERS))).select("a", "b")
 
 
-def _prefix_rows(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(token, sig, n) for each prefix token of each order; the order's number is in the lowest bit of token."""
-    share = docs.sparkSession.sparkContext.broadcast((frequent, rank))
+# verification
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps allow a link."""
+    of = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+    rows = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
 
     def run(batches):
-        frequent, rank = share.value
         for b in batches:
-            held, size = [], 0
-
-            def rows():
-                return pa.RecordBatch.from_arrays([_long(np.concatenate([h[0] for h in held])), pa.array(np.repeat([h[1] for h in held], [len(h[0]) for h in held])), pa.array(np.repeat([h[2] for h in held], [len(h[0]) for h in held]))], names=["token", "sig", "n"])
-
-            for s in sets_of(b.column(0).to_pylist(), n):
-                if not len(s):
-                    continue
-                sig = signature(s)
-                for i, order in enumerate(orders_of(s, frequent, rank)):
-                    tokens = (prefix(s, order, percent) & ~np.uint64(1)) | np.uint64(i)
-                    held.append((tokens, sig, len(s)))
-                    size += len(tokens)
-                if size > 200_000:
-                    yield rows()
-                    held, size = [], 0
-            if held:
-                yield rows()
-
-    return docs.select("text").mapInArrow(run, "token bigint, sig bigint, n bigint")
-
+            ok = [near_enough(n, m, bits_apart(x, y), percent) for n, m, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of signatures that link, judged on the whole texts of their first documents."""
-    both = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-    wanted = both.join(members.select("sig", "first"), "sig")
-    texts = docs.select(F.col("doc_id").alias("first"), "text").join(wanted, "first").select("sig", "text").dropDuplicates(["sig"])
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
-    def packed(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress((t or "").encode(), 1) for t in b.column(1).to_pylist()], pa.binary())], names=["sig", "text"])
 
-    texts = written(texts.mapInArrow(packed, "sig bigint, text binary"), "texts")
-    left = texts.select(F.col("sig").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("sig").alias("b"), F.col("text").alias("tb"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").sortWithinPartitions("a")
+def _linked(pairs: DataFrame, docs: DataFrame, folder: Folder, name: str, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of documents that link, judged on whole texts. The texts of b travel once a pair, that of a once
+    for SERVED pairs; so a document that many are compared with is dealt to many tasks."""
+    both = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = folder.put(both, f"{name}_ids")
+    known = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = folder.put(docs.where("text is not null").join(known, "doc_id").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node", "text"]), f"{name}_texts")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SERVED).alias("parts"))
+    heads = texts.join(parts, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"), "text")
+    tails = pairs.join(parts, "a").join(texts, F.col("node") == F.col("b")).select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b", "text")
+    rows = heads.unionByName(tails).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
-        memory: dict = {}
-
-        def known(sig, text):
-            got = memory.get(sig)
-            if got is None:
-                if len(memory) > 64:
-                    memory.clear()
-                got = memory[sig] = text_set(zlib.decompress(text).decode(), n)
-            return got
-
-        for b in batches:
-            out = [(x, y) for x, y, tx, ty in zip(*(c.to_pylist() for c in b.columns)) if linked(known(x, tx), known(y, ty), percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a bigint, b bigint")
+        last, head = None, []
+        for big in batches:
+            for low in range(0, big.num_rows, 512):
+                rows = big.slice(low, 512)
+                out = []
+                for a, part, b, s in zip(*(rows.column(i).to_pylist() for i in range(3)), sets_of(rows.column(3).to_pylist(), n)):
+                    if (a, part) != last:
+                        last, head = (a, part), []
+                    if b is None:
+                        head.append(s)
+                    elif any(linked(h, s, percent) for h in head):
+                        out.append((a, b))
+                yield _batch(a=pa.array([r[0] for r in out], pa.int64()), b=pa.array([r[1] for r in out], pa.int64()))
+
+    found = folder.put(rows.mapInArrow(run, "a bigint, b bigint").distinct(), name)
+    folder.drop(f"{name}_ids", f"{name}_texts")
+    return found
+
+
+def _leaders(shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each set of a token that more than CROWD sets share, with that token's two leaders: those that share the
+    most such tokens, as an original of many near copies does."""
+    crowds = shared.where(F.col("at") == CROWD).select("token")
+    rows = shared.join(crowds, "token").select("token", "node", "n")
+    rows = rows.join(rows.groupBy("node").agg(F.count("*").alias("score")), "node")
+    head = lambda *tie: F.max(F.struct("score", *tie, F.col("node").alias("s"), F.col("n").alias("m")))
+    heads = rows.groupBy("token").agg(head().alias("x"), head(F.bitwise_not("node").alias("t")).alias("y"))
+    heads = heads.select("token", F.explode(F.array_distinct(F.array(F.struct("x.s", "x.m"), F.struct("y.s", "y.m")))).alias("z")).select("token", "z.s", "z.m")
+    close = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    return rows.join(heads, "token").where((F.col("node") != F.col("s")) & close).select(F.least("s", "node").alias("a"), F.greatest("s", "node").alias("b")).distinct()
+
+
+class Join:
+    """The join of docs (doc_id, text) with themselves, step by step over tables in the shared folder.
+
+    Equal sets are one class, whose node is its smallest doc_id; documents with the same doc_id are one node."""
+
+    def __init__(self, docs: DataFrame, n: int, percent: int):
+        self.folder = Folder(docs.sparkSession)
+        self.docs, self.n, self.percent = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), n, percent
+        put = self.folder.put
+        self.sketch = put(_sketch(self.docs, n), "sketch")
+        self.rows = self.sketch.where("n is not null").select("doc_id", "n", "s1", "s2")
+        classes = self.sketch.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits"))
+        self.classes = put(classes, "classes")
+        frequent, rank = frequent_tokens(self.sketch, self.folder)
+        shared = _shared(_prefix_rows(self.docs, n, percent, frequent, rank))
+        self.shared = put(shared.join(self.classes.select(F.col("s1").alias("sig"), "node"), "sig").select("token", "node", "n", "at"), "shared")
+
+    def pairs(self, groups: DataFrame | None, name: str) -> DataFrame:
+        """(a, b): candidates that pass the filters of all orders and the bitmaps, of different groups (id, component) only."""
+        rows = self.shared.withColumn("g", F.col("node"))
+        if groups is not None:
+            rows = self.shared.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("g", F.coalesce("component", "node"))
+        hot = self.shared.where(F.col("at") == BLOCK).select("token").distinct()
+        rows = _in_blocks(rows.select("token", "node", "n", "g"), hot)
+        return self.folder.put(_plausible(_candidates(rows, self.percent), self.classes, self.percent), name)
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        return _linked(pairs, self.docs, self.folder, name, self.n, self.percent)
+
+    def forget(self) -> None:
+        """Drops what only the search needs."""
+        self.folder.drop("shared")
+
+
+def all_links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(members, links): (doc_id, node) of every row, and every link (a, b), a < b, between nodes, each verified.
+
+    A node stands for documents with equal sets, by its smallest doc_id; rows without words, or whose set no row with a
+    doc_id has, have the node null. Links within a group of near copies are all there, so links may be far more
+    than documents; near_duplicates() needs only some of them."""
+    join = Join(docs, n, percent)
+    links = join.verified(join.pairs(None, "pairs"), "links")
+    join.forget()
+    return join.rows.join(join.classes.select("n", "s1", "s2", "node"), ["n", "s1", "s2"], "left").select("doc_id", "node"), links
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -290,55 +491,38 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     links reach. Two documents link when their sets of n-word shingles (words lower-cased in A-Z) have a Jaccard
     similarity of percent / 100 or more.
 
-    Equal sets are one class from the start, so exact copies cost one row each. Classes that share a smallest hash are
-    compared with that hash's two leaders, those whose smallest hashes most others share, as an original's are: this
-    gathers large groups of near copies in linear time. After that, classes of different groups that share enough
-    prefix tokens under every order, and whose sizes and parity bitmaps allow a link, are candidates, and all are verified. So no link
-    between different groups is missed, and no pairs within a group are written out.
+    Equal sets are one class from the start. Candidates share enough prefix tokens under every order. Where very many
+    sets share a token they are compared with its leaders first, which gathers large groups of near copies in linear
+    time; after that, classes of different groups are candidates, and sizes and bitmaps must allow the link.
+    Of these pairs a tree is verified, then all that still lie in different groups. So no link between different
+    groups is missed, and no pairs within a group are written out.
 
     Null and empty texts have an empty set: n_shingles 0, linked with nothing. Shorter texts count their whole
-    sequence as one shingle. Repeated rows give a row each; rows with a null doc_id have a component of their own
-    documents' smallest id, or null if there is none."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sketch = written(_sketch(docs, n), "sketch")
-    members = written(sketch.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("leaders").alias("leaders"), F.first("bits").alias("bits")).where("first is not null"), "classes")
-    frequent, rank = frequent_tokens(docs, n)
-    close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-    rows = members.select("sig", "n", F.posexplode("leaders").alias("i", "h"))
-    counts = rows.groupBy("i", "h").agg(F.count("*").alias("c")).where("c > 1")
-    crowd = written(rows.join(counts, ["i", "h"]), "crowd")
-    crowd = crowd.join(crowd.groupBy("sig").agg(F.sum("c").alias("score")), "sig")
-    head = lambda *tie: F.max(F.struct("score", *tie, F.col("sig").alias("s"), F.col("n").alias("m")))
-    heads = crowd.groupBy("i", "h").agg(head().alias("x"), head(F.bitwise_not("sig").alias("t")).alias("y"))
-    heads = heads.select("i", "h", F.explode(F.array_distinct(F.array(F.struct("x.s", "x.m"), F.struct("y.s", "y.m")))).alias("z")).select("i", "h", "z.s", "z.m")
-    stars = crowd.select("i", "h", "sig", "n").join(heads, ["i", "h"]).where((F.col("sig") != F.col("s")) & close(F.col("n"), F.col("m")))
-    stars = written(stars.select(F.least("s", "sig").alias("a"), F.greatest("s", "sig").alias("b")).distinct(), "stars")
-    first = written(_verified(stars, members, docs, n, percent), "links")
-    groups = written(components(first), "groups")
-
-    by = Window.partitionBy("token")
-    shared = _prefix_rows(docs, n, percent, frequent, rank).withColumns({"_l": F.min("sig").over(by), "_h": F.max("sig").over(by)}).where("_l < _h").select("token", "sig", "n").distinct()
-    shared = shared.join(groups.withColumnRenamed("id", "sig"), "sig", "left").select("token", "sig", "n", F.coalesce("component", "sig").alias("g"))
-    mixed_up = shared.withColumns({"_l": F.min("g").over(by), "_h": F.max("g").over(by)}).where("_l < _h").select("token", "sig", "n", "g")
-    mixed_up = mixed_up.join(members.select("sig", "bits"), "sig")
-    counts = [F.count_if(F.col("o") == i).alias(f"c{i}") for i in range(ORDERS)]
-    pairs = _candidates(mixed_up, percent).groupBy("a", "b").agg(F.first("need").alias("need"), *counts)
-    pairs = pairs.where(" and ".join(f"c{i} >= need" for i in range(ORDERS))).select("a", "b")
-    pairs = written(pairs, "pairs")
-    tree = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # most pairs fall into one group by these
-    second = written(_verified(tree, members, docs, n, percent), "links")
-    groups = written(components(first.union(second)), "groups")
+    sequence as one shingle. Repeated rows give a row each, and documents with the same doc_id are one that holds all
+    their sets; rows with a null doc_id have the component of the documents with an equal set, or null if there is none."""
+    join = Join(docs, n, percent)
+    put = join.folder.put
+    stars = put(_plausible(_leaders(join.shared, percent), join.classes, percent), "stars")
+    first = join.verified(stars, "first")
+    groups = put(components(first), "groups")
+    pairs = join.pairs(groups, "pairs")
+    join.forget()
+    tree = put(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tree")  # most pairs fall into one group by these
+    second = join.verified(tree, "second")
+    groups = put(components(first.union(second)), "regrouped")
     of = lambda x: groups.select(F.col("id").alias(x), F.col("component").alias(f"g{x}"))
     apart = F.coalesce("ga", "a") != F.coalesce("gb", "b")
-    rest = written(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).join(tree, ["a", "b"], "left_anti").select("a", "b"), "pairs")
-    third = written(_verified(rest, members, docs, n, percent), "links")
-
-    whole = components(first.union(second).union(third))
-    named = members.select("sig", "first").join(whole.withColumnRenamed("id", "sig"), "sig", "left").select("sig", "first", F.coalesce("component", "sig").alias("g"))
-    least = named.groupBy("g").agg(F.min("first").alias("component_id"))
-    classes = named.join(least, "g").select("sig", "component_id")
-    return sketch.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(classes, "sig", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    rest = put(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).join(tree, ["a", "b"], "left_anti").select("a", "b"), "rest")
+    third = join.verified(rest, "third")
+    join.folder.drop("stars", "groups", "pairs", "tree", "rest", "regrouped")
+
+    of_rows = join.rows.join(join.classes.select("n", "s1", "s2", "node"), ["n", "s1", "s2"]).where("doc_id is not null").select("doc_id", "node")
+    several = of_rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
+    same = of_rows.join(several, "doc_id").select("a", F.col("node").alias("b"))
+    whole = components(first.union(second).union(third).union(same)).withColumnRenamed("id", "node")
+    named = join.classes.select("n", "s1", "s2", "node").join(whole, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component_id"))
+    found = join.rows.join(named, ["n", "s1", "s2"], "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

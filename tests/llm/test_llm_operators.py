@@ -178,6 +178,40 @@ def test_jaccard_join_of_odd_tables(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, -1, 4]
 
 
+def test_jaccard_join_of_rows_with_one_id(spark):
+    one, two, three = ("a b c d e f", "g h i j k l", "m n o p q r")
+    df = spark.createDataFrame([(5, one), (5, two), (3, two), (7, one), (2, three), (9, three), (9, one)], DOCS)
+    assert {r["component_id"] for r in jaccard_join.near_duplicates(df).collect()} == {2}
+
+
+@pytest.mark.parametrize("n,percent,block,crowd", [(2, 60, 4, 3), (3, 80, 2, 1000)])
+def test_crowded_tokens_are_split(spark, monkeypatch, n, percent, block, crowd):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    monkeypatch.setattr(jaccard_join, "SERVED", 3)
+    rng = random.Random(8)
+    rows, bases = [], [words(rng, 40, 30).split() for _ in range(3)]
+    for i in range(45):
+        w = list(bases[i % 3])
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(len(w))] = f"y{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    frame = spark.createDataFrame(rows, DOCS).repartition(3)
+    want = brute_components(rows, n, percent)
+    assert {r[0]: (r[1], r[2]) for r in jaccard_join.near_duplicates(frame, n, percent).collect()} == want
+
+
+def test_all_links(spark):
+    rng = random.Random(12)
+    base = words(rng, 60, 1000).split()
+    rows = [(i, " ".join([*base[:k], f"z{i}", *base[k + 1 :]])) for i, k in enumerate((5, 20, 20, 40, 58))] + [(9, " ".join(base)), (11, " ".join(base)), (12, None)]
+    sets = {d: {tuple((t or "").split()[i : i + 2]) for i in range(59)} for d, t in rows[:6]}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])}
+    members, links = jaccard_join.all_links(spark.createDataFrame(rows, DOCS), 2, 90)
+    assert {tuple(r) for r in links.collect()} == want and len(want) > 5
+    assert dict(map(tuple, members.collect())) == {**{d: d for d in range(5)}, 9: 9, 11: 9, 12: None}
+
+
 # 5
 def test_embeddings_match_brute_force(spark):
     rng = np.random.default_rng(4)
