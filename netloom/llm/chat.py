@@ -1,4 +1,4 @@
-"""Chat formatting: one marked string a conversation, and one example for each assistant turn as a prefix of it."""
+"""Chat formatting: each assistant turn is an example of its own, the conversation up to it with only that reply trainable."""
 
 from __future__ import annotations
 
@@ -17,7 +17,10 @@ CONTROL = (TURN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</S
 _CONTROL = re.compile("|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL))
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _SEGMENT = re.compile(re.escape(TURN) + r"(.*?)" + re.escape(TEXT) + r"(.*?)" + re.escape(END), re.S)
-SCHEMA = "conv_id bigint, seq bigint, segment string, start bigint, end bigint, loss_start bigint, loss_end bigint"
+SCHEMA = "conv_id bigint, seq bigint, text string, loss_start bigint, loss_end bigint"
+_KINDS = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+#: Characters of examples that a task holds before it sends them on.
+HELD_CHARS = 4_000_000
 
 
 def escape(text: str) -> str:
@@ -29,97 +32,114 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text) if "\\" in text else text
 
 
-def format_turns(conversations: DataFrame, target: str = "assistant") -> DataFrame:
-    """One row a turn: its segment of the conversation's formatted string, at [start, end) of it in code points.
+def examples(conversations: DataFrame, target: str = "assistant") -> DataFrame:
+    """One row for each target turn: (conv_id, seq, text, loss_start, loss_end), where text is the formatted conversation
+    up to that turn and only [loss_start, loss_end) of it, the reply's escaped text in code points, is trainable; all
+    turns before it are its context. seq numbers a conversation's rows. Turns that no target follows come in one last
+    row, the whole conversation without a span, so that no turn is lost.
 
-    Every target turn is an example of its own: the formatted string up to `end`, in which only [loss_start, loss_end),
-    the reply's escaped text, is trainable; all turns before it are its context. Examples of one conversation share
-    their prefixes, so the table grows with the turns and not with their square; `examples` writes them out. Turns go
-    by turn, then role, then text (nulls first); null roles and texts count as empty; rows with a null conv_id form one
-    conversation. A conversation is streamed from a sorted partition, so a very long one needs no memory of its size."""
+    Turns go by turn, then role, then text (nulls first); null roles and texts count as empty; rows with a null conv_id
+    form one conversation; repeated rows are turns of their own. A conversation is streamed from a sorted partition: a
+    task holds its formatted string so far and HELD_CHARS of examples, however many turns there are. What is written is
+    the sum of all prefixes, as the method has it."""
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seq, at = object(), 0, 0
+        out: list[tuple] = []
+        held = 0
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _KINDS)], names=["conv_id", "seq", "text", "loss_start", "loss_end"])
+
+        last, seq, prefix, rest = None, 0, "", []  # rest: segments since the last example
+        begun = False
         for b in batches:
-            out = []
             for conv, _, role, text in zip(*(c.to_pylist() for c in b.columns)):
-                if conv != last:
-                    last, seq, at = conv, 0, 0
+                if not begun or conv != last:
+                    if rest:
+                        out.append((last, seq, prefix + "".join(rest), None, None))
+                        held += len(out[-1][2])
+                    begun, last, seq, prefix, rest = True, conv, 0, "", []
                 head = f"{TURN}{escape(role)}{TEXT}"
-                segment = f"{head}{escape(text)}{END}"
-                end = at + len(segment)
-                own = role == target
-                out.append((conv, seq, segment, at, end, at + len(head) if own else None, end - len(END) if own else None))
-                seq, at = seq + 1, end
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4))] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4)], names=["conv_id", "seq", "segment", "start", "end", "loss_start", "loss_end"])
+                rest.append(f"{head}{escape(text)}{END}")
+                if role == target:
+                    begin = len(prefix) + sum(map(len, rest[:-1])) + len(head)
+                    prefix, rest = prefix + "".join(rest), []
+                    out.append((conv, seq, prefix, begin, len(prefix) - len(END)))
+                    seq += 1
+                    held += len(prefix)
+                if held > HELD_CHARS:
+                    yield sent()
+                    out, held = [], 0
+        if rest:
+            out.append((last, seq, prefix + "".join(rest), None, None))
+        if out:
+            yield sent()
 
     return dealt.mapInArrow(run, SCHEMA)
 
 
-def examples(formatted: DataFrame) -> DataFrame:
-    """(conv_id, seq, text, loss_start, loss_end): each example with its context written out.
-
-    Its size is that of all prefixes, as training needs it; use it on conversations of a bounded length."""
-    f = formatted.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seq", "segment", "loss_start", "loss_end"))).alias("all"))
-    one = f.select("conv_id", "all", F.explode("all").alias("x")).where("x.loss_start is not null")
-    prefix = F.transform(F.slice("all", F.lit(1), (F.col("x.seq") + 1).cast("int")), lambda s: s["segment"])
-    return one.select("conv_id", "x.seq", F.array_join(prefix, "").alias("text"), "x.loss_start", "x.loss_end")
+def read_back(made: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), parsed from the examples alone: the
+    turns from a conversation's last row, the losses from the span of each. formatted_chars counts all rows' texts.
 
-
-def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), parsed from formatted segments alone.
-
-    formatted_chars is the length of the formatted string. formatted has to come from format_turns() as it is, or be
-    dealt and sorted as there."""
+    made has to come from examples() as it is, or be dealt and sorted by conv_id and seq."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        last, held = object(), None
+        held = None  # conv_id, the last text, characters and digest of the losses, characters of all texts
 
         def done(rows):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
+        def facts():
+            turns, digest = 0, hashlib.sha256()
+            for m in _SEGMENT.finditer(held[1]):
+                turns += 1
+                digest.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
+            return held[0], turns, digest.hexdigest(), held[2], held[3].hexdigest(), held[4]
+
         for b in batches:
             rows = []
-            for conv, segment, start, low, high in zip(*(b.column(n).to_pylist() for n in ("conv_id", "segment", "start", "loss_start", "loss_end"))):
-                if held is None or conv != last:
+            for conv, text, low, high in zip(*(b.column(n).to_pylist() for n in ("conv_id", "text", "loss_start", "loss_end"))):
+                if held is None or conv != held[0]:
                     if held:
-                        rows.append((last, held[0], held[1].hexdigest(), held[2], held[3].hexdigest(), held[4]))
-                    last, held = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                m = _SEGMENT.fullmatch(segment)
-                held[0] += 1
-                held[1].update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
+                        rows.append(facts())
+                    held = [conv, "", 0, hashlib.sha256(), 0]
+                held[1] = text
                 if low is not None:
-                    reply = unescape(segment[low - start : high - start])
+                    reply = unescape(text[low:high])
                     held[2] += len(reply)
                     held[3].update(reply.encode())
-                held[4] += len(segment)
+                held[4] += len(text)
             yield done(rows)
         if held:
-            yield done([(last, held[0], held[1].hexdigest(), held[2], held[3].hexdigest(), held[4])])
+            yield done([facts()])
 
-    return formatted.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return made.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def op10_chat_format(spark, sf_dir: str) -> DataFrame:
     """Digests of all conversations, and of conversation -1, whose turns say the control strings themselves."""
     own = spark.createDataFrame([(-1, i, r, "</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))], "conv_id bigint, turn bigint, role string, text string")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
-    return read_back(format_turns(rows.unionByName(own)))
+    return read_back(examples(rows.unionByName(own)))
 
 
 OP10_SQL = """
 with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+l as (select *, length('<|turn|><|text|><|end|>') + length(role) + length(text)
+    + len(regexp_extract_all(text, '\\\\|<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>|<\\|(?:turn|text|end|im_start|im_end|endoftext)\\|>')) as n from c),
+p as (select *, sum(n) over w as upto, row_number() over w = count(*) over (partition by conv_id) as final from l
+  window w as (partition by conv_id order by turn, role, text rows unbounded preceding))
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-  sum(length('<|turn|><|text|><|end|>') + length(role) + length(text)
-    + len(regexp_extract_all(text, '\\\\|<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>|<\\|(?:turn|text|end|im_start|im_end|endoftext)\\|>')))::bigint as formatted_chars
-from c group by conv_id
+  sum(upto) filter (role = 'assistant' or final)::bigint as formatted_chars
+from p group by conv_id
 """

@@ -47,7 +47,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", keep:
     rules (host, path, verdict): a rule fits its host and all subdomains if the url's path starts with its path; the
     longest host and path together wins, then the longer host, then block. Every listed key enters a blocked Bloom
     filter; a url's candidate keys (host suffixes at dots, path prefixes of the lengths that rules have) are probed
-    there, and only possible hits go to the hash join with the rules, which drops false positives. Urls without a rule
+    there, and only possible hits, each host and path once, go to the hash join with the rules, which drops false
+    positives. Urls meet their verdict by host and path, so a recomputed part gives the same rows. Urls without a rule
     get `default`. A null url, or one without ://, has an empty host and path. Repeated rows are judged each for itself;
     rules with a null are ignored, and of equal rules one counts (block first)."""
     spark = pages.sparkSession
@@ -60,7 +61,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", keep:
     filled = listed.select(block.alias("block"), low.alias("low"), high.alias("high")).groupBy("block").agg(F.expr("bit_or(low)").alias("low"), F.expr("bit_or(high)").alias("high"))
 
     own = [F.col(f"`{c}`") for c in keep]
-    base = pages.select(*own, url_host(F.col("url")).alias("_host"), url_path(F.col("url")).alias("_path"), F.monotonically_increasing_id().alias("_row"))
+    base = pages.select(*own, url_host(F.col("url")).alias("_host"), url_path(F.col("url")).alias("_path"))
     parts = F.split("_host", r"\.")
     count = F.size(parts)
     hosts = F.transform(F.sequence(F.greatest(F.lit(1), count - labels + 1), count), lambda i: F.array_join(F.slice(parts, i, count), "."))
@@ -76,17 +77,24 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", keep:
             at, a, b = _bits(k["host"], k["path"], blocks)
             return (F.element_at(table(lows), at + 1).bitwiseAND(a) == a) & (F.element_at(table(highs), at + 1).bitwiseAND(b) == b)
 
-        hits = base.select("_row", F.explode(F.filter(keys, maybe)).alias("k")).select("_row", "k.host", "k.path")
+        possible = F.filter(keys, maybe)
+        met = base.where(F.size(possible) > 0)
+        hits = met.select("_host", "_path").distinct().select("_host", "_path", F.explode(possible).alias("k")).select("_host", "_path", "k.host", "k.path")
     else:
-        probe = base.select("_row", F.explode(keys).alias("k")).select("_row", "k.host", "k.path")
+        met = base
+        probe = base.select("_host", "_path").distinct().select("_host", "_path", F.explode(keys).alias("k")).select("_host", "_path", "k.host", "k.path")
         at, a, b = _bits(F.col("host"), F.col("path"), blocks)
         probe = probe.withColumns({"block": at, "_a": a, "_b": b}).join(filled, "block")
-        hits = probe.where("low & _a = _a and high & _b = _b").select("_row", "host", "path")
+        hits = probe.where("low & _a = _a and high & _b = _b").select("_host", "_path", "host", "path")
     exact = F.broadcast(listed) if n <= 10_000 else listed
     best = F.max(F.struct((F.length("host") + F.length("path")).alias("l"), F.length("host").alias("h"), F.col("verdict"), F.concat("host", "path").alias("rule")))
-    found = hits.join(exact, ["host", "path"]).groupBy("_row").agg(best.alias("_best")).select("_row", "_best.verdict", "_best.rule")
-    out = base.join(found, "_row", "left")
-    return out.select(*own, F.col("_host").alias("host"), F.col("_path").alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    found = hits.join(exact, ["host", "path"]).groupBy("_host", "_path").agg(best.alias("_best")).select("_host", "_path", "_best.verdict", "_best.rule")
+    named = lambda df: df.select(*own, F.col("_host").alias("host"), F.col("_path").alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    judged = named(met.join(found, ["_host", "_path"], "left"))
+    if not small:
+        return judged
+    none = F.lit(None).cast("string")
+    return judged.unionByName(named(base.where(F.size(possible) == 0).withColumns({"rule": none, "verdict": none})))
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:

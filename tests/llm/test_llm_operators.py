@@ -123,6 +123,14 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.where("false"), rules).count() == 0
 
 
+def test_equal_urls_have_equal_verdicts(spark):
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    urls = ["http://a.net/x", "http://b.org/fr/", "http://c.com/", None]
+    pages = spark.createDataFrame([(urls[i % 4], i) for i in range(400)], "url string, rule int").repartition(7)
+    rows = url_filter.judge_urls(pages, rules, keep=["url"]).groupBy("url", "rule", "verdict").count().collect()
+    assert sorted((r[0] or "", r[1], r[2], r[3]) for r in rows) == [("", None, "allow", 100), ("http://a.net/x", "net/", "block", 100), ("http://b.org/fr/", "org/fr/", "allow", 100), ("http://c.com/", None, "allow", 100)]
+
+
 def test_many_rules_go_by_join(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "LITERAL_WORDS", 0)
     rules = spark.createDataFrame([(f"h{i}.com", "/", "block") for i in range(50)], "host string, path string, verdict string")
@@ -308,6 +316,67 @@ def test_quality_without_positives_or_rows(spark):
     assert quality.score_documents(docs.where("false"), labels)[0].count() == 0
 
 
+def test_gradients_of_the_risk():
+    rng = np.random.default_rng(3)
+    x, p, w = rng.normal(size=(40, 5)), rng.normal(size=(12, 5)), rng.normal(size=5)
+
+    def parts(w):
+        q = 1 / (1 + np.exp(-(x @ w)))
+        return quality.risk_parts(w, (np.mean([np.log1p(np.exp(z)) for z in x @ w]), x.T @ q / len(x)), p, 0.3)
+
+    plain = [0.3 * np.mean([np.log1p(np.exp(-z)) for z in p @ w]), np.mean([np.log1p(np.exp(z)) for z in x @ w]) - 0.3 * np.mean([np.log1p(np.exp(z)) for z in p @ w])]
+    got = parts(w)
+    assert np.allclose(got[:2], plain)
+    for i in range(5):
+        d = np.eye(5)[i] * 1e-6
+        up, down = parts(w + d), parts(w - d)
+        assert abs((up[0] - down[0]) / 2e-6 - got[2][i]) < 1e-5 and abs((up[1] - down[1]) / 2e-6 - got[3][i]) < 1e-5
+
+
+def test_least_risk_finds_what_a_search_finds():
+    rng = np.random.default_rng(5)
+    good, bad = rng.normal(0.8, 1, 300), rng.normal(-0.8, 1, 700)  # classes that overlap, so the negative part stays above 0
+    x = np.stack([np.ones(1000), np.concatenate([good, bad])], 1)
+    p = np.stack([np.ones(80), rng.normal(0.8, 1, 80)], 1)
+
+    def sums(weights):
+        out = []
+        for w in weights:
+            q = quality._sigmoid(x @ w)
+            out.append((quality._softplus(x @ w).mean(), x.T @ q / len(x), (x * (q * (1 - q))[:, None]).T @ x / len(x)))
+        return out
+
+    def risk(w):
+        positive, negative, *_ = quality.risk_parts(w, sums([w])[0][:2], p, 0.3)
+        return positive + max(0, negative) + 0.005 * w[1] ** 2
+
+    (w,) = quality.least_risk(sums, [(p, 0.3)], 2, 0.01, 12)
+    assert risk(w) <= min(risk(np.array([a, b])) for a in np.linspace(-3, 3, 25) for b in np.linspace(-1, 4, 26)) + 2e-3
+
+
+def test_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(6)
+    for prior in (0.2, 0.5, 0.85):
+        z = np.where(rng.random(20_000) < prior, rng.normal(2, 1, 20_000), rng.normal(-2, 1, 20_000))
+        p = rng.normal(2, 1, 3000)
+        cuts = np.quantile(p, quality.CUTS)
+        got = quality.prior_of((z >= cuts[:, None]).mean(1), (p >= cuts[:, None]).mean(1), len(p), len(z))
+        assert abs(got - prior) < 0.05
+
+
+def test_negatives_never_reach_the_fit(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, words(rng, 60, 900) if i % 3 else "buy now!!! " * (5 + i % 7), "s", 2.0) for i in range(300)] + [(7, "two rows of one id", "s", 1.0)], DOCS + ", _x string, score double")
+    labels = [(i, int(i % 3 > 0), 0) for i in range(200)]
+    both = quality.score_documents(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), ["doc_id", "_x", "score"])[0]
+    only = quality.score_documents(docs.repartition(5), spark.createDataFrame([x for x in labels if x[1]], "doc_id bigint, quality int, toxic int"), ["doc_id"])[0]
+    assert both.columns == ["doc_id", "_x", "score"]
+    a, b = ({(r["doc_id"], round(r["score"], 6)) for r in x.collect()} for x in (both, only))
+    assert a == b and len(a) == 301
+    s = dict(sorted(a))
+    assert np.mean([s[i] for i in range(1, 300, 3)]) > 0.8 > 0.2 > np.mean([s[i] for i in range(0, 300, 3)])
+
+
 def test_held_out_labels_are_never_learnt(spark):
     import zlib
 
@@ -425,12 +494,25 @@ def test_escapes():
         assert chat.unescape(e) == t and not any(c in e for c in chat.CONTROL)
 
 
-def test_chat(spark):
-    rows = [(1, 0, "user", "hi </s>"), (1, 1, "assistant", "yes"), (1, 2, "user", None), (1, 3, "assistant", "no [/INST]"), (1, 4, "user", "end"), (2, 0, None, "x"), (None, None, "assistant", "n"), (3, 0, "assistant", "")]
-    f = chat.format_turns(spark.createDataFrame([(*r, 7) for r in rows], "conv_id bigint, turn bigint, role string, text string, segment int"))
-    got = {r["conv_id"]: r for r in chat.read_back(f).collect()}
-    assert got[1]["n_turns"] == 5 and got[1]["loss_chars"] == len("yesno [/INST]") and got[2]["loss_chars"] == 0 and got[None]["n_turns"] == 1 and got[3]["loss_chars"] == 0
-    ex = sorted(((r["seq"], r["text"], r["loss_start"], r["loss_end"]) for r in chat.examples(f).where("conv_id = 1").collect()))
-    assert [chat.unescape(t[a:b]) for _, t, a, b in ex] == ["yes", "no [/INST]"]
-    assert ex[1][1].startswith(ex[0][1]) and len(re.findall(re.escape(chat.TURN), ex[1][1])) == 4
-    assert chat.read_back(chat.format_turns(f.select("conv_id", F.lit(0).cast("bigint").alias("turn"), F.lit("").alias("role"), F.lit("").alias("text")).where("false"))).count() == 0
+def test_chat(spark, monkeypatch):
+    monkeypatch.setattr(chat, "HELD_CHARS", 50)
+    rows = [(1, 0, "user", "hi </s>"), (1, 1, "assistant", "yes"), (1, 2, "user", None), (1, 3, "assistant", "no [/INST]"), (1, 4, "user", "end"), (2, 0, None, "x"), (None, None, "assistant", "n"), (3, 0, "assistant", ""), (3, 0, "assistant", "")]
+    table = spark.createDataFrame([(*r, 7, "z") for r in rows], "conv_id bigint, turn bigint, role string, text string, seq int, loss_start string")
+    made = chat.examples(table)
+    got = {r["conv_id"]: r for r in chat.read_back(made).collect()}
+    assert got[1]["n_turns"] == 5 and got[1]["loss_chars"] == len("yesno [/INST]") and got[2]["loss_chars"] == 0 and got[None]["n_turns"] == 1
+    assert got[3]["loss_chars"] == 0 and got[3]["n_turns"] == 2
+    ex = sorted(((r["seq"], r["text"], r["loss_start"], r["loss_end"]) for r in made.where("conv_id = 1").collect()))
+    assert [chat.unescape(t[a:b]) for _, t, a, b in ex if a is not None] == ["yes", "no [/INST]"]
+    assert ex[1][1].startswith(ex[0][1]) and [len(re.findall(re.escape(chat.TURN), t)) for _, t, _, _ in ex] == [2, 4, 5]
+    assert got[1]["formatted_chars"] == sum(len(t) for _, t, _, _ in ex)
+    assert chat.examples(table.where("false")).count() == 0 and chat.read_back(chat.examples(table.where("false"))).count() == 0
+
+
+def test_a_long_conversation_is_streamed(spark):
+    n = 600
+    rows = [(4, i, ("user", "assistant")[i % 2], f"t{i} " * 5) for i in range(n)]
+    made = chat.examples(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    assert made.count() == n // 2
+    got = chat.read_back(made).collect()
+    assert len(got) == 1 and got[0]["n_turns"] == n and got[0]["loss_chars"] == sum(len(r[3]) for r in rows[1::2])

@@ -58,6 +58,13 @@ def test_quality_on_held_out_rows(spark, tables):
     assert sum(r["predicted"] == labels[r["doc_id"]] for r in held) >= 0.9 * len(held)
 
 
+def test_quality_on_more_held_out_rows(spark):
+    more = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{more}/labels.parquet").collect()}
+    held = [r for r in queries.QUERIES["op7_quality_classifier"](spark, more).collect() if r["held_out"] and r["doc_id"] in labels]
+    assert len(held) > 90 and sum(r["predicted"] == labels[r["doc_id"]] for r in held) >= 0.9 * len(held)
+
+
 def test_pipeline_keeps_what_it_should(spark, tables):
     import corpus_pipeline
 
