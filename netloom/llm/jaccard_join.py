@@ -20,6 +20,8 @@ ORDERS = 2
 FREQUENT = 300_000
 #: Sets that share a token from which on they are grouped round leaders first, and rows of a token that meet in one block.
 CROWD, BLOCK = 32, 2048
+#: Bits of the bitmap that a row of a crowded token carries.
+SHORT = 512
 #: Pairs that a head's text serves in one task, and ids of documents that are broadcast at most.
 SERVED, BROADCAST_IDS = 1000, 500_000
 _SALTS = [np.uint64((0x9FB21C651E98DF25 * (2 * i + 1)) & ((1 << 64) - 1)) for i in range(ORDERS + 2)]
@@ -92,6 +94,13 @@ def bitmaps(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     return [packed[a : a + k].tobytes() for a, k in zip((first >> 3).tolist(), (m >> 3).tolist())]
 
 
+def short_bitmaps(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """bitmaps() of SHORT bits for each set."""
+    spot = (mixed(flat ^ _SALTS[0]) & np.uint64(SHORT - 1)).astype(np.int64) + SHORT * np.repeat(np.arange(len(sizes)), sizes)
+    packed = np.packbits((np.bincount(spot, minlength=SHORT * len(sizes)) & 1).astype(np.uint8), bitorder="little")
+    return [packed[a : a + SHORT // 8].tobytes() for a in range(0, len(packed), SHORT // 8)]
+
+
 def bits_apart(x: bytes, y: bytes) -> int:
     """In how many bits two bitmaps differ, the longer folded to the length of the shorter."""
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -141,12 +150,12 @@ def _batch(**columns) -> pa.RecordBatch:
 
 
 def _sketch(docs: DataFrame, n: int) -> DataFrame:
-    """One pass over the texts: (doc_id, n, s1, s2, bits) of every row, and rows (tokens, counts) of tokens that recur.
+    """One pass over the texts: (doc_id, n, s1, s2, bits, short) of every row, and rows (tokens, counts) of tokens that recur.
 
     Counts come by lossy counting: a task gathers three million tokens and sends those it met twice or more, or oftener
     the more it gathered."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    names = ["doc_id", "n", "s1", "s2", "bits", "tokens", "counts"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    names = ["doc_id", "n", "s1", "s2", "bits", "short", "tokens", "counts"]
 
     def run(batches):
         held, size = [], 0
@@ -154,7 +163,7 @@ def _sketch(docs: DataFrame, n: int) -> DataFrame:
         def recurring():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= 2 + size // 1_000_000
-            rows = [None, None, None, None, None, tokens[often].tobytes(), counts[often].astype(np.int64).tobytes()]
+            rows = [None, None, None, None, None, None, tokens[often].tobytes(), counts[often].astype(np.int64).tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(rows, kinds)], names=names)
 
         for b in batches:
@@ -162,7 +171,7 @@ def _sketch(docs: DataFrame, n: int) -> DataFrame:
             for flat, sizes in laid_sets(b.column(1).to_pylist(), n):
                 s1, s2 = signatures(flat, sizes)
                 k = len(sizes)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, k), pa.array(sizes), pa.array(s1), pa.array(s2), pa.array(bitmaps(flat, sizes), pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, k), pa.array(sizes), pa.array(s1), pa.array(s2), pa.array(bitmaps(flat, sizes), pa.binary()), pa.array(short_bitmaps(flat, sizes), pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
                 at += k
                 held.append(flat)
                 size += len(flat)
@@ -172,7 +181,7 @@ def _sketch(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield recurring()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, bits binary, tokens binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, bits binary, short binary, tokens binary, counts binary")
 
 
 def frequent_tokens(sketch: DataFrame, folder: Folder, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -263,13 +272,13 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _in_blocks(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Rows (token, node, n, g) dealt into cells (token, cell, side): any two of a token's rows with different groups
+    """Rows (token, node, n, g, short) dealt into cells (token, cell, side): any two of a token's rows with different groups
     meet in one cell, as rows of side 0, or as one of side 1 and one of side 2.
 
     Only the tokens of `hot`, which have more than BLOCK rows, have several cells. The rows of such a token's largest
     group fall into blocks that meet the blocks of all other rows, but not each other; so what is sent grows with the
     rows of a token as long as most of them are of one group."""
-    plain = rows.join(hot, "token", "left_anti").select("token", F.lit(0).cast("bigint").alias("cell"), F.lit(0).alias("side"), "node", "n", "g")
+    plain = rows.join(hot, "token", "left_anti").select("token", F.lit(0).cast("bigint").alias("cell"), F.lit(0).alias("side"), "node", "n", "g", "short")
     crowded = rows.join(hot, "token")
     sizes = crowded.groupBy("token", "g").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "g")).alias("top"), F.sum("c").alias("all"))
     parts = lambda c: F.ceil(c / BLOCK)
@@ -284,14 +293,14 @@ def _in_blocks(rows: DataFrame, hot: DataFrame) -> DataFrame:
     with_main = F.transform(upto(F.col("mains")), lambda i: cell(i, F.col("mains") + F.col("own"), F.lit(2)))
     with_others = F.transform(upto(F.col("others")), lambda j: cell(F.col("mains") + F.least(j, F.col("own")), F.col("mains") + F.greatest(j, F.col("own")), F.when(j == F.col("own"), 0).when(F.col("own") < j, 1).otherwise(2)))
     cells = F.when(F.col("g") == F.col("main"), of_main).otherwise(F.concat(with_main, with_others))
-    split = x.withColumn("x", F.explode(cells)).select("token", "x.cell", "x.side", "node", "n", "g")
+    split = x.withColumn("x", F.explode(cells)).select("token", "x.cell", "x.side", "node", "n", "g", "short")
     return plain.unionByName(split)
 
 
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of rows (token, cell, side, node, n, g) of different groups whose sizes allow a link and that share
-    as many prefix tokens under every order as a link of these sizes does. A cell's rows come one after the other and
-    meet in blocks, by numpy; what leaves is counted by pair first."""
+    """(a, b): pairs of rows (token, cell, side, node, n, g, short) of different groups whose sizes, and whose short bitmaps
+    where they have them, allow a link, and that share as many prefix tokens under every order as a link of these sizes
+    does. A cell's rows come one after the other and meet in blocks, by numpy; what leaves is counted by pair first."""
     dealt = rows.repartition("token", "cell").sortWithinPartitions("token", "cell")
 
     def run(batches):
@@ -313,6 +322,13 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
             token, node, n, g = whole[0], whole[3], whole[4], whole[5]
             ok = (g[i] != g[j]) & (node[i] != node[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j = i[ok], j[ok]
+            both = np.flatnonzero(whole[6][i] & whole[6][j])
+            if len(both):
+                x, y = i[both], j[both]
+                apart = np.bitwise_count(whole[7][x] ^ whole[7][y]).sum(axis=1, dtype=np.int64)
+                ok = np.ones(len(i), dtype=bool)
+                ok[both] = near_enough(n[x], n[y], apart, percent)
+                i, j = i[ok], j[ok]
             if len(i):
                 out.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), token[i] & (ORDERS - 1), shared_tokens(n[i], n[j], percent)))
                 size += len(i)
@@ -361,38 +377,42 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            now.append(batch.column(6).is_valid().to_numpy(zero_copy_only=False))
+            now.append(np.frombuffer(b"".join(x or bytes(SHORT // 8) for x in batch.column(6).to_pylist()), np.uint64).reshape(-1, SHORT // 64))
             held.append(now)
             if len(held) > 1 and (now[0][-1], now[1][-1]) == (held[0][0][0], held[0][1][0]):
                 continue  # the cell goes on
-            whole = [np.concatenate([h[i] for h in held]) for i in range(6)]
+            whole = [np.concatenate([h[i] for h in held]) for i in range(8)]
             last = np.flatnonzero((whole[0] != whole[0][-1]) | (whole[1] != whole[1][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
                 yield from pairs([w[:cut] for w in whole])
             held = [[w[cut:] for w in whole]]
         if held:
-            yield from pairs([np.concatenate([h[i] for h in held]) for i in range(6)])
+            yield from pairs([np.concatenate([h[i] for h in held]) for i in range(8)])
         if out:
             yield counted()
 
     counts = ", ".join(f"c{i} bigint" for i in range(ORDERS))
-    found = dealt.select("token", "cell", "side", "node", "n", "g").mapInArrow(run, f"a bigint, b bigint, need bigint, {counts}")
+    found = dealt.select("token", "cell", "side", "node", "n", "g", "short").mapInArrow(run, f"a bigint, b bigint, need bigint, {counts}")
     found = found.groupBy("a", "b").agg(F.min("need").alias("need"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(ORDERS)])
     return found.where(" and ".join(f"c{i} >= need" for i in range(ORDERS))).select("a", "b")
 
 
 # verification
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and bitmaps allow a link."""
+    """(a, b, apart): the pairs (a, b) whose sizes and bitmaps allow a link, and in how many bits these differ."""
     of = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
     rows = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
 
     def run(batches):
         for b in batches:
-            ok = [near_enough(n, m, bits_apart(x, y), percent) for n, m, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            n, m, x, y = (b.column(i).to_pylist() for i in range(2, 6))
+            apart = list(map(bits_apart, x, y))
+            ok = [near_enough(*row, percent) for row in zip(n, m, apart)]
+            yield _batch(a=b.column(0), b=b.column(1), apart=pa.array(apart, pa.int64())).filter(pa.array(ok, pa.bool_()))
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(run, "a bigint, b bigint, apart bigint").groupBy("a", "b").agg(F.min("apart").alias("apart"))
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, folder: Folder, name: str, n: int, percent: int) -> DataFrame:
@@ -427,17 +447,29 @@ def _linked(pairs: DataFrame, docs: DataFrame, folder: Folder, name: str, n: int
     return found
 
 
-def _leaders(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each set of a token that more than CROWD sets share, with that token's two leaders: those that share the
+def _leaders(shared: DataFrame) -> DataFrame:
+    """(a, b): each set a of a token that more than CROWD sets share, with that token's two leaders: those that share the
     most such tokens, as an original of many near copies does."""
-    crowds = shared.where(F.col("at") == CROWD).select("token")
-    rows = shared.join(crowds, "token").select("token", "node", "n")
+    rows = _crowded(shared).select("token", "node")
     rows = rows.join(rows.groupBy("node").agg(F.count("*").alias("score")), "node")
-    head = lambda *tie: F.max(F.struct("score", *tie, F.col("node").alias("s"), F.col("n").alias("m")))
+    head = lambda *tie: F.max(F.struct("score", *tie, F.col("node").alias("b")))
     heads = rows.groupBy("token").agg(head().alias("x"), head(F.bitwise_not("node").alias("t")).alias("y"))
-    heads = heads.select("token", F.explode(F.array_distinct(F.array(F.struct("x.s", "x.m"), F.struct("y.s", "y.m")))).alias("z")).select("token", "z.s", "z.m")
-    close = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    return rows.join(heads, "token").where((F.col("node") != F.col("s")) & close).select(F.least("s", "node").alias("a"), F.greatest("s", "node").alias("b")).distinct()
+    heads = heads.select("token", F.explode(F.array_distinct(F.array("x.b", "y.b"))).alias("b"))
+    return rows.join(heads, "token").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def _others(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): each set a of a crowded token that is not of the token's largest group, with one set b of that group;
+    another one for each token."""
+    rows = _crowded(shared).select("token", "node").join(groups.withColumnRenamed("id", "node"), "node", "left").select("token", "node", F.coalesce("component", "node").alias("g"))
+    one = rows.groupBy("token", "g").agg(F.count("*").alias("c"), F.max(F.struct(F.xxhash64("token", "node").alias("h"), F.col("node").alias("b"))).alias("x"))
+    one = one.groupBy("token").agg(F.max(F.struct("c", "g", "x.b")).alias("y")).select("token", "y.g", "y.b").withColumnRenamed("g", "main")
+    return rows.join(one, "token").where("g <> main").select(F.col("node").alias("a"), "b").distinct()
+
+
+def _crowded(shared: DataFrame) -> DataFrame:
+    """The rows of tokens that more than CROWD sets share."""
+    return shared.join(shared.where(F.col("at") == CROWD).select("token").distinct(), "token")
 
 
 class Join:
@@ -451,7 +483,7 @@ class Join:
         put = self.folder.put
         self.sketch = put(_sketch(self.docs, n), "sketch")
         self.rows = self.sketch.where("n is not null").select("doc_id", "n", "s1", "s2")
-        classes = self.sketch.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits"))
+        classes = self.sketch.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits"), F.first("short").alias("short"))
         self.classes = put(classes, "classes")
         frequent, rank = frequent_tokens(self.sketch, self.folder)
         shared = _shared(_prefix_rows(self.docs, n, percent, frequent, rank))
@@ -462,10 +494,20 @@ class Join:
         rows = self.shared.withColumn("g", F.col("node"))
         if groups is not None:
             rows = self.shared.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("g", F.coalesce("component", "node"))
-        hot = self.shared.where(F.col("at") == BLOCK).select("token").distinct()
-        rows = _in_blocks(rows.select("token", "node", "n", "g"), hot)
+        at = lambda least: self.shared.where(F.col("at") == least).select("token").distinct()
+        few = rows.join(at(CROWD), "token", "left_anti").select("token", "node", "n", "g", F.lit(None).cast("binary").alias("short"))
+        many = rows.join(at(CROWD), "token").join(self.classes.select("node", F.col("n"), "short"), ["node", "n"]).select("token", "node", "n", "g", "short")
+        rows = _in_blocks(few.unionByName(many), at(BLOCK))
         return self.folder.put(_plausible(_candidates(rows, self.percent), self.classes, self.percent), name)
 
+    def gathered(self, stars: DataFrame, name: str) -> DataFrame:
+        """The links of stars (a, b) by which each a is joined to the b that its bitmap is nearest to."""
+        near = _plausible(stars, self.classes, self.percent).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x"))
+        pairs = self.folder.put(near.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct(), f"{name}_stars")
+        found = self.verified(pairs, name)
+        self.folder.drop(f"{name}_stars")
+        return found
+
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         return _linked(pairs, self.docs, self.folder, name, self.n, self.percent)
 
@@ -481,7 +523,7 @@ def all_links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame
     doc_id has, have the node null. Links within a group of near copies are all there, so links may be far more
     than documents; near_duplicates() needs only some of them."""
     join = Join(docs, n, percent)
-    links = join.verified(join.pairs(None, "pairs"), "links")
+    links = join.verified(join.pairs(None, "pairs").select("a", "b"), "links")
     join.forget()
     return join.rows.join(join.classes.select("n", "s1", "s2", "node"), ["n", "s1", "s2"], "left").select("doc_id", "node"), links
 
@@ -492,8 +534,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     similarity of percent / 100 or more.
 
     Equal sets are one class from the start. Candidates share enough prefix tokens under every order. Where very many
-    sets share a token they are compared with its leaders first, which gathers large groups of near copies in linear
-    time; after that, classes of different groups are candidates, and sizes and bitmaps must allow the link.
+    sets share a token they are compared with its leaders first, then those left out with members of its largest
+    group, which gathers large groups of near copies in linear time; after that, classes of different groups are
+    candidates, and sizes and bitmaps must allow the link.
     Of these pairs a tree is verified, then all that still lie in different groups. So no link between different
     groups is missed, and no pairs within a group are written out.
 
@@ -502,19 +545,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     their sets; rows with a null doc_id have the component of the documents with an equal set, or null if there is none."""
     join = Join(docs, n, percent)
     put = join.folder.put
-    stars = put(_plausible(_leaders(join.shared, percent), join.classes, percent), "stars")
-    first = join.verified(stars, "first")
+    first = join.gathered(_leaders(join.shared), "first")
     groups = put(components(first), "groups")
+    first = first.union(join.gathered(_others(join.shared, groups), "again"))
+    groups = put(components(first), "groups_again")
     pairs = join.pairs(groups, "pairs")
     join.forget()
-    tree = put(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tree")  # most pairs fall into one group by these
+    tree = put(pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b"), "tree")  # most pairs fall into one group by these
     second = join.verified(tree, "second")
     groups = put(components(first.union(second)), "regrouped")
     of = lambda x: groups.select(F.col("id").alias(x), F.col("component").alias(f"g{x}"))
     apart = F.coalesce("ga", "a") != F.coalesce("gb", "b")
     rest = put(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).join(tree, ["a", "b"], "left_anti").select("a", "b"), "rest")
     third = join.verified(rest, "third")
-    join.folder.drop("stars", "groups", "pairs", "tree", "rest", "regrouped")
+    join.folder.drop("groups", "groups_again", "pairs", "tree", "rest", "regrouped")
 
     of_rows = join.rows.join(join.classes.select("n", "s1", "s2", "node"), ["n", "s1", "s2"]).where("doc_id is not null").select("doc_id", "node")
     several = of_rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
