@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a window, words of it that are no slots at least, words of an item that a document must hold to be a leak.
-WINDOW, PLAIN, LEAST_WORDS = 8, 4, 13
+#: Words of a window, words of it that are no slots for a match by template, words of an item that a document must hold
+#: to be a leak, and words of an item that can be told from chance at all.
+WINDOW, PLAIN, LEAST_WORDS, LEAST_ITEM = 8, 4, 13, 5
 #: The words taken as units.
 UNITS = "km cm mm kg mg ml lb oz ft mi mph kmh hz khz mhz ghz kb mb gb tb hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres mile miles gram grams liter liters litre litres pound pounds dollar dollars euro euros cent cents percent degrees".split()
 NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
@@ -34,8 +35,8 @@ def template(tokens: Column) -> Column:
 
 
 def fold(token: Column) -> Column:
-    """A token whatever its case; upper case first, as it writes some letters as two."""
-    return F.lower(F.upper(token))
+    """A token whatever its case; sharp s counts as the two letters that upper case has for it."""
+    return F.replace(F.lower(token), F.lit("ß"), F.lit("ss"))
 
 
 def caseless_template(tokens: Column) -> Column:
@@ -43,11 +44,7 @@ def caseless_template(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when((t >= "0") & (t < ":"), NUMBER).when(F.lower(t).isin(UNITS), UNIT).otherwise(fold(t)))
 
 
-#: The templates of the SQL twin, and those of the whole search, whose windows are united.
-TYPED, WHOLE = (template,), (template, caseless_template)
-
-
-def _starts(n: Column, window: int) -> Column:
+def _starts(n: Column, window: int | Column) -> Column:
     return F.when(n >= window, F.sequence(F.lit(1), n - window + 1)).otherwise(F.array().cast("array<int>"))
 
 
@@ -60,15 +57,23 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def benchmark_windows(items: DataFrame, window: int = WINDOW, templates=TYPED) -> DataFrame:
-    """(h, item_id, place, words, slots, size): every window of the items' templates with enough plain words.
+def _cut(raw: Column, t: Column, window: Column, body) -> Column:
+    """body(place, words, raw words) of every window."""
+    return F.transform(_starts(F.size(raw), window), lambda i: body(i, F.slice(t, i, window), F.slice(raw, i, window)))
+
+
+def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(h, item_id, place, words, slots, size, strict): every window of the items' templates, with names and without.
 
-    Items shorter than a window, or with slots only, can't be found; null items have no windows."""
-    cut = lambda raw, t: F.transform(_starts(F.size(raw), window), lambda i: F.struct(F.size(raw).alias("size"), i.alias("place"), F.slice(t, i, window).alias("words"), F.slice(raw, i, window).alias("slots")))
-    found = _let(raw_tokens(F.col("text")), lambda raw: F.array_distinct(F.concat(*[_let(f(raw), lambda t: cut(raw, t)) for f in templates])))
-    rows = items.select("item_id", F.explode(found).alias("x")).select("item_id", "x.*")
-    rows = rows.where(F.size(F.filter("words", lambda w: ~_is_slot(w))) >= PLAIN)
-    return rows.select(F.xxhash64("words").alias("h"), "item_id", "place", "words", "slots", "size")
+    A strict window has too few plain words, or is a whole item of less than `window` words: it is met only by the very
+    same words, whatever their case. Items of less than LEAST_ITEM words and null items have no windows."""
+    n = F.size("raw")
+    rows = items.select("item_id", raw_tokens(F.col("text")).alias("raw")).where(n >= LEAST_ITEM).withColumn("width", F.least(F.lit(window), n))
+    one = lambda i, w, r: F.struct(i.alias("place"), w.alias("words"), r.alias("slots"))
+    found = F.array_distinct(F.concat(*[_let(f(F.col("raw")), lambda t: _cut(F.col("raw"), t, F.col("width"), one)) for f in (template, caseless_template)]))
+    rows = rows.select("item_id", n.alias("size"), F.explode(found).alias("x")).select("item_id", "size", "x.*")
+    strict = (F.size("words") < window) | (F.size(F.filter("words", lambda w: ~_is_slot(w))) < PLAIN)
+    return rows.select(F.xxhash64("words").alias("h"), "item_id", "place", "words", "slots", "size", strict.alias("strict"))
 
 
 def _filter_words(windows: DataFrame, count: int) -> list[int]:
@@ -110,7 +115,7 @@ def _agreeing(met: DataFrame, window: int, least_words: int) -> DataFrame:
     wrong = F.when(several, _let(counted, beaten)).otherwise(F.array().cast("array<struct<a:string,b:string,n:int>>"))
     passages = passages.withColumn("wrong", wrong)
     n_wrong = F.size(F.filter("pairs", lambda p: F.exists("wrong", lambda x: same(p, x))))
-    n_covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda i: F.sequence(i, i + window - 1)))))
+    n_covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda i: F.sequence(i, F.least(i + window - 1, F.col("size")))))))
     passages = passages.withColumn("n_words", n_covered - n_wrong).where(F.col("n_words") >= F.least(F.lit(least_words), F.col("size")))
     count = lambda x: F.size(x).cast("bigint")
     rows = passages.select("doc_id", "item_id", "n_words", count("places").alias("n_windows"), count("pairs").alias("n_slots"), count(F.filter("pairs", lambda p: p["a"] != p["b"])).alias("n_changed"))
@@ -118,23 +123,23 @@ def _agreeing(met: DataFrame, window: int, least_words: int) -> DataFrame:
     return best.select("doc_id", "item_id", "x.n_windows", "x.n_slots", "x.n_changed")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS, templates=TYPED) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, item_id, n_windows, n_slots, n_changed): the benchmark items that documents hold, copied or with other
-    numbers, names or units.
+    numbers, names or units, in whatever case.
 
-    Numbers, names and units become typed slots; windows of `window` template words are looked up in the items' by a
-    Bloom filter, then a hash join, then word by word. The windows of one document and item with one shift between
-    their places are a passage; its slots must agree: one value of the item stands for one value of the document
-    throughout, and for no two. A passage counts if its windows cover least_words words of the item (or the whole item,
-    if that is shorter). n_changed counts the slots whose value is another.
-
-    With the templates of WHOLE, windows are also looked up whatever their case, slots agree whatever theirs, and one
-    that doesn't is only itself no word of the passage (_agreeing).
+    Numbers, names and units become typed slots; windows of `window` template words, with names as slots and without,
+    are looked up in the items' by a Bloom filter, then a hash join, then word by word. Windows with few plain words, and
+    whole items shorter than a window (LEAST_ITEM words at least), are met by the very same words only. The windows of
+    one document and item with one shift between their places are a passage; its slots must agree, and one that doesn't
+    is only itself no word of the passage (_agreeing). A passage counts if its windows cover least_words words of the
+    item (or the whole item, if that is shorter). n_changed counts the slots whose value is another; of an item's
+    passages in a document the one with the most windows counts.
 
     Texts are read whole, and only documents with windows that the filter passes go on. Null and empty texts hold
     nothing; documents with the same doc_id count as one."""
-    listed = benchmark_windows(items, window, templates).persist()
-    count = listed.count()
+    listed = benchmark_windows(items, window).persist()
+    facts = listed.agg(F.count("*").alias("n"), F.collect_set(F.size("words")).alias("widths")).first()
+    count = facts["n"]
     if not count:
         listed.unpersist()
         return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, n_windows bigint, n_slots bigint, n_changed bigint")
@@ -149,37 +154,29 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_wo
             out = out & (F.element_at(bits, _word(h, k, size) + 1).bitwiseAND(_bit(h, k)) != 0)
         return out
 
-    def cut(raw, t):
-        hashed = F.transform(_starts(F.size(raw), window), lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice(t, i, window)).alias("h")))
-        hits = F.filter(hashed, lambda x: maybe(x["h"], table))
-        return F.transform(hits, lambda x: F.struct(x["h"].alias("h"), x["place"].alias("at"), F.slice(t, x["place"], window).alias("t"), F.slice(raw, x["place"], window).alias("raw")))
+    def hits(raw, t, width):
+        """The windows that the filter passes."""
+        hashed = _cut(raw, t, F.lit(width), lambda i, w, r: F.struct(i.alias("at"), F.xxhash64(w).alias("h")))
+        return F.transform(F.filter(hashed, lambda x: maybe(x["h"], table)), lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), F.slice(t, x["at"], width).alias("t"), F.slice(raw, x["at"], width).alias("raw")))
+
+    def looking(raw, width):
+        return lambda t: hits(raw, t, width)
 
-    found = _let(raw_tokens(F.col("text")), lambda raw: F.array_distinct(F.concat(*[_let(f(raw), lambda t: cut(raw, t)) for f in templates])))
+    looked = [(f, w) for w in sorted(facts["widths"]) for f in ((template, caseless_template) if w == window else (caseless_template,))]
+    found = _let(raw_tokens(F.col("text")), lambda raw: F.array_distinct(F.concat(*[_let(f(raw), looking(raw, w)) for f, w in looked])))
     rows = docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.h", "x.at", "x.t", "x.raw")
-    own = benchmark_windows(items, window, templates)
+    own = benchmark_windows(items, window)
     met = rows.join(F.broadcast(own) if count <= BROADCAST_WINDOWS else own, "h").where(F.col("t") == F.col("words"))
-    places = F.filter(F.sequence(F.lit(1), F.lit(window)), lambda i: _is_slot(F.element_at("t", i)))
-    value = fold if len(templates) > 1 else lambda t: t
-    pairs = F.transform(places, lambda i: F.struct((F.col("place") + i).alias("p"), value(F.element_at("slots", i)).alias("a"), value(F.element_at("raw", i)).alias("b")))
+    met = met.where(~F.col("strict") | (F.transform("raw", fold) == F.transform("slots", fold)))
+    places = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: _is_slot(F.element_at("t", i)))
+    pairs = F.transform(places, lambda i: F.struct((F.col("place") + i).alias("p"), fold(F.element_at("slots", i)).alias("a"), fold(F.element_at("raw", i)).alias("b")))
     met = met.select("doc_id", "item_id", "size", (F.col("at") - F.col("place")).alias("shift"), "place", pairs.alias("pairs"))
-    if len(templates) > 1:
-        return _agreeing(met, window, least_words)
-    passages = met.groupBy("doc_id", "item_id", "shift").agg(
-        F.first("size").alias("size"), F.countDistinct("place").alias("n_windows"), F.min("place").alias("low"), F.max("place").alias("high"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
-    values = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))))
-    passages = passages.withColumn("v", values).where(
-        (F.size("v") == F.size(F.array_distinct(F.transform("v", lambda p: p["a"])))) & (F.size("v") == F.size(F.array_distinct(F.transform("v", lambda p: p["b"]))))
-    )
-    passages = passages.select("doc_id", "item_id", "size", F.col("n_windows"), F.size("pairs").alias("n_slots"), F.size(F.filter("pairs", lambda p: p["a"] != p["b"])).alias("n_changed"))
-    best = passages.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", -F.col("n_changed"), "n_slots", "n_changed", "size")).alias("x"))
-    enough = F.col("x.n_windows") + window - 1 >= F.least(F.lit(least_words), F.col("x.size"))
-    return best.where(enough).select("doc_id", "item_id", "x.n_windows", F.col("x.n_slots").cast("bigint").alias("n_slots"), F.col("x.n_changed").cast("bigint").alias("n_changed"))
+    return _agreeing(met, window, least_words)
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, templates=TYPED) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark item; rows with a null doc_id stay."""
-    return docs.join(find_leaks(docs, items, templates=templates).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(find_leaks(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -188,31 +185,29 @@ def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def op8_whole_leaks(spark, sf_dir: str) -> DataFrame:
-    """The leaks of all benchmark items in all documents whatever their case, edited ones too; the query
-    op8_benchmark_decontamination is held to its SQL twin, which tells names by case alone and drops whole passages."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), templates=WHOLE)
-
-
 _UNIT_SQL = ", ".join(f"'{u}'" for u in UNITS)
-_TEMPLATE_SQL = f"""list_transform(raw, lambda t: case when t >= '0' and t < ':' then '<num>' when lower(t) in ({_UNIT_SQL}) then '<unit>'
-      when lower(t) <> t and lower(t[2:]) = t[2:] then '<name>' else lower(t) end)"""
+_SLOT_SQL = f"when t >= '0' and t < ':' then '<num>' when lower(t) in ({_UNIT_SQL}) then '<unit>'"
+_TEMPLATES_SQL = f"""list_transform(raw, lambda t: case {_SLOT_SQL} when lower(t) <> t and lower(t[2:]) = t[2:] then '<name>' else lower(t) end) as t0,
+  list_transform(raw, lambda t: case {_SLOT_SQL} else replace(lower(t), 'ß', 'ss') end) as t1, list_transform(raw, lambda t: replace(lower(t), 'ß', 'ss')) as f"""
+_RAW_SQL = "regexp_extract_all(coalesce(text, ''), '[0-9][0-9.,:/]*|\\p{L}+') as raw"
 OP8_SQL = f"""
-with d0 as (select doc_id, regexp_extract_all(coalesce(text, ''), '[0-9][0-9.,:/]*|\\p{{L}}+') as raw from documents),
-d1 as (select doc_id, raw, {_TEMPLATE_SQL} as t from d0),
-d as (select doc_id, i as pos, t[i:i+7] as words, raw[i:i+7] as raw from d1, unnest(range(1, len(raw) - 6)) u(i)),
-b0 as (select item_id, regexp_extract_all(coalesce(text, ''), '[0-9][0-9.,:/]*|\\p{{L}}+') as raw from benchmark),
-b1 as (select item_id, raw, {_TEMPLATE_SQL} as t from b0),
-b as (select item_id, len(raw) as size, i as place, t[i:i+7] as words, raw[i:i+7] as slots from b1, unnest(range(1, len(raw) - 6)) u(i)),
-m as (select doc_id, item_id, size, pos - place as shift, place, slots, d.raw, words
-  from d join (select * from b where len(list_filter(words, lambda w: not starts_with(w, '<'))) >= 4) b using (words)),
-p as (select doc_id, item_id, shift, place + k as p, slots[k] as a, raw[k] as b from m, unnest(range(1, 9)) u(k) where starts_with(words[k], '<')),
-c as (select doc_id, item_id, shift, count(distinct p) as n_slots, count(distinct p) filter (a <> b) as n_changed,
-    count(distinct a) as na, count(distinct b) as nb, count(distinct a || chr(0) || b) as nv from p group by all),
-w as (select doc_id, item_id, shift, any_value(size) as size, count(distinct place) as n_windows from m group by all),
-x as (select w.*, coalesce(n_slots, 0) as n_slots, coalesce(n_changed, 0) as n_changed from w left join c using (doc_id, item_id, shift)
-  where nv is null or (nv = na and nv = nb)),
-y as (select *, row_number() over (partition by doc_id, item_id order by n_windows desc, n_changed, n_slots desc) as k from x)
-select doc_id, item_id, n_windows, n_slots, n_changed from y where k = 1 and n_windows + 7 >= least(13, size)
+with b0 as (select item_id, {_RAW_SQL} from benchmark),
+b1 as (select item_id, len(raw) as size, least(8, len(raw)) as w, {_TEMPLATES_SQL} from b0 where len(raw) >= 5),
+b2 as (select item_id, size, w, t0 as t, f from b1 where w = 8 union all select item_id, size, w, t1, f from b1),
+b3 as (select distinct item_id, size, w, i as place, t[i:i+w-1] as words, f[i:i+w-1] as slots from b2, unnest(range(1, size - w + 2)) u(i)),
+b as (select *, w < 8 or len(list_filter(words, lambda x: not starts_with(x, '<'))) < 4 as strict from b3),
+d0 as (select doc_id, {_RAW_SQL} from documents),
+d1 as (select doc_id, {_TEMPLATES_SQL} from d0),
+d2 as (select doc_id, t0 as t, f from d1 union all select doc_id, t1, f from d1),
+d as (select distinct doc_id, i as pos, t[i:i+w-1] as words, f[i:i+w-1] as raw from d2, (select distinct w from b) ws, unnest(range(1, len(t) - w + 2)) u(i)),
+m as (select doc_id, item_id, size, w, pos - place as shift, place, slots, raw, words from d join b using (words) where not strict or slots = raw),
+p as (select distinct doc_id, item_id, shift, place + k as p, slots[k] as a, raw[k] as b from m, unnest(range(1, w + 1)) u(k) where starts_with(words[k], '<')),
+v0 as (select doc_id, item_id, shift, a, b, count(*) as n from p group by all),
+v as (select *, row_number() over (partition by doc_id, item_id, shift, a order by n desc, a = b desc, b) as k from v0),
+c as (select doc_id, item_id, shift, count(*) as n_slots, count(*) filter (a <> b) as n_changed, count(*) filter (a <> b and k > 1) as n_wrong
+  from p join v using (doc_id, item_id, shift, a, b) group by all),
+o as (select doc_id, item_id, shift, any_value(size) as size, count(distinct place) as n_windows, count(distinct place + k) as n_covered from m, unnest(range(w)) u(k) group by all),
+x as (select o.*, coalesce(n_slots, 0) as n_slots, coalesce(n_changed, 0) as n_changed, n_covered - coalesce(n_wrong, 0) as n_words from o left join c using (doc_id, item_id, shift)),
+y as (select *, row_number() over (partition by doc_id, item_id order by n_windows desc, n_words desc, n_changed, n_slots desc) as k from x where n_words >= least(13, size))
+select doc_id, item_id, n_windows, n_slots, n_changed from y where k = 1
 """

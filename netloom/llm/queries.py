@@ -15,7 +15,6 @@ QUERIES = {
         sentencepiece.op6_sentencepiece,
         quality.op7_quality_classifier,
         decontaminate.op8_benchmark_decontamination,
-        decontaminate.op8_whole_leaks,
         secret_scan.op9_secret_scan,
         chat.op10_chat_format,
     )

@@ -389,7 +389,8 @@ def test_held_out_labels_are_never_learnt(spark):
 def test_leaks_copied_and_changed(spark):
     rng = random.Random(9)
     item = "The train from Oslo to Bergen covers 470 km in 7 hours while Oslo sleeps and 470 people wait"
-    items = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, "Q W E R T Y U I O P")], "item_id bigint, text string")
+    title = "The Long Winter Of Mister Brown And His Seven Small Dogs In The Old House By Sea"
+    items = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, title), (5, "Seven words make up this short item"), (6, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (7, "")], "item_id bigint, text string")
     docs = [
         (1, "intro " + item + " outro"),
         (2, item.replace("Oslo", "Paris").replace("470", "512").replace("km", "miles")),
@@ -399,45 +400,42 @@ def test_leaks_copied_and_changed(spark):
         (6, ""),
         (7, "the train from Oslo to Bergen covers 470 km"),  # too little of it
         (8, item.replace("7 hours", "470 hours")),  # two values become one
+        (9, item.upper()),
+        (10, "so " + title + " it ends"),
+        (11, "a " + title.lower()),
+        (12, "here: seven WORDS make up this short item."),
+        (13, "seven words make up this tall item"),
+        (14, "0 1 2 3 4 5 6 7 8 9 10 11 12 13 14"),
+        (15, "21 22 23 24 25 26 27 28 29 30 31 32 33 34"),  # nothing but slots: only the very same numbers tell
+        (16, item.replace("Oslo", "Paris").replace("470", "512", 1)),
+        (17, "The train from Paris to Bergen covers 470 km in 7 hours"),  # twelve words
+        (18, item), (18, item), (18, title),
+        (19, words(rng, 40_000, 5000) + " " + item),
     ]
-    df = spark.createDataFrame([(*d, "x") for d in docs], DOCS + ", raw string")
-    got = {(r["doc_id"], r["item_id"]): (r["n_slots"], r["n_changed"]) for r in decontaminate.find_leaks(df, items).collect()}
-    assert set(got) == {(1, 1), (2, 1)} and got[1, 1][1] == 0 and got[2, 1][1] > 3
-    assert sorted(r["doc_id"] for r in decontaminate.without_leaks(df, items).collect()) == [3, 4, 5, 6, 7, 8]
+    df = spark.createDataFrame([(*d, "x", "y") for d in docs], DOCS + ", raw string, h string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_slots"], r["n_changed"]) for r in decontaminate.find_leaks(df, items).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (8, 1), (9, 1), (10, 4), (11, 4), (12, 5), (14, 6), (16, 1), (18, 1), (18, 4), (19, 1)}
+    assert got[1, 1][2] == 0 and got[2, 1][2] > 3 and got[3, 1][2] == got[8, 1][2] == 1 and got[12, 5] == (1, 0, 0) and got[1, 1] == got[18, 1] == got[19, 1]
+    clean = [4, 5, 6, 7, 13, 15, 17]
+    left = decontaminate.without_leaks(df.unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("bigint"))), items)
+    assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, *clean] and left.columns == df.columns
     assert decontaminate.find_leaks(df, items.where("false")).count() == 0 and decontaminate.find_leaks(df.where("false"), items).count() == 0
 
 
-def test_leaks_whatever_their_case(spark, tmp_path):
-    import corpus_pipeline
-
-    item = "Every Monday the Baker from Oslo walks along the quiet river and feeds the Swans near Bergen"
-    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    items = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
-    rng = random.Random(4)
-    docs = [(1, item), (2, "so " + item.upper()), (3, item.lower()), (4, item.replace("Oslo", "Paris")), (5, words(rng, 300).upper())]
-    df = spark.createDataFrame([(*d, "x") for d in docs], DOCS + ", raw string")
-    found = decontaminate.find_leaks(df, items, templates=decontaminate.WHOLE)
-    assert sorted(r["doc_id"] for r in found.collect()) == [1, 2, 3, 4]
-    assert [r["doc_id"] for r in corpus_pipeline.no_leaks(spark, df, str(tmp_path)).collect()] == [5]
-
-
-def test_leaks_with_an_edited_slot(spark, tmp_path):
-    import corpus_pipeline
-
-    item = "The train from Oslo to Bergen covers 470 km in 7 hours while Oslo sleeps and 470 people wait"
-    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    items = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = [
-        (1, item),
-        (2, item.replace("Oslo", "Paris", 1)),
-        (3, item.replace("7 hours", "470 hours")),  # two values become one
-        (4, item.replace("Oslo", "Paris").replace("470", "512", 1)),
-        (5, "The train from Paris to Bergen covers 470 km in 7 hours"),  # twelve words
-    ]
-    df = spark.createDataFrame([(*d, "x") for d in docs], DOCS + ", raw string")
-    got = {r["doc_id"]: (r["n_windows"], r["n_slots"], r["n_changed"]) for r in decontaminate.find_leaks(df, items, templates=decontaminate.WHOLE).collect()}
-    assert got == {1: (12, 9, 0), 2: (11, 9, 1), 3: (12, 9, 1), 4: (9, 9, 3)}, got  # a window needs four plain words
-    assert [r["doc_id"] for r in corpus_pipeline.no_leaks(spark, df, str(tmp_path)).collect()] == [5]
+def test_every_window_of_every_item_is_found(spark):
+    """Thirteen words in a row out of any item, in any case, are a leak."""
+    table = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text")
+    rows, want = [], set()
+    for r in table.collect():
+        found = re.findall(r"[0-9][0-9.,:/]*|[^\W\d_]+", r["text"])
+        for i in range(0, max(1, len(found) - 12), 3):
+            part = " ".join(found[i : i + 13])
+            for k, t in enumerate((part, part.upper(), part.lower())):
+                rows.append((len(rows), f"zq {t} zq"))
+                if len(found) >= 5:
+                    want.add((len(rows) - 1, r["item_id"]))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(rows, DOCS), table).collect()}
+    assert want <= got
 
 
 # 9
