@@ -8,14 +8,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import components, thinned, written
+from netloom.llm.common import components, thinned
+from netloom.plans.shared import Folder
 
 #: Vectors that centres are fitted on at most, vectors a shard should hold, shards that a vector enters.
 SAMPLE, SHARD, OVERLAP = 20_000, 800, 3
 #: Neighbours of a node, the pruning factor, the width of the search, and the width of similarity it roams below the range.
 DEGREE, ALPHA, BEAM, SLACK = 24, 1.2, 32, 0.02
-#: Vectors of the recall audit, and the recall that a search must reach.
-AUDITED, RECALL = 200, 0.9
+#: Nodes that enter a graph together, and similarities that a search holds at once.
+TOGETHER, HELD = 256, 1 << 22
+#: Vectors of the recall audit at most, and the recall that a search must reach.
+AUDITED, RECALL = 500, 0.9
 
 
 def robust_prune(v: np.ndarray, pool: np.ndarray, sims: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
@@ -33,81 +36,109 @@ def robust_prune(v: np.ndarray, pool: np.ndarray, sims: np.ndarray, degree: int
     return pool[kept]
 
 
-def build_graph(v: np.ndarray, degree: int = DEGREE) -> np.ndarray:
-    """(from, to) of a graph over unit vectors: each node's nearest 2 * degree, pruned, and their reverses."""
-    n = len(v)
-    near = min(n - 1, 2 * degree)
-    if near < 1:
-        return np.empty((0, 2), np.int64)
-    out = []
-    for low in range(0, n, 256):
-        s = v[low : low + 256] @ v.T
-        s[np.arange(len(s)), np.arange(low, low + len(s))] = -np.inf
-        pool = np.argpartition(-s, near - 1, axis=1)[:, :near]
-        for i in range(len(s)):
-            kept = robust_prune(v, pool[i], s[i, pool[i]], degree)
-            out.append(np.stack([np.full(len(kept), low + i), kept], 1))
-    edges = np.concatenate(out)
-    return np.unique(np.concatenate([edges, edges[:, ::-1]]), axis=0)
-
-
 def medoid(v: np.ndarray) -> int:
     """The node nearest to the mean."""
     return int(np.argmax(v @ v.mean(0)))
 
 
-def range_search(v: np.ndarray, edges: np.ndarray, queries: np.ndarray, least: float, start: int, beam: int = BEAM) -> np.ndarray:
-    """(query row, node) of nodes with similarity `least` or more: greedy search from `start`, then the range is roamed.
-
-    edges: (from, to), sorted. All queries of a block move together; a node is measured once for each query."""
-    n = len(v)
-    first = np.searchsorted(edges[:, 0], np.arange(n + 1))
-    many = np.diff(first)
-    found = []
-    for low in range(0, len(queries), 256):
-        q = queries[low : low + 256]
-        m = len(q)
-        sims = np.full((m, n), -np.inf)  # of the nodes measured so far
-        done = np.zeros((m, n), dtype=bool)
-        rows = np.arange(m)
-
-        def measure(r, nodes):
-            """Measures the neighbours of (row, node) pairs, a bounded number at a time."""
-            upto = np.cumsum(many[nodes])
-            at = 0
-            while at < len(nodes):
-                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 16), side="right")))
-                count = many[nodes[at:to]]
-                rr = np.repeat(r[at:to], count)
-                tt = edges[np.arange(count.sum()) + np.repeat(first[nodes[at:to]] - (np.cumsum(count) - count), count), 1]
-                new = np.isneginf(sims[rr, tt])
-                rr, tt = rr[new], tt[new]
-                sims[rr, tt] = np.einsum("ij,ij->i", q[rr], v[tt])
-                at = to
-
-        sims[:, start] = q @ v[start]
-        active = rows
+class Search:
+    """Greedy searches of a block of queries over a graph: lists of neighbours (-1: none) as rows of a table.
+
+    A node is measured once for each query; sims has -inf for those not measured."""
+
+    def __init__(self, v: np.ndarray, near: np.ndarray, queries: np.ndarray, start: int):
+        self.v, self.near, self.queries = v, near, queries
+        self.sims = np.full((len(queries), len(v)), -np.inf)
+        self.done = np.zeros(self.sims.shape, dtype=bool)
+        self.sims[:, start] = queries @ v[start]
+
+    def open(self, rows: np.ndarray, nodes: np.ndarray) -> None:
+        """Measures the neighbours of (query row, node) pairs, a bounded number at a time."""
+        self.done[rows, nodes] = True
+        for low in range(0, len(nodes), 2048):
+            near = self.near[nodes[low : low + 2048]]
+            at, k = np.nonzero(near >= 0)
+            r, t = rows[low : low + 2048][at], near[at, k]
+            new = np.isneginf(self.sims[r, t])
+            r, t = r[new], t[new]
+            self.sims[r, t] = np.einsum("ij,ij->i", self.queries[r], self.v[t])
+
+    def walk(self, beam: int) -> None:
+        """Opens the nearest node measured until the `beam` nearest are all open."""
+        active = np.arange(len(self.queries))
+        width = min(beam, len(self.v))
         while len(active):
-            pool = sims[active]
-            width = min(beam, n)
+            pool = self.sims[active]
             top = np.argpartition(-pool, width - 1, axis=1)[:, :width]
             value = np.take_along_axis(pool, top, 1)
-            value[done[active[:, None], top] | np.isneginf(value)] = -np.inf
+            value[self.done[active[:, None], top] | np.isneginf(value)] = -np.inf
             pick = value.argmax(1)
-            open_ = ~np.isneginf(value[np.arange(len(active)), pick])
-            active, nodes = active[open_], top[np.arange(len(pick)), pick][open_]
-            done[active, nodes] = True
+            more = ~np.isneginf(value[np.arange(len(active)), pick])
+            active, nodes = active[more], top[np.arange(len(pick)), pick][more]
             if len(active):
-                measure(active, nodes)
+                self.open(active, nodes)
+
+    def roam(self, least: float) -> None:
+        """Opens every node measured as near enough, until there is no other."""
         while True:
-            r, nodes = np.nonzero((sims >= least - SLACK) & ~done)
-            if not len(r):
-                break
-            done[r, nodes] = True
-            measure(r, nodes)
-        r, nodes = np.nonzero(sims >= least - 1e-6)
-        found.append(np.stack([r + low, nodes], 1))
-    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+            rows, nodes = np.nonzero((self.sims >= least) & ~self.done)
+            if not len(rows):
+                return
+            self.open(rows, nodes)
+
+
+def build_graph(v: np.ndarray, degree: int = DEGREE, beam: int = BEAM) -> np.ndarray:
+    """The lists of neighbours of a graph over unit vectors, built node by node: each searches the graph so far from the
+    medoid, keeps a pruned list of what it met, and enters the lists of those, which are pruned where they grow too
+    long. Nodes enter in growing groups, whose members know each other too."""
+    n = len(v)
+    near, many = np.full((n, 2 * degree), -1, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    if n < 2:
+        return near
+    start = medoid(v)
+    order = np.random.default_rng(7).permutation(n)
+    order = order[order != start]
+    low = 0
+    while low < len(order):
+        own = order[low : low + max(1, min(TOGETHER, low + 1, HELD // n))]
+        low += len(own)
+        search = Search(v, near, v[own], start)
+        search.walk(beam)
+        sims = search.sims
+        sims[:, own] = v[own] @ v[own].T
+        sims[np.arange(len(own)), own] = -np.inf
+        for row, node in zip(sims, own.tolist()):
+            met = np.flatnonzero(~np.isneginf(row))
+            if len(met) > 2 * degree:
+                met = met[np.argpartition(-row[met], 2 * degree)[: 2 * degree]]
+            kept = robust_prune(v, met, row[met], degree)
+            fresh = kept[~np.isin(kept, near[node, : many[node]])]
+            room = min(len(fresh), near.shape[1] - many[node])
+            near[node, many[node] : many[node] + room] = fresh[:room]
+            many[node] += room
+            for t in kept.tolist():
+                if node in near[t, : many[t]]:
+                    continue
+                if many[t] == near.shape[1]:
+                    pool = np.append(near[t], node)
+                    short = robust_prune(v, pool, v[pool] @ v[t], degree)
+                    near[t] = -1
+                    near[t, : len(short)], many[t] = short, len(short)
+                else:
+                    near[t, many[t]] = node
+                    many[t] += 1
+    return near
+
+
+def range_search(v: np.ndarray, near: np.ndarray, queries: np.ndarray, least: float, start: int, beam: int = BEAM):
+    """Blocks of (query row, node) with similarity `least` or more: greedy search from `start`, then the range is roamed."""
+    step = max(1, min(256, HELD // max(1, len(v))))
+    for low in range(0, len(queries), step):
+        search = Search(v, near, queries[low : low + step], start)
+        search.walk(beam)
+        search.roam(least - SLACK)
+        r, nodes = np.nonzero(search.sims >= least - 1e-6)
+        yield r + low, nodes
 
 
 def fit_centres(rows: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -127,30 +158,57 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding as doubles, label, dim) of vectors that can link at all."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.select("vec_id", v.alias("v"), "label").where("label is not null and v is not null and size(v) > 0")
+def _rows(vectors: DataFrame) -> DataFrame:
+    """(vec_id, label, dim, v, k, good) of every row: v as doubles, k a hash of label and v, good whether it can link."""
+    v = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
+    rows = vectors.select("vec_id", "label", v.alias("v")).withColumn("dim", F.coalesce(F.size("v"), F.lit(-1)))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where(finite).where(F.exists("v", lambda x: x != 0.0)).select("vec_id", "v", "label", F.size("v").alias("dim"))
+    good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.col("dim") > 0) & finite & F.exists("v", lambda x: x != 0.0)
+    return rows.select("vec_id", "label", "dim", "v", F.xxhash64("label", "v").alias("k"), F.coalesce(good, F.lit(False)).alias("good"))
 
 
 def classes_of(vectors: DataFrame) -> DataFrame:
-    """(rep, label, dim, v, n): vectors that are equal in label and every component are one class."""
-    zero = F.transform("v", lambda x: x + F.lit(0.0))
-    return usable(vectors).withColumn("v", zero).groupBy("label", "dim", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    """(label, dim, v, k, rep, n): vectors that are equal in label and every component are one class."""
+    return _rows(vectors).where("good").groupBy("label", "dim", "v", "k").agg(F.min("vec_id").cast("bigint").alias("rep"), F.count("*").alias("n"))
 
 
 def _matrix(column) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64)
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> None:
+    """Joins a[i] and b[i] in a forest in which each root is the smallest of its tree."""
+    for x, y in zip(a.tolist(), b.tolist()):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        while parent[y] != y:
+            parent[y] = parent[parent[y]]
+            y = parent[y]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+
+
+def _apart(centres: np.ndarray, least: float) -> np.ndarray:
+    """The centres without those that are as near as a link to an earlier one."""
+    kept: list[int] = []
+    for i in range(len(centres)):
+        if not kept or (centres[kept] @ centres[i]).max() < least:
+            kept.append(i)
+    return centres[kept]
 
 
-def link_classes(classes: DataFrame, least: float, overlap: int = OVERLAP, beam: int = BEAM) -> DataFrame:
-    """(a, b), a < b: the representatives that link, by graphs of shards, verified by exact cosines.
+def link_classes(classes: DataFrame, folder: Folder, least: float, overlap: int = OVERLAP, beam: int = BEAM) -> DataFrame:
+    """(k, own, far, a, b) for each class and shard it enters: far counts the vectors of other classes that it links with,
+    where the shard is its own; a and b are two representatives that links join, all such rows together a forest of
+    each shard.
 
-    Per label and dimension, vectors enter the `overlap` shards whose centres are nearest; each shard builds a
-    robust-pruned graph; a vector's adjacency list is the union over its shards; every vector then queries its shards,
-    where the lists are cut to the shard's own members, from the medoid."""
+    Per label and dimension, vectors enter the `overlap` shards whose centres are nearest, and every one whose centre is
+    little farther than a link; centres as near as a link are one, so a dense group isn't cut up. Each shard builds a
+    robust-pruned graph; a vector's list of neighbours is the union over its shards. Every vector then searches its own
+    shard, the nearest, from the medoid, and exact cosines decide. What leaves a shard is a row a member, however many
+    pairs are near."""
     spark = classes.sparkSession
     sizes = {(r["label"], r["dim"]): r["c"] for r in classes.groupBy("label", "dim").agg(F.count("*").alias("c")).collect()}
     total = max(1, sum(sizes.values()))
@@ -160,74 +218,99 @@ def link_classes(classes: DataFrame, least: float, overlap: int = OVERLAP, beam:
         own = [r["v"] for r in sample if (r["label"], r["dim"]) == key]
         if own:
             rows = _unit(np.array(own))
-            centres[key] = fit_centres(rows, max(1, min(len(rows) // 4 or 1, -(-c * overlap // SHARD))))
+            centres[key] = _apart(fit_centres(rows, max(1, min(len(rows) // 4 or 1, -(-c * overlap // SHARD)))), least)
     share = spark.sparkContext.broadcast(centres)
+    near_centre = 1 - 2.25 * (1 - least)  # one and a half times the distance of a link
+    kind = classes.schema["label"].dataType.simpleString()
 
     def assign(batches):
         for b in batches:
-            out = {"label": [], "dim": [], "shard": [], "rep": [], "v": []}
-            labels, dims, reps, vs = (b.column(c).to_pylist() for c in ("label", "dim", "rep", "v"))
+            labels, dims, v = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(5).to_pylist()
             groups: dict = {}
             for i, key in enumerate(zip(labels, dims)):
                 groups.setdefault(key, []).append(i)
+            rows, shard, first = [], [], []
             for key, at in groups.items():
                 c = share.value.get(key)
                 if c is None:
                     top = np.zeros((len(at), 1), dtype=np.int64)
                 else:
-                    s = _unit(np.array([vs[i] for i in at])) @ c.T
-                    top = np.argsort(-s, axis=1, kind="stable")[:, :overlap]
-                for i, shards in zip(at, top.tolist()):
-                    for s in shards:
-                        for name, x in zip(out, (key[0], key[1], s, reps[i], vs[i])):
-                            out[name].append(x)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("label", b.schema.field("label").type), ("dim", pa.int32()), ("shard", pa.int32()), ("rep", pa.int64()), ("v", pa.list_(pa.float64()))]))
-
-    kind = classes.schema["label"].dataType.simpleString()
-    dealt = written(classes.select("label", "dim", "rep", "v").mapInArrow(assign, f"label {kind}, dim int, shard int, rep bigint, v array<double>"), "shards")
+                    s = _unit(np.array([v[i] for i in at])) @ c.T
+                    order = np.argsort(-s, axis=1, kind="stable")
+                    ranked = np.take_along_axis(s, order, 1)
+                    at_all = (np.arange(len(c)) < overlap) | (ranked >= near_centre)
+                    i, j = np.nonzero(at_all)
+                    rows.append(np.array(at)[i])
+                    shard.append(order[i, j])
+                    first.append(j == 0)
+                    continue
+                rows.append(np.repeat(at, top.shape[1]))
+                shard.append(top.ravel())
+                first.append(np.ones(len(at), dtype=bool))
+            if rows:
+                out = b.take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(shard).astype(np.int32)), pa.array(np.concatenate(first))], names=[*out.schema.names, "shard", "own"])
+
+    members = classes.select("label", "dim", "k", "rep", "n", "v").mapInArrow(assign, f"label {kind}, dim int, k bigint, rep bigint, n bigint, v array<double>, shard int, own boolean")
+    dealt = folder.put(members, "members")
 
     def build(table: pa.Table) -> pa.Table:
-        reps = table["rep"].to_numpy()
-        e = build_graph(_unit(_matrix(table["v"])))
-        return pa.table({"a": pa.array(reps[e[:, 0]], pa.int64()), "b": pa.array(reps[e[:, 1]], pa.int64())})
+        k = table["k"].to_numpy()
+        near = build_graph(_unit(_matrix(table["v"])), beam=beam)
+        a, at = np.nonzero(near >= 0)
+        return pa.table({"k": pa.array(k[a], pa.int64()), "b": pa.array(k[near[a, at]], pa.int64())})
 
-    lists = dealt.groupBy("label", "dim", "shard").applyInArrow(build, "a bigint, b bigint").distinct().groupBy("a").agg(F.collect_set("b").alias("near"))
+    lists = dealt.select("label", "dim", "shard", "k", "v").groupBy("label", "dim", "shard").applyInArrow(build, "k bigint, b bigint").groupBy("k").agg(F.collect_set("b").alias("near"))
 
     def search(table: pa.Table) -> pa.Table:
-        reps = table["rep"].to_numpy()
+        k, rep, n, own = (table[x].to_numpy() for x in ("k", "rep", "n", "own"))
         raw = _matrix(table["v"])
         v = _unit(raw)
-        order = np.argsort(reps)
-        near = [np.array(x or [], dtype=np.int64) for x in table["near"].to_pylist()]
-        ends = np.concatenate([*near, np.empty(0, np.int64)])
-        begins = np.repeat(np.arange(len(near)), [len(x) for x in near])
-        at = np.minimum(np.searchsorted(reps[order], ends), max(0, len(reps) - 1))
-        here = reps[order][at] == ends
-        edges = np.stack([begins[here], order[at[here]]], 1)
-        edges = edges[np.lexsort((edges[:, 1], edges[:, 0]))]
-        pairs = range_search(v, edges, v, least, medoid(v), beam)
-        a, b = reps[pairs[:, 0]], reps[pairs[:, 1]]
-        size = np.sqrt(np.einsum("ij,ij->i", raw, raw))
-        cos = np.einsum("ij,ij->i", raw[pairs[:, 0]], raw[pairs[:, 1]]) / (size[pairs[:, 0]] * size[pairs[:, 1]]) if len(pairs) else np.empty(0)
-        good = (cos >= least) & (a != b)
-        return pa.table({"a": pa.array(np.minimum(a, b)[good], pa.int64()), "b": pa.array(np.maximum(a, b)[good], pa.int64())})
-
-    full = dealt.join(lists.withColumnRenamed("a", "rep"), "rep", "left")
-    return full.groupBy("label", "dim", "shard").applyInArrow(search, "a bigint, b bigint").distinct()
-
-
-def audit_recall(classes: DataFrame, links: DataFrame, least: float, most: int = AUDITED) -> float:
-    """The share of the true links of `most` classes, picked by a hash, that links hold; the truth is brute force.
-
-    The picked vectors meet all others in blocks, so the cost grows with the rows."""
+        by_k = np.argsort(k, kind="stable")
+        lists = [np.array(x or [], dtype=np.int64) for x in table["near"].to_pylist()]
+        near = np.full((len(k), max([1, *map(len, lists)])), -1, dtype=np.int64)
+        for i, ends in enumerate(lists):
+            if len(ends):
+                at = by_k[np.minimum(np.searchsorted(k[by_k], ends), len(k) - 1)]
+                at = at[k[at] == ends]  # neighbours that other shards found and this one holds too
+                near[i, : len(at)] = at
+        queries = np.flatnonzero(own)
+        length = np.sqrt(np.einsum("ij,ij->i", raw, raw))
+        far = np.zeros(len(k), dtype=np.int64)
+        by_rep = np.argsort(rep, kind="stable")
+        place = np.empty(len(k), dtype=np.int64)
+        place[by_rep] = np.arange(len(k))
+        parent = np.arange(len(k))
+        for q, t in range_search(v, near, v[queries], least, medoid(v), beam):
+            q = queries[q]
+            cos = np.concatenate([np.einsum("ij,ij->i", raw[q[i : i + 65536]], raw[t[i : i + 65536]]) for i in range(0, len(q), 65536)] or [np.empty(0)]) / (length[q] * length[t])
+            good = (cos >= least) & (q != t)
+            q, t = q[good], t[good]
+            np.add.at(far, q, n[t])
+            _roots(len(k), place[q], place[t], parent)
+        for i in range(len(parent)):  # a root is never after its tree
+            parent[i] = parent[parent[i]]
+        root = rep[by_rep][parent][place]
+        return pa.table({"k": pa.array(k), "own": pa.array(own), "far": pa.array(far), "a": pa.array(rep), "b": pa.array(root)})
+
+    full = dealt.join(lists, "k", "left").select("label", "dim", "shard", "k", "rep", "n", "own", "v", "near")
+    return full.groupBy("label", "dim", "shard").applyInArrow(search, "k bigint, own boolean, far bigint, a bigint, b bigint")
+
+
+def audit_recall(classes: DataFrame, found: DataFrame, least: float, most: int = AUDITED) -> float:
+    """The mean, over queried classes with links, of the share of their links that `found` (k, far) counts; the truth is
+    brute force. Queried are classes whose rep is divisible by 100, `most` at most, picked by a hash.
+
+    They meet all others in blocks, so the cost grows with the rows."""
     spark = classes.sparkSession
-    picked = thinned(classes, "rep", most).orderBy(F.xxhash64("rep")).limit(most).select("rep", "label", "dim", "v").collect()
+    asked = classes.where("rep % 100 = 0")
+    picked = thinned(asked, "rep", most).orderBy(F.xxhash64("rep"), "k").limit(most).select("k", "label", "dim", "v").collect()
     if not picked:
         return 1.0
     groups: dict = {}
     for r in picked:
         groups.setdefault((r["label"], r["dim"]), []).append(r)
-    share = spark.sparkContext.broadcast({k: (np.array([r["rep"] for r in x]), np.array([r["v"] for r in x], dtype=np.float64)) for k, x in groups.items()})
+    share = spark.sparkContext.broadcast({k: (np.array([r["k"] for r in x]), np.array([r["v"] for r in x], dtype=np.float64)) for k, x in groups.items()})
 
     def run(batches):
         for b in batches:
@@ -235,39 +318,41 @@ def audit_recall(classes: DataFrame, links: DataFrame, least: float, most: int =
             for key, own in b.groupby(["label", "dim"]):
                 got = share.value.get(key)
                 if got is not None:
-                    s = _unit(got[1]) @ _unit(np.stack(own["v"].to_numpy())).T
-                    i, j = np.nonzero(s >= least + 1e-9)
-                    out += [(x, y) for x, y in zip(got[0][i].tolist(), own["rep"].to_numpy()[j].tolist()) if x != y]
-            yield pd.DataFrame(out, columns=["x", "y"]).astype("int64")
+                    near = _unit(got[1]) @ _unit(np.stack(own["v"].to_numpy())).T >= least + 1e-9
+                    near &= got[0][:, None] != own["k"].to_numpy()[None]
+                    out.append(pd.DataFrame({"k": got[0], "truth": near.astype(np.int64) @ own["n"].to_numpy()}))
+            if out:
+                yield pd.concat(out)
 
-    true = classes.select("rep", "label", "dim", "v").mapInPandas(run, "x bigint, y bigint")
-    true = true.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    r = true.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hit")).first()
-    return r["hit"] / r["n"] if r["n"] else 1.0
+    truth = classes.select("k", "label", "dim", "n", "v").mapInPandas(run, "k bigint, truth bigint").groupBy("k").agg(F.sum("truth").alias("truth")).where("truth > 0")
+    r = truth.join(found, "k", "left").agg(F.avg(F.least(F.lit(1.0), F.coalesce("far", F.lit(0)) / F.col("truth"))).alias("r")).first()
+    return 1.0 if r["r"] is None else r["r"]
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id, embedding, label).
 
-    Vectors link when their labels are equal and their cosine, in double precision, is `least` or more. Null labels,
-    and vectors that are null, empty, zero or hold a null, NaN or infinity link with nothing. Equal vectors are one
-    class, searched once, and count each other as links. The recall of the graph search is audited against brute force;
-    below RECALL it runs again with twice the overlap and beam, and below it still, it fails."""
-    classes = written(classes_of(vectors), "classes")
+    Vectors link when their labels are equal and their cosine, in double precision, is `least` or more. Null ids, null
+    labels, and vectors that are null, empty, zero or hold a null, NaN or infinity link with nothing; vectors of different
+    lengths don't link. Equal vectors are one class, searched once, and count each other as links. Rows that repeat a
+    vec_id have a row and links each, and one component. The recall of the graph search is audited against brute
+    force; below RECALL it runs again with twice the overlap and beam, and below it still, it fails."""
+    folder = Folder(vectors.sparkSession)
+    classes = folder.put(classes_of(vectors), "classes")
     for widen in (1, 2, 4):
-        links = written(link_classes(classes, least, OVERLAP * widen, BEAM * widen), "links")
-        if (recall := audit_recall(classes, links, least)) >= RECALL:
+        links = folder.put(link_classes(classes, folder, least, OVERLAP * widen, BEAM * widen), f"links{widen}")
+        folder.drop("members")
+        far = links.where("own").select("k", "far")
+        if (recall := audit_recall(classes, far, least)) >= RECALL:
             break
     else:
         raise RuntimeError(f"recall {recall:.3f} is below {RECALL}")
-    both = links.union(links.select("b", "a"))
-    degree = both.join(classes.select(F.col("rep").alias("b"), "n"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("far"))
-    reach = components(links).withColumnRenamed("id", "rep")
-    facts = classes.join(degree, "rep", "left").join(reach, "rep", "left").select("label", "dim", "v", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    ids = usable(vectors).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
-    found = ids.join(facts, ["label", "dim", "v"]).select("vec_id", "n_links", "component_id")
-    rest = vectors.select("vec_id", "embedding", "label")
-    single = rest.join(usable(vectors).select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    reach = components(links.select("a", "b")).withColumnRenamed("id", "rep")
+    facts = classes.select("k", "label", "dim", "rep", "n").join(far, "k").join(reach, "rep", "left")
+    facts = facts.select("k", "label", "dim", (F.col("n") - 1 + F.col("far")).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    rows = _rows(vectors)
+    found = rows.where("good").select("vec_id", "k", "label", "dim").join(facts, ["k", "label", "dim"]).select("vec_id", "n_links", "component_id")
+    single = rows.where("not good").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").cast("bigint").alias("component_id"))
     return found.unionByName(single).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -247,6 +247,37 @@ def test_embeddings_match_brute_force(spark):
     assert embedding_dedup.near_vectors(df.where("false")).count() == 0
 
 
+def test_odd_embeddings(spark):
+    near = [1.0, 0.001, 0.0]
+    rows = [(7, [1.0, 0.0, 0.0], 1), (7, None, 1), (8, near, 1), (9, [0.0, 1.0, 0.0], 1), (None, [1.0, 0.0, 0.0], 1), (None, None, None), (10, [1.0, 0.0], 1), (7, [0.0, 0.0, 1.0], 1), (12, [0.0, 0.001, 1.0], 1), (13, [-0.0, 1.0, 0.0], 1), (13, [0.0, 1.0, 0.0], 1)]
+    df = spark.createDataFrame([(*r, 0.5, 3) for r in rows], "vec_id int, embedding array<float>, label int, v double, k int")
+    got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"] or -1, r["kept"]) for r in embedding_dedup.near_vectors(df).collect())
+    assert got == [(-1, 0, -1, True), (-1, 0, -1, True), (7, 0, 7, True), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 2, 9, True), (10, 0, 10, True), (12, 1, 7, False), (13, 2, 9, False), (13, 2, 9, False)]
+
+
+def test_graph_search_finds_most_of_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 60)
+    rng = np.random.default_rng(11)
+    rows, centres = [], rng.normal(size=(90, 12))
+    for i in range(900):
+        rows.append((i, (centres[i % 90] + rng.normal(size=12) * 0.1).tolist(), 0))
+    rows += [(900 + i, (centres[0] + rng.normal(size=12) * 0.02).tolist(), 0) for i in range(300)]  # one dense group
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(df).collect()}
+    v = np.array([r[1] for r in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    true = (v @ v.T >= 0.98).sum(1) - 1
+    linked = np.flatnonzero(true)
+    assert all(got[i][0] <= true[i] for i in range(len(rows))) and np.mean([got[i][0] / true[i] for i in linked]) >= 0.9
+    assert len({got[i][1] for i in range(900, 1200)}) == 1
+
+
+def test_recall_is_a_mean_over_vectors(spark):
+    classes = spark.createDataFrame([(1, 1, [1.0, 0.0], 100 * i, 100 * i, 5) for i in range(1, 4)] + [(2, 1, [0.0, 1.0], 400, 400, 1), (2, 1, [0.0, 1.0], 401, 401, 1)], "label int, dim int, v array<double>, k bigint, rep bigint, n bigint")
+    found = spark.createDataFrame([(100, 10), (200, 10), (300, 10), (400, 0)], "k bigint, far bigint")
+    assert embedding_dedup.audit_recall(classes, found, 0.98) == 0.75  # three of four, however many links they have
+
+
 # 6
 def brute_viterbi(model, text):
     """The best score by trying all cuts, and the ids of a best path."""
