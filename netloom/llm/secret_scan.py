@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: What the models judge: a whole run of these characters, of TOKEN_LEAST or more.
-TOKEN_LEAST = 20
+#: What the models judge: a whole run of these characters, of TOKEN_LEAST or more; shorter ones can't reach LEAST_RATIO.
+TOKEN_LEAST = 12
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % TOKEN_LEAST)
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -62,7 +62,8 @@ def random_strings(n: int = 4000, seed: int = 17) -> list[str]:
 
 
 def identifiers(texts: Iterable[str | None], seed: int = 23) -> list[str]:
-    """Labelled samples of the ordinary class: the words of texts, alone and joined as identifiers, paths and numbers are."""
+    """Labelled samples of the ordinary class: the words of texts, alone, in capitals, and joined as identifiers, paths and
+    numbers are."""
     rng = random.Random(seed)
     out = []
     for text in texts:
@@ -72,6 +73,7 @@ def identifiers(texts: Iterable[str | None], seed: int = 23) -> list[str]:
             four = words[i : i + 4]
             out.append(rng.choice(("_", "-", "/", "")).join(four[: rng.randint(2, 4)]) + rng.choice(("", "", str(rng.randint(0, 9999)))))
             out.append("".join(w.capitalize() for w in four[: rng.randint(2, 4)]))
+            out.append(rng.choice(("_", " ")).join(four).upper())
     return out
 
 
@@ -136,10 +138,12 @@ def joined(spans: Iterable[tuple[int, int, int]]) -> str:
 
 
 def scan_secrets(docs: DataFrame, model: np.ndarray, keep: list[str] = (), least: float = LEAST_RATIO) -> DataFrame:
-    """Columns `keep`, and secrets: array of (kind, start, end) in code points (end exclusive) by start, then kind.
+    """Columns `keep`, and secrets: array of (kind, start, end) in code points (end exclusive) by start, then kind. A kept
+    column named secrets gives way.
 
     A null text counts as empty; an empty one has no spans. Texts are read whole, one after the other. Every row gives
     one row, repeated ones too."""
+    keep = [c for c in keep if c != "secrets"]
     kept = [f"`{c}`" for c in keep]
     fields = [docs.schema[c] for c in keep]
     rows = docs.select(*kept, F.col("text").alias("_text"))
@@ -155,7 +159,9 @@ def scan_secrets(docs: DataFrame, model: np.ndarray, keep: list[str] = (), least
 
 
 def redact(docs: DataFrame, model: np.ndarray, mark: str = "[SECRET]", least: float = LEAST_RATIO) -> DataFrame:
-    """docs with every span of its text (spans that touch or overlap are one) replaced by `mark`, and n_chars set anew."""
+    """docs with every span of its text (spans that touch or overlap are one) replaced by `mark`, and n_chars set anew.
+
+    A null text stays null and keeps its n_chars; every row stays, repeated ones too."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +184,7 @@ def redact(docs: DataFrame, model: np.ndarray, mark: str = "[SECRET]", least: fl
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars")) if "n_chars" in names else out
 
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:

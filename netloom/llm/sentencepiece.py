@@ -12,6 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Where the query looks for its model; the environment may name another folder.
 MODEL = os.path.join(os.environ.get("NETLOOM_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
@@ -298,14 +299,19 @@ def model_bytes(path: str = MODEL) -> bytes:
         return f.read()
 
 
+def _kept(df: DataFrame, keep: list[str], new: set[str]) -> list[str]:
+    """keep without the names of new columns, which take their place."""
+    return [c for c in keep if c not in new]
+
+
 def encode(docs: DataFrame, data: bytes, keep: list[str] = ()) -> DataFrame:
-    """Columns `keep`, and ids array<int>, n_ids, n_byte_ids, and lossless: whether decoding gives the text back.
+    """Columns `keep`, and ids array<int>, n_ids and n_byte_ids; a kept column with one of these names gives way.
 
-    A null text has null ids and counts 0, and is lossless; an empty one has no ids. A text that holds the mark U+2581
-    itself decodes with a space there, so it isn't lossless. Texts are encoded whole; the best path is found part by
-    part, as no piece crosses a part's edge, so a very long text needs memory for its longest part only."""
-    kept = [f"`{c}`" for c in keep]
-    rows = docs.select(*kept, docs["text"].alias("_text"))
+    A null text has null ids and counts 0; an empty one has no ids; repeated rows have a row each. Texts are encoded
+    whole; the best path is found part by part, as no piece crosses a part's edge, so a very long text needs memory for
+    its longest part only."""
+    keep = _kept(docs, keep, {"ids", "n_ids", "n_byte_ids"})
+    rows = docs.select(*[f"`{c}`" for c in keep], docs["text"].alias("_text"))
     fields = [f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     share = docs.sparkSession.sparkContext.broadcast(data)
 
@@ -317,23 +323,54 @@ def encode(docs: DataFrame, data: bytes, keep: list[str] = ()) -> DataFrame:
             for low in range(0, big.num_rows, 256):
                 b = big.slice(low, 256)
                 texts = b.column(b.num_columns - 1).to_pylist()
-                flat, ends, nulls, same = array("i"), [0], [], []
+                flat, ends, nulls = array("i"), [0], []
                 for t, ids in zip(texts, model.encode_many([t or "" for t in texts])):
                     flat.extend(ids)
                     ends.append(len(flat))
                     nulls.append(t is None)
-                    same.append(model.decode(ids) == (t or ""))
                 taken = np.concatenate(([0], np.cumsum(is_byte[np.frombuffer(flat, dtype=np.int32)]))) if len(flat) else np.zeros(1, np.int64)
                 n_bytes = np.diff(taken[np.array(ends)])
                 offsets = pa.array([None if i < len(nulls) and nulls[i] else e for i, e in enumerate(ends)], pa.int32())
                 values = pa.array(np.frombuffer(flat, dtype=np.int32) if len(flat) else np.empty(0, np.int32))
                 n = np.diff(np.array(ends, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, values), pa.array(n), pa.array(n_bytes), pa.array(same)], names=[*b.schema.names[:-1], "ids", "n_ids", "n_byte_ids", "lossless"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, values), pa.array(n), pa.array(n_bytes)], names=[*b.schema.names[:-1], "ids", "n_ids", "n_byte_ids"])
+
+    return rows.mapInArrow(run, ", ".join([*fields, "ids array<int>", "n_ids bigint", "n_byte_ids bigint"]))
+
+
+def decode(coded: DataFrame, data: bytes, keep: list[str] = ()) -> DataFrame:
+    """Columns `keep`, and decoded: the text of column ids, marks as spaces, byte pieces joined to their characters; a
+    kept column named decoded gives way.
+
+    Null ids have a null text, no ids an empty one; ids that the model doesn't have count as unknown, null ids within a
+    list as nothing; bytes that are no UTF-8 become U+FFFD. Control pieces have no text."""
+    keep = _kept(coded, keep, {"decoded"})
+    rows = coded.select(*[f"`{c}`" for c in keep], coded["ids"].alias("_ids"))
+    fields = [f"`{coded.schema[c].name}` {coded.schema[c].dataType.simpleString()}" for c in keep]
+    share = coded.sparkSession.sparkContext.broadcast(data)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = loaded(share.value)
+        n = len(model.pieces)
+        for big in batches:
+            for low in range(0, big.num_rows, 256):
+                b = big.slice(low, 256)
+                column = b.column(b.num_columns - 1)
+                flat = column.flatten().drop_null().to_numpy()
+                safe = column.null_count == 0 and (not len(flat) or (flat.min() >= 0 and flat.max() < n)) and len(flat) == len(column.flatten())
+                lists = column.to_pylist()
+                if not safe:
+                    lists = [None if x is None else [i if 0 <= i < n else model.unknown for i in x if i is not None] for x in lists]
+                out = [None if x is None else model.decode(x) for x in lists]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], names=[*b.schema.names[:-1], "decoded"])
 
-    return rows.mapInArrow(run, ", ".join([*fields, "ids array<int>", "n_ids bigint", "n_byte_ids bigint", "lossless boolean"]))
+    return rows.mapInArrow(run, ", ".join([*fields, "decoded string"]))
 
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """The ids of all documents, checked by decoding."""
+    """The ids of all documents, and whether decoding them gives the text back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode(docs, model_bytes(), ["doc_id"])
+    data = model_bytes()
+    coded = encode(docs, data, ["doc_id", "text"])
+    back = decode(coded, data, ["doc_id", "text", "ids", "n_ids", "n_byte_ids"])
+    return back.select("doc_id", "ids", "n_ids", "n_byte_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))

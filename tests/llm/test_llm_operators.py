@@ -325,12 +325,30 @@ def test_double_array_holds_its_words():
 
 
 def test_encoding_rows(spark, model):
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*TEXTS, None, "mark ▁"])], DOCS + ", ids string")
-    got = {r["doc_id"]: r for r in sentencepiece.encode(df, sentencepiece.model_bytes(), ["doc_id"]).collect()}
-    n = len(TEXTS)
-    assert all(got[i]["ids"] == model.encode(t) and got[i]["n_ids"] == len(got[i]["ids"]) and got[i]["lossless"] for i, t in enumerate(TEXTS))
-    assert got[n]["ids"] is None and got[n]["n_ids"] == 0 and not got[n + 1]["lossless"]
-    assert sentencepiece.encode(df.where("false"), sentencepiece.model_bytes(), ["doc_id"]).count() == 0
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh日😀") for _ in range(60_000))  # no spaces: one part
+    texts = [*TEXTS, long, TEXTS[1]]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate([*texts, None, "mark ▁"])], DOCS + ", ids string, decoded int")
+    data = sentencepiece.model_bytes()
+    coded = sentencepiece.encode(df, data, ["doc_id", "text", "ids", "decoded"])
+    assert coded.columns == ["doc_id", "text", "decoded", "ids", "n_ids", "n_byte_ids"]
+    got = {r["doc_id"]: r for r in coded.collect()}
+    n = len(texts)
+    assert all(got[i]["ids"] == model.encode(t) and got[i]["n_ids"] == len(got[i]["ids"]) for i, t in enumerate(texts))
+    assert got[n]["ids"] is None and got[n]["n_ids"] == 0
+    back = sentencepiece.decode(coded, data, ["doc_id", "text", "decoded"])
+    assert back.columns == ["doc_id", "text", "decoded"]
+    for r in back.collect():
+        assert r["decoded"] == (r["text"] if r["doc_id"] <= n else "mark  ")
+    assert sentencepiece.encode(df.where("false"), data, ["doc_id"]).count() == sentencepiece.decode(coded.where("false"), data).count() == 0
+
+
+def test_decoding_odd_ids(spark, model):
+    byte = {b: i for i, b in model.byte_of.items()}
+    rows = [(1, None), (2, []), (3, [byte[0xC3], byte[0xA9]]), (4, [byte[0xC3]]), (5, [-1]), (6, [10**6]), (7, [None, *model.encode("the end")]), (8, [1, 2])]
+    got = {r["doc_id"]: r["decoded"] for r in sentencepiece.decode(spark.createDataFrame(rows, "doc_id bigint, ids array<int>"), sentencepiece.model_bytes(), ["doc_id"]).collect()}
+    odd = model.decode([model.unknown])
+    assert got == {1: None, 2: "", 3: "é", 4: "\ufffd", 5: odd, 6: odd, 7: "the end", 8: ""}
 
 
 # 7
@@ -494,11 +512,44 @@ def test_markov_separates():
     assert least > 5 and secret_scan.all_spans(f"value {token} updateConnectionHandler end", model, least) == [(6, 3, 6 + len(token))]
 
 
+def plain_ratio(model, token):
+    """The log-likelihood ratio, character by character."""
+    place = {c: i + 1 for i, c in enumerate(secret_scan.ALPHABET)}
+    total, last = 0.0, 0
+    for c in token:
+        total += model[last][place[c]]
+        last = place[c]
+    return total
+
+
+def test_spans_that_only_the_models_find(spark):
+    rng = random.Random(21)
+    plain = [words(rng, 5) + " update the connection handler and parse the number of columns in every table 2024-11-26 12:30 " + words(rng, 9) for _ in range(300)]
+    keys = ["".join(rng.choices(secret_scan.ALPHABET[:62], k=n)) for n in (12, 13, 15, 17, 19, 24, 40) for _ in range(20)]
+    texts = [f"{p} {k} end" for p, k in zip(plain, keys)] + plain[len(keys) :] + [None, "", "CONNECTION_HANDLER UPDATE_THE_NUMBER updateConnectionHandler /usr/parse/number/table", keys[0] + " " + "word " * 50_000 + keys[-1]]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS + ", secrets string")
+    model = secret_scan.fit_on(df)
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["secrets"]] for r in secret_scan.scan_secrets(df, model, ["doc_id", "secrets"]).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        base = [(secret_scan.KINDS[k], s, e) for s, k, e in secret_scan.base_spans(t)]
+        taken = [range(s, e) for _, s, e in base]
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+", t):
+            if len(m[0]) >= 12 and plain_ratio(model, m[0]) >= secret_scan.LEAST_RATIO and not any(r.start < m.end() and r.stop > m.start() for r in taken):
+                base.append(("markov", m.start(), m.end()))
+        assert got[i] == sorted(base, key=lambda x: (x[1], secret_scan.KINDS.index(x[0])))
+    found = [any(t[s:e] == k for _, s, e in got[i]) for i, (t, k) in enumerate(zip(texts, keys))]
+    assert np.mean(found) > 0.9 and np.mean(found[:60]) > 0.85
+    assert not any(got[i] for i in range(len(keys), len(texts) - 1)) and len(got[len(texts) - 1]) == 2
+    none = np.zeros_like(model)
+    assert sum(map(len, got.values())) > 100 > sum(len(secret_scan.all_spans(t or "", none)) for t in texts)  # nothing without the models
+
+
 def test_redaction(spark):
     model = secret_scan.fit_markov([])
     df = spark.createDataFrame([(1, "a token=abcdefghijklmnop deadbeefdeadbeef z", 5), (2, None, 0), (3, "", 0)], "doc_id bigint, text string, n_chars bigint")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secret_scan.redact(df, model).collect()}
-    assert got == {1: ("a [SECRET] [SECRET] z", 21), 2: (None, None), 3: ("", 0)}
+    assert got == {1: ("a [SECRET] [SECRET] z", 21), 2: (None, 0), 3: ("", 0)}
     assert secret_scan.scan_secrets(df.where("false"), model, ["doc_id"]).count() == 0
 
 
