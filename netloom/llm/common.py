@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ INVERSE = pow(MULT, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _POWERS: list[np.ndarray] = []
+#: Links that one task follows at most.
+ONE_TASK = 1_000_000
 
 
 def written(df: DataFrame, name: str = "t") -> DataFrame:
@@ -117,10 +120,27 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(h)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of links (u, v), sorted, and the smallest id that links reach from each."""
+    ids, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return ids, ids[label]
+        label = new
+
+
+def components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(id, component) of every id in edges (a, b): component is the smallest id that links reach.
 
-    Alternates large-star and small-star steps over tables in the shared folder until the links no longer change;
+    Up to `one_task` distinct links, which are 16 bytes each, are followed by one task. More are followed by all:
+    it alternates large-star and small-star steps over tables in the shared folder until the links no longer change;
     what comes to the driver is a count and a sum. Loops and nulls are ignored; no links give an empty table.
     A star step groups by node with min() only, so a node with very many links needs no list of them."""
     folder = Folder(edges.sparkSession)
@@ -128,6 +148,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     )
     pairs = folder.put(pairs.distinct(), "0")
+    if pairs.count() <= one_task:
+
+        def follow(batches):
+            held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+            if held:
+                ids, low = reached(*(np.concatenate(x) for x in zip(*held)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(low, pa.int64())], names=["id", "component"])
+
+        return pairs.select(F.col("u").cast("bigint"), F.col("v").cast("bigint")).coalesce(1).mapInArrow(follow, "id bigint, component bigint")
 
     def mark(df):
         r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()

@@ -41,8 +41,9 @@ def test_word_hashes_agree_with_split():
     assert np.array_equal(common.word_hashes(b"b c"), common.word_hashes(b"a b c")[1:])
 
 
+@pytest.mark.parametrize("one_task", [0, 1000])
 @pytest.mark.parametrize("links", [[], [(1, 2), (2, 3), (4, 4), (5, 6)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 50)]])
-def test_components(spark, links):
+def test_components(spark, links, one_task):
     parent = {}
 
     def find(x):
@@ -54,7 +55,7 @@ def test_components(spark, links):
         a, b = sorted((find(a), find(b)))
         parent[b] = a
     want = {x: find(x) for l in links for x in l if l[0] != l[1]}
-    got = {r["id"]: r["component"] for r in common.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    got = {r["id"]: r["component"] for r in common.components(spark.createDataFrame(links, "a bigint, b bigint"), one_task=one_task).collect()}
     assert got == want
 
 
