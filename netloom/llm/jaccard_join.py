@@ -20,9 +20,11 @@ ORDERS = 2
 FREQUENT = 300_000
 #: Sets that share a token from which on they are grouped round leaders first, and rows of a token that meet in one block.
 CROWD, BLOCK = 32, 2048
+#: Of how many crowded tokens one serves to gather crowds by.
+SERVING = 8
 #: Bits of the bitmap that a row of a crowded token carries.
 SHORT = 512
-#: Pairs that a head's text serves in one task, and ids of documents that are broadcast at most.
+#: Pairs that a head's text serves in one task, and ids (with their groups) that are broadcast at most.
 SERVED, BROADCAST_IDS = 1000, 500_000
 _SALTS = [np.uint64((0x9FB21C651E98DF25 * (2 * i + 1)) & ((1 << 64) - 1)) for i in range(ORDERS + 2)]
 
@@ -237,47 +239,71 @@ def _prefix_rows(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, ra
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """(token, sig, n, at): the rows of tokens that several sets have in their prefix, each set once; `at` numbers a
-    token's rows from 0. A token's rows are streamed, never gathered."""
+    """(token, sig, n, at, many): the rows of tokens that several sets have in their prefix, each set once; `at` numbers
+    a token's rows from 0, many tells whether it has more than CROWD. A token's rows are streamed: CROWD of them are
+    held at most."""
     dealt = rows.repartition("token").sortWithinPartitions("token", "sig")
 
     def run(batches):
-        last = None  # the last row: token, sig, n, at, and whether it went out
+        held = None  # the rows of the last token that did not go out yet: token, sig, n, at
+        last, crowded = None, False  # the last row, and whether its token has more than CROWD
+
+        def sent(token, sig, n, at, whole):
+            """The rows of tokens with several, and the rest of the last token's unless it is whole."""
+            nonlocal held, crowded
+            new = np.ones(len(token), dtype=bool)
+            new[1:] = token[1:] != token[:-1]
+            begin = np.flatnonzero(new)
+            size = np.diff(np.append(begin, len(token)))
+            top = at[begin + size - 1]  # the place of each token's last row
+            many = np.repeat(top >= CROWD, size)
+            out = np.repeat(top > 0, size)
+            crowded = bool(top[-1] >= CROWD)
+            if not whole and not crowded:
+                held = tuple(x[begin[-1] :] for x in (token, sig, n, at))
+                out[begin[-1] :] = False
+            else:
+                held = None
+            if out.any():
+                return _batch(token=token[out], sig=sig[out], n=n[out], at=at[out], many=many[out])
+
         for b in batches:
             if not b.num_rows:
                 continue
             token, sig, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            lead = 0
-            if last:
-                token, sig, n = (np.concatenate(([x], y)) for x, y in zip(last, (token, sig, n)))
-                lead = last[3]
             keep = np.ones(len(token), dtype=bool)
             keep[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
+            if last and last[0] == token[0] and last[1] == sig[0]:
+                keep[0] = False
             token, sig, n = token[keep], sig[keep], n[keep]
+            if not len(token):
+                continue
             new = np.ones(len(token), dtype=bool)
             new[1:] = token[1:] != token[:-1]
             begin = np.flatnonzero(new)
             at = np.arange(len(token)) - np.repeat(begin, np.diff(np.append(begin, len(token))))
-            at[: begin[1] if len(begin) > 1 else len(at)] += lead
-            out = at > 0
-            out[:-1] |= ~new[1:]
-            if last and last[4]:
-                out[0] = False
-            went = bool(out[-1]) or bool(len(token) == 1 and last and last[4])
-            last = (token[-1], sig[-1], n[-1], int(at[-1]), went)
-            if out.any():
-                yield _batch(token=token[out], sig=sig[out], n=n[out], at=at[out])
+            if last and last[0] == token[0]:
+                at[: begin[1] if len(begin) > 1 else len(at)] += last[2] + 1
+            last = (token[-1], sig[-1], int(at[-1]))
+            if held:
+                token, sig, n, at = (np.concatenate(x) for x in zip(held, (token, sig, n, at)))
+            if (out := sent(token, sig, n, at, False)) is not None:
+                yield out
+        if held and (out := sent(*held, True)) is not None:
+            yield out
 
-    return dealt.mapInArrow(run, "token bigint, sig bigint, n bigint, at bigint")
+    return dealt.mapInArrow(run, "token bigint, sig bigint, n bigint, at bigint, many boolean")
 
 
-def _in_blocks(rows: DataFrame, hot: DataFrame) -> DataFrame:
+def _in_blocks(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Rows (token, node, n, g, short) dealt into cells (token, cell, side): any two of a token's rows with different groups
     meet in one cell, as rows of side 0, or as one of side 1 and one of side 2.
 
     Only the tokens of `hot`, which have more than BLOCK rows, have several cells. The rows of such a token's largest
     group fall into blocks that meet the blocks of all other rows, but not each other; so what is sent grows with the
     rows of a token as long as most of them are of one group."""
+    if hot is None:
+        return rows.select("token", F.lit(0).cast("bigint").alias("cell"), F.lit(0).alias("side"), "node", "n", "g", "short")
     plain = rows.join(hot, "token", "left_anti").select("token", F.lit(0).cast("bigint").alias("cell"), F.lit(0).alias("side"), "node", "n", "g", "short")
     crowded = rows.join(hot, "token")
     sizes = crowded.groupBy("token", "g").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "g")).alias("top"), F.sum("c").alias("all"))
@@ -420,8 +446,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, folder: Folder, name: str, n: int
     for SERVED pairs; so a document that many are compared with is dealt to many tasks."""
     both = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     wanted = folder.put(both, f"{name}_ids")
-    known = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = folder.put(docs.where("text is not null").join(known, "doc_id").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node", "text"]), f"{name}_texts")
+    texts = folder.put(docs.where("text is not null").join(_small(wanted), "doc_id").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node", "text"]), f"{name}_texts")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SERVED).alias("parts"))
     heads = texts.join(parts, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"), "text")
     tails = pairs.join(parts, "a").join(texts, F.col("node") == F.col("b")).select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b", "text")
@@ -447,10 +472,15 @@ def _linked(pairs: DataFrame, docs: DataFrame, folder: Folder, name: str, n: int
     return found
 
 
+def _serving(shared: DataFrame) -> DataFrame:
+    """(token, node): the rows of crowded tokens, of one token in SERVING; enough to gather crowds by."""
+    return shared.where("many").where(F.pmod(F.xxhash64("token"), F.lit(SERVING)) == 0).select("token", "node")
+
+
 def _leaders(shared: DataFrame) -> DataFrame:
-    """(a, b): each set a of a token that more than CROWD sets share, with that token's two leaders: those that share the
-    most such tokens, as an original of many near copies does."""
-    rows = _crowded(shared).select("token", "node")
+    """(a, b): each set a of a crowded token, with that token's two leaders b: those that share the most such tokens, as
+    an original of many near copies does."""
+    rows = _serving(shared)
     rows = rows.join(rows.groupBy("node").agg(F.count("*").alias("score")), "node")
     head = lambda *tie: F.max(F.struct("score", *tie, F.col("node").alias("b")))
     heads = rows.groupBy("token").agg(head().alias("x"), head(F.bitwise_not("node").alias("t")).alias("y"))
@@ -461,15 +491,15 @@ def _leaders(shared: DataFrame) -> DataFrame:
 def _others(shared: DataFrame, groups: DataFrame) -> DataFrame:
     """(a, b): each set a of a crowded token that is not of the token's largest group, with one set b of that group;
     another one for each token."""
-    rows = _crowded(shared).select("token", "node").join(groups.withColumnRenamed("id", "node"), "node", "left").select("token", "node", F.coalesce("component", "node").alias("g"))
+    rows = _serving(shared).join(_small(groups).withColumnRenamed("id", "node"), "node", "left").select("token", "node", F.coalesce("component", "node").alias("g"))
     one = rows.groupBy("token", "g").agg(F.count("*").alias("c"), F.max(F.struct(F.xxhash64("token", "node").alias("h"), F.col("node").alias("b"))).alias("x"))
     one = one.groupBy("token").agg(F.max(F.struct("c", "g", "x.b")).alias("y")).select("token", "y.g", "y.b").withColumnRenamed("g", "main")
     return rows.join(one, "token").where("g <> main").select(F.col("node").alias("a"), "b").distinct()
 
 
-def _crowded(shared: DataFrame) -> DataFrame:
-    """The rows of tokens that more than CROWD sets share."""
-    return shared.join(shared.where(F.col("at") == CROWD).select("token").distinct(), "token")
+def _small(df: DataFrame) -> DataFrame:
+    """df, broadcast if it is known to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 class Join:
@@ -487,17 +517,17 @@ class Join:
         self.classes = put(classes, "classes")
         frequent, rank = frequent_tokens(self.sketch, self.folder)
         shared = _shared(_prefix_rows(self.docs, n, percent, frequent, rank))
-        self.shared = put(shared.join(self.classes.select(F.col("s1").alias("sig"), "node"), "sig").select("token", "node", "n", "at"), "shared")
+        self.shared = put(shared.join(self.classes.select(F.col("s1").alias("sig"), "node"), "sig").select("token", "node", "n", "at", "many"), "shared")
 
     def pairs(self, groups: DataFrame | None, name: str) -> DataFrame:
         """(a, b): candidates that pass the filters of all orders and the bitmaps, of different groups (id, component) only."""
         rows = self.shared.withColumn("g", F.col("node"))
         if groups is not None:
-            rows = self.shared.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("g", F.coalesce("component", "node"))
-        at = lambda least: self.shared.where(F.col("at") == least).select("token").distinct()
-        few = rows.join(at(CROWD), "token", "left_anti").select("token", "node", "n", "g", F.lit(None).cast("binary").alias("short"))
-        many = rows.join(at(CROWD), "token").join(self.classes.select("node", F.col("n"), "short"), ["node", "n"]).select("token", "node", "n", "g", "short")
-        rows = _in_blocks(few.unionByName(many), at(BLOCK))
+            rows = self.shared.join(_small(groups).withColumnRenamed("id", "node"), "node", "left").withColumn("g", F.coalesce("component", "node"))
+        few = rows.where("not many").select("token", "node", "n", "g", F.lit(None).cast("binary").alias("short"))
+        many = rows.where("many").join(self.classes.select("node", "n", "short"), ["node", "n"]).select("token", "node", "n", "g", "short")
+        hot = self.shared.where(F.col("at") == BLOCK).select("token").distinct()
+        rows = _in_blocks(few.unionByName(many), None if hot.isEmpty() else hot)
         return self.folder.put(_plausible(_candidates(rows, self.percent), self.classes, self.percent), name)
 
     def gathered(self, stars: DataFrame, name: str) -> DataFrame:

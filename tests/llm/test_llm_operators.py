@@ -198,6 +198,7 @@ def test_crowded_tokens_are_split(spark, monkeypatch, n, percent, block, crowd):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "CROWD", crowd)
     monkeypatch.setattr(jaccard_join, "SERVED", 3)
+    monkeypatch.setattr(jaccard_join, "SERVING", 1 + crowd % 2)
     rng = random.Random(8)
     rows, bases = [], [words(rng, 40, 30).split() for _ in range(3)]
     for i in range(45):
@@ -210,6 +211,19 @@ def test_crowded_tokens_are_split(spark, monkeypatch, n, percent, block, crowd):
     assert {r[0]: (r[1], r[2]) for r in jaccard_join.near_duplicates(frame, n, percent).collect()} == want
 
 
+def test_shared_tokens_are_marked(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CROWD", 3)
+    rng = random.Random(2)
+    rows = [(t, s, 9) for t in range(60) for s in rng.sample(range(100), rng.choice((1, 1, 2, 3, 4, 5, 30))) for _ in range(rng.choice((1, 2)))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = jaccard_join._shared(spark.createDataFrame(rows, "token bigint, sig bigint, n bigint")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sets = {t: sorted({s for u, s, _ in rows if u == t}) for t in range(60)}
+    assert sorted(map(tuple, got)) == sorted((t, s, 9, i, len(x) > 3) for t, x in sets.items() if len(x) > 1 for i, s in enumerate(x))
+
+
 def test_all_links(spark):
     rng = random.Random(12)
     base = words(rng, 60, 1000).split()
