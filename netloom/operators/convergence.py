@@ -11,8 +11,26 @@ from pyspark.sql import functions as F
 c = F.col
 
 
+#: Rows of a run that are read together.
+BLOCK = 10_000
+
+
 def _order():
-    return Window.partitionBy("run").orderBy("iter")
+    return Window.partitionBy("run", "_block").orderBy("iter")
+
+
+def _blocks(log: DataFrame, halo: int) -> DataFrame:
+    """The log with _block, and _own: blocks of BLOCK rows of a run, each with the `halo` rows before it (_own false)."""
+    own = F.floor((c("iter") - 1) / BLOCK)
+    late = (c("iter") - 1) % BLOCK >= BLOCK - halo
+    return log.withColumn("_block", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("_own", c("_block") == own)
+
+
+def _best_before(log: DataFrame) -> DataFrame:
+    """run, _block, _least: the best value of all blocks before one."""
+    own = log.groupBy("run", F.floor((c("iter") - 1) / BLOCK).alias("_block")).agg(F.min("hpwl").alias("m"))
+    w = Window.partitionBy("run").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return own.select("run", "_block", F.min("m").over(w).alias("_least"))
 
 
 def wa_schedule(log: DataFrame, base: float) -> DataFrame:
@@ -25,7 +43,8 @@ def weight_steps(log: DataFrame) -> DataFrame:
     """run, iter, mu: the factor of the density weight from the change of hpwl, 1.1 ** (1 - change / 100) within
     [0.75, 1.1]; null at the first row."""
     change = c("hpwl") - F.lag("hpwl").over(_order())
-    return log.select("run", "iter", F.round(F.least(F.lit(1.1), F.greatest(F.lit(0.75), F.pow(F.lit(1.1), 1 - change / 100))), 6).alias("mu"))
+    mu = F.round(F.least(F.lit(1.1), F.greatest(F.lit(0.75), F.pow(F.lit(1.1), 1 - change / 100))), 6)
+    return _blocks(log, 1).withColumn("mu", mu).where("_own").select("run", "iter", "mu")
 
 
 def ramp(log: DataFrame) -> DataFrame:
@@ -37,22 +56,26 @@ def plateaus(log: DataFrame, window: int, threshold: float) -> DataFrame:
     """run, iter, flat: whether (max - min) / mean of the last `window` rows is below the threshold; null before."""
     w = _order().rowsBetween(-(window - 1), 0)
     spread = (F.max("hpwl").over(w) - F.min("hpwl").over(w)) / F.avg("hpwl").over(w)
-    return log.select("run", "iter", F.when(F.count("*").over(w) == window, spread < threshold).alias("flat"))
+    flat = F.when(F.count("*").over(w) == window, spread < threshold)
+    return _blocks(log, window - 1).withColumn("flat", flat).where("_own").select("run", "iter", "flat")
 
 
 def divergence(log: DataFrame, window: int, ratio: float) -> DataFrame:
     """run, iter, diverged, rises: whether the mean of the last rows is above `ratio` times the best so far, and how
     many of them rose."""
-    w, all_ = _order().rowsBetween(-(window - 1), 0), _order().rowsBetween(Window.unboundedPreceding, 0)
-    rows = log.withColumn("up", F.coalesce((c("hpwl") > F.lag("hpwl").over(_order())).cast("bigint"), F.lit(0)))
-    full = F.count("*").over(w) == window
-    return rows.select("run", "iter", F.when(full, F.avg("hpwl").over(w) > ratio * F.min("hpwl").over(all_)).alias("diverged"), F.sum("up").over(w).alias("rises"))
+    w = _order().rowsBetween(-(window - 1), 0)
+    rows = _blocks(log, window).withColumn("up", F.coalesce((c("hpwl") > F.lag("hpwl").over(_order())).cast("bigint"), F.lit(0)))
+    least = F.min(F.when(c("_own"), c("hpwl"))).over(_order().rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"n": F.count("*").over(w), "mean": F.avg("hpwl").over(w), "rises": F.sum("up").over(w), "least": least}).where("_own")
+    rows = rows.join(_best_before(log), ["run", "_block"])
+    return rows.select("run", "iter", F.when(c("n") == window, c("mean") > ratio * F.least("least", "_least")).alias("diverged"), "rises")
 
 
 def best_so_far(log: DataFrame) -> DataFrame:
     """run, iter, hpwl of the rows that are better than all before."""
     before = F.min("hpwl").over(_order().rowsBetween(Window.unboundedPreceding, -1))
-    return log.withColumn("b", before).where("b is null or hpwl < b").select("run", "iter", "hpwl")
+    rows = _blocks(log, 0).withColumn("b", before).join(_best_before(log), ["run", "_block"]).withColumn("b", F.least("b", "_least"))
+    return rows.where("b is null or hpwl < b").select("run", "iter", "hpwl")
 
 
 def best_solution(log: DataFrame) -> DataFrame:

@@ -71,7 +71,18 @@ def box_blur(density: DataFrame, reach: int, nx: int, ny: int) -> DataFrame:
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in side for j in side]))
     spread = density.select("ix", "iy", "density", around.alias("o")).select((c("ix") + c("o.dx")).alias("ix"), (c("iy") + c("o.dy")).alias("iy"), "density")
     inside = c("ix").between(0, nx - 1) & c("iy").between(0, ny - 1)
-    return spread.where(inside).groupBy("ix", "iy").agg((F.sum("density")).alias("value"))
+    return spread.where(inside).groupBy("ix", "iy").agg(F.round(F.sum("density") / (len(side) * len(side)), 9).alias("value"))
+
+
+def gauss_blur(density: DataFrame, nx: int, ny: int, reach: int = 3, sigma: float = 1.0) -> DataFrame:
+    """ix, iy, value: the mean over the (2 * reach + 1)-square round each bin under a Gaussian whose weights sum to 1,
+    zeros outside."""
+    side = range(-reach, reach + 1)
+    one = {d: math.exp(-d * d / (2 * sigma * sigma)) for d in side}
+    total = sum(one.values()) ** 2
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy"), F.lit(one[i] * one[j] / total).alias("w")) for i in side for j in side]))
+    spread = density.select("density", "ix", "iy", around.alias("o")).select((c("ix") + c("o.dx")).alias("ix"), (c("iy") + c("o.dy")).alias("iy"), (c("density") * c("o.w")).alias("v"))
+    return spread.where(c("ix").between(0, nx - 1) & c("iy").between(0, ny - 1)).groupBy("ix", "iy").agg(F.round(F.sum("v"), 9).alias("value"))
 
 
 def blur_argmax(blurred: DataFrame) -> DataFrame:
@@ -86,24 +97,25 @@ def initial_density(nodes: DataFrame, bin_size: float, nx: int, ny: int, target:
 
 
 def _basis(spark, n: int, name: str) -> DataFrame:
-    """k, i, cosine of a length-n transform, n * n rows out of a range."""
+    """k, i, cosine of a length-n transform, n * n rows out of a range; broadcast for n up to 512."""
     k, i = F.floor(c("id") / n), c("id") % n
     scale = F.when(k == 0, math.sqrt(1 / n)).otherwise(math.sqrt(2 / n))
-    return spark.range(n * n).select(k.cast("bigint").alias(f"k{name}"), i.cast("bigint").alias(f"i{name}"), (scale * F.cos(math.pi * (2 * i + 1) * k / (2 * n))).alias(f"b{name}"))
+    rows = spark.range(n * n).select(k.cast("bigint").alias(f"k{name}"), i.cast("bigint").alias(f"i{name}"), (scale * F.cos(math.pi * (2 * i + 1) * k / (2 * n))).alias(f"b{name}"))
+    return F.broadcast(rows) if n <= 512 else rows
 
 
 def dct2(grid: DataFrame, nx: int, ny: int, value: str = "density") -> DataFrame:
     """kx, ky, coef: the orthonormal two-dimensional cosine transform, one axis after the other, by joins with a basis."""
     spark = grid.sparkSession
-    rows = grid.join(F.broadcast(_basis(spark, nx, "x")), "ix").groupBy("kx", "iy").agg(F.sum(c(value) * c("bx")).alias("v"))
-    return rows.join(F.broadcast(_basis(spark, ny, "y")), "iy").groupBy("kx", "ky").agg(F.sum(c("v") * c("by")).alias("coef"))
+    rows = grid.join(_basis(spark, nx, "x"), "ix").groupBy("kx", "iy").agg(F.sum(c(value) * c("bx")).alias("v"))
+    return rows.join(_basis(spark, ny, "y"), "iy").groupBy("kx", "ky").agg(F.sum(c("v") * c("by")).alias("coef"))
 
 
 def idct2(coefs: DataFrame, nx: int, ny: int, value: str = "coef") -> DataFrame:
     """ix, iy, value: the inverse of dct2()."""
     spark = coefs.sparkSession
-    rows = coefs.join(F.broadcast(_basis(spark, nx, "x")), "kx").groupBy("ix", "ky").agg(F.sum(c(value) * c("bx")).alias("v"))
-    return rows.join(F.broadcast(_basis(spark, ny, "y")), "ky").groupBy("ix", "iy").agg(F.sum(c("v") * c("by")).alias("value"))
+    rows = coefs.join(_basis(spark, nx, "x"), "kx").groupBy("ix", "ky").agg(F.sum(c(value) * c("bx")).alias("v"))
+    return rows.join(_basis(spark, ny, "y"), "ky").groupBy("ix", "iy").agg(F.sum(c("v") * c("by")).alias("value"))
 
 
 def poisson(coefs: DataFrame, nx: int, ny: int) -> DataFrame:

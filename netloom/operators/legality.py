@@ -28,10 +28,10 @@ def fence(nodes: DataFrame, fences: DataFrame) -> DataFrame:
     return left.where("outside > 0")
 
 
-def fences_of(nodes: DataFrame) -> DataFrame:
-    """Two boxes for each type whose name ends in 1: the lower left and upper right quarters of a 128 by 64 die."""
+def fences_of(nodes: DataFrame, width: float, height: float) -> DataFrame:
+    """Two boxes for each type whose name ends in 1: the lower left and upper right quarters of the die."""
     types = nodes.select("celltype").distinct().where(c("celltype").endswith("1"))
-    boxes = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("fx0", "fx1", "fy0", "fy1"), b)]) for b in ((0, 64, 0, 32), (64, 128, 32, 64))])
+    boxes = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("fx0", "fx1", "fy0", "fy1"), b)]) for b in ((0, width / 2, 0, height / 2), (width / 2, width, height / 2, height))])
     return types.select("celltype", F.explode(boxes).alias("b")).select("celltype", "b.*")
 
 
@@ -52,7 +52,7 @@ def verdict(nodes: DataFrame, width: float, height: float) -> DataFrame:
     found = [
         ("boundary", boundary(nodes, width, height)),
         ("alignment", alignment(nodes, 2.0, 1.0)),
-        ("fence", fence(nodes, fences_of(nodes))),
+        ("fence", fence(nodes, fences_of(nodes, width, height))),
         ("overlap", row_overlaps(nodes)),
     ]
     out = None
@@ -116,11 +116,20 @@ def metal_spacing(nodes: DataFrame, space: float) -> DataFrame:
     return p.join(a, "a").join(b, "b").where("layer = lb and ta <> tb").select("layer", "a", "b")
 
 
+#: Macros are compared within blocks of the die of this size.
+BLOCK_W, BLOCK_H = 128, 64
+
+
+def block_pairs(macros: DataFrame) -> DataFrame:
+    """Pairs a < b of macros of one layer, type and block of the die; a block holds a bounded number of macros."""
+    at = [F.floor(c("lx") / BLOCK_W).alias("bx"), F.floor(c("ly") / BLOCK_H).alias("by")]
+    own = lambda p: macros.select("celltype", "layer", *at, *[c(n).alias(f"{p}_{n}") for n in ("node_id", "lx", "ly", "w", "h")])
+    return own("a").join(own("b"), ["celltype", "layer", "bx", "by"]).where("a_node_id < b_node_id")
+
+
 def constraint_graph(macros: DataFrame) -> DataFrame:
-    """a, b, kind, gap: pairs of macros of one layer and type, apart by the axis of the larger gap; a comes first on it."""
-    own = lambda p: [c(n).alias(f"{p}_{n}") for n in ("node_id", "lx", "ly", "w", "h")]
-    a, b = macros.select("celltype", "layer", *own("a")), macros.select("celltype", "layer", *own("b"))
-    p = a.join(b, ["celltype", "layer"]).where("a_node_id < b_node_id")
+    """a, b, kind, gap: pairs of macros (block_pairs), apart by the axis of the larger gap; a comes first on it."""
+    p = block_pairs(macros)
     gx = F.greatest(c("b_lx") - c("a_lx") - c("a_w"), c("a_lx") - c("b_lx") - c("b_w"))
     gy = F.greatest(c("b_ly") - c("a_ly") - c("a_h"), c("a_ly") - c("b_ly") - c("b_h"))
     first = F.when(gx >= gy, c("a_lx") <= c("b_lx")).otherwise(c("a_ly") <= c("b_ly"))
@@ -132,13 +141,13 @@ def floorplan(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.min("w").alias("site_w"), F.min("h").alias("site_h"), F.min("lx").alias("x0"), F.min("ly").alias("y0"), F.max(c("lx") + c("w")).alias("x1"), F.max(c("ly") + c("h")).alias("y1"))
 
 
-def region_membership(nodes: DataFrame, patterns: DataFrame) -> DataFrame:
-    """node_id, region: the last pattern (name, or prefix*) that fits the cell's type, else the default region 0."""
-    exact, prefix = patterns.where(~c("pattern").endswith("*")), patterns.where(c("pattern").endswith("*")).withColumn("pattern", F.expr("substring(pattern, 1, length(pattern) - 1)"))
-    types = nodes.select("celltype").distinct()
-    hits = types.join(F.broadcast(exact), c("celltype") == c("pattern")).select("celltype", "region").union(types.join(F.broadcast(prefix), c("celltype").startswith(c("pattern"))).select("celltype", "region"))
-    best = hits.groupBy("celltype").agg(F.max("region").alias("region"))
-    return nodes.join(F.broadcast(best), "celltype", "left").select("node_id", F.coalesce("region", F.lit(0)).cast("bigint").alias("region"))
+def region_membership(nodes: DataFrame, patterns: list[tuple[str, int]]) -> DataFrame:
+    """node_id, region: the last pattern (name, or prefix*) in the list that fits the cell's type, else the region 0."""
+    fits = lambda p: c("celltype").startswith(p[:-1]) if p.endswith("*") else c("celltype") == p
+    region = F.lit(0)
+    for pattern, value in patterns:
+        region = F.when(fits(pattern), value).otherwise(region)
+    return nodes.select("node_id", region.cast("bigint").alias("region"))
 
 
 def row_segments(nodes: DataFrame, width: int) -> DataFrame:
@@ -177,10 +186,10 @@ def edge_spacing(nodes: DataFrame) -> DataFrame:
     return rows.where((c("lx") >= c("edge")) & (c("lx") - c("edge") < need)).select("row", "left_id", "right_id", (need - c("lx") + c("edge")).alias("short"))
 
 
-def issues(nodes: DataFrame, nets: DataFrame, pins: DataFrame) -> DataFrame:
+def issues(nodes: DataFrame, nets: DataFrame, pins: DataFrame, width: float, height: float) -> DataFrame:
     """issue, n: cells off the core's right or upper edge, sizes that are no whole sites, nets without or with many pins."""
     checks = [
-        ("cell_outside", nodes.where("lx + w > 124 or ly + h > 62")),
+        ("cell_outside", nodes.where((c("lx") + c("w") > width) | (c("ly") + c("h") > height))),
         ("odd_width", nodes.where("w % 2 <> 0")),
         ("empty_net", nets.where("degree = 0")),
         ("high_fanout", nets.where("degree > 8")),
@@ -213,9 +222,8 @@ def merged_rects(nodes: DataFrame) -> DataFrame:
 
 
 def box_algebra(macros: DataFrame) -> DataFrame:
-    """a, b and, for macros of one type and layer: half perimeter of the union, L1, L2 and Linf distance, parallel run."""
-    own = lambda p: [c(n).alias(f"{p}_{n}") for n in ("node_id", "lx", "ly", "w", "h")]
-    p = macros.select("celltype", "layer", *own("a")).join(macros.select("celltype", "layer", *own("b")), ["celltype", "layer"]).where("a_node_id < b_node_id")
+    """a, b and, for macros of one type, layer and block: half perimeter of the union, L1, L2 and Linf distance, parallel run."""
+    p = block_pairs(macros)
     gap = lambda a, s: F.greatest(F.lit(0.0), c(f"b_{a}") - c(f"a_{a}") - c(f"a_{s}"), c(f"a_{a}") - c(f"b_{a}") - c(f"b_{s}"))
     dx, dy = gap("lx", "w"), gap("ly", "h")
     run = lambda a, s: F.least(c(f"a_{a}") + c(f"a_{s}"), c(f"b_{a}") + c(f"b_{s}")) - F.greatest(f"a_{a}", f"b_{a}")

@@ -52,9 +52,9 @@ def filler_stats(nodes: DataFrame, die_area: float, target: float) -> DataFrame:
     return one.select(F.round(room / c("fw")).cast("bigint").alias("n_fillers"), F.round("fw", 6).alias("filler_w"), F.lit(1.0).alias("filler_h"))
 
 
-def region_area(nodes: DataFrame) -> DataFrame:
-    """Per cell type: cells, area, and the free area of a fence of 8192 / 25 that it might get."""
-    return nodes.groupBy("celltype").agg(F.count("*").alias("n"), F.sum(c("w") * c("h")).alias("area")).withColumn("free", F.lit(327.6875) - c("area"))
+def region_area(nodes: DataFrame, fence: float) -> DataFrame:
+    """Per cell type: cells, area, and what they leave free of a fence of area `fence`."""
+    return nodes.groupBy("celltype").agg(F.count("*").alias("n"), F.sum(c("w") * c("h")).alias("area")).withColumn("free", F.lit(fence) - c("area"))
 
 
 def missing_names(pins: DataFrame, nodes: DataFrame, nets: DataFrame) -> DataFrame:

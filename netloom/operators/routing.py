@@ -21,12 +21,10 @@ def capacity(spark, nx: int, layers: int) -> DataFrame:
     return cells.select("layer", "i", (upto((c("i") + 1) * CELL) - upto(c("i") * CELL)).alias("capacity"))
 
 
-def wire_distance(lines: DataFrame) -> DataFrame:
-    """i, dist between the centres of cell i and the next."""
-    w = Window.orderBy("i")
-    mid = (c("at") + F.lead("at").over(w)) / 2
-    rows = lines.select("i", mid.alias("mid")).where("mid is not null")
-    return rows.select("i", (F.lead("mid").over(w) - c("mid")).alias("dist")).where("dist is not null")
+def wire_distance(spark, n: int) -> DataFrame:
+    """i, dist between the centres of cell i and the next, of n cells between regular gridlines."""
+    middle = lambda i: (i * CELL + (i + 1) * CELL) / 2
+    return spark.range(n - 1).select(c("id").alias("i"), (middle(c("id") + 1) - middle(c("id"))).alias("dist"))
 
 
 def segments(stars: DataFrame) -> DataFrame:
@@ -57,23 +55,16 @@ def route_stats(routes: DataFrame, seg: DataFrame) -> DataFrame:
 
 
 def best_l(seg: DataFrame, prefix: DataFrame) -> DataFrame:
-    """pin_id, first, cost: the cheaper of the two L routes by prefix sums of edge costs; of equal ones along x first."""
-    p = prefix.select("dir", "line", "at", "total")
-    bent = seg.where("x0 <> x1 and y0 <> y1")
+    """pin_id, first, cost: the cheaper of the two L routes by prefix sums of edge costs; of equal ones along x first.
 
-    def spans(df, dir_, line, a, b, name):
-        one = lambda at, n: p.where(c("dir") == dir_).select(c("line").alias(f"{n}_l"), c("at").alias(f"{n}_a"), c("total").alias(n))
-        f, t = one(a, f"{name}f"), one(b, f"{name}t")
-        df = df.join(f, (c(line) == c(f"{name}f_l")) & (c(a) == c(f"{name}f_a"))).drop(f"{name}f_l", f"{name}f_a")
-        return df.join(t, (c(line) == c(f"{name}t_l")) & (c(b) == c(f"{name}t_a"))).drop(f"{name}t_l", f"{name}t_a")
-
-    rows = spans(bent, "h", "y0", "x0", "x1", "p")
-    rows = spans(rows, "v", "x1", "y0", "y1", "q")
-    rows = spans(rows, "v", "x0", "y0", "y1", "r")
-    rows = spans(rows, "h", "y1", "x0", "x1", "s")
-    xf = F.abs(c("pt") - c("pf")) + F.abs(c("qt") - c("qf"))
-    yf = F.abs(c("rt") - c("rf")) + F.abs(c("st") - c("sf"))
-    return rows.select("pin_id", F.when(xf <= yf, "x").otherwise("y").alias("first"), F.least(xf, yf).alias("cost"))
+    A line's sums are one list, so the four spans of a wire are looked up in two joins."""
+    line = prefix.groupBy("dir", "line").agg(F.map_from_entries(F.collect_list(F.struct("at", "total"))).alias("sums"))
+    bent = seg.where("x0 <> x1 and y0 <> y1").select("pin_id", "x0", "y0", "x1", "y1")
+    wires = F.array(*[F.struct(F.lit(d).alias("dir"), c(l).alias("line"), c(a).alias("a"), c(b).alias("b"), F.lit(route).alias("route")) for route, d, l, a, b in (("x", "h", "y0", "x0", "x1"), ("x", "v", "x1", "y0", "y1"), ("y", "v", "x0", "y0", "y1"), ("y", "h", "y1", "x0", "x1"))])
+    spans = bent.select("pin_id", F.explode(wires).alias("w")).select("pin_id", "w.*").join(line, ["dir", "line"])
+    cost = spans.select("pin_id", "route", F.abs(F.try_element_at("sums", c("b")) - F.try_element_at("sums", c("a"))).alias("cost"))
+    both = cost.groupBy("pin_id").agg(F.sum(F.when(c("route") == "x", c("cost"))).alias("x"), F.sum(F.when(c("route") == "y", c("cost"))).alias("y"))
+    return both.select("pin_id", F.when(c("x") <= c("y"), "x").otherwise("y").alias("first"), F.least("x", "y").alias("cost"))
 
 
 def cost_prefix(dem: DataFrame, nx: int, ny: int) -> DataFrame:
@@ -106,13 +97,18 @@ def overflow_nets(routes: DataFrame, dem: DataFrame, cap: int) -> DataFrame:
 
 
 def ace(con: DataFrame, per_mille: tuple[int, ...] = (5, 10, 20, 50, 100, 200, 500)) -> DataFrame:
-    """dir, per_mille, value: the mean of the most congested cells up to each share, at place int(n * share), from 0."""
-    rows = con.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dir"), c(d).alias("value"), "x", "y") for d in "hv"])).alias("r")).select("r.*")
-    w = Window.partitionBy("dir").orderBy(c("value").desc(), "x", "y")
-    rows = rows.select("dir", (F.row_number().over(w) - 1).alias("k"), F.avg("value").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("mean"), F.count("*").over(Window.partitionBy("dir")).alias("n"))
-    picks = F.explode(F.array(*[F.lit(p) for p in per_mille]))
-    rows = rows.select("*", picks.alias("p")).where(c("k") == F.floor(c("n") * c("p") / 1000))
-    return rows.select("dir", c("p").cast("bigint").alias("per_mille"), F.round("mean", 9).alias("value"))
+    """dir, per_mille, value: the mean of the most congested cells up to each share, at place int(n * share), from 0.
+
+    Values stand by their counts, so what is sorted are the distinct values and not the cells."""
+    rows = con.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dir"), c(d).alias("value")) for d in "hv"])).alias("r")).select("r.*")
+    hist = rows.groupBy("dir", "value").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("dir").orderBy(c("value").desc())
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    run = hist.select("dir", "value", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("above"), F.coalesce(F.sum(c("n") * c("value")).over(before), F.lit(0.0)).alias("sum"), F.sum("n").over(Window.partitionBy("dir")).alias("all"))
+    picks = run.select("*", F.explode(F.array(*[F.lit(p) for p in per_mille])).alias("p")).withColumn("k", F.floor(c("all") * c("p") / 1000))
+    picks = picks.where((c("above") <= c("k")) & (c("k") < c("above") + c("n")))
+    mean = (c("sum") + (c("k") + 1 - c("above")) * c("value")) / (c("k") + 1)
+    return picks.select("dir", c("p").cast("bigint").alias("per_mille"), F.round(mean, 9).alias("value"))
 
 
 def estimated_shorts(dem: DataFrame, cap: float) -> DataFrame:

@@ -5,58 +5,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.plans.shared import cut
+from netloom.plans.shared import Folder, cut
 
 c = F.col
 
 
-def levels(arcs: DataFrame, most: int = 1000) -> DataFrame:
-    """node_id, level: the longest path from a node without fan-in, by rounds over the frontier that still rises."""
-    arcs = cut(arcs.select("src", "dst"))
-    ids = arcs.select(c("src").alias("node_id")).union(arcs.select(c("dst").alias("node_id"))).distinct()
-    out = cut(ids.withColumn("level", F.lit(0).cast("bigint")))
-    front = out
-    for k in range(1, most + 1):
-        front = cut(front.join(arcs, c("node_id") == c("src")).select(c("dst").alias("node_id")).distinct().withColumn("level", F.lit(k).cast("bigint")))
-        if front.isEmpty():
-            return out
-        out = cut(out.unionByName(front).groupBy("node_id").agg(F.max("level").alias("level")))
-    raise ValueError("the arcs hold a cycle")
+def sweep(arcs: DataFrame, begin: dict, along: dict, merge: dict, most: int = 100_000) -> DataFrame:
+    """node_id, level and a state of every node of arcs (src, dst, ..), in topological order.
+
+    Nodes without fan-in have level 0 and the state `begin` (name to column); a row for each arc into a node brings
+    `along`, of the source's state, the arc's columns and src; `merge` aggregates these. A node is done when all its arcs
+    have brought theirs, so each arc is joined once, with the nodes done last; a level's table holds these and the nodes
+    still waiting, and all levels are read together at the end. ValueError if the arcs hold a cycle."""
+    spark, folder = arcs.sparkSession, Folder(arcs.sparkSession)
+    fan_in = arcs.groupBy("dst").agg(F.count("*").alias("_in"))
+    arcs = folder.put(arcs.join(fan_in, "dst"), "arcs")
+    top = f"{folder.path}/levels"
+    state = list(begin)
+    sources = arcs.select("src").distinct().join(arcs.select(c("dst").alias("src")), "src", "left_anti")
+    now = sources.select(c("src").alias("node_id"), F.lit(0).cast("bigint").alias("_in"), F.lit(0).cast("bigint").alias("_got"), *[x.alias(k) for k, x in begin.items()])
+    for k in range(most):
+        now.write.parquet(f"{top}/level={k}")
+        if k == 0:
+            schema = spark.read.parquet(f"{top}/level=0").schema
+        table = spark.read.schema(schema).parquet(f"{top}/level={k}")
+        done, waiting = table.where("_got = _in"), table.where("_got < _in")
+        if done.isEmpty():
+            if not waiting.isEmpty() or (k == 0 and not arcs.isEmpty()):
+                raise ValueError("the arcs hold a cycle")
+            break
+        come = arcs.join(done.select(c("node_id").alias("src"), *state), "src")
+        come = come.select(c("dst").alias("node_id"), "_in", F.lit(1).cast("bigint").alias("_got"), *[x.alias(n) for n, x in along.items()])
+        now = come.unionByName(waiting).groupBy("node_id").agg(F.max("_in").alias("_in"), F.sum("_got").alias("_got"), *[x.alias(n) for n, x in merge.items()])
+        now = now.select("node_id", "_in", "_got", *[c(n).cast(schema[n].dataType).alias(n) for n in state])
+    rows = spark.read.schema(schema.add("level", "long")).option("basePath", top).parquet(top)
+    return rows.where("_got = _in").select("node_id", "level", *state)
+
+
+def levels(arcs: DataFrame, most: int = 100_000) -> DataFrame:
+    """node_id, level: the longest path from a node without fan-in."""
+    rows = sweep(arcs.select("src", "dst"), {"at": F.lit(0)}, {"at": c("at")}, {"at": F.max("at")}, most)
+    return rows.select("node_id", "level")
+
+
+def arrivals(arcs: DataFrame) -> DataFrame:
+    """node_id, level, at_early, at_late, pred: arrival times from 0 at nodes without fan-in, and the late arrival's
+    predecessor; of equal arrivals the smaller one."""
+    late = F.struct((c("late.at") + c("delay")).alias("at"), (-c("src")).alias("p"))
+    none = F.struct(F.lit(0.0).alias("at"), F.lit(None).cast("bigint").alias("p"))
+    rows = sweep(arcs, {"at_early": F.lit(0.0), "late": none}, {"at_early": c("at_early") + c("delay"), "late": late}, {"at_early": F.min("at_early"), "late": F.max("late")})
+    return rows.select("node_id", "level", "at_early", c("late.at").alias("at_late"), (-c("late.p")).alias("pred"))
 
 
-def arrivals(arcs: DataFrame, level: DataFrame | None = None) -> DataFrame:
-    """node_id, level, at_early, at_late, pred: arrival times from 0 at nodes without fan-in, and the late arrival's
-    predecessor; of equal arrivals the smaller one. One join and aggregate a level."""
-    arcs = cut(arcs)
-    level = cut(levels(arcs) if level is None else level)
-    depth = level.agg(F.max("level")).first()[0] or 0
-    done = cut(level.where("level = 0").select("node_id", "level", F.lit(0.0).alias("at_early"), F.lit(0.0).alias("at_late"), F.lit(None).cast("bigint").alias("pred")))
-    for k in range(1, depth + 1):
-        own = level.where(c("level") == k)
-        into = arcs.join(own.select(c("node_id").alias("dst"), "level"), "dst").join(done.select(c("node_id").alias("src"), "at_early", "at_late"), "src")
-        late = F.max(F.struct((c("at_late") + c("delay")).alias("at"), (-c("src")).alias("p")))
-        new = into.groupBy("dst", "level").agg(F.min(c("at_early") + c("delay")).alias("at_early"), late.alias("l"))
-        done = cut(done.unionByName(new.select(c("dst").alias("node_id"), "level", "at_early", c("l.at").alias("at_late"), (-c("l.p")).alias("pred"))))
-    return done
-
-
-def required(arcs: DataFrame, arrival: DataFrame, period: float) -> DataFrame:
-    """node_id, rat: the late required time, the period at nodes without fan-out, levels downwards."""
-    arcs = cut(arcs)
-    level = arrival.select("node_id", "level")
-    depth = level.agg(F.max("level")).first()[0] or 0
-    ends = level.join(arcs, c("node_id") == c("src"), "left_anti").select("node_id", F.lit(period).alias("rat"))
-    done = cut(ends)
-    for k in range(depth - 1, -1, -1):
-        own = level.where(c("level") == k).select(c("node_id").alias("src"))
-        new = arcs.join(own, "src").join(done.select(c("node_id").alias("dst"), "rat"), "dst").groupBy("src").agg(F.min(c("rat") - c("delay")).alias("rat"))
-        done = cut(done.unionByName(new.select(c("src").alias("node_id"), "rat")))
-    return done
+def required(arcs: DataFrame, period: float) -> DataFrame:
+    """node_id, rat_early, rat: required times from the ends backwards; late ones, the period at nodes without fan-out,
+    keep the least, early ones, 0 there, the largest."""
+    back = arcs.select(c("dst").alias("src"), c("src").alias("dst"), "delay")
+    begin = {"rat_early": F.lit(0.0), "rat": F.lit(float(period))}
+    rows = sweep(back, begin, {n: c(n) - c("delay") for n in begin}, {"rat_early": F.max("rat_early"), "rat": F.min("rat")})
+    return rows.select("node_id", "rat_early", "rat")
 
 
 def slacks(arrival: DataFrame, rat: DataFrame) -> DataFrame:
-    """node_id, slack: the late slack of every node."""
-    return arrival.join(rat, "node_id").select("node_id", (c("rat") - c("at_late")).alias("slack"))
+    """node_id, early, slack: the early and the late slack of every node."""
+    return arrival.join(rat, "node_id").select("node_id", (c("at_early") - c("rat_early")).alias("early"), (c("rat") - c("at_late")).alias("slack"))
 
 
 def endpoint_slacks(arcs: DataFrame, arrival: DataFrame, period: float, hold: float) -> DataFrame:

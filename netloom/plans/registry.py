@@ -15,19 +15,21 @@ from netloom.operators import netstats as ns
 from netloom.operators import routing as rt
 from netloom.operators import timing as tm
 from netloom.operators import wirelength as wl
-from netloom.sources.netlist import BIN, DIE_H, DIE_W, MAX_DEGREE, PRELUDE, TARGET, Netlist
+from netloom.sources.netlist import BIN, MAX_DEGREE, PRELUDE, TARGET, Netlist
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-NX, NY = int(DIE_W / BIN), int(DIE_H / BIN)
 GAMMA, PERIOD, CAP = 4.0, 6.0, 60
 
 
 def query(name: str, build: Callable[[Netlist], DataFrame], sql: str | None = None, more: str = "") -> None:
-    """Registers build(netlist), and sql behind the netlist's tables and `more` of its own."""
+    """Registers build(netlist), and sql behind the netlist's tables and `more` of its own; $W, $H, $NX and $NY are the die's."""
     QUERIES[name] = lambda spark, sf_dir: build(Netlist(spark, sf_dir))
     if sql:
-        ORACLES[name] = PRELUDE + (f", {more.strip().rstrip(',')}\n" if more else "") + sql
+        text = (f", {more.strip().rstrip(',')}\n" if more else "") + sql
+        for mark in ("nx", "ny", "w", "h"):
+            text = text.replace(f"${mark.upper()}", f"(select {mark} from die)")
+        ORACLES[name] = PRELUDE + text
 
 
 def _r(x: str, digits: int = 6) -> str:
@@ -63,83 +65,85 @@ query("design_stats", lambda n: ns.design_stats(n.nodes, n.nets, n.pins), """sel
   count(*) as n_nets, count(*) filter (degree = 0) as n_empty, count(*) filter (mask) as n_masked, sum(degree)::bigint as n_pins, max(degree) as max_degree from nets""")
 query("macro_flag", lambda n: ns.macro_flags(n.nodes), """select node_id, h > 2.01 and w * h > 10 * (select avg(a) from (select w * h as a, row_number() over (order by w * h) as k, count(*) over () as n from nodes) where k <= n * 999 // 1000) / 4 as is_macro from nodes""")
 query("cell_clamp", lambda n: ns.cell_clamp(n.nodes, BIN), "select node_id, round(greatest(w, sqrt(2.0) * 4), 6) as cw, round(greatest(h, sqrt(2.0) * 4), 6) as ch, round(w * h / (greatest(w, sqrt(2.0) * 4) * greatest(h, sqrt(2.0) * 4)), 6) as ratio from nodes")
-query("filler_stats", lambda n: ns.filler_stats(n.nodes, DIE_W * DIE_H, TARGET), """select round(greatest(0, 8192 * 0.875 - any_value(area)) / avg(w))::bigint as n_fillers, round(avg(w), 6) as filler_w, 1.0::double as filler_h
+query("filler_stats", lambda n: ns.filler_stats(n.nodes, n.die_w * n.die_h, TARGET), """select round(greatest(0, $W * $H * 0.875 - any_value(area)) / avg(w))::bigint as n_fillers, round(avg(w), 6) as filler_w, 1.0::double as filler_h
   from (select w, row_number() over (order by w) as k, count(*) over () as n, sum(w * h) over () as area from nodes where h <= 2.01) where k > n * 5 // 100 and k <= n * 95 // 100""")
-query("region_area", lambda n: ns.region_area(n.nodes), "select celltype, count(*) as n, sum(w * h) as area, 327.6875::double - sum(w * h) as free from nodes group by celltype")
+query("region_area", lambda n: ns.region_area(n.nodes, n.die_w * n.die_h / 25), "select celltype, count(*) as n, sum(w * h) as area, ($W * $H / 25.0)::double - sum(w * h) as free from nodes group by celltype")
 query("missing_names", lambda n: ns.missing_names(n.pins, n.nodes, n.nets), "select 'node' as kind, node_id as id from nodes where node_id not in (select node_id from pins) union all select 'net', net_id from nets where degree = 0")
 query("node_classes", lambda n: ns.node_classes(n.nodes, n.pins), "select node_id, case when size = 1 then case when o then 'IOPin' else 'FloatIOPin' end when layer = 5 then case when o then 'Fix' else 'FloatFix' end when o then 'Mov' else 'FloatMov' end as node_type from (select *, node_id in (select node_id from pins) as o from nodes)")
 query("special_tags", lambda n: ns.special_tags(n.nodes), "select node_id, (case when starts_with(celltype, 'Brand#1') then 1 when starts_with(celltype, 'Brand#2') then 2 else 0 end)::bigint as tag from nodes")
-query("position_clamp", lambda n: ns.clamp_positions(n.nodes, DIE_W, DIE_H), "select node_id, round(least(greatest(lx + w / 2 - 8, w / 2 + 1e-4), 128 - w / 2 - 1e-4), 6) as cx, round(least(greatest(ly + h / 2 + 8, h / 2 + 1e-4), 64 - h / 2 - 1e-4), 6) as cy from nodes")
+query("position_clamp", lambda n: ns.clamp_positions(n.nodes, n.die_w, n.die_h), "select node_id, round(least(greatest(lx + w / 2 - 8, w / 2 + 1e-4), $W - w / 2 - 1e-4), 6) as cx, round(least(greatest(ly + h / 2 + 8, h / 2 + 1e-4), $H - h / 2 - 1e-4), 6) as cy from nodes")
 query("site_snap", lambda n: ns.snapped(n.nodes, 2.5), "select node_id, floor(lx / 2.5 + 1e-4)::bigint as low, ceil(lx / 2.5 - 1e-4)::bigint as high, floor(lx / 2.5 + 0.5)::bigint as near from nodes")
 query("scaled_geometry", lambda n: ns.scaled(n.nodes, 4.0, 16.0, 8.0), "select node_id, (lx - 16) / 4 as lx, (ly - 8) / 4 as ly, w / 4 as w, h / 4 as h from nodes")
 query("orientation", lambda n: ns.oriented(n.nodes), """select node_id, o as orient, case when o % 2 = 1 then h else w end as ow, case when o % 2 = 1 then w else h end as oh,
   case o when 0 then w / 4 when 1 then h - h / 2 when 2 then w - w / 4 when 3 then h / 2 when 4 then w - w / 4 when 5 then h / 2 when 6 then w / 4 else h - h / 2 end as px,
   case o when 0 then h / 2 when 1 then w / 4 when 2 then h - h / 2 when 3 then w - w / 4 when 4 then h / 2 when 5 then w / 4 when 6 then h - h / 2 else w - w / 4 end as py from (select *, size % 8 as o from nodes)""")
-query("random_spread", lambda n: ns.spread_positions(n.nodes, 128, 64), "select node_id, (node_id * 1103515245 + 12345) % 2147483648 % 128 as x, (node_id * 22695477 + 1) % 2147483648 % 64 as y from nodes")
+query("random_spread", lambda n: ns.spread_positions(n.nodes, int(n.die_w), int(n.die_h)), "select node_id, (node_id * 1103515245 + 12345) % 2147483648 % $W as x, (node_id * 22695477 + 1) % 2147483648 % $H as y from nodes")
 query("inflated_pins", lambda n: ns.inflated_offsets(n.pins, n.nodes), "select pin_id, rel_cx * r as rel_cx, rel_cy * r as rel_cy from (select pin_id, rel_cx, rel_cy, case when layer = 5 then 1.0::double else 1 + layer / 8 end as r from pins join nodes using (node_id))")
 
 # Grid
 CELLS = """cells as (select node_id, layer, ix, iy, greatest(0.0, least(lx + w, (ix + 1) * 4.0) - greatest(lx, ix * 4.0)) * greatest(0.0, least(ly + h, (iy + 1) * 4.0) - greatest(ly, iy * 4.0)) as part
-  from nodes, unnest(range(greatest(0, floor(lx / 4))::bigint, least(31, ceil((lx + w) / 4) - 1)::bigint + 1)) a(ix), unnest(range(greatest(0, floor(ly / 4))::bigint, least(15, ceil((ly + h) / 4) - 1)::bigint + 1)) b(iy)),
+  from nodes, unnest(range(greatest(0, floor(lx / 4))::bigint, least($NX - 1, ceil((lx + w) / 4) - 1)::bigint + 1)) a(ix), unnest(range(greatest(0, floor(ly / 4))::bigint, least($NY - 1, ceil((ly + h) / 4) - 1)::bigint + 1)) b(iy)),
 den as (select ix, iy, sum(part) / 16 as density from cells group by ix, iy)"""
-density = lambda n: gd.density_map(n.nodes, BIN, NX, NY)
+density = lambda n: gd.density_map(n.nodes, BIN, n.nx, n.ny)
 query("density_map", density, "select ix, iy, density from den", CELLS)
-query("density_naive", lambda n: gd.density_naive(n.nodes, BIN, NX, NY, TARGET), "select ix, iy, least(1.0, density) * 0.875 as density from den", CELLS)
-query("initial_density", lambda n: gd.initial_density(n.nodes, BIN, NX, NY, TARGET), "select ix, iy, least(1.0, sum(part) / 16) * 0.875 as density from cells where layer = 5 group by ix, iy", CELLS)
+query("density_naive", lambda n: gd.density_naive(n.nodes, BIN, n.nx, n.ny, TARGET), "select ix, iy, least(1.0, density) * 0.875 as density from den", CELLS)
+query("initial_density", lambda n: gd.initial_density(n.nodes, BIN, n.nx, n.ny, TARGET), "select ix, iy, least(1.0, sum(part) / 16) * 0.875 as density from cells where layer = 5 group by ix, iy", CELLS)
 query("density_overflow", lambda n: gd.density_overflow(density(n), n.nodes, BIN, TARGET), "select sum(greatest(0.0, density - 0.875) * 16)::double as overflow_area, round(sum(greatest(0.0, density - 0.875) * 16) / (select sum(w * h) from nodes), 9) as overflow, max(density) as max_density from den", CELLS)
-query("density_gather", lambda n: gd.density_gather(n.nodes, density(n), BIN, NX, NY), "select node_id, sum(part * density) as force from cells join den using (ix, iy) group by node_id", CELLS)
+query("density_gather", lambda n: gd.density_gather(n.nodes, density(n), BIN, n.nx, n.ny), "select node_id, sum(part * density) as force from cells join den using (ix, iy) group by node_id", CELLS)
 congested = lambda n: density(n).select("ix", "iy", F_col("density").alias("value"))
-query("inflate_ratio_avg", lambda n: gd.inflate_ratio(n.nodes, congested(n), BIN, NX, NY, "avg"), "select node_id, round(sum(part * density) / sum(part), 9) as ratio from cells join den using (ix, iy) group by node_id", CELLS)
-query("inflate_ratio_max", lambda n: gd.inflate_ratio(n.nodes, congested(n), BIN, NX, NY, "max"), """select node_id, max(density) as ratio from nodes, unnest(range(floor(lx / 4)::bigint, least(31, floor((lx + w) / 4))::bigint + 1)) a(ix), unnest(range(floor(ly / 4)::bigint, least(15, floor((ly + h) / 4))::bigint + 1)) b(iy), den
+query("inflate_ratio_avg", lambda n: gd.inflate_ratio(n.nodes, congested(n), BIN, n.nx, n.ny, "avg"), "select node_id, round(sum(part * density) / sum(part), 9) as ratio from cells join den using (ix, iy) group by node_id", CELLS)
+query("inflate_ratio_max", lambda n: gd.inflate_ratio(n.nodes, congested(n), BIN, n.nx, n.ny, "max"), """select node_id, max(density) as ratio from nodes, unnest(range(floor(lx / 4)::bigint, least($NX - 1, floor((lx + w) / 4))::bigint + 1)) a(ix), unnest(range(floor(ly / 4)::bigint, least($NY - 1, floor((ly + h) / 4))::bigint + 1)) b(iy), den
   where den.ix = a.ix and den.iy = b.iy group by node_id""", CELLS)
-BLUR = "blur as (select ix + dx as ix, iy + dy as iy, sum(density) as value from den, range(-5, 6) a(dx), range(-5, 6) b(dy) where ix + dx between 0 and 31 and iy + dy between 0 and 15 group by 1, 2)"
-query("box_blur", lambda n: gd.box_blur(density(n), 5, NX, NY), "select ix, iy, value from blur", CELLS + ", " + BLUR)
-query("box_blur_argmax", lambda n: gd.blur_argmax(gd.box_blur(density(n), 5, NX, NY)), "select ix, iy, value from blur order by value desc, ix, iy limit 1", CELLS + ", " + BLUR)
-DCT = """bx as (select k, i, case when k = 0 then sqrt(1 / 32) else sqrt(2 / 32) end * cos(pi() * (2 * i + 1) * k / 64) as b from range(32) a(k), range(32) c(i)),
-byy as (select k, i, case when k = 0 then sqrt(1 / 16) else sqrt(2 / 16) end * cos(pi() * (2 * i + 1) * k / 32) as b from range(16) a(k), range(16) c(i)),
+BLUR = "blur as (select ix + dx as ix, iy + dy as iy, sum(density) / 121 as value from den, range(-5, 6) a(dx), range(-5, 6) b(dy) where ix + dx between 0 and $NX - 1 and iy + dy between 0 and $NY - 1 group by 1, 2)"
+query("box_blur", lambda n: gd.box_blur(density(n), 5, n.nx, n.ny), "select ix, iy, round(value, 9) as value from blur", CELLS + ", " + BLUR)
+query("box_blur_argmax", lambda n: gd.blur_argmax(gd.box_blur(density(n), 5, n.nx, n.ny)), "select ix, iy, round(value, 9) as value from blur order by 3 desc, ix, iy limit 1", CELLS + ", " + BLUR)
+GAUSS = "g1 as (select d, exp(-d * d / 2.0) / (select sum(exp(-e * e / 2.0)) from range(-3, 4) t(e)) as w from range(-3, 4) u(d))"
+query("gauss_blur", lambda n: gd.gauss_blur(density(n), n.nx, n.ny), "select ix + a.d as ix, iy + b.d as iy, round(sum(density * a.w * b.w), 9) as value from den, g1 a, g1 b where ix + a.d between 0 and $NX - 1 and iy + b.d between 0 and $NY - 1 group by 1, 2", CELLS + ", " + GAUSS)
+DCT = """bx as (select k, i, case when k = 0 then sqrt(1 / $NX) else sqrt(2 / $NX) end * cos(pi() * (2 * i + 1) * k / (2 * $NX)) as b from range($NX) a(k), range($NX) c(i)),
+byy as (select k, i, case when k = 0 then sqrt(1 / $NY) else sqrt(2 / $NY) end * cos(pi() * (2 * i + 1) * k / (2 * $NY)) as b from range($NY) a(k), range($NY) c(i)),
 dct as (select bx.k as kx, byy.k as ky, sum(density * bx.b * byy.b) as coef from den join bx on bx.i = ix join byy on byy.i = iy group by 1, 2)"""
-query("dct2d", lambda n: gd.dct2(density(n), NX, NY).select("kx", "ky", wl.tidy(F_col("coef"), 5).alias("coef")), "select kx, ky, round(coef, 5) + 0.0 as coef from dct", CELLS + ", " + DCT)
-query("idct2d", lambda n: gd.idct2(gd.dct2(density(n), NX, NY), NX, NY).select("ix", "iy", wl.tidy(F_col("value"), 5).alias("value")), "select ix, iy, round(coalesce(density, 0.0), 5) + 0.0 as value from range(32) a(ix) cross join range(16) b(iy) left join den using (ix, iy)", CELLS)
-ENERGY = "select round(sum(coef * coef / (pow(kx * pi() / 32, 2) + pow(ky * pi() / 16, 2))), 3) as energy from dct where kx > 0 or ky > 0"
-query("poisson_energy", lambda n: gd.poisson_energy(density(n), NX, NY), ENERGY, CELLS + ", " + DCT)
-query("potential_energy", lambda n: gd.potential_energy(density(n), NX, NY), ENERGY, CELLS + ", " + DCT)
+query("dct2d", lambda n: gd.dct2(density(n), n.nx, n.ny).select("kx", "ky", wl.tidy(F_col("coef"), 5).alias("coef")), "select kx, ky, round(coef, 5) + 0.0 as coef from dct", CELLS + ", " + DCT)
+query("idct2d", lambda n: gd.idct2(gd.dct2(density(n), n.nx, n.ny), n.nx, n.ny).select("ix", "iy", wl.tidy(F_col("value"), 5).alias("value")), "select ix, iy, round(coalesce(density, 0.0), 5) + 0.0 as value from range($NX) a(ix) cross join range($NY) b(iy) left join den using (ix, iy)", CELLS)
+ENERGY = "select round(sum(coef * coef / (pow(kx * pi() / $NX, 2) + pow(ky * pi() / $NY, 2))), 3) as energy from dct where kx > 0 or ky > 0"
+query("poisson_energy", lambda n: gd.poisson_energy(density(n), n.nx, n.ny), ENERGY, CELLS + ", " + DCT)
+query("potential_energy", lambda n: gd.potential_energy(density(n), n.nx, n.ny), ENERGY, CELLS + ", " + DCT)
 
 # Legality and rows
-query("legality_boundary", lambda n: lg.boundary(n.nodes, 124.0, 61.0), "select node_id from nodes where lx + w > 124 or ly + h > 61")
+query("legality_boundary", lambda n: lg.boundary(n.nodes, n.die_w - 4, n.die_h - 3), "select node_id from nodes where lx + w > $W - 4 or ly + h > $H - 3")
 query("legality_alignment", lambda n: lg.alignment(n.nodes, 2.0, 1.0), "select node_id, lx::bigint % 2 <> 0 as off_site, false as off_row from nodes where lx::bigint % 2 <> 0")
-FENCE = """fences as (select distinct celltype, v.* from nodes, (values (0, 64, 0, 32), (64, 128, 32, 64)) v(fx0, fx1, fy0, fy1) where ends_with(celltype, '1')),
+FENCE = """fences as (select distinct celltype, v.* from nodes, (select 0 as fx0, $W / 2 as fx1, 0 as fy0, $H / 2 as fy1 union all select $W / 2, $W, $H / 2, $H) v where ends_with(celltype, '1')),
 fenced as (select node_id, any_value(w * h) - sum(greatest(0.0, least(lx + w, fx1) - greatest(lx, fx0)) * greatest(0.0, least(ly + h, fy1) - greatest(ly, fy0))) as outside from nodes join fences using (celltype) group by node_id)"""
-query("legality_fence", lambda n: lg.fence(n.nodes, lg.fences_of(n.nodes)), "select node_id, outside from fenced where outside > 0", FENCE)
+query("legality_fence", lambda n: lg.fence(n.nodes, lg.fences_of(n.nodes, n.die_w, n.die_h)), "select node_id, outside from fenced where outside > 0", FENCE)
 ROWS = """inrow as (select nodes.*, r as row from nodes, unnest(range(ly::bigint, (ly + h)::bigint)) u(r)),
 adj as (select *, lag(node_id) over w as left_id, lag(lx + w) over w as edge, lag(layer) over w as ll, lead(lx) over w as next, max(lx + w) over (partition by row order by lx, node_id rows between unbounded preceding and 1 preceding) as reach
   from inrow window w as (partition by row order by lx, node_id))"""
 OVER = "select row, left_id, node_id as right_id, edge - lx as overlap from adj where edge > lx"
 query("legality_overlap", lambda n: lg.row_overlaps(n.nodes), OVER, ROWS)
-query("legality_verdict", lambda n: lg.verdict(n.nodes, DIE_W, DIE_H), f"""select 'boundary' as check_name, count(*) as violations from nodes where lx + w > 128 or ly + h > 64 union all select 'alignment', count(*) from nodes where lx::bigint % 2 <> 0
+query("legality_verdict", lambda n: lg.verdict(n.nodes, n.die_w, n.die_h), f"""select 'boundary' as check_name, count(*) as violations from nodes where lx + w > $W or ly + h > $H union all select 'alignment', count(*) from nodes where lx::bigint % 2 <> 0
   union all select 'fence', count(*) from fenced where outside > 0 union all select 'overlap', count(*) from ({OVER})""", FENCE + ", " + ROWS)
-query("row_blanks", lambda n: lg.blanks(n.nodes, DIE_W), "select row, coalesce(reach, 0.0) as x0, lx as x1 from adj where lx > coalesce(reach, 0.0) union all select row, max(lx + w), 128.0::double from adj group by row having max(lx + w) < 128", ROWS)
-query("row_free_space", lambda n: lg.free_space(n.nodes, DIE_W), "select row, node_id, lx - coalesce(edge, 0.0) as left, coalesce(next, 128.0) - lx - w as right from adj", ROWS)
+query("row_blanks", lambda n: lg.blanks(n.nodes, n.die_w), "select row, coalesce(reach, 0.0) as x0, lx as x1 from adj where lx > coalesce(reach, 0.0) union all select row, max(lx + w), $W::double from adj group by row having max(lx + w) < $W", ROWS)
+query("row_free_space", lambda n: lg.free_space(n.nodes, n.die_w), "select row, node_id, lx - coalesce(edge, 0.0) as left, coalesce(next, $W) - lx - w as right from adj", ROWS)
 query("macro_overlap_pairs", lambda n: lg.overlap_pairs(lg.boxes_of(n.macros), 8.0), """select a.node_id as a, b.node_id as b, least(a.lx + a.w, b.lx + b.w) - greatest(a.lx, b.lx) as ox, least(a.ly + a.h, b.ly + b.h) - greatest(a.ly, b.ly) as oy
   from macros a join macros b on a.node_id < b.node_id where ox > 1e-3 and oy > 1e-3""")
 PAIRS = "prs as (select a.node_id as a, b.node_id as b, a.layer as layer, least(a.lx + a.w, b.lx + b.w) - greatest(a.lx, b.lx) as ox, least(a.ly + a.h, b.ly + b.h) - greatest(a.ly, b.ly) as oy from nodes a join nodes b on a.node_id < b.node_id and a.lx < b.lx + b.w and b.lx < a.lx + a.w and a.ly < b.ly + b.h and b.ly < a.ly + a.h)"
 query("cell_overlap_pairs", lambda n: lg.cell_overlaps(n.nodes), "select node_id, count(*) as n_overlaps, sum(ox * oy) as area from (select a as node_id, ox, oy from prs union all select b, ox, oy from prs) group by node_id", PAIRS)
 query("metal_spacing", lambda n: lg.metal_spacing(n.nodes, 1.0), """select a.layer as layer, a.node_id as a, b.node_id as b from nodes a join nodes b on a.node_id < b.node_id and a.layer = b.layer and a.celltype <> b.celltype
   and least(a.lx + a.w, b.lx + b.w) - greatest(a.lx, b.lx) + 1 > 1e-3 and least(a.ly + a.h, b.ly + b.h) - greatest(a.ly, b.ly) + 1 > 1e-3""")
-MP = "mp as (select a.node_id as an, b.node_id as bn, a.lx as ax, a.ly as ay, a.w as aw, a.h as ah, b.lx as bx, b.ly as by_, b.w as bw, b.h as bh, greatest(b.lx - a.lx - a.w, a.lx - b.lx - b.w) as gx, greatest(b.ly - a.ly - a.h, a.ly - b.ly - b.h) as gy from macros a join macros b on a.celltype = b.celltype and a.layer = b.layer and a.node_id < b.node_id)"
+MP = "mp as (select a.node_id as an, b.node_id as bn, a.lx as ax, a.ly as ay, a.w as aw, a.h as ah, b.lx as bx, b.ly as by_, b.w as bw, b.h as bh, greatest(b.lx - a.lx - a.w, a.lx - b.lx - b.w) as gx, greatest(b.ly - a.ly - a.h, a.ly - b.ly - b.h) as gy from macros a join macros b on a.celltype = b.celltype and a.layer = b.layer and floor(a.lx / 128) = floor(b.lx / 128) and floor(a.ly / 64) = floor(b.ly / 64) and a.node_id < b.node_id)"
 query("macro_constraint_graph", lambda n: lg.constraint_graph(n.macros), """select case when f then an else bn end as a, case when f then bn else an end as b, case when gx >= gy then 'h' else 'v' end as kind, greatest(gx, gy) as gap
   from (select *, case when gx >= gy then ax <= bx else ay <= by_ end as f from mp)""", MP)
 query("box_algebra", lambda n: lg.box_algebra(n.macros), """select an as a, bn as b, greatest(ax + aw, bx + bw) - least(ax, bx) + greatest(ay + ah, by_ + bh) - least(ay, by_) as half_perimeter, greatest(0.0, gx) + greatest(0.0, gy) as l1,
   round(sqrt(pow(greatest(0.0, gx), 2) + pow(greatest(0.0, gy), 2)), 6) as l2, greatest(0.0, gx, gy) as linf, greatest(least(ax + aw, bx + bw) - greatest(ax, bx), least(ay + ah, by_ + bh) - greatest(ay, by_)) as parallel_run from mp""", MP)
 query("floorplan", lambda n: lg.floorplan(n.nodes), "select min(w) as site_w, min(h) as site_h, min(lx) as x0, min(ly) as y0, max(lx + w) as x1, max(ly + h) as y1 from nodes")
-PATTERNS = [("Brand#1*", 1), ("Brand#21", 2), ("Brand#2*", 3), ("Brand#33", 4)]
-query("region_membership", lambda n: lg.region_membership(n.nodes, n.spark.createDataFrame(PATTERNS, "pattern string, region bigint")), "select node_id, (case when celltype = 'Brand#33' then 4 when starts_with(celltype, 'Brand#2') then 3 when starts_with(celltype, 'Brand#1') then 1 else 0 end)::bigint as region from nodes")
-query("row_segments", lambda n: lg.row_segments(n.nodes, int(DIE_W)), """select row, min(x) as x0, max(x) + 1 as x1 from (select row, x, x - row_number() over (partition by row order by x) as g from
-  (select row, x from (select distinct row from inrow where h > 2.01), range(128) s(x) except select row, x from inrow, unnest(range(lx::bigint, (lx + w)::bigint)) s(x) where h > 2.01)) group by row, g""", ROWS)
+PATTERNS = [("Brand#3*", 9), ("Brand#1*", 1), ("Brand#2*", 3), ("Brand#21", 2), ("Brand#33", 4)]
+query("region_membership", lambda n: lg.region_membership(n.nodes, PATTERNS), "select node_id, (case when celltype = 'Brand#33' then 4 when celltype = 'Brand#21' then 2 when starts_with(celltype, 'Brand#2') then 3 when starts_with(celltype, 'Brand#1') then 1 when starts_with(celltype, 'Brand#3') then 9 else 0 end)::bigint as region from nodes")
+query("row_segments", lambda n: lg.row_segments(n.nodes, int(n.die_w)), """select row, min(x) as x0, max(x) + 1 as x1 from (select row, x, x - row_number() over (partition by row order by x) as g from
+  (select row, x from (select distinct row from inrow where h > 2.01), range($W) s(x) except select row, x from inrow, unnest(range(lx::bigint, (lx + w)::bigint)) s(x) where h > 2.01)) group by row, g""", ROWS)
 query("site_counts", lambda n: lg.site_counts(n.nodes, 2.0), """select node_id, (greatest(0, floor((lx + w) / 2) - ceil(lx / 2)) * greatest(0, floor((ly + h) / 2) - ceil(ly / 2)))::bigint as contained,
   (greatest(0, ceil((lx + w) / 2) - floor(lx / 2)) * greatest(0, ceil((ly + h) / 2) - floor(ly / 2)))::bigint as overlapped from nodes""")
 query("site_map", lambda n: lg.site_map(n.nodes), "select x, row as y, bit_or(case when h > 2.01 then 2 else 1 end)::bigint as flags from inrow, unnest(range(lx::bigint, (lx + w)::bigint)) s(x) group by 1, 2", ROWS)
 query("edge_spacing", lambda n: lg.edge_spacing(n.nodes), "select row, left_id, node_id as right_id, (1 + abs(layer - ll)) / 2 - lx + edge as short from adj where lx >= edge and lx - edge < (1 + abs(layer - ll)) / 2", ROWS)
-query("design_issues", lambda n: lg.issues(n.nodes, n.nets, n.pins), """select 'cell_outside' as issue, count(*) as n from nodes where lx + w > 124 or ly + h > 62 union all select 'odd_width', count(*) from nodes where w::bigint % 2 <> 0
+query("design_issues", lambda n: lg.issues(n.nodes, n.nets, n.pins, n.die_w - 4, n.die_h - 2), """select 'cell_outside' as issue, count(*) as n from nodes where lx + w > $W - 4 or ly + h > $H - 2 union all select 'odd_width', count(*) from nodes where w::bigint % 2 <> 0
   union all select 'empty_net', count(*) from nets where degree = 0 union all select 'high_fanout', count(*) from nets where degree > 8 union all select 'unplaced_pin', count(*) from pins where node_id not in (select node_id from nodes)""")
 query("layer_counts", lambda n: lg.layer_counts(n.nodes), "select count(distinct layer) as n_layers, count(distinct layer) filter (layer % 2 = 0) as n_even, bool_and(lx >= 0 and ly >= 0) as placed from nodes")
 query("io_nets", lambda n: lg.io_nets(n.pins, n.nodes), "select distinct net_id from pins where node_id in (select node_id from nodes where size = 1)")
@@ -155,11 +159,11 @@ for _k in range(1, 6):
     AT += f""",\nat{_k} as (select * from at{_k - 1} union all select dst, level, min(a.at_early + delay), max(a.at_late + delay), arg_max(src, (a.at_late + delay, -src))
   from arcs join lv on lv.node_id = dst join at{_k - 1} a on a.node_id = src where lv.level = {_k} group by dst, lv.level)"""
 AT = AT.replace("select dst, level, min", "select dst, lv.level, min") + ",\nat as (select * from at5)"
-RAT = ",\nrat6 as (select node_id, 6.0::double as rat from lv where node_id not in (select src from arcs))"
+RAT = ",\nrat6 as (select node_id, 0.0::double as rat_early, 6.0::double as rat from lv where node_id not in (select src from arcs))"
 for _k in range(5, -1, -1):
-    RAT += f",\nrat{_k} as (select * from rat{_k + 1} union all select src, min(r.rat - delay) from arcs join rat{_k + 1} r on r.node_id = dst join lv on lv.node_id = src where lv.level = {_k} group by src)"
+    RAT += f",\nrat{_k} as (select * from rat{_k + 1} union all select src, max(r.rat_early - delay), min(r.rat - delay) from arcs join rat{_k + 1} r on r.node_id = dst join lv on lv.node_id = src where lv.level = {_k} group by src)"
 AT, ATR = AT.replace(" at as (", " arr as (").replace("\nat as (", "\narr as ("), None
-RATS = AT + RAT + ",\nreq as (select * from rat0),\nslk as (select arr.node_id, rat - at_late as slack from arr join req using (node_id)),\nends as (select node_id, at_early - 1.5 as early, 6 - at_late as late from arr where node_id not in (select src from arcs))"
+RATS = AT + RAT + ",\nreq as (select * from rat0),\nslk as (select arr.node_id, at_early - rat_early as early, rat - at_late as slack from arr join req using (node_id)),\nends as (select node_id, at_early - 1.5 as early, 6 - at_late as late from arr where node_id not in (select src from arcs))"
 at = lambda n: tm.arrivals(n.arcs)
 
 
@@ -168,8 +172,7 @@ def _ends(n):
 
 
 def _slack(n):
-    a = at(n)
-    return tm.slacks(a, tm.required(n.arcs, a, PERIOD))
+    return tm.slacks(at(n), tm.required(n.arcs, PERIOD))
 
 
 def _paths(n, k):
@@ -185,8 +188,8 @@ PATHS += ",\npaths as (" + " union all ".join(f"select rank, step::bigint as ste
 query("timing_arcs", lambda n: n.arcs, "select src, dst, delay from arcs")
 query("timing_levels", lambda n: tm.levels(n.arcs), "select node_id, level from lv", LEVELS)
 query("arrival_time", at, "select node_id, level, at_early, at_late, pred from arr", AT)
-query("required_time", lambda n: tm.required(n.arcs, at(n), PERIOD), "select node_id, rat from req", RATS)
-query("pin_slack", _slack, "select node_id, slack from slk", RATS)
+query("required_time", lambda n: tm.required(n.arcs, PERIOD), "select node_id, rat_early, rat from req", RATS)
+query("pin_slack", _slack, "select node_id, early, slack from slk", RATS)
 query("endpoint_slack", _ends, "select node_id, early, late from ends", RATS)
 query("wns_tns", lambda n: tm.wns_tns(_ends(n)), "select 'early' as el, min(early) as wns, sum(least(0.0, early)) as tns from ends union all select 'late', min(late), sum(least(0.0, late)) from ends", RATS)
 query("worst_path", lambda n: _paths(n, 1)[0].select("step", "node_id"), "select step, node_id from paths where rank = 1", RATS + ", " + PATHS)
@@ -212,19 +215,19 @@ dem as (select dir, x, y, count(*) as demand from rts group by 1, 2, 3)"""
 CON = SEG + f""",
 con as (select x, y, greatest(0.0, dh / {CAP} - 1) as h, greatest(0.0, dv / {CAP} - 1) as v, greatest(0.0, (dh + dv) / 2 / {CAP} - 1) as total from (select x, y, coalesce(sum(demand) filter (dir = 'h'), 0)::bigint as dh, coalesce(sum(demand) filter (dir = 'v'), 0)::bigint as dv from dem group by x, y))"""
 PREFIX = SEG + """,
-grid0 as (select 'h' as dir, l as line, a as at_ from range(16) p(l), range(32) q(a) union all select 'v', l, a from range(32) p(l), range(16) q(a)),
+grid0 as (select 'h' as dir, l as line, a as at_ from range($NY) p(l), range($NX) q(a) union all select 'v', l, a from range($NX) p(l), range($NY) q(a)),
 dl as (select dir, case when dir = 'h' then y else x end as line, case when dir = 'h' then x else y end as at_, demand from dem),
-pre as (select dir, line, at_, sum(1 + coalesce(demand, 0) / 8) over (partition by dir, line order by at_) as total from grid0 left join dl using (dir, line, at_))"""
+pre as materialized (select dir, line, at_, sum(1 + coalesce(demand, 0) / 8) over (partition by dir, line order by at_) as total from grid0 left join dl using (dir, line, at_))"""
 seg = lambda n: rt.segments(n.stars)
 routes = lambda n: rt.l_routes(seg(n))
 dem = lambda n: rt.demand(routes(n))
-query("gr_capacity", lambda n: rt.capacity(n.spark, NX, 4), "select l as layer, i, (ceil((i + 1) * 4 / ((1 + l) / 4)) - ceil(i * 4 / ((1 + l) / 4)))::bigint as capacity from range(4) a(l), range(32) b(i)")
-query("gr_wire_dist", lambda n: rt.wire_distance(rt.gridlines(n.spark, NX)), "select i, 4.0::double as dist from range(31) a(i)")
+query("gr_capacity", lambda n: rt.capacity(n.spark, n.nx, 4), "select l as layer, i, (ceil((i + 1) * 4 / ((1 + l) / 4)) - ceil(i * 4 / ((1 + l) / 4)))::bigint as capacity from range(4) a(l), range($NX) b(i)")
+query("gr_wire_dist", lambda n: rt.wire_distance(n.spark, n.nx), "select i, 4.0::double as dist from range($NX - 1) a(i)")
 query("lroute_demand", dem, "select dir, x, y, demand from dem", SEG)
 query("gr_wirelength_vias", lambda n: rt.route_stats(routes(n), seg(n)), "select (select count(*) from rts) as wirelength, count(*) filter (x0 <> x1 and y0 <> y1) as vias from seg", SEG)
 query("gr_normalised", lambda n: rt.normalised(rt.route_stats(routes(n), seg(n)), 0.5), "select (select count(*) from rts) * 4 / 0.5::double as wirelength, count(*) filter (x0 <> x1 and y0 <> y1) as vias from seg", SEG)
-query("edge_cost_prefix", lambda n: rt.cost_prefix(dem(n), NX, NY), 'select dir, line, at_ as "at", total from pre', PREFIX)
-query("best_lroute", lambda n: rt.best_l(seg(n), rt.cost_prefix(dem(n), NX, NY)), """select pin_id, case when xf <= yf then 'x' else 'y' end as first, least(xf, yf) as cost from (select pin_id,
+query("edge_cost_prefix", lambda n: rt.cost_prefix(dem(n), n.nx, n.ny), 'select dir, line, at_ as "at", total from pre', PREFIX)
+query("best_lroute", lambda n: rt.best_l(seg(n), rt.cost_prefix(dem(n), n.nx, n.ny)), """select pin_id, case when xf <= yf then 'x' else 'y' end as first, least(xf, yf) as cost from (select pin_id,
   abs(p2.total - p1.total) + abs(q2.total - q1.total) as xf, abs(r2.total - r1.total) + abs(s2.total - s1.total) as yf from seg
   join pre p1 on p1.dir = 'h' and p1.line = y0 and p1.at_ = x0 join pre p2 on p2.dir = 'h' and p2.line = y0 and p2.at_ = x1 join pre q1 on q1.dir = 'v' and q1.line = x1 and q1.at_ = y0 join pre q2 on q2.dir = 'v' and q2.line = x1 and q2.at_ = y1
   join pre r1 on r1.dir = 'v' and r1.line = x0 and r1.at_ = y0 join pre r2 on r2.dir = 'v' and r2.line = x0 and r2.at_ = y1 join pre s1 on s1.dir = 'h' and s1.line = y1 and s1.at_ = x0 join pre s2 on s2.dir = 'h' and s2.line = y1 and s2.at_ = x1 where x0 <> x1 and y0 <> y1)""", PREFIX)
@@ -236,7 +239,7 @@ query("ace_routability", lambda n: rt.ace(rt.congestion(dem(n), CAP)), """select
 query("estimated_shorts", lambda n: rt.estimated_shorts(dem(n), CAP), f"select dir, sum(greatest(0.0, demand - {CAP}) * case when dir = 'h' then 4.0 else 2.0 end)::double as shorts from dem group by dir", SEG)
 query("via_usage", lambda n: rt.via_usage(dem(n)), 'select dir, line, at_ as "at", round(1.5 * sqrt((demand + nx) / 2), 6) as usage from (select *, lead(demand) over w as nx, lead(at_) over w as na from dl window w as (partition by dir, line order by at_)) where na = at_ + 1', PREFIX)
 query("wire_cost", lambda n: rt.wire_cost(dem(n), CAP), f"select dir, x, y, round(4 + 4 / (1 + exp(0.5 * greatest(-40.0, least(40.0, {CAP} - demand)))) * 8, 6) as cost from dem", SEG)
-query("net_cells", lambda n: rt.net_cells(n.pin_positions), "select net_id, count(distinct x * 100 + y) as n_cells, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from (select net_id, floor(px / 4)::bigint as x, floor(py / 4)::bigint as y from pp) group by net_id")
+query("net_cells", lambda n: rt.net_cells(n.pin_positions), "select net_id, count(distinct x * 1000000 + y) as n_cells, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from (select net_id, floor(px / 4)::bigint as x, floor(py / 4)::bigint as y from pp) group by net_id")
 query("track_lookup", lambda n: rt.track_of(n.pin_positions), "select pin_id, ((0 <= px)::int + (3 <= px)::int + (7 <= px)::int + (15 <= px)::int + (31 <= px)::int + (63 <= px)::int)::bigint as track from pp")
 query("pseudo_net_gradient", lambda n: rt.two_pin_gradient(n.stars, GAMMA), f"""select pin_id, {_r('tanh(dx / 8) + dx / 8 * (1 - tanh(dx / 8) * tanh(dx / 8))')} as gx, {_r('tanh(dy / 8) + dy / 8 * (1 - tanh(dy / 8) * tanh(dy / 8))')} as gy from (select pin_id, px - root_px as dx, py - root_py as dy from stars)""")
 query("obstacle_tracks", lambda n: rt.obstacle_tracks(n.nodes), "select t // 4 as row, count(distinct t) as tracks, sum(w) as length from macros, unnest(range(ly::bigint, (ly + h)::bigint + 1)) u(t) group by 1")

@@ -1,15 +1,18 @@
 """Netlist tables out of the star schema: parts are cells, line items pins, orders nets, events an iteration log.
 
-All derived numbers are integers or dyadic fractions, so sums are exact in any order."""
+All derived numbers are integers or dyadic fractions, so sums are exact in any order. The die grows with the number of
+cells, so rows, lines and bins hold about the same at any size."""
 
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-DIE_W, DIE_H, BIN, TARGET, MAX_DEGREE = 128.0, 64.0, 4.0, 0.875, 8
+#: The die of up to CELLS cells; with more, both sides are a whole number of times as long.
+DIE_W, DIE_H, CELLS, BIN, TARGET, MAX_DEGREE = 128, 64, 2000, 4.0, 0.875, 8
 
 
 class Netlist:
@@ -21,14 +24,35 @@ class Netlist:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def times(self) -> int:
+        """How many times the sides of the die are as long as those of the smallest: a count from the files' footers."""
+        return max(1, math.ceil(math.sqrt(self.table("part").count() / CELLS)))
+
+    @property
+    def die_w(self) -> float:
+        return float(DIE_W * self.times)
+
+    @property
+    def die_h(self) -> float:
+        return float(DIE_H * self.times)
+
+    @property
+    def nx(self) -> int:
+        return int(self.die_w / BIN)
+
+    @property
+    def ny(self) -> int:
+        return int(self.die_h / BIN)
+
     @cached_property
     def nodes(self) -> DataFrame:
         """node_id, lx, ly, w, h, celltype, layer, size."""
         k, s = F.col("p_partkey"), F.col("p_size")
         return self.table("part").select(
             k.alias("node_id"),
-            ((k * 37 + s * 11) % 124).cast("double").alias("lx"),
-            ((k * 53 + s * 7) % 61).cast("double").alias("ly"),
+            ((k * 37 + s * 11) % (int(self.die_w) - 4)).cast("double").alias("lx"),
+            ((k * 53 + s * 7) % (int(self.die_h) - 3)).cast("double").alias("ly"),
             (s % 4 + 1).cast("double").alias("w"),
             F.when(s >= 49, 3.0).otherwise(1.0).alias("h"),
             F.col("p_brand").alias("celltype"),
@@ -84,9 +108,13 @@ class Netlist:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        """run, iter, hpwl: the events of a kind in the order of time."""
-        order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-        return self.table("events").select(F.col("event_type").alias("run"), F.row_number().over(order).cast("bigint").alias("iter"), F.col("value").alias("hpwl"))
+        """run, iter, hpwl: the events of a kind in the order of time. Hours are numbered each for itself, after the
+        events of the hours before, so no task sorts a whole run."""
+        rows = self.table("events").select(F.col("event_type").alias("run"), "ts", "event_id", F.col("value").alias("hpwl"), F.date_trunc("hour", "ts").alias("hour"))
+        before = Window.partitionBy("run").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+        hours = rows.groupBy("run", "hour").agg(F.count("*").alias("n")).select("run", "hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        own = rows.withColumn("k", F.row_number().over(Window.partitionBy("run", "hour").orderBy("ts", "event_id")))
+        return own.join(hours, ["run", "hour"]).select("run", (F.col("before") + F.col("k")).alias("iter"), "hpwl")
 
     @cached_property
     def macros(self) -> DataFrame:
@@ -95,7 +123,8 @@ class Netlist:
 
 #: The same tables for an SQL engine; queries are put behind them.
 PRELUDE = """
-with nodes as (select p_partkey as node_id, ((p_partkey * 37 + p_size * 11) % 124)::double as lx, ((p_partkey * 53 + p_size * 7) % 61)::double as ly,
+with die as (select 128 * f as w, 64 * f as h, 32 * f as nx, 16 * f as ny from (select greatest(1, ceil(sqrt(count(*) / 2000.0)))::bigint as f from part)),
+nodes as (select p_partkey as node_id, ((p_partkey * 37 + p_size * 11) % ((select w from die) - 4))::double as lx, ((p_partkey * 53 + p_size * 7) % ((select h from die) - 3))::double as ly,
     (p_size % 4 + 1)::double as w, case when p_size >= 49 then 3.0::double else 1.0::double end as h, p_brand as celltype,
     (p_size // 9)::bigint as layer, p_size::bigint as size from part),
 pins0 as (select l_orderkey, l_partkey, l_quantity, l_linenumber, (row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_extendedprice) - 1)::bigint as pos from lineitem),

@@ -96,7 +96,7 @@ def test_chain_of_arcs(spark):
     arcs = spark.createDataFrame([(0, 1, 1.0), (1, 2, 2.0), (0, 2, 1.0), (2, 3, 1.5)], "src bigint, dst bigint, delay double")
     at = timing.arrivals(arcs)
     assert {r["node_id"]: (r["level"], r["at_early"], r["at_late"]) for r in at.collect()} == {0: (0, 0, 0), 1: (1, 1, 1), 2: (2, 1, 3), 3: (3, 2.5, 4.5)}
-    rat = timing.required(arcs, at, 4.0)
+    rat = timing.required(arcs, 4.0)
     slack = {r["node_id"]: r["slack"] for r in timing.slacks(at, rat).collect()}
     assert slack == {0: -0.5, 1: -0.5, 2: -0.5, 3: -0.5}
     path = timing.k_paths(timing.endpoint_slacks(arcs, at, 4.0, 0.0), at, 1).orderBy("step")
