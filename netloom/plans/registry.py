@@ -15,6 +15,7 @@ from netloom.operators import netstats as ns
 from netloom.operators import routing as rt
 from netloom.operators import timing as tm
 from netloom.operators import wirelength as wl
+from netloom.plans import roundtrips
 from netloom.sources.netlist import BIN, MAX_DEGREE, PRELUDE, TARGET, Netlist
 
 QUERIES: dict[str, Callable] = {}
@@ -280,3 +281,7 @@ query("matching_costs", lambda n: dp.cost_matrix(n.nodes, n.pin_positions), "sel
 query("matching", lambda n: dp.matched(dp.cost_matrix(n.nodes, n.pin_positions)))
 query("abacus_rows", lambda n: dp.abacus_rows(n.nodes, 100_000.0))
 query("displacement", lambda n: dp.displacement(n.nodes, dp.abacus_rows(n.nodes, 100_000.0)))
+
+# Formats
+for _name, _build, _sql in roundtrips.TRIPS:
+    query(_name, _build, _sql)
