@@ -22,8 +22,8 @@ FREQUENT = 300_000
 CROWD, BLOCK = 32, 2048
 #: Of how many crowded tokens one serves to gather crowds by.
 SERVING = 8
-#: Bits of the bitmap that a row of a crowded token carries.
-SHORT = 512
+#: Bits of the bitmap that a prefix token carries.
+SHORT = 256
 #: Pairs that a head's text serves in one task, and ids (with their groups) that are broadcast at most.
 SERVED, BROADCAST_IDS = 1000, 500_000
 _SALTS = [np.uint64((0x9FB21C651E98DF25 * (2 * i + 1)) & ((1 << 64) - 1)) for i in range(ORDERS + 2)]
@@ -324,8 +324,8 @@ def _in_blocks(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
 
 
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of rows (token, cell, side, node, n, g, short) of different groups whose sizes, and whose short bitmaps
-    where they have them, allow a link, and that share as many prefix tokens under every order as a link of these sizes
+    """(a, b): pairs of rows (token, cell, side, node, n, g, short) of different groups whose sizes and short bitmaps
+    allow a link, and that share as many prefix tokens under every order as a link of these sizes
     does. A cell's rows come one after the other and meet in blocks, by numpy; what leaves is counted by pair first."""
     dealt = rows.repartition("token", "cell").sortWithinPartitions("token", "cell")
 
@@ -348,13 +348,9 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
             token, node, n, g = whole[0], whole[3], whole[4], whole[5]
             ok = (g[i] != g[j]) & (node[i] != node[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j = i[ok], j[ok]
-            both = np.flatnonzero(whole[6][i] & whole[6][j])
-            if len(both):
-                x, y = i[both], j[both]
-                apart = np.bitwise_count(whole[7][x] ^ whole[7][y]).sum(axis=1, dtype=np.int64)
-                ok = np.ones(len(i), dtype=bool)
-                ok[both] = near_enough(n[x], n[y], apart, percent)
-                i, j = i[ok], j[ok]
+            apart = np.bitwise_count(whole[6][i] ^ whole[6][j]).sum(axis=1, dtype=np.int64)
+            ok = near_enough(n[i], n[j], apart, percent)
+            i, j = i[ok], j[ok]
             if len(i):
                 out.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), token[i] & (ORDERS - 1), shared_tokens(n[i], n[j], percent)))
                 size += len(i)
@@ -403,19 +399,18 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            now.append(batch.column(6).is_valid().to_numpy(zero_copy_only=False))
-            now.append(np.frombuffer(b"".join(x or bytes(SHORT // 8) for x in batch.column(6).to_pylist()), np.uint64).reshape(-1, SHORT // 64))
+            now.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, SHORT // 64))
             held.append(now)
             if len(held) > 1 and (now[0][-1], now[1][-1]) == (held[0][0][0], held[0][1][0]):
                 continue  # the cell goes on
-            whole = [np.concatenate([h[i] for h in held]) for i in range(8)]
+            whole = [np.concatenate([h[i] for h in held]) for i in range(7)]
             last = np.flatnonzero((whole[0] != whole[0][-1]) | (whole[1] != whole[1][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
                 yield from pairs([w[:cut] for w in whole])
             held = [[w[cut:] for w in whole]]
         if held:
-            yield from pairs([np.concatenate([h[i] for h in held]) for i in range(8)])
+            yield from pairs([np.concatenate([h[i] for h in held]) for i in range(7)])
         if out:
             yield counted()
 
@@ -517,17 +512,16 @@ class Join:
         self.classes = put(classes, "classes")
         frequent, rank = frequent_tokens(self.sketch, self.folder)
         shared = _shared(_prefix_rows(self.docs, n, percent, frequent, rank))
-        self.shared = put(shared.join(self.classes.select(F.col("s1").alias("sig"), "node"), "sig").select("token", "node", "n", "at", "many"), "shared")
+        self.shared = put(shared.join(self.classes.select(F.col("s1").alias("sig"), "node", "short"), "sig").select("token", "node", "n", "at", "many", "short"), "shared")
 
     def pairs(self, groups: DataFrame | None, name: str) -> DataFrame:
         """(a, b): candidates that pass the filters of all orders and the bitmaps, of different groups (id, component) only."""
         rows = self.shared.withColumn("g", F.col("node"))
         if groups is not None:
             rows = self.shared.join(_small(groups).withColumnRenamed("id", "node"), "node", "left").withColumn("g", F.coalesce("component", "node"))
-        few = rows.where("not many").select("token", "node", "n", "g", F.lit(None).cast("binary").alias("short"))
-        many = rows.where("many").join(self.classes.select("node", "n", "short"), ["node", "n"]).select("token", "node", "n", "g", "short")
+        rows = rows.select("token", "node", "n", "g", "short")
         hot = self.shared.where(F.col("at") == BLOCK).select("token").distinct()
-        rows = _in_blocks(few.unionByName(many), None if hot.isEmpty() else hot)
+        rows = _in_blocks(rows, None if hot.isEmpty() else hot)
         return self.folder.put(_plausible(_candidates(rows, self.percent), self.classes, self.percent), name)
 
     def gathered(self, stars: DataFrame, name: str) -> DataFrame:
