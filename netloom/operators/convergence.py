@@ -88,12 +88,12 @@ def best_timing(log: DataFrame, least: float) -> DataFrame:
     return best_solution(log.where(c("hpwl") >= least)).select("run", "iter")
 
 
-def nesterov(spark, n: int) -> list[float]:
-    """The first n coefficients a' = (1 + sqrt(4 a a + 1)) / 2 from 1."""
+def nesterov(spark, n: int) -> DataFrame:
+    """k, a: the first n coefficients a' = (1 + sqrt(4 a a + 1)) / 2 from 1; a few numbers, so the driver makes them."""
     out = [1.0]
     while len(out) < n:
         out.append((1 + (4 * out[-1] ** 2 + 1) ** 0.5) / 2)
-    return out[:n]
+    return spark.createDataFrame([(k, round(a, 9)) for k, a in enumerate(out[:n])], "k bigint, a double")
 
 
 def early_stop(log: DataFrame, lives: int = 3, patience: int = 20, window: int = 10, threshold: float = 0.05) -> DataFrame:

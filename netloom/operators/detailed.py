@@ -88,12 +88,30 @@ def independent_round(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(least, "node_id", "left").where(c("least").isNull() | (rank(c("node_id")) < c("least"))).select("node_id")
 
 
-def kmeans_step(nodes: DataFrame, k: int) -> DataFrame:
-    """centre, n, x, y: cells put to the nearest of k centres (Manhattan, ties to the first), and the centres' new means."""
-    centres = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit((37.0 * i) % 128).alias("x"), F.lit((23.0 * i) % 64).alias("y")) for i in range(k)])
-    far = F.transform(centres, lambda m: F.struct((F.abs(c("lx") - m["x"]) + F.abs(c("ly") - m["y"])).alias("d"), m["i"].alias("i")))
-    rows = nodes.select(F.array_min(far)["i"].alias("centre"), "lx", "ly")
-    return rows.groupBy("centre").agg(F.count("*").alias("n"), F.round(F.avg("lx"), 9).alias("x"), F.round(F.avg("ly"), 9).alias("y"))
+def kmeans(nodes: DataFrame, k: int, rounds: int = 3) -> DataFrame:
+    """centre, n, x, y after some rounds: cells put to the nearest of k centres (Manhattan, ties to the first), which move
+    to their cells' mean; a centre without cells stays. The k centres are the driver's."""
+    now = [((37.0 * i) % 128, (23.0 * i) % 64) for i in range(k)]
+    for step in range(rounds):
+        centres = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, (x, y) in enumerate(now)])
+        far = F.transform(centres, lambda m: F.struct((F.abs(c("lx") - m["x"]) + F.abs(c("ly") - m["y"])).alias("d"), m["i"].alias("i")))
+        rows = nodes.select(F.array_min(far)["i"].alias("centre"), "lx", "ly")
+        means = rows.groupBy("centre").agg(F.count("*").alias("n"), F.round(F.avg("lx"), 6).alias("x"), F.round(F.avg("ly"), 6).alias("y"))
+        if step < rounds - 1:
+            for r in means.collect():  # k rows
+                now[r["centre"]] = (r["x"], r["y"])
+    return means
+
+
+def committed(nodes: DataFrame, swaps: DataFrame, least: float) -> DataFrame:
+    """node_id, lx, ly: a new version of the places, with swaps (node_id, other, gain) applied that gain `least` or more
+    and that both cells want most; all others keep their places."""
+    want = swaps.where(c("gain") >= least)
+    back = want.select(c("other").alias("node_id"), c("node_id").alias("other"))
+    both = want.select("node_id", "other").join(back, ["node_id", "other"])
+    to = nodes.select(c("node_id").alias("other"), c("lx").alias("nx"), c("ly").alias("ny"))
+    rows = nodes.join(both, "node_id", "left").join(to, "other", "left")
+    return rows.select("node_id", F.coalesce("nx", "lx").alias("lx"), F.coalesce("ny", "ly").alias("ly"))
 
 
 def cost_matrix(nodes: DataFrame, positions: DataFrame, k: int = 3) -> DataFrame:

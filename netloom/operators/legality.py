@@ -229,3 +229,29 @@ def box_algebra(macros: DataFrame) -> DataFrame:
     run = lambda a, s: F.least(c(f"a_{a}") + c(f"a_{s}"), c(f"b_{a}") + c(f"b_{s}")) - F.greatest(f"a_{a}", f"b_{a}")
     hull = F.greatest(c("a_lx") + c("a_w"), c("b_lx") + c("b_w")) - F.least("a_lx", "b_lx") + F.greatest(c("a_ly") + c("a_h"), c("b_ly") + c("b_h")) - F.least("a_ly", "b_ly")
     return p.select(c("a_node_id").alias("a"), c("b_node_id").alias("b"), hull.alias("half_perimeter"), (dx + dy).alias("l1"), F.round(F.sqrt(dx * dx + dy * dy), 6).alias("l2"), F.greatest(dx, dy).alias("linf"), F.greatest(run("lx", "w"), run("ly", "h")).alias("parallel_run"))
+
+
+def power_stripes(nodes: DataFrame, pitch: float, width: float) -> DataFrame:
+    """node_id, row, stripe: cells that stand on a vertical stripe [k * pitch, k * pitch + width) in a row of even number."""
+    rows = in_rows(nodes).where("row % 2 = 0").select("node_id", "row", "lx", "w")
+    rows = rows.select("*", F.explode(F.sequence(F.floor(c("lx") / pitch), F.floor((c("lx") + c("w")) / pitch))).alias("stripe"))
+    at = c("stripe") * pitch
+    return rows.where((c("lx") < at + width) & (c("lx") + c("w") > at)).select("node_id", "row", "stripe")
+
+
+def row_rails(nodes: DataFrame) -> DataFrame:
+    """row, x0, x1, orient, conflicts: rows rebuilt to one a site row, flipped in turn, and their cells whose own rail
+    (power below for even sizes) is at the other side."""
+    rows = in_rows(nodes)
+    wrong = (c("row") % 2 == 0) != (c("size") % 2 == 0)
+    return rows.groupBy("row").agg(F.min("lx").alias("x0"), F.max(c("lx") + c("w")).alias("x1"), F.count_if(wrong).alias("conflicts")).select("row", "x0", "x1", F.when(c("row") % 2 == 0, "N").otherwise("FS").alias("orient"), "conflicts")
+
+
+def oriented_shapes(nodes: DataFrame) -> DataFrame:
+    """node_id, x0, x1, y0, y1: an obstacle of high cells, their lower left quarter, after the cell's orientation."""
+    o, w, h = c("size") % 8, c("w"), c("h")
+    swap = o % 2 == 1
+    ow, oh = F.when(swap, h).otherwise(w), F.when(swap, w).otherwise(h)
+    right, top = o.isin(2, 3, 4, 7), o.isin(1, 2, 6, 7)
+    x0, y0 = c("lx") + F.when(right, ow / 2).otherwise(0.0), c("ly") + F.when(top, oh / 2).otherwise(0.0)
+    return nodes.where("h > 2.01").select("node_id", x0.alias("x0"), (x0 + ow / 2).alias("x1"), y0.alias("y0"), (y0 + oh / 2).alias("y1"))

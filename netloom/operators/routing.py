@@ -164,3 +164,84 @@ def obstacle_tracks(nodes: DataFrame) -> DataFrame:
     """row, tracks, length: tracks of pitch 1 that high cells block in each grid row, and the blocked length on them."""
     high = nodes.where("h > 2.01").select("lx", "w", F.explode(F.sequence(c("ly").cast("bigint"), (c("ly") + c("h")).cast("bigint"))).alias("track"))
     return high.groupBy(F.floor(c("track") / 4).alias("row")).agg(F.countDistinct("track").alias("tracks"), F.sum("w").alias("length"))
+
+
+def gcell_obstacles(nodes: DataFrame) -> DataFrame:
+    """x, y, tracks, length: horizontal tracks of pitch 1 that high cells block in each grid cell, and the blocked length."""
+    high = nodes.where("h > 2.01").select("lx", "w", F.explode(F.sequence(c("ly").cast("bigint"), (c("ly") + c("h") - 1).cast("bigint"))).alias("track"))
+    cells = high.select("lx", "w", "track", F.explode(F.sequence(F.floor(c("lx") / CELL), F.ceil((c("lx") + c("w")) / CELL) - 1)).alias("x"))
+    part = F.least(c("lx") + c("w"), (c("x") + 1) * CELL) - F.greatest(c("lx"), c("x") * CELL)
+    return cells.groupBy("x", F.floor(c("track") / CELL).alias("y")).agg(F.countDistinct("track").alias("tracks"), F.sum(part).alias("length"))
+
+
+def fixed_usage(dem: DataFrame, obstacles: DataFrame) -> DataFrame:
+    """x, y, usage, length: wires along x and blocked tracks together, of cells that have either."""
+    wires = dem.where("dir = 'h'").select("x", "y", "demand")
+    rows = wires.join(obstacles, ["x", "y"], "full")
+    return rows.select("x", "y", (F.coalesce("demand", F.lit(0)) + F.coalesce("tracks", F.lit(0))).alias("usage"), F.coalesce("length", F.lit(0.0)).alias("length"))
+
+
+def bends(seg: DataFrame) -> DataFrame:
+    """net_id, pin_id, x, y: the cell of each L route's via."""
+    even = c("pin_id") % 2 == 0
+    return seg.where("x0 <> x1 and y0 <> y1").select("net_id", "pin_id", F.when(even, c("x1")).otherwise(c("x0")).alias("x"), F.when(even, c("y0")).otherwise(c("y1")).alias("y"))
+
+
+def demand_map(dem: DataFrame, seg: DataFrame, cap: int) -> DataFrame:
+    """x, y, wires, vias, total, free: what goes through each cell, and what of two directions' capacity it leaves."""
+    wires = dem.groupBy("x", "y").agg(F.sum("demand").alias("wires"))
+    rows = wires.join(bends(seg).groupBy("x", "y").agg(F.count("*").alias("vias")), ["x", "y"], "full").na.fill(0, ["wires", "vias"])
+    return rows.select("x", "y", "wires", "vias", (c("wires") + c("vias")).alias("total"), (F.lit(2 * cap) - c("wires") - c("vias")).alias("free"))
+
+
+def overflow_vias(seg: DataFrame, dem: DataFrame, cap: int) -> DataFrame:
+    """net_id, vias: the vias of a net in cells where a direction's demand is above capacity."""
+    full = dem.where(c("demand") > cap).select("x", "y").distinct()
+    return bends(seg).join(full, ["x", "y"], "left_semi").groupBy("net_id").agg(F.count("*").alias("vias"))
+
+
+def route_force(routes: DataFrame, con: DataFrame) -> DataFrame:
+    """pin_id, gx, gy: the congestion along a pin's wires, of each direction by itself."""
+    rows = routes.join(con.select("x", "y", "h", "v"), ["x", "y"])
+    return rows.groupBy("pin_id").agg(F.round(F.sum(F.when(c("dir") == "h", c("h")).otherwise(0.0)), 6).alias("gx"), F.round(F.sum(F.when(c("dir") == "v", c("v")).otherwise(0.0)), 6).alias("gy"))
+
+
+def pin_cells(positions: DataFrame) -> DataFrame:
+    """pin_id, x, y: each pin's grid cell."""
+    return positions.select("pin_id", F.floor(c("px") / CELL).cast("bigint").alias("x"), F.floor(c("py") / CELL).cast("bigint").alias("y"))
+
+
+def net_topology(positions: DataFrame) -> DataFrame:
+    """net_id, x, y, k: the distinct cells of nets with two or more, numbered by x, then y."""
+    cells = positions.select("net_id", F.floor(c("px") / CELL).cast("bigint").alias("x"), F.floor(c("py") / CELL).cast("bigint").alias("y")).distinct()
+    w = Window.partitionBy("net_id")
+    rows = cells.withColumns({"n": F.count("*").over(w), "k": F.row_number().over(w.orderBy("x", "y")) - 1}).where("n > 1")
+    return rows.select("net_id", "x", "y", c("k").cast("bigint").alias("k"))
+
+
+def best_solution(log: DataFrame) -> DataFrame:
+    """run, iter, shorts: the routing round with the fewest shorts; of equal ones the first."""
+    rows = log.select("run", "iter", F.floor(c("hpwl") / 10).alias("shorts"))
+    return rows.groupBy("run").agg(F.min(F.struct("shorts", "iter")).alias("b")).select("run", "b.iter", "b.shorts")
+
+
+def inflation(nodes: DataFrame, ratios: DataFrame, budget: float) -> DataFrame:
+    """node_id, ratio, area: cells grown by what their ratio has above 1, all scaled down together where the added area is
+    above `budget`."""
+    grow = F.greatest(F.lit(0.0), c("ratio") - 1)
+    rows = nodes.join(ratios, "node_id").select("node_id", (c("w") * c("h")).alias("a"), grow.alias("g"))
+    total = rows.agg(F.greatest(F.sum(c("a") * c("g")), F.lit(1e-9)).alias("t"))
+    scale = F.least(F.lit(1.0), budget / c("t"))
+    return rows.join(F.broadcast(total)).select("node_id", F.round(1 + c("g") * scale, 6).alias("ratio"), F.round(c("a") * (1 + c("g") * scale), 6).alias("area"))  # one row
+
+
+def spacing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, space: what two shapes must keep apart, by the wider one's width and their parallel run, out of a table: the
+    row of the last width and the column of the last run that are not above theirs."""
+    widths, runs = (0.0, 2.0, 4.0), (-1000.0, 0.0, 2.0)
+    table = F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.5, 0.75, 1.0, 0.75, 1.0, 2.0)])
+    place = lambda v, axis: F.size(F.filter(F.array(*[F.lit(x) for x in axis]), lambda x: x <= v)) - 1
+    own = lambda n: nodes.select(c("node_id").alias(n), F.least("w", "h").alias(f"w{n}"))
+    rows = pairs.join(own("a"), "a").join(own("b"), "b")
+    at = place(F.greatest("wa", "wb"), widths) * len(runs) + place(c("parallel_run"), runs) + 1
+    return rows.select("a", "b", F.element_at(table, at.cast("int")).alias("space"))

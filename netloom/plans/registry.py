@@ -12,6 +12,7 @@ from netloom.operators import detailed as dp
 from netloom.operators import grid as gd
 from netloom.operators import legality as lg
 from netloom.operators import netstats as ns
+from netloom.operators import propagation as pg
 from netloom.operators import routing as rt
 from netloom.operators import timing as tm
 from netloom.operators import wirelength as wl
@@ -269,19 +270,114 @@ query("kreorder_best_perm", lambda n: dp.kreorder(n.nodes, n.pin_positions), """
     from cells3 join (values ('012', 0, 0), ('012', 1, 1), ('012', 2, 2), ('021', 0, 0), ('021', 2, 1), ('021', 1, 2), ('102', 1, 0), ('102', 0, 1), ('102', 2, 2), ('120', 1, 0), ('120', 2, 1), ('120', 0, 2), ('201', 2, 0), ('201', 0, 1), ('201', 1, 2), ('210', 2, 0), ('210', 1, 1), ('210', 0, 2)) t(perm, slot, rank) using (slot)) group by 1, 2, 3) group by row, g""",
   WIN + """, pull as (select node_id, avg(mid) as goal, count(*) as pins from pp join mids using (net_id) group by node_id),
 cells3 as (select *, min(lx) over (partition by row, g) as left_ from rw join pull using (node_id) qualify count(*) over (partition by row, g) = 3)""")
-query("swap_delta_hpwl", lambda n: dp.swap_gains(n.nodes, n.pin_positions), """select an as node_id, arg_max(bn, (gain, -bn)) as other, max(gain) as gain from (select a.node_id as an, b.node_id as bn,
+SWAPS = """pl as (select net_id, avg(px) as mx, avg(py) as my from pp group by net_id), gl as (select node_id, avg(mx) as gx, avg(my) as gy from pp join pl using (net_id) group by node_id), cl as (select nodes.*, gx, gy from nodes join gl using (node_id) where h <= 2.01),
+sw as (select an as node_id, arg_max(bn, (gain, -bn)) as other, max(gain) as gain from (select a.node_id as an, b.node_id as bn,
   round(abs(a.lx - a.gx) + abs(a.ly - a.gy) + (abs(b.lx - b.gx) + abs(b.ly - b.gy)) - (abs(b.lx - a.gx) + abs(b.ly - a.gy)) - (abs(a.lx - b.gx) + abs(a.ly - b.gy)), 6) as gain
-  from cl a join cl b on a.w = b.w and floor(a.lx / 4) = floor(b.lx / 4) and floor(a.ly / 4) = floor(b.ly / 4) and a.node_id <> b.node_id) where gain > 0 group by an""",
-  """pl as (select net_id, avg(px) as mx, avg(py) as my from pp group by net_id), gl as (select node_id, avg(mx) as gx, avg(my) as gy from pp join pl using (net_id) group by node_id), cl as (select nodes.*, gx, gy from nodes join gl using (node_id) where h <= 2.01)""")
+  from cl a join cl b on a.w = b.w and floor(a.lx / 4) = floor(b.lx / 4) and floor(a.ly / 4) = floor(b.ly / 4) and a.node_id <> b.node_id) where gain > 0 group by an)"""
+query("swap_delta_hpwl", lambda n: dp.swap_gains(n.nodes, n.pin_positions), "select node_id, other, gain from sw", SWAPS)
+query("committed_swaps", lambda n: dp.committed(n.nodes, dp.swap_gains(n.nodes, n.pin_positions), 1.0), """select a.node_id, coalesce(b.lx, a.lx) as lx, coalesce(b.ly, a.ly) as ly from nodes a
+  left join (select p.node_id, p.other from sw p join sw q on p.node_id = q.other and p.other = q.node_id where p.gain >= 1 and q.gain >= 1) s on s.node_id = a.node_id left join nodes b on b.node_id = s.other""", SWAPS)
 NBR = "nb as (select distinct a.node_id as a, b.node_id as b from pp a join pp b using (net_id) join box using (net_id) where degree between 2 and 8 and a.node_id <> b.node_id)"
 query("mis_round", lambda n: dp.independent_round(n.nodes, dp.neighbours(n.pin_positions, MAX_DEGREE)), """select node_id from nodes left join (select a, min((b * 40503 + 7) % 65536 * 1048576 + b) as least from nb group by a) on a = node_id where least is null or (node_id * 40503 + 7) % 65536 * 1048576 + node_id < least""", BOX + ", " + NBR)
 query("net_neighbours", lambda n: dp.neighbours(n.pin_positions, MAX_DEGREE), "select a, b from nb", BOX + ", " + NBR)
-query("kmeans_step", lambda n: dp.kmeans_step(n.nodes, 12), """select centre, count(*) as n, round(avg(lx), 9) as x, round(avg(ly), 9) as y from (select node_id, any_value(lx) as lx, any_value(ly) as ly, arg_min(i, (abs(lx - (37 * i) % 128) + abs(ly - (23 * i) % 64), i)) as centre from nodes, range(12) c(i) group by node_id) group by centre""")
+KM = "km0 as (select i, (37 * i % 128)::double as x, (23 * i % 64)::double as y from range(12) c(i))"
+for _k in range(1, 4):
+    KM += f""",
+ks{_k} as (select node_id, any_value(lx) as lx, any_value(ly) as ly, arg_min(i, (abs(lx - x) + abs(ly - y), i)) as centre from nodes, km{_k - 1} group by node_id),
+kn{_k} as (select centre, count(*) as n, round(avg(lx), 6) as x, round(avg(ly), 6) as y from ks{_k} group by centre),
+km{_k} as (select i, coalesce(kn{_k}.x, km{_k - 1}.x) as x, coalesce(kn{_k}.y, km{_k - 1}.y) as y from km{_k - 1} left join kn{_k} on centre = i)"""
+query("kmeans", lambda n: dp.kmeans(n.nodes, 12), "select centre, n, x, y from kn3", KM)
 query("matching_costs", lambda n: dp.cost_matrix(n.nodes, n.pin_positions), "select a.row, a.g, a.node_id, b.slot, sum(abs(b.lx + a.w / 2 - mid)) as cost from rw a join rw b on a.row = b.row and a.g = b.g join pp on pp.node_id = a.node_id join mids using (net_id) group by 1, 2, 3, 4", WIN)
 query("matching", lambda n: dp.matched(dp.cost_matrix(n.nodes, n.pin_positions)))
 query("abacus_rows", lambda n: dp.abacus_rows(n.nodes, 100_000.0))
 query("displacement", lambda n: dp.displacement(n.nodes, dp.abacus_rows(n.nodes, 100_000.0)))
 
+# More of routing
+OBST = """obs as (select x, t // 4 as y, count(distinct t) as tracks, sum(least(lx + w, (x + 1) * 4.0) - greatest(lx, x * 4.0)) as length
+  from macros, unnest(range(ly::bigint, (ly + h)::bigint)) u(t), unnest(range(floor(lx / 4)::bigint, ceil((lx + w) / 4)::bigint)) v(x) group by 1, 2)"""
+BENDS = SEG + """,
+bnd as (select net_id, pin_id, case when pin_id % 2 = 0 then x1 else x0 end as x, case when pin_id % 2 = 0 then y0 else y1 end as y from seg where x0 <> x1 and y0 <> y1)"""
+query("gcell_obstacles", lambda n: rt.gcell_obstacles(n.nodes), "select x, y, tracks, length from obs", OBST)
+query("fixed_usage", lambda n: rt.fixed_usage(dem(n), rt.gcell_obstacles(n.nodes)), "select x, y, coalesce(demand, 0) + coalesce(tracks, 0) as usage, coalesce(length, 0.0) as length from (select * from dem where dir = 'h') full join obs using (x, y)", SEG + ", " + OBST)
+query("demand_map", lambda n: rt.demand_map(dem(n), seg(n), CAP), f"""select x, y, wires, vias, wires + vias as total, {2 * CAP} - wires - vias as free from (select x, y, coalesce(wires, 0)::bigint as wires, coalesce(vias, 0)::bigint as vias
+  from (select x, y, sum(demand) as wires from dem group by x, y) full join (select x, y, count(*) as vias from bnd group by x, y) using (x, y))""", BENDS)
+query("overflow_vias", lambda n: rt.overflow_vias(seg(n), dem(n), CAP), f"select net_id, count(*) as vias from bnd where (x, y) in (select (x, y) from dem where demand > {CAP}) group by net_id", BENDS)
+query("route_force", lambda n: rt.route_force(routes(n), rt.congestion(dem(n), CAP)), "select pin_id, round(sum(case when dir = 'h' then h else 0.0 end), 6) as gx, round(sum(case when dir = 'v' then v else 0.0 end), 6) as gy from rts join con using (x, y) group by pin_id", CON)
+query("congestion_force", lambda n: gd.density_gather(n.nodes, rt.congestion(dem(n), CAP).select(F_col("x").alias("ix"), F_col("y").alias("iy"), F_col("total").alias("density")), BIN, n.nx, n.ny).select("node_id", wl.tidy(F_col("force"), 6).alias("force")), f"select node_id, {_r('sum(part * total)')} as force from cells join con on ix = x and iy = y group by node_id", CELLS + ", " + CON)
+query("pin_cells", lambda n: rt.pin_cells(n.pin_positions), "select pin_id, floor(px / 4)::bigint as x, floor(py / 4)::bigint as y from pp")
+query("net_topology", lambda n: rt.net_topology(n.pin_positions), "select net_id, x, y, row_number() over (partition by net_id order by x, y) - 1 as k from (select distinct net_id, floor(px / 4)::bigint as x, floor(py / 4)::bigint as y from pp) qualify count(*) over (partition by net_id) > 1")
+query("best_gr_solution", lambda n: rt.best_solution(n.metrics), "select run, arg_min(iter, (floor(hpwl / 10), iter)) as iter, min(floor(hpwl / 10))::bigint as shorts from metrics group by run")
+query("cell_inflation", lambda n: rt.inflation(n.nodes, gd.inflate_ratio(n.nodes, congested(n), BIN, n.nx, n.ny, "avg"), 200.0), """select node_id, round(1 + g * s, 6) as ratio, round(a * (1 + g * s), 6) as area from (select *, least(1.0, 200.0 / greatest(sum(a * g) over (), 1e-9)) as s
+  from (select node_id, any_value(w * h) as a, greatest(0.0, round(sum(part * density) / sum(part), 9) - 1) as g from cells join den using (ix, iy) join nodes using (node_id) group by node_id))""", CELLS)
+query("shape_spacing", lambda n: rt.spacing(lg.box_algebra(n.macros).select("a", "b", "parallel_run"), n.nodes), """select an as a, bn as b, [0.25, 0.5, 0.75, 0.5, 0.75, 1.0, 0.75, 1.0, 2.0][((w >= 2)::int + (w >= 4)::int) * 3 + (run >= 0)::int + (run >= 2)::int + 1]::double as space from
+  (select *, greatest(least(aw, ah), least(bw, bh)) as w, greatest(least(ax + aw, bx + bw) - greatest(ax, bx), least(ay + ah, by_ + bh) - greatest(ay, by_)) as run from mp)""", MP)
+query("obstacle_shapes", lambda n: lg.oriented_shapes(n.nodes), """select node_id, x0, x0 + ow / 2 as x1, y0, y0 + oh / 2 as y1 from (select node_id, ow, oh, lx + case when o in (2, 3, 4, 7) then ow / 2 else 0 end as x0, ly + case when o in (1, 2, 6, 7) then oh / 2 else 0 end as y0
+  from (select *, size % 8 as o, case when size % 2 = 1 then h else w end as ow, case when size % 2 = 1 then w else h end as oh from macros))""")
+query("power_stripes", lambda n: lg.power_stripes(n.nodes, 16.0, 1.0), "select node_id, row, k as stripe from inrow, unnest(range(floor(lx / 16)::bigint, floor((lx + w) / 16)::bigint + 1)) s(k) where row % 2 = 0 and lx < k * 16 + 1 and lx + w > k * 16", ROWS)
+query("row_rails", lambda n: lg.row_rails(n.nodes), "select row, min(lx) as x0, max(lx + w) as x1, case when row % 2 = 0 then 'N' else 'FS' end as orient, count(*) filter ((row % 2 = 0) <> (size % 2 = 0)) as conflicts from inrow group by row", ROWS)
+query("nesterov_steps", lambda n: cv.nesterov(n.spark, 30), "select k, round(a, 9) as a from s", "z as (select 1), s as (with recursive r(k, a) as (select 0::bigint, 1.0::double union all select k + 1, (1 + sqrt(4 * a * a + 1)) / 2 from r where k < 29) select * from r)")
+
+# More of timing
+GRAPH = LEVELS + """,
+g as (select src, dst, delay - 1 as wire, n::double as load, case (src + dst) % 3 when 0 then 'positive' when 1 then 'negative' else 'either' end as sense from arcs join (select src, count(*) as n from arcs group by src) using (src))"""
+_COLS = [f"{k}_{el}_{rf}" for k in ("at", "slew") for el, rf in pg.STATES]
+PROP = GRAPH + ",\npr0 as (select node_id, level, " + ", ".join(f"{0.0 if x.startswith('at') else 0.5}::double as {x}" for x in _COLS) + " from lv where level = 0)"
+
+
+def _along(kind: str, el: str, after: str) -> str:
+    out = []
+    for before in ("rise", "fall"):
+        s = f"p.slew_{el}_{before}"
+        if kind == "at":
+            value = f"p.at_{el}_{before} + (0.5 + {s} / 4 + g.load / 16 + {s} * g.load / 64 + {0.125 if after == 'rise' else 0.0}) + g.wire"
+        else:
+            value = f"sqrt(pow(0.25 + {s} / 8 + g.load / 32 + {0.0625 if after == 'rise' else 0.0}, 2) + g.wire * g.wire)"
+        out.append(f"case when g.sense in ('either', '{'positive' if before == after else 'negative'}') then {value} end")
+    return f"{'min' if el == 'early' else 'max'}({'least' if el == 'early' else 'greatest'}({', '.join(out)})) as {kind}_{el}_{after}"
+
+
+for _k in range(1, 6):
+    PROP += f",\npr{_k} as (select * from pr{_k - 1} union all select g.dst, lv.level, " + ", ".join(_along(k, el, rf) for k in ("at", "slew") for el, rf in pg.STATES) + f" from g join lv on lv.node_id = g.dst join pr{_k - 1} p on p.node_id = g.src where lv.level = {_k} group by g.dst, lv.level)"
+states = lambda n: pg.propagate(pg.timing_graph(n.arcs))
+query("timing_graph", lambda n: pg.timing_graph(n.arcs), "select src, dst, wire, load, sense from g", GRAPH)
+for _kind, _label in (("at", "corner_arrivals"), ("slew", "corner_slews")):
+    query(_label, lambda n, k=_kind: pg.rounded(states(n), k), "select node_id, level, " + ", ".join(f"round({x}, 6) as {x}" for x in _COLS if x.startswith(_kind)) + " from pr5", PROP)
+query("constraint_slack", lambda n: (lambda g: pg.constraint_slacks(g, pg.propagate(g), 9.0))(pg.timing_graph(n.arcs)), " union all ".join(f"select node_id, '{rf}' as rf, round(at_early_{rf} - (0.25 + slew_early_{rf} / 4), 6) as hold, round(9.0 - (0.5 + slew_late_{rf} / 2) - at_late_{rf}, 6) as setup from pr5 where node_id not in (select src from arcs)" for rf in ("rise", "fall")), PROP)
+TREE = """tr0 as (select net_id, pin_id, px, py, row_number() over (partition by net_id order by px, py, pin_id) - 1 as k from pp qualify count(*) over (partition by net_id) <= 8),
+tr1 as (select *, case when k > 0 then (k - 1) // 2 end as parent, floor(log2(k + 1.0000001))::bigint as depth from tr0),
+tre as (select a.net_id, a.pin_id, a.k, a.parent, a.depth, 1 + coalesce(abs(a.px - b.px) + abs(a.py - b.py), 0) / 8 as cap, coalesce(abs(a.px - b.px) + abs(a.py - b.py), 0) / 4 as res from tr1 a left join tr1 b on b.net_id = a.net_id and b.k = a.parent),
+anc as (select net_id, k, (floor((k + 1) / pow(2, j)) - 1)::bigint as a from tre, unnest(range(depth + 1)) u(j)),
+t1 as (select anc.net_id, anc.a as k, sum(cap) as load from anc join tre using (net_id, k) group by 1, 2),
+t2 as (select anc.net_id, anc.k, sum(res * load) as delay from anc join tre on tre.net_id = anc.net_id and tre.k = anc.a join t1 on t1.net_id = anc.net_id and t1.k = anc.a group by 1, 2),
+t3 as (select anc.net_id, anc.a as k, sum(cap * delay) as weighted from anc join tre using (net_id, k) join t2 using (net_id, k) group by 1, 2),
+t4 as (select anc.net_id, anc.k, sum(res * weighted) as beta from anc join tre on tre.net_id = anc.net_id and tre.k = anc.a join t3 on t3.net_id = anc.net_id and t3.k = anc.a group by 1, 2),
+elm as (select net_id, pin_id, load, delay, round(sqrt(greatest(0.0, 2 * beta - delay * delay)), 6) as impulse from tre join t1 using (net_id, k) join t2 using (net_id, k) join t4 using (net_id, k))"""
+trees = lambda n: pg.rc_trees(n.pin_positions, MAX_DEGREE)
+query("rc_trees", trees, "select net_id, pin_id, k, parent, depth, cap, res from tre", TREE)
+query("rc_tree_delay", lambda n: pg.elmore(trees(n)), "select pin_id, load, delay, impulse from elm", TREE)
+query("rc_calibration", lambda n: pg.calibration(tm.star_rc(n.stars, 0.25, 0.5).join(n.pins.select("pin_id", "net_id"), "pin_id"), pg.elmore(trees(n)).join(n.pins.select("pin_id", "net_id"), "pin_id")), """select net_id, round(max(load) / any_value(sl), 6) as load_ratio, round(greatest(0.0, max(delay) - any_value(sd)), 6) as compensation from elm
+  join (select net_id, sum(0.25 * d / 2 + 1) as sl, max(0.5 * d * (0.25 * d / 2 + 1)) as sd from (select net_id, abs(px - root_px) + abs(py - root_py) as d from stars) group by net_id) using (net_id) group by net_id""", TREE)
+query("point_report", lambda n: pg.point_report(at(n), tm.required(n.arcs, PERIOD), n.arcs, F_col("node_id") % 10 == 0), "select node_id, at_late as arrival, rat as required, rat - at_late as slack, coalesce(load, 0) as load from arr join req using (node_id) left join (select src as node_id, count(*) as load from arcs group by src) using (node_id) where node_id % 10 = 0", RATS)
+
+
+def _near_worst(n):
+    a = at(n)
+    ends = tm.endpoint_slacks(n.arcs, a, PERIOD, 1.5)
+    worst = ends.agg({"late": "min"}).first()[0]
+    k = 0 if worst is None else ends.where(F_col("late") <= worst + 0.25).count()
+    return tm.path_criticality(tm.k_paths(ends, a, k), a)
+
+
+query("near_worst_criticality", _near_worst, """select node_id, count(*) as visits, round(sum((at_late - coalesce(before, 0.0)) / ((1 + rank) * (1 + rank))), 9) as criticality
+  from (select *, lead(at_late) over (partition by rank order by step) as before from paths join (select node_id, at_late from arr) using (node_id)) group by node_id""", RATS + ", " + PATHS.replace("order by late, node_id limit 20", "where late <= (select min(late) from ends) + 0.25"))
+query("pin_weights", lambda n: pg.pin_weights(_slack(n).select("node_id", "slack"), tm.path_criticality(*_paths(n, 20)), 0.5, 0.75), """select node_id, round(0.75 * (0.75 + 0.25 * goal) + 0.25 * goal, 6) as weight from (select slk.node_id, 1 + 0.5 * greatest(0.0, -slack) / greatest(-(select min(slack) from slk), 1e-9) + 0.5 * coalesce(cr, 0.0) / (select greatest(max(cr), 1e-9) from crt) as goal
+  from slk left join crt using (node_id))""", RATS + ", " + PATHS + """, crt as (select node_id, round(sum((at_late - coalesce(before, 0.0)) / ((1 + rank) * (1 + rank))), 9) as cr
+  from (select *, lead(at_late) over (partition by rank order by step) as before from paths join (select node_id, at_late from arr) using (node_id)) group by node_id)""")
+EDGES = MP + """, he as (select case when ax <= bx then an else bn end as a, case when ax <= bx then bn else an end as b from mp where gx >= gy),
+fw as (with recursive r(n, l) as (select distinct a, 0.0::double from he where a not in (select b from he) union all select he.b, l + w from r join he on he.a = n join macros m on m.node_id = n) select n, max(l) as low from r group by n),
+bw as (with recursive r(n, l) as (select distinct b, 0.0::double from he where b not in (select a from he) union all select he.a, l + w from r join he on he.b = n join macros m on m.node_id = n) select n, max(l) as after from r group by n)"""
+query("macro_bounds", lambda n: pg.longest_bounds(lg.constraint_graph(n.macros).where("kind = 'h'").select("a", "b"), n.macros.select("node_id", F_col("w").alias("s")), 128.0), "select node_id, low, 128 - after - w as high, 128 - after - w - low as slack from fw join bw using (n) join macros on node_id = n", EDGES)
+
 # Formats
 for _name, _build, _sql in roundtrips.TRIPS:
     query(_name, _build, _sql)
