@@ -376,7 +376,7 @@ query("pin_weights", lambda n: pg.pin_weights(_slack(n).select("node_id", "slack
 EDGES = MP + """, he as (select case when ax <= bx then an else bn end as a, case when ax <= bx then bn else an end as b from mp where gx >= gy),
 fw as (with recursive r(n, l) as (select distinct a, 0.0::double from he where a not in (select b from he) union all select he.b, l + w from r join he on he.a = n join macros m on m.node_id = n) select n, max(l) as low from r group by n),
 bw as (with recursive r(n, l) as (select distinct b, 0.0::double from he where b not in (select a from he) union all select he.a, l + w from r join he on he.b = n join macros m on m.node_id = n) select n, max(l) as after from r group by n)"""
-query("macro_bounds", lambda n: pg.longest_bounds(lg.constraint_graph(n.macros).where("kind = 'h'").select("a", "b"), n.macros.select("node_id", F_col("w").alias("s")), 128.0), "select node_id, low, 128 - after - w as high, 128 - after - w - low as slack from fw join bw using (n) join macros on node_id = n", EDGES)
+query("macro_bounds", lambda n: pg.longest_bounds(lg.constraint_graph(n.macros).where("kind = 'h'").select("a", "b"), n.macros.select("node_id", F_col("w").alias("s")), n.die_w), "select node_id, low, $W - after - w as high, $W - after - w - low as slack from fw join bw using (n) join macros on node_id = n", EDGES)
 
 # Formats
 for _name, _build, _sql in roundtrips.TRIPS:
