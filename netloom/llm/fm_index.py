@@ -55,58 +55,54 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
 class FMIndex:
     """Index of sequences of non-negative integers laid end to end; `ends` has the end of each.
 
-    A separator of its own stands after each sequence, so no match runs over an end."""
+    A separator of its own stands after each sequence, so no match runs over an end. Kept are the wavelet matrix of the
+    last column, the first places of the symbols, and, of the suffix array, only the owner of each suffix (`owners`: of
+    each value)."""
 
-    def __init__(self, values: np.ndarray, ends: np.ndarray):
+    def __init__(self, values: np.ndarray, ends: np.ndarray, owners: np.ndarray | None = None):
         self.alphabet, inverse = np.unique(values, return_inverse=True)
         m, n = len(ends), len(values)
-        self.place = np.arange(n) + np.repeat(np.arange(m), np.diff(np.concatenate(([0], ends))))  # of each value in the text
-        text = np.full(n + m, -1, dtype=np.int64)
-        text[self.place] = inverse
-        gaps = np.flatnonzero(text < 0)
-        full = text + m
+        place = np.arange(n) + np.repeat(np.arange(m), np.diff(np.concatenate(([0], ends))))  # of each value in the text
+        full = np.full(n + m, -1, dtype=np.int64)
+        full[place] = inverse + m
+        gaps = np.flatnonzero(full < 0)
         full[gaps] = np.arange(m)
-        self.text = np.maximum(text + 1, 0)  # separators are 0
-        self.order = suffix_order(full)
-        last = self.text[self.order - 1]
-        levels = max(1, int(len(self.alphabet)).bit_length())
-        self.tree = WaveletMatrix(last, levels)
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(self.text, minlength=len(self.alphabet) + 1))))
+        order = suffix_order(full)
+        text = np.maximum(full - m + 1, 0)  # separators are 0
+        self.size = n + m
+        self.tree = WaveletMatrix(text[order - 1], max(1, int(len(self.alphabet)).bit_length()))
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(self.alphabet) + 1))))
         symbols = np.arange(len(self.alphabet) + 1)
         self.start = self.tree.places(symbols, np.zeros(len(symbols), np.int64))
+        self.owner = None
+        if owners is not None:
+            of = np.full(n + m, np.iinfo(np.int64).max)
+            of[place] = owners
+            self.owner = of[order]
 
-    def find(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """The suffix intervals [low, high) of the patterns of `length` values that stand at text places `at`."""
-        symbol = self.text[at + length - 1]
-        low, high = self.first[symbol], self.first[symbol + 1]
-        for k in range(length - 2, -1, -1):
-            symbol = self.text[at + k]
-            base = self.first[symbol] - self.start[symbol]
-            low, high = base + self.tree.places(symbol, low), base + self.tree.places(symbol, high)
-        return low, high
+    def matching_statistics(self, pattern: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each place of a pattern of raw values, the length of its longest match in the index, up to `most`, and the
+        suffix interval [low, high) of a match of `most` values (empty where there is none).
 
-    def matching_statistics(self, pattern: np.ndarray, most: int) -> np.ndarray:
-        """For each place of a pattern of raw values, the length of its longest match in the index, up to `most`.
-
-        All places move together: place i looks for pattern[i : i + l], by backward search of each length."""
+        All places move together: a match of length l at i is one of length l - 1 at i + 1, led by the value at i, so each
+        step of backward search serves the places before."""
         where = np.searchsorted(self.alphabet, pattern)
         where = np.minimum(where, max(0, len(self.alphabet) - 1))
         symbols = np.where(self.alphabet[where] == pattern, where + 1, 0) if len(self.alphabet) else np.zeros(len(pattern), np.int64)
         out = np.zeros(len(pattern), dtype=np.int64)
-        # low and high of the reversed growth: a match of length l at i is one of length l - 1 at i + 1, led by symbol i
-        low, high = np.zeros(len(pattern) + 1, np.int64), np.full(len(pattern) + 1, len(self.text), np.int64)
+        low, high = np.zeros(len(pattern) + 1, np.int64), np.full(len(pattern) + 1, self.size, np.int64)
         for length in range(1, most + 1):
             n = len(pattern) - length + 1
             if n <= 0:
+                low, high = np.zeros(1, np.int64), np.zeros(1, np.int64)
                 break
             s = symbols[:n]
             base = self.first[s] - self.start[s]
             l = base + self.tree.places(s, low[1 : n + 1])
             h = base + self.tree.places(s, high[1 : n + 1])
             ok = (h > l) & (s > 0)
-            low, high = np.where(ok, l, 0), np.where(ok, h, 0)
-            low, high = np.append(low, 0), np.append(high, 0)
+            low, high = np.append(np.where(ok, l, 0), 0), np.append(np.where(ok, h, 0), 0)
             out[:n][ok] = length
-            if not ok.any():
-                break
-        return out
+        bounds = np.zeros((2, len(pattern)), dtype=np.int64)
+        bounds[0, : len(low) - 1], bounds[1, : len(high) - 1] = low[:-1], high[:-1]
+        return out, bounds[0], bounds[1]

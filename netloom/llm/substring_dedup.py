@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import blocks_of, gram_hashes, hashed_texts, word_hashes
+from netloom.llm.common import blocks_of, gram_hashes, hashed_texts, repeat_ranges, word_hashes
 from netloom.llm.fm_index import FMIndex
 
 #: Words of an anchor, windows of one fragment at most, and bytes of text for each shard.
 ANCHOR, FRAGMENT, SHARD_BYTES = 5, 20, 16_000_000
+#: Words that stream through an index at once.
+STREAMED = 1 << 17
 #: Anchors and words that a task gathers before it sends them on.
 GATHERED_ANCHORS, GATHERED_WORDS = 1_500_000, 1_000_000
 
@@ -192,8 +194,10 @@ def _fragment_rows(docs: DataFrame, window: int, shards: int) -> DataFrame:
 def repeats_in_shard(lens: np.ndarray, words: np.ndarray, ids: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(fragment, window in it) of the windows that a fragment with a smaller id holds too.
 
-    Equal fragments are indexed once, with their smallest id. A window's occurrences are an interval of the suffix
-    array, found by backward search; the intervals of different windows are apart, so one pass takes their minima."""
+    Equal fragments are indexed once, with their smallest id. The fragments then stream through the index, STREAMED words
+    at a time, as patterns of matching statistics: where the longest match reaches a window, its occurrences are an
+    interval of the suffixes, whose smallest owner is the first document that holds it. Intervals of different windows
+    are apart, so one pass takes their minima."""
     begin = np.cumsum(lens) - lens
     within = np.arange(lens.sum()) - np.repeat(begin, lens)
     odd = (within.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -205,28 +209,22 @@ def repeats_in_shard(lens: np.ndarray, words: np.ndarray, ids: np.ndarray, windo
     least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, same, ids)
     n = lens[first]
-    at = np.arange(n.sum()) + np.repeat(begin[first] - (np.cumsum(n) - n), n)
-    index = FMIndex(words[at], np.cumsum(n))
-    start = np.cumsum(n) - n
+    text = words[repeat_ranges(begin[first], n)]
+    index = FMIndex(text, np.cumsum(n), np.repeat(least, n))
     windows = n - window + 1
     inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    place = index.place[np.repeat(start, windows) + inner]
-    owner = np.concatenate((np.repeat(least, n), np.zeros(len(n), np.int64)))
-    spot = np.full(len(index.text), -1, dtype=np.int64)
-    spot[index.place] = np.arange(len(index.place))
-    by_order = np.where(spot[index.order] >= 0, np.repeat(least, n)[np.maximum(spot[index.order], 0)], np.iinfo(np.int64).max)
-    del owner
-    low = np.empty(len(place), np.int64)
-    for i in range(0, len(place), 1 << 17):  # bounds the memory of a step
-        low[i : i + (1 << 17)], _ = index.find(place[i : i + (1 << 17)], window)
-    cuts, back = np.unique(low, return_inverse=True)
-    high = np.empty(len(cuts), np.int64)
-    one = np.empty(len(cuts), np.int64)
-    one[back] = place
-    for i in range(0, len(cuts), 1 << 17):
-        _, high[i : i + (1 << 17)] = index.find(one[i : i + (1 << 17)], window)
-    bounds = np.stack([cuts, high], 1).ravel()
-    minima = np.minimum.reduceat(np.append(by_order, np.iinfo(np.int64).max), bounds)[::2]
+    place = np.repeat(np.cumsum(n) - n, windows) + inner  # of each window in the text
+    low, high = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+    for i in range(0, len(text), STREAMED):
+        own = slice(*np.searchsorted(place, (i, i + STREAMED)))
+        length, l, r = index.matching_statistics(text[i : i + STREAMED + window - 1], window)
+        at = place[own] - i
+        if (length[at] < window).any():
+            raise RuntimeError("a fragment of the index is not found in it")
+        low[own], high[own] = l[at], r[at]
+    cuts, one, back = np.unique(low, return_index=True, return_inverse=True)
+    bounds = np.stack([cuts, high[one]], 1).ravel()
+    minima = np.minimum.reduceat(np.append(index.owner, np.iinfo(np.int64).max), bounds)[::2]
     of_window = minima[back]
     offset = np.cumsum(windows) - windows
     for i in range(0, len(lens), 1 << 16):

@@ -65,19 +65,39 @@ def test_index_finds_what_a_scan_finds():
     seqs = [rng.integers(0, 4, n) for n in (30, 1, 17, 40)]
     index = fm_index.FMIndex(np.concatenate(seqs).astype(np.uint64), np.cumsum([len(s) for s in seqs]))
     pattern = rng.integers(0, 5, 60).astype(np.uint64)
-    got = index.matching_statistics(pattern, 12)
-    for i in range(len(pattern)):
-        best = 0
-        for n in range(1, min(12, len(pattern) - i) + 1):
-            p = pattern[i : i + n]
-            if any((s[j : j + n] == p).all() for s in seqs for j in range(len(s) - n + 1)):
+    owners = np.repeat(np.arange(4) + 70, [len(x) for x in seqs])
+    index = fm_index.FMIndex(np.concatenate(seqs).astype(np.uint64), np.cumsum([len(s) for s in seqs]), owners)
+    for most in (3, 12):
+        got, low, high = index.matching_statistics(pattern, most)
+        for i in range(len(pattern)):
+            best, held = 0, []
+            for n in range(1, min(most, len(pattern) - i) + 1):
+                p = pattern[i : i + n]
+                held = [70 + k for k, s in enumerate(seqs) for j in range(len(s) - n + 1) if (s[j : j + n] == p).all()]
+                if not held:
+                    break
                 best = n
-        assert got[i] == best
-    at = index.place[:20]
-    low, high = index.find(at, 5)
-    text = index.text
-    for a, l, h in zip(at, low, high):
-        assert h - l == sum((text[j : j + 5] == text[a : a + 5]).all() for j in range(len(text) - 4))
+            assert got[i] == best
+            assert sorted(index.owner[low[i] : high[i]]) == (sorted(held) if best == most else [])
+
+
+def test_repeats_come_from_matching_statistics(monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(substring_dedup, "STREAMED", 17)
+    lens, ids = rng.integers(4, 9, 60), rng.integers(0, 12, 60)
+    words = rng.integers(0, 3, lens.sum()).astype(np.uint64)
+    begin = np.cumsum(lens) - lens
+    first = {}
+    for b, n, d in zip(begin, lens, ids):
+        for i in range(n - 3):
+            k = tuple(words[b + i : b + i + 4])
+            first[k] = min(first.get(k, 99), d)
+    want = {(f, i) for f, (b, n, d) in enumerate(zip(begin, lens, ids)) for i in range(n - 3) if first[tuple(words[b + i : b + i + 4])] < d}
+    got = {(int(a), int(b)) for x, y in substring_dedup.repeats_in_shard(lens, words, ids, 4) for a, b in zip(x, y)}
+    assert got == want and len(want) > 50
+    monkeypatch.setattr(fm_index.FMIndex, "matching_statistics", lambda *_: (np.zeros(9, int),) * 3)
+    with pytest.raises((RuntimeError, IndexError)):
+        list(substring_dedup.repeats_in_shard(lens, words, ids, 4))
 
 
 @pytest.mark.parametrize("window", [3, 13])
