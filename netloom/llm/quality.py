@@ -245,8 +245,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str] = ("doc_
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = ACCEPT) -> DataFrame:
     """docs without those that score below `least`; texts are read a second time, by the fitted model. Rows with a null
-    doc_id or text are judged by their text as all others are."""
+    doc_id or text are judged by their text as all others are, repeated ones each for itself. Without positive labels to
+    learn from nothing is rejected."""
     _, model = score_documents(docs.select("doc_id", "text"), labels)
+    if not model.weights.any():
+        return docs
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
