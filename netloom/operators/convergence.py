@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.functions.scalar import logistic
+
 c = F.col
 
 
@@ -49,7 +51,7 @@ def weight_steps(log: DataFrame) -> DataFrame:
 
 def ramp(log: DataFrame) -> DataFrame:
     """run, iter, weight: a logistic ramp round iteration 100."""
-    return log.select("run", "iter", F.round(1 / (1 + F.exp(-(c("iter") - 100) / 20.0)), 6).alias("weight"))
+    return log.select("run", "iter", F.round(logistic((c("iter") - 100) / 20.0), 6).alias("weight"))
 
 
 def plateaus(log: DataFrame, window: int, threshold: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.functions.scalar import ceil_div, floor_div
+
 c = F.col
 
 
@@ -85,8 +87,8 @@ def clamp_positions(nodes: DataFrame, width: float, height: float) -> DataFrame:
 
 def snapped(nodes: DataFrame, site: float, tolerance: float = 1e-4) -> DataFrame:
     """node_id and lx in sites: floored, ceiled and rounded, where a distance within the tolerance counts as none."""
-    q = c("lx") / site
-    return nodes.select("node_id", F.floor(q + tolerance).cast("bigint").alias("low"), F.ceil(q - tolerance).cast("bigint").alias("high"), F.floor(q + 0.5).cast("bigint").alias("near"))
+    x = c("lx")
+    return nodes.select("node_id", floor_div(x, site, tolerance).alias("low"), ceil_div(x, site, tolerance).alias("high"), floor_div(x, site, 0.5).alias("near"))
 
 
 def scaled(nodes: DataFrame, site: float, dx: float, dy: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.functions.scalar import logistic
+
 c = F.col
 CELL = 4.0
 
@@ -129,7 +131,7 @@ def via_usage(dem: DataFrame) -> DataFrame:
 def wire_cost(dem: DataFrame, cap: float, slope: float = 0.5, short: float = 8.0) -> DataFrame:
     """dir, x, y, cost: the distance, and a price for shorts that rises as the remaining tracks go."""
     remain = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), cap - c("demand")))
-    return dem.select("dir", "x", "y", F.round(CELL + CELL / (1 + F.exp(slope * remain)) * short, 6).alias("cost"))
+    return dem.select("dir", "x", "y", F.round(CELL + CELL * logistic(-slope * remain) * short, 6).alias("cost"))
 
 
 def net_cells(positions: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.functions.scalar import half_away, half_even
+
 c = F.col
 
 
@@ -33,13 +35,13 @@ def hpwl_per_net(nets: DataFrame, positions: DataFrame) -> DataFrame:
 def hpwl_exact(positions: DataFrame) -> DataFrame:
     """The design's length: each net's extent per axis rounded half to even, then summed."""
     box = net_boxes(positions)
-    return box.agg(F.sum(F.bround(c("x1") - c("x0")) + F.bround(c("y1") - c("y0"))).alias("hpwl"))
+    return box.agg(F.sum(half_even(c("x1") - c("x0")) + half_even(c("y1") - c("y0"))).alias("hpwl"))
 
 
 def hpwl_masked(positions: DataFrame, most: int, scale: float = 1.0) -> DataFrame:
     """The length of nets with 2 to `most` pins, rounded half away from zero and scaled."""
     box = net_boxes(positions).where(c("degree").between(2, most))
-    return box.agg((F.sum(F.round(c("x1") - c("x0")) + F.round(c("y1") - c("y0"))) * scale).alias("hpwl"), F.count("*").alias("n_nets"))
+    return box.agg((F.sum(half_away(c("x1") - c("x0")) + half_away(c("y1") - c("y0"))) * scale).alias("hpwl"), F.count("*").alias("n_nets"))
 
 
 def hpwl_dbu(positions: DataFrame, unit: int = 64) -> DataFrame:
