@@ -319,9 +319,9 @@ query("nesterov_steps", lambda n: cv.nesterov(n.spark, 30), "select k, round(a,
 
 # More of timing
 GRAPH = LEVELS + """,
-g as (select src, dst, delay - 1 as wire, n::double as load, case (src + dst) % 3 when 0 then 'positive' when 1 then 'negative' else 'either' end as sense from arcs join (select src, count(*) as n from arcs group by src) using (src))"""
+g as materialized (select src, dst, delay - 1 as wire, n::double as load, case (src + dst) % 3 when 0 then 'positive' when 1 then 'negative' else 'either' end as sense from arcs join (select src, count(*) as n from arcs group by src) using (src))"""
 _COLS = [f"{k}_{el}_{rf}" for k in ("at", "slew") for el, rf in pg.STATES]
-PROP = GRAPH + ",\npr0 as (select node_id, level, " + ", ".join(f"{0.0 if x.startswith('at') else 0.5}::double as {x}" for x in _COLS) + " from lv where level = 0)"
+PROP = GRAPH + ",\npr0 as materialized (select node_id, level, " + ", ".join(f"{0.0 if x.startswith('at') else 0.5}::double as {x}" for x in _COLS) + " from lv where level = 0)"
 
 
 def _along(kind: str, el: str, after: str) -> str:
@@ -337,7 +337,7 @@ def _along(kind: str, el: str, after: str) -> str:
 
 
 for _k in range(1, 6):
-    PROP += f",\npr{_k} as (select * from pr{_k - 1} union all select g.dst, lv.level, " + ", ".join(_along(k, el, rf) for k in ("at", "slew") for el, rf in pg.STATES) + f" from g join lv on lv.node_id = g.dst join pr{_k - 1} p on p.node_id = g.src where lv.level = {_k} group by g.dst, lv.level)"
+    PROP += f",\npr{_k} as materialized (select * from pr{_k - 1} union all select g.dst, lv.level, " + ", ".join(_along(k, el, rf) for k in ("at", "slew") for el, rf in pg.STATES) + f" from g join lv on lv.node_id = g.dst join pr{_k - 1} p on p.node_id = g.src where lv.level = {_k} group by g.dst, lv.level)"
 states = lambda n: pg.propagate(pg.timing_graph(n.arcs))
 query("timing_graph", lambda n: pg.timing_graph(n.arcs), "select src, dst, wire, load, sense from g", GRAPH)
 for _kind, _label in (("at", "corner_arrivals"), ("slew", "corner_slews")):
