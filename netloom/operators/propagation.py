@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.operators.timing import interpolate, sweep
+from netloom.operators.timing import sweep
 
 c = F.col
 #: The corners and transitions, as suffixes of the state's columns.
@@ -21,10 +21,21 @@ def surface(kind: str, rf: str, slew, load):
     return 0.25 + slew / 8 + load / 32 + (0.0625 if rf == "rise" else 0.0)
 
 
-def look_up(kind: str, rf: str, slew: Column, load: Column) -> Column:
-    """The value of a cell's table at a slew and a load, beyond its axes too."""
-    numbers = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    return interpolate(slew, load, numbers(SLEWS), numbers(LOADS), numbers([surface(kind, rf, s, l) for s in SLEWS for l in LOADS]))
+def place_on(axis: tuple[float, ...], v: Column) -> tuple[Column, Column]:
+    """The cell of an axis, from 1, that a value lies in or is beyond, and how far along it, below 0 and above 1 too."""
+    cell, along = F.lit(1), (v - axis[0]) / (axis[1] - axis[0])
+    for k in range(1, len(axis) - 1):
+        cell = F.when(v >= axis[k], k + 1).otherwise(cell)
+        along = F.when(v >= axis[k], (v - axis[k]) / (axis[k + 1] - axis[k])).otherwise(along)
+    return cell, along
+
+
+def look_up(kind: str, rf: str, row: Column, up: Column, column: Column, right: Column) -> Column:
+    """The value of a cell's table (row-major) between the places of a slew and a load, beyond its axes too."""
+    table = F.array(*[F.lit(float(surface(kind, rf, s, l))) for s in SLEWS for l in LOADS])
+    at = lambda dr, dc: F.element_at(table, ((row - 1 + dr) * len(LOADS) + column + dc).cast("int"))
+    low, high = at(0, 0) + (at(0, 1) - at(0, 0)) * right, at(1, 0) + (at(1, 1) - at(1, 0)) * right
+    return low + (high - low) * up
 
 
 def timing_graph(arcs: DataFrame) -> DataFrame:
@@ -47,6 +58,9 @@ def propagate(graph: DataFrame, slew: float = 0.5) -> DataFrame:
     Along an arc, each transition that its sense lets pass adds the table's delay at its slew, and the wire's, and leaves
     with the table's slew joined with the wire's in squares; early keeps the least, late the largest. A transition that
     nothing causes stays null."""
+    prepare = dict(zip(("_column", "_right"), place_on(LOADS, c("load"))))
+    for el, rf in STATES:
+        prepare |= dict(zip((f"_row_{el}_{rf}", f"_up_{el}_{rf}"), place_on(SLEWS, c(f"slew_{el}_{rf}"))))
     begin = {f"{k}_{el}_{rf}": F.lit(0.0 if k == "at" else slew) for k in ("at", "slew") for el, rf in STATES}
     along, merge = {}, {}
     for el, after in STATES:
@@ -54,14 +68,13 @@ def propagate(graph: DataFrame, slew: float = 0.5) -> DataFrame:
         at, out = [], []
         for before in ("rise", "fall"):
             ok = passes(c("sense"), before, after)
-            into = c(f"slew_{el}_{before}")
-            at.append(F.when(ok, c(f"at_{el}_{before}") + look_up("delay", after, into, c("load")) + c("wire")))
-            own = look_up("slew", after, into, c("load"))
-            out.append(F.when(ok, F.sqrt(own * own + c("wire") * c("wire"))))
+            spot = (c(f"_row_{el}_{before}"), c(f"_up_{el}_{before}"), c("_column"), c("_right"))
+            at.append(F.when(ok, c(f"at_{el}_{before}") + look_up("delay", after, *spot) + c("wire")))
+            out.append(F.when(ok, F.sqrt(F.pow(look_up("slew", after, *spot), F.lit(2.0)) + c("wire") * c("wire"))))
         along[f"at_{el}_{after}"], along[f"slew_{el}_{after}"] = pick(*at), pick(*out)
         keep = F.min if el == "early" else F.max
         merge |= {f"{k}_{el}_{after}": keep(f"{k}_{el}_{after}") for k in ("at", "slew")}
-    return sweep(graph, begin, along, merge)
+    return sweep(graph, begin, along, merge, prepare=prepare)
 
 
 def rounded(states: DataFrame, kind: str) -> DataFrame:

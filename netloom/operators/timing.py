@@ -10,11 +10,11 @@ from netloom.plans.shared import Folder, cut
 c = F.col
 
 
-def sweep(arcs: DataFrame, begin: dict, along: dict, merge: dict, most: int = 100_000) -> DataFrame:
+def sweep(arcs: DataFrame, begin: dict, along: dict, merge: dict, most: int = 100_000, prepare: dict | None = None) -> DataFrame:
     """node_id, level and a state of every node of arcs (src, dst, ..), in topological order.
 
     Nodes without fan-in have level 0 and the state `begin` (name to column); a row for each arc into a node brings
-    `along`, of the source's state, the arc's columns and src; `merge` aggregates these. A node is done when all its arcs
+    `along`, of the source's state, the arc's columns, src and the columns of `prepare`; `merge` aggregates these. A node is done when all its arcs
     have brought theirs, so each arc is joined once, with the nodes done last; a level's table holds these and the nodes
     still waiting, and all levels are read together at the end. ValueError if the arcs hold a cycle."""
     spark, folder = arcs.sparkSession, Folder(arcs.sparkSession)
@@ -34,7 +34,7 @@ def sweep(arcs: DataFrame, begin: dict, along: dict, merge: dict, most: int = 10
             if not waiting.isEmpty() or (k == 0 and not arcs.isEmpty()):
                 raise ValueError("the arcs hold a cycle")
             break
-        come = arcs.join(done.select(c("node_id").alias("src"), *state), "src")
+        come = arcs.join(done.select(c("node_id").alias("src"), *state), "src").withColumns(prepare or {})
         come = come.select(c("dst").alias("node_id"), "_in", F.lit(1).cast("bigint").alias("_got"), *[x.alias(n) for n, x in along.items()])
         now = come.unionByName(waiting).groupBy("node_id").agg(F.max("_in").alias("_in"), F.sum("_got").alias("_got"), *[x.alias(n) for n, x in merge.items()])
         now = now.select("node_id", "_in", "_got", *[c(n).cast(schema[n].dataType).alias(n) for n in state])
