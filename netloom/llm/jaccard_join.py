@@ -19,7 +19,7 @@ ORDERS = 2
 #: which every executor holds, at 9 bytes times this; it changes the orders only, never the links.
 FREQUENT = 300_000
 #: Sets that share a token from which on they are grouped round leaders first, and rows of a token that meet in one block.
-CROWD, BLOCK = 32, 2048
+CROWD, BLOCK = 8, 2048
 #: Of how many crowded tokens one serves to gather crowds by.
 SERVING = 8
 #: Bits of the bitmap that a prefix token carries.
