@@ -22,8 +22,10 @@ FREQUENT = 300_000
 CROWD, BLOCK = 8, 2048
 #: Of how many crowded tokens one serves to gather crowds by.
 SERVING = 8
-#: Bits of the bitmap that a prefix token carries.
-SHORT = 256
+#: Bits of the bitmap that a prefix token carries, and of that which a crowded one does.
+SHORT, WIDE = 128, 1024
+#: Shared prefix tokens that a pair is asked for at most under an order; parts of a prefix that a token's place is kept by.
+ASKED, PARTS = 4, 16
 #: Pairs that a head's text serves in one task, and ids (with their groups) that are broadcast at most.
 SERVED, BROADCAST_IDS = 1000, 500_000
 _SALTS = [np.uint64((0x9FB21C651E98DF25 * (2 * i + 1)) & ((1 << 64) - 1)) for i in range(ORDERS + 2)]
@@ -96,11 +98,22 @@ def bitmaps(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     return [packed[a : a + k].tobytes() for a, k in zip((first >> 3).tolist(), (m >> 3).tolist())]
 
 
-def short_bitmaps(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """bitmaps() of SHORT bits for each set."""
-    spot = (mixed(flat ^ _SALTS[0]) & np.uint64(SHORT - 1)).astype(np.int64) + SHORT * np.repeat(np.arange(len(sizes)), sizes)
-    packed = np.packbits((np.bincount(spot, minlength=SHORT * len(sizes)) & 1).astype(np.uint8), bitorder="little")
-    return [packed[a : a + SHORT // 8].tobytes() for a in range(0, len(packed), SHORT // 8)]
+def short_bitmaps(flat: np.ndarray, sizes: np.ndarray, width: int) -> list[bytes]:
+    """bitmaps() of `width` bits for each set."""
+    spot = (mixed(flat ^ _SALTS[0]) & np.uint64(width - 1)).astype(np.int64) + width * np.repeat(np.arange(len(sizes)), sizes)
+    packed = np.packbits((np.bincount(spot, minlength=width * len(sizes)) & 1).astype(np.uint8), bitorder="little")
+    return [packed[a : a + width // 8].tobytes() for a in range(0, len(packed), width // 8)]
+
+
+def laid_bitmaps(column: pa.Array) -> np.ndarray:
+    """Bitmaps of SHORT or WIDE bits as rows of WIDE bits; what a short one lacks is 0."""
+    lens = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1])
+    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+    out = np.zeros((len(column), WIDE // 8), np.uint8)
+    for size in (SHORT // 8, WIDE // 8):
+        own = lens == size
+        out[own, :size] = flat[np.repeat(own, lens)].reshape(-1, size)
+    return out.view(np.uint64)
 
 
 def bits_apart(x: bytes, y: bytes) -> int:
@@ -139,8 +152,30 @@ def shared_tokens(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
     Of the two prefixes let A's end first. B's prefix then holds every token of B up to there, and A lacks at most its
     size less the overlap that a link needs; so all of A's prefix but these is shared."""
-    overlap = -(-percent * (n + m) // (100 + percent))
-    return np.maximum(1, overlap + 1 + (-percent * np.maximum(n, m)) // 100)
+    return np.maximum(1, overlap_of(n, m, percent) + 1 + (-percent * np.maximum(n, m)) // 100)
+
+
+def overlap_of(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """How many tokens two linked sets share at least."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def placed(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """A set's size and the part of its prefix that holds the token at `place` of its order, as one number."""
+    return n * PARTS + PARTS * place // prefix_size(n, percent)
+
+
+def soon_enough(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of one token's places x and y, see placed(), in two sets: whether it may be among the first tokens that the sets
+    share if they link, and how many of these are asked for, ASKED at most.
+
+    After the k-th shared token either set still holds all but k of those that a link needs; so it stands before
+    place n - overlap + k. A place is taken for the first of its part, so none is left out."""
+    n, m = x // PARTS, y // PARTS
+    asked = np.minimum(ASKED, shared_tokens(n, m, percent))
+    room = asked - overlap_of(n, m, percent)
+    first = lambda z, k: -(-(z % PARTS) * prefix_size(k, percent) // PARTS)
+    return (first(x, n) < n + room) & (first(y, m) < m + room), asked
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -152,12 +187,12 @@ def _batch(**columns) -> pa.RecordBatch:
 
 
 def _sketch(docs: DataFrame, n: int) -> DataFrame:
-    """One pass over the texts: (doc_id, n, s1, s2, bits, short) of every row, and rows (tokens, counts) of tokens that recur.
+    """One pass over the texts: (doc_id, n, s1, s2, bits, short, wide) of every row, and rows (tokens, counts) of tokens that recur.
 
     Counts come by lossy counting: a task gathers three million tokens and sends those it met twice or more, or oftener
     the more it gathered."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    names = ["doc_id", "n", "s1", "s2", "bits", "short", "tokens", "counts"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    names = ["doc_id", "n", "s1", "s2", "bits", "short", "wide", "tokens", "counts"]
 
     def run(batches):
         held, size = [], 0
@@ -165,7 +200,7 @@ def _sketch(docs: DataFrame, n: int) -> DataFrame:
         def recurring():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= 2 + size // 1_000_000
-            rows = [None, None, None, None, None, None, tokens[often].tobytes(), counts[often].astype(np.int64).tobytes()]
+            rows = [*[None] * 7, tokens[often].tobytes(), counts[often].astype(np.int64).tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(rows, kinds)], names=names)
 
         for b in batches:
@@ -173,7 +208,7 @@ def _sketch(docs: DataFrame, n: int) -> DataFrame:
             for flat, sizes in laid_sets(b.column(1).to_pylist(), n):
                 s1, s2 = signatures(flat, sizes)
                 k = len(sizes)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, k), pa.array(sizes), pa.array(s1), pa.array(s2), pa.array(bitmaps(flat, sizes), pa.binary()), pa.array(short_bitmaps(flat, sizes), pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, k), pa.array(sizes), pa.array(s1), pa.array(s2), pa.array(bitmaps(flat, sizes), pa.binary()), pa.array(short_bitmaps(flat, sizes, SHORT), pa.binary()), pa.array(short_bitmaps(flat, sizes, WIDE), pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
                 at += k
                 held.append(flat)
                 size += len(flat)
@@ -183,7 +218,7 @@ def _sketch(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield recurring()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, bits binary, short binary, tokens binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, bits binary, short binary, wide binary, tokens binary, counts binary")
 
 
 def frequent_tokens(sketch: DataFrame, folder: Folder, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -214,8 +249,8 @@ def frequent_tokens(sketch: DataFrame, folder: Folder, most: int = FREQUENT) ->
 
 
 def _prefix_rows(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(token, sig, n) for each prefix token of each order; the order's number is in the lowest bit of token. Equal sets
-    that a task meets together send one set of rows."""
+    """(token, sig, n) for each prefix token of each order; the order's number is in the lowest bit of token, n is
+    placed(). Equal sets that a task meets together send one set of rows."""
     share = docs.sparkSession.sparkContext.broadcast((frequent, rank))
 
     def run(batches):
@@ -224,16 +259,20 @@ def _prefix_rows(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, ra
             for flat, sizes in laid_sets(b.column(0).to_pylist(), n):
                 sig, _ = signatures(flat, sizes)
                 _, one = np.unique(sig, return_index=True)
-                one = one[sizes[one] > 0]
+                one = np.sort(one[sizes[one] > 0])
                 if not len(one):
                     continue
                 keep, start = prefix_size(sizes, percent), np.cumsum(sizes) - sizes
-                tokens = []
+                tokens, places = [], []
+                k = np.repeat(one, keep[one])
+                inside = np.arange(len(k)) - np.repeat(np.cumsum(keep[one]) - keep[one], keep[one])
                 for i, order in enumerate(orders_of(flat, frequent, rank)):
                     own = [a + np.argpartition(order[a : a + c], k - 1)[:k] if k < c else np.arange(a, a + c) for a, c, k in zip(start[one].tolist(), sizes[one].tolist(), keep[one].tolist())]
-                    tokens.append((flat[np.concatenate(own)] & ~np.uint64(1)) | np.uint64(i))
-                k = np.repeat(one, keep[one])
-                yield _batch(token=_long(np.concatenate(tokens)), sig=np.tile(sig[k], ORDERS), n=np.tile(sizes[k], ORDERS))
+                    own = np.concatenate(own)
+                    own = own[np.lexsort((order[own], k))]
+                    tokens.append((flat[own] & ~np.uint64(1)) | np.uint64(i))
+                    places.append(placed(sizes[k], inside, percent))
+                yield _batch(token=_long(np.concatenate(tokens)), sig=np.tile(sig[k], ORDERS), n=np.concatenate(places))
 
     return docs.select("text").mapInArrow(run, "token bigint, sig bigint, n bigint")
 
@@ -325,8 +364,8 @@ def _in_blocks(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
 
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of rows (token, cell, side, node, n, g, short) of different groups whose sizes and short bitmaps
-    allow a link, and that share as many prefix tokens under every order as a link of these sizes
-    does. A cell's rows come one after the other and meet in blocks, by numpy; what leaves is counted by pair first."""
+    allow a link, and that share, under every order, as many of the first tokens of their prefixes as are asked for
+    (see soon_enough()). A cell's rows come one after the other and meet in blocks, by numpy; what leaves is counted by pair first."""
     dealt = rows.repartition("token", "cell").sortWithinPartitions("token", "cell")
 
     def run(batches):
@@ -348,11 +387,13 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
             token, node, n, g = whole[0], whole[3], whole[4], whole[5]
             ok = (g[i] != g[j]) & (node[i] != node[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j = i[ok], j[ok]
+            ok, asked = soon_enough(whole[7][i], whole[7][j], percent)
+            i, j, asked = i[ok], j[ok], asked[ok]
             apart = np.bitwise_count(whole[6][i] ^ whole[6][j]).sum(axis=1, dtype=np.int64)
             ok = near_enough(n[i], n[j], apart, percent)
             i, j = i[ok], j[ok]
             if len(i):
-                out.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), token[i] & (ORDERS - 1), shared_tokens(n[i], n[j], percent)))
+                out.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), token[i] & (ORDERS - 1), asked[ok]))
                 size += len(i)
 
         def pairs(whole):
@@ -399,18 +440,19 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            now.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, SHORT // 64))
+            now[4] = now[4] // PARTS  # the size by itself
+            now += [laid_bitmaps(batch.column(6)), batch.column(4).to_numpy(zero_copy_only=False)]
             held.append(now)
             if len(held) > 1 and (now[0][-1], now[1][-1]) == (held[0][0][0], held[0][1][0]):
                 continue  # the cell goes on
-            whole = [np.concatenate([h[i] for h in held]) for i in range(7)]
+            whole = [np.concatenate([h[i] for h in held]) for i in range(8)]
             last = np.flatnonzero((whole[0] != whole[0][-1]) | (whole[1] != whole[1][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
                 yield from pairs([w[:cut] for w in whole])
             held = [[w[cut:] for w in whole]]
         if held:
-            yield from pairs([np.concatenate([h[i] for h in held]) for i in range(7)])
+            yield from pairs([np.concatenate([h[i] for h in held]) for i in range(8)])
         if out:
             yield counted()
 
@@ -508,11 +550,12 @@ class Join:
         put = self.folder.put
         self.sketch = put(_sketch(self.docs, n), "sketch")
         self.rows = self.sketch.where("n is not null").select("doc_id", "n", "s1", "s2")
-        classes = self.sketch.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits"), F.first("short").alias("short"))
+        classes = self.sketch.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), *[F.first(x).alias(x) for x in ("bits", "short", "wide")])
         self.classes = put(classes, "classes")
         frequent, rank = frequent_tokens(self.sketch, self.folder)
         shared = _shared(_prefix_rows(self.docs, n, percent, frequent, rank))
-        self.shared = put(shared.join(self.classes.select(F.col("s1").alias("sig"), "node", "short"), "sig").select("token", "node", "n", "at", "many", "short"), "shared")
+        shared = shared.join(self.classes.select(F.col("s1").alias("sig"), "node", "short", "wide"), "sig")
+        self.shared = put(shared.select("token", "node", "n", "at", "many", F.when(F.col("many"), F.col("wide")).otherwise(F.col("short")).alias("short")), "shared")
 
     def pairs(self, groups: DataFrame | None, name: str) -> DataFrame:
         """(a, b): candidates that pass the filters of all orders and the bitmaps, of different groups (id, component) only."""

@@ -244,6 +244,41 @@ def test_shared_tokens_are_marked(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted((t, s, 9, i, len(x) > 3) for t, x in sets.items() if len(x) > 1 for i, s in enumerate(x))
 
 
+def test_texts_just_too_different_are_no_candidates(spark):
+    """Sixty texts that share most words of one, any two of them with less than the similarity asked for."""
+    rng = random.Random(3)
+    base = words(rng, 400, 100_000).split()
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in rng.sample(range(400), 13):
+            w[k] = f"y{i}x{k}"
+        rows.append((i, " ".join(w)))
+    join = jaccard_join.Join(spark.createDataFrame(rows, DOCS), 2, 85)
+    met = jaccard_join._candidates(jaccard_join._in_blocks(join.shared.withColumn("g", F.col("node")), None), 85)
+    assert join.shared.where("many").count() > 1000 and met.count() < 60
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 97])
+def test_first_shared_tokens_stand_soon_enough(percent):
+    rng = np.random.default_rng(percent)
+    seen = 0
+    for _ in range(3000):
+        both, only, other = int(rng.integers(1, 200)), int(rng.integers(0, 30)), int(rng.integers(0, 30))
+        if 100 * both < percent * (both + only + other):
+            continue
+        seen += 1
+        tokens = rng.permutation(both + only + other)  # their places in the order
+        sets = np.sort(tokens[: both + only]), np.sort(np.concatenate((tokens[:both], tokens[both + only :])))
+        shared = np.sort(tokens[:both])
+        sizes = [np.full(both, len(x)) for x in sets]
+        at = [np.searchsorted(x, shared) for x in sets]
+        inside = np.logical_and(*[a < jaccard_join.prefix_size(n, percent) for a, n in zip(at, sizes)])
+        ok, asked = jaccard_join.soon_enough(*[jaccard_join.placed(n, a, percent) for a, n in zip(at, sizes)], percent)
+        assert (ok & inside).sum() >= asked[0] >= 1
+    assert seen > 30
+
+
 def test_all_links(spark):
     rng = random.Random(12)
     base = words(rng, 60, 1000).split()
