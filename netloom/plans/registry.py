@@ -223,6 +223,7 @@ pre as materialized (select dir, line, at_, sum(1 + coalesce(demand, 0) / 8) ove
 seg = lambda n: rt.segments(n.stars)
 routes = lambda n: rt.l_routes(seg(n))
 dem = lambda n: rt.demand(routes(n))
+wires = lambda n: rt.l_wires(seg(n))
 query("gr_capacity", lambda n: rt.capacity(n.spark, n.nx, 4), "select l as layer, i, (ceil((i + 1) * 4 / ((1 + l) / 4)) - ceil(i * 4 / ((1 + l) / 4)))::bigint as capacity from range(4) a(l), range($NX) b(i)")
 query("gr_wire_dist", lambda n: rt.wire_distance(n.spark, n.nx), "select i, 4.0::double as dist from range($NX - 1) a(i)")
 query("lroute_demand", dem, "select dir, x, y, demand from dem", SEG)
@@ -235,7 +236,7 @@ query("best_lroute", lambda n: rt.best_l(seg(n), rt.cost_prefix(dem(n), n.nx, n.
   join pre r1 on r1.dir = 'v' and r1.line = x0 and r1.at_ = y0 join pre r2 on r2.dir = 'v' and r2.line = x0 and r2.at_ = y1 join pre s1 on s1.dir = 'h' and s1.line = y1 and s1.at_ = x0 join pre s2 on s2.dir = 'h' and s2.line = y1 and s2.at_ = x1 where x0 <> x1 and y0 <> y1)""", PREFIX)
 query("congestion_map", lambda n: rt.congestion(dem(n), CAP), "select x, y, h, v, total from con", CON)
 query("congestion_stats", lambda n: rt.congestion_stats(rt.congestion(dem(n), CAP)), "select max(total) as most, round(avg(total), 9) as mean, round(stddev_samp(total), 9) as deviation from con", CON)
-query("overflow_nets", lambda n: rt.overflow_nets(routes(n), dem(n), CAP), f"select distinct net_id from rts join dem using (dir, x, y) where demand > {CAP}", SEG)
+query("overflow_nets", lambda n: rt.overflow_nets(wires(n), rt.wire_demand(wires(n)), CAP), f"select distinct net_id from rts join dem using (dir, x, y) where demand > {CAP}", SEG)
 query("ace_routability", lambda n: rt.ace(rt.congestion(dem(n), CAP)), """select dir, p as per_mille, round(mean, 9) as value from (select dir, row_number() over w - 1 as k, avg(value) over (partition by dir order by value desc, x, y rows unbounded preceding) as mean, count(*) over (partition by dir) as n
   from (select 'h' as dir, h as value, x, y from con union all select 'v', v, x, y from con) window w as (partition by dir order by value desc, x, y)), (values (5), (10), (20), (50), (100), (200), (500)) s(p0), lateral (select p0::bigint as p) where k = n * p // 1000""", CON)
 query("estimated_shorts", lambda n: rt.estimated_shorts(dem(n), CAP), f"select dir, sum(greatest(0.0, demand - {CAP}) * case when dir = 'h' then 4.0 else 2.0 end)::double as shorts from dem group by dir", SEG)

@@ -1,6 +1,7 @@
 """Hand-made netlists and properties of the operators."""
 
 import itertools
+import random
 
 import numpy as np
 from hypothesis import HealthCheck, given, settings
@@ -129,3 +130,25 @@ def test_abacus_leaves_no_overlap(spark):
     n = nodes_of(spark, [(int(x), 0, int(w), 1) for x, w in zip(rng.integers(0, 60, 20), rng.integers(1, 5, 20))])
     moved = detailed.abacus_rows(n, 100.0).join(n, "node_id").orderBy("x").collect()
     assert all(a["x"] + a["w"] <= b["x"] + 1e-9 for a, b in zip(moved, moved[1:])) and moved[0]["x"] >= 0 and moved[-1]["x"] + moved[-1]["w"] <= 100
+
+
+def test_wires_stay_whole(spark):
+    """Two rows a pin at most and one a cell of the grid, however long wires are; the sums along them are those over their cells."""
+    rng = random.Random(5)
+    at = lambda: rng.randrange(12)
+    rows = [(i // 3, i, at(), at(), at(), at()) for i in range(150)]
+    seg = spark.createDataFrame(rows, "net_id bigint, pin_id bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint")
+    wires, routes = routing.l_wires(seg), routing.l_routes(seg)
+    dem = {(r["dir"], r["x"], r["y"]): r["demand"] for r in routing.demand(routes).collect()}
+    line = lambda r: (r["dir"], r["at"], r["line"]) if r["dir"] == "h" else (r["dir"], r["line"], r["at"])
+    assert {line(r): r["demand"] for r in routing.wire_demand(wires).collect()} == dem
+    want, nets = {}, set()
+    for r in routes.collect():
+        over = max(0, dem[r["dir"], r["x"], r["y"]] - 5)
+        x = want.setdefault(r["pin_id"], [0, 0])
+        x[r["dir"] == "v"] += over
+        nets |= {r["net_id"]} if over else set()
+    few = {r["net_id"] for r in routing.overflow_nets(wires, routing.wire_demand(wires), 5).collect()}
+    assert few == nets and 0 < len(nets) < 50
+    long = spark.createDataFrame([(1, 2, 0, 0, 10**12, 0)], seg.schema)
+    assert [tuple(r) for r in routing.l_wires(long).collect()] == [(1, 2, "h", 0, 1, 10**12)]
