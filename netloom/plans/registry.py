@@ -303,7 +303,7 @@ query("fixed_usage", lambda n: rt.fixed_usage(dem(n), rt.gcell_obstacles(n.nodes
 query("demand_map", lambda n: rt.demand_map(dem(n), seg(n), CAP), f"""select x, y, wires, vias, wires + vias as total, {2 * CAP} - wires - vias as free from (select x, y, coalesce(wires, 0)::bigint as wires, coalesce(vias, 0)::bigint as vias
   from (select x, y, sum(demand) as wires from dem group by x, y) full join (select x, y, count(*) as vias from bnd group by x, y) using (x, y))""", BENDS)
 query("overflow_vias", lambda n: rt.overflow_vias(seg(n), dem(n), CAP), f"select net_id, count(*) as vias from bnd where (x, y) in (select (x, y) from dem where demand > {CAP}) group by net_id", BENDS)
-query("route_force", lambda n: rt.route_force(routes(n), rt.congestion(dem(n), CAP)), "select pin_id, round(sum(case when dir = 'h' then h else 0.0 end), 6) as gx, round(sum(case when dir = 'v' then v else 0.0 end), 6) as gy from rts join con using (x, y) group by pin_id", CON)
+query("route_force", lambda n: rt.route_force(wires(n), rt.wire_demand(wires(n)), CAP), "select pin_id, round(sum(case when dir = 'h' then h else 0.0 end), 6) as gx, round(sum(case when dir = 'v' then v else 0.0 end), 6) as gy from rts join con using (x, y) group by pin_id", CON)
 query("congestion_force", lambda n: gd.density_gather(n.nodes, rt.congestion(dem(n), CAP).select(F_col("x").alias("ix"), F_col("y").alias("iy"), F_col("total").alias("density")), BIN, n.nx, n.ny).select("node_id", wl.tidy(F_col("force"), 6).alias("force")), f"select node_id, {_r('sum(part * total)')} as force from cells join con on ix = x and iy = y group by node_id", CELLS + ", " + CON)
 query("pin_cells", lambda n: rt.pin_cells(n.pin_positions), "select pin_id, floor(px / 4)::bigint as x, floor(py / 4)::bigint as y from pp")
 query("net_topology", lambda n: rt.net_topology(n.pin_positions), "select net_id, x, y, row_number() over (partition by net_id order by x, y) - 1 as k from (select distinct net_id, floor(px / 4)::bigint as x, floor(py / 4)::bigint as y from pp) qualify count(*) over (partition by net_id) > 1")

@@ -148,6 +148,8 @@ def test_wires_stay_whole(spark):
         x = want.setdefault(r["pin_id"], [0, 0])
         x[r["dir"] == "v"] += over
         nets |= {r["net_id"]} if over else set()
+    got = routing.route_force(wires, routing.wire_demand(wires), 5).collect()
+    assert {r["pin_id"]: (r["gx"], r["gy"]) for r in got} == {p: (round(a / 5, 6), round(b / 5, 6)) for p, (a, b) in want.items()}
     few = {r["net_id"] for r in routing.overflow_nets(wires, routing.wire_demand(wires), 5).collect()}
     assert few == nets and 0 < len(nets) < 50
     long = spark.createDataFrame([(1, 2, 0, 0, 10**12, 0)], seg.schema)
