@@ -144,13 +144,13 @@ def test_wires_stay_whole(spark):
     assert {line(r): r["demand"] for r in routing.wire_demand(wires).collect()} == dem
     want, nets = {}, set()
     for r in routes.collect():
-        over = max(0, dem[r["dir"], r["x"], r["y"]] - 5)
+        over = max(0, dem[r["dir"], r["x"], r["y"]] - 8)
         x = want.setdefault(r["pin_id"], [0, 0])
         x[r["dir"] == "v"] += over
         nets |= {r["net_id"]} if over else set()
-    got = routing.route_force(wires, routing.wire_demand(wires), 5).collect()
-    assert {r["pin_id"]: (r["gx"], r["gy"]) for r in got} == {p: (round(a / 5, 6), round(b / 5, 6)) for p, (a, b) in want.items()}
-    few = {r["net_id"] for r in routing.overflow_nets(wires, routing.wire_demand(wires), 5).collect()}
-    assert few == nets and 0 < len(nets) < 50
+    got = routing.route_force(wires, routing.wire_demand(wires), 8).collect()
+    assert {r["pin_id"]: (r["gx"], r["gy"]) for r in got} == {p: (round(a / 8, 6), round(b / 8, 6)) for p, (a, b) in want.items()}
+    hit = {r["net_id"] for r in routing.overflow_nets(wires, routing.wire_demand(wires), 8).collect()}
+    assert hit == nets and 0 < len(nets) < 50
     long = spark.createDataFrame([(1, 2, 0, 0, 10**12, 0)], seg.schema)
     assert [tuple(r) for r in routing.l_wires(long).collect()] == [(1, 2, "h", 0, 1, 10**12)]
