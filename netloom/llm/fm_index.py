@@ -32,22 +32,34 @@ class WaveletMatrix:
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """The suffix array by prefix doubling. Suffixes must differ before the end of the text or of a unique symbol."""
+    """The suffix array by prefix doubling, in which only what is still tied is sorted again. Suffixes must differ before the end of the text or of a unique symbol."""
     n = len(symbols)
-    _, rank = np.unique(symbols, return_inverse=True)
-    rank = rank.astype(np.int64)
+    order = np.argsort(symbols, kind="stable")
+    rank = np.empty(n, dtype=np.int64)
+    new = np.ones(n, dtype=bool)
+    new[1:] = symbols[order[1:]] != symbols[order[:-1]]
+    first = np.flatnonzero(new)
+    rank[order] = np.repeat(first, np.diff(np.append(first, n)))  # a suffix's rank is the place of the first with its start
+    tied = np.arange(n)  # the places in order that are not settled yet
     step = 1
-    order = np.argsort(rank, kind="stable")
     while step < 2 * n:
-        key = rank * np.int64(n + 1)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
+        alone = np.append(new, True)
+        tied = tied[~(alone[:-1] & alone[1:])[tied]]
+        if not len(tied):
             break
+        own = order[tied]
+        after = own + step
+        key = rank[own] * np.int64(n + 1)
+        inside = after < n
+        key[inside] += rank[after[inside]] + 1
+        by = np.argsort(key)
+        key, own = key[by], own[by]
+        order[tied] = own
+        cut = np.ones(len(tied), dtype=bool)
+        cut[1:] = key[1:] != key[:-1]
+        new[tied] = cut
+        begin = np.flatnonzero(cut)
+        rank[own] = np.repeat(tied[begin], np.diff(np.append(begin, len(tied))))
         step *= 2
     return order
 
@@ -80,12 +92,13 @@ class FMIndex:
             of[place] = owners
             self.owner = of[order]
 
-    def matching_statistics(self, pattern: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matching_statistics(self, pattern: np.ndarray, most: int, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each place of a pattern of raw values, the length of its longest match in the index, up to `most`, and the
         suffix interval [low, high) of a match of `most` values (empty where there is none).
 
         All places move together: a match of length l at i is one of length l - 1 at i + 1, led by the value at i, so each
-        step of backward search serves the places before."""
+        step of backward search serves the places before. A place without a match moves no more. Nor does one whose match
+        has a single suffix, if the pattern is the index's own text (`own`): it is that of the place, however long."""
         where = np.searchsorted(self.alphabet, pattern)
         where = np.minimum(where, max(0, len(self.alphabet) - 1))
         symbols = np.where(self.alphabet[where] == pattern, where + 1, 0) if len(self.alphabet) else np.zeros(len(pattern), np.int64)
@@ -96,13 +109,20 @@ class FMIndex:
             if n <= 0:
                 low, high = np.zeros(1, np.int64), np.zeros(1, np.int64)
                 break
-            s = symbols[:n]
+            if length == 1:
+                at = np.arange(n)
+            else:
+                out[:n][high[:n] - low[:n] == 1] += own
+                at = np.flatnonzero(high[:n] - low[:n] > own)
+            s = symbols[at]
             base = self.first[s] - self.start[s]
-            l = base + self.tree.places(s, low[1 : n + 1])
-            h = base + self.tree.places(s, high[1 : n + 1])
+            l = base + self.tree.places(s, low[at + 1])
+            h = base + self.tree.places(s, high[at + 1])
             ok = (h > l) & (s > 0)
-            low, high = np.append(np.where(ok, l, 0), 0), np.append(np.where(ok, h, 0), 0)
-            out[:n][ok] = length
+            low, high = low[: n + 1].copy(), high[: n + 1].copy()
+            low[at], high[at] = np.where(ok, l, 0), np.where(ok, h, 0)
+            low[n], high[n] = 0, 0
+            out[at[ok]] = length
         bounds = np.zeros((2, len(pattern)), dtype=np.int64)
         bounds[0, : len(low) - 1], bounds[1, : len(high) - 1] = low[:-1], high[:-1]
         return out, bounds[0], bounds[1]

@@ -217,7 +217,7 @@ def repeats_in_shard(lens: np.ndarray, words: np.ndarray, ids: np.ndarray, windo
     low, high = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
     for i in range(0, len(text), STREAMED):
         own = slice(*np.searchsorted(place, (i, i + STREAMED)))
-        length, l, r = index.matching_statistics(text[i : i + STREAMED + window - 1], window)
+        length, l, r = index.matching_statistics(text[i : i + STREAMED + window - 1], window, True)
         at = place[own] - i
         if (length[at] < window).any():
             raise RuntimeError("a fragment of the index is not found in it")

@@ -100,6 +100,16 @@ def test_repeats_come_from_matching_statistics(monkeypatch):
         list(substring_dedup.repeats_in_shard(lens, words, ids, 4))
 
 
+def test_settled_matches_move_no_more(monkeypatch):
+    """Words that recur in other company settle after few of the steps that a window has."""
+    moved = []
+    places = fm_index.WaveletMatrix.places
+    monkeypatch.setattr(fm_index.WaveletMatrix, "places", lambda self, symbol, at: moved.append(len(at)) or places(self, symbol, at))
+    words = np.random.default_rng(6).integers(0, 300, 4000).astype(np.uint64)
+    assert not any(len(x) for x, _ in substring_dedup.repeats_in_shard(np.full(200, 20), words, np.arange(200), 13))
+    assert sum(moved) < 8 * len(words)
+
+
 @pytest.mark.parametrize("window", [3, 13])
 def test_substring_dedup_matches_brute_force(spark, window):
     rows = odd_documents()
