@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,6 +16,8 @@ INVERSE = pow(MULT, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _POWERS: list[np.ndarray] = []
+#: Bytes of a batch of texts that a task takes up at once.
+TAKEN = 4 << 20
 #: Links that one task follows at most.
 ONE_TASK = 1_000_000
 
@@ -104,6 +108,13 @@ def hashed_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, counts
 
 
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of b in slices of about TAKEN bytes, as texts become strings and arrays many times their size."""
+    step = max(1, b.num_rows * TAKEN // max(1, b.nbytes))
+    for low in range(0, b.num_rows, step):
+        yield b.slice(low, step)
+
+
 def repeat_ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ..: counts[0] numbers, then counts[1] from starts[1] on, and so on."""
     return np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)

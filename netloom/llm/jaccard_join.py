@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import MULT, blocks_of, components, gram_hashes, hashed_texts, mixed, repeat_ranges
+from netloom.llm.common import MULT, blocks_of, components, gram_hashes, hashed_texts, mixed, repeat_ranges, slices
 from netloom.plans.shared import Folder
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -28,6 +28,8 @@ SHORT, WIDE = 128, 1024
 ASKED, PARTS = 4, 16
 #: Pairs that a head's text serves in one task, and ids (with their groups) that are broadcast at most.
 SERVED, BROADCAST_IDS = 1000, 500_000
+#: Pairs that a task looks at together, and that it holds uncounted.
+LOOKED_AT, HELD = 100_000, 500_000
 _SALTS = [np.uint64((0x9FB21C651E98DF25 * (2 * i + 1)) & ((1 << 64) - 1)) for i in range(ORDERS + 2)]
 
 
@@ -203,7 +205,7 @@ def _sketch(docs: DataFrame, n: int) -> DataFrame:
             rows = [*[None] * 7, tokens[often].tobytes(), counts[often].astype(np.int64).tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(rows, kinds)], names=names)
 
-        for b in batches:
+        for b in (x for big in batches for x in slices(big)):
             at = 0
             for flat, sizes in laid_sets(b.column(1).to_pylist(), n):
                 s1, s2 = signatures(flat, sizes)
@@ -255,7 +257,7 @@ def _prefix_rows(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, ra
 
     def run(batches):
         frequent, rank = share.value
-        for b in batches:
+        for b in (x for big in batches for x in slices(big)):
             for flat, sizes in laid_sets(b.column(0).to_pylist(), n):
                 sig, _ = signatures(flat, sizes)
                 _, one = np.unique(sig, return_index=True)
@@ -410,19 +412,20 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
                     continue
                 first = begin[few & (many == width)]
                 x, y = np.triu_indices(width, 1)
-                step = max(1, 400_000 // len(x))
+                step = max(1, LOOKED_AT // len(x))
                 for k in range(0, len(first), step):
                     own = first[k : k + step, None]
                     keep(whole, (own + x).ravel(), (own + y).ravel())
-                    if size > 1_500_000:
+                    if size > HELD:
                         yield counted()
                         out, size = [], 0
             for a, c in zip(begin[~few].tolist(), many[~few].tolist()):
                 at = np.arange(a, a + c)
                 same, one, two = (at[side[at] == k] for k in range(3))
                 for left, right in ((same, same), (one, two)):
-                    for k in range(0, len(left), 256):
-                        x = left[k : k + 256]
+                    step = max(1, LOOKED_AT // max(1, len(right)))
+                    for k in range(0, len(left), step):
+                        x = left[k : k + step]
                         y = right[k:] if left is right else right
                         if not len(y):
                             continue
@@ -431,7 +434,7 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
                             ok = u < v
                             u, v = u[ok], v[ok]
                         keep(whole, u, v)
-                        if size > 1_500_000:
+                        if size > HELD:
                             yield counted()
                             out, size = [], 0
 
@@ -492,8 +495,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, folder: Folder, name: str, n: int
     def run(batches):
         last, head = None, []
         for big in batches:
-            for low in range(0, big.num_rows, 512):
-                rows = big.slice(low, 512)
+            for rows in slices(big):
                 out = []
                 for a, part, b, s in zip(*(rows.column(i).to_pylist() for i in range(3)), sets_of(rows.column(3).to_pylist(), n)):
                     if (a, part) != last:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import blocks_of, hashed_texts, thinned, written
+from netloom.llm.common import blocks_of, hashed_texts, slices, thinned, written
 
 #: Most positives that a fit uses, picked by a hash of doc_id; all unlabelled rows are used.
 LABELLED_ROWS = 50_000
@@ -68,7 +68,7 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "_f array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for big in batches for x in slices(big)):
             x = text_features([(t or "").encode() for t in b.column(b.num_columns - 1).to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, RAW * (len(x) + 1), RAW), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], names=[*b.schema.names[:-1], "_f"])
@@ -253,7 +253,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = ACCEPT) -> Data
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for big in batches for x in slices(big)):
             x = text_features([(t or "").encode() for t in b.column(at).to_pylist()])
             yield b.filter(pa.array(model.score(x) >= least, pa.bool_()))
 

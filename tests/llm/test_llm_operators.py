@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,6 +270,15 @@ def test_texts_just_too_different_are_no_candidates(spark):
     assert join.shared.where("many").count() > 1000 and met.count() < 60
 
 
+def test_texts_are_taken_up_in_small_slices(monkeypatch):
+    monkeypatch.setattr(common, "TAKEN", 5000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(["x" * 90] * 300)], names=["id", "text"])
+    got = list(common.slices(batch))
+    assert all(b.nbytes < 6000 for b in got) and pa.Table.from_batches(got).equals(pa.Table.from_batches([batch]))
+    assert [b.num_rows for b in common.slices(pa.RecordBatch.from_arrays([pa.array(["x" * 9000] * 2)], names=["text"]))] == [1, 1]
+    assert not list(common.slices(batch.slice(0, 0)))
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 97])
 def test_first_shared_tokens_stand_soon_enough(percent):
     rng = np.random.default_rng(percent)
