@@ -466,8 +466,12 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
 
 
 # verification
-def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, apart): the pairs (a, b) whose sizes and bitmaps allow a link, and in how many bits these differ."""
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int, folder: Folder, name: str) -> DataFrame:
+    """(a, b, apart): the pairs (a, b) whose sizes and bitmaps allow a link, and in how many bits these differ. Only
+    classes that some pair has are sent."""
+    pairs = folder.put(pairs, f"{name}_met")
+    ids = folder.put(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), f"{name}_met_ids")
+    classes = classes.join(_small(ids), "node", "left_semi")
     of = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
     rows = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
 
@@ -481,16 +485,25 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint, apart bigint").groupBy("a", "b").agg(F.min("apart").alias("apart"))
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, folder: Folder, name: str, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of documents that link, judged on whole texts. The texts of b travel once a pair, that of a once
-    for SERVED pairs; so a document that many are compared with is dealt to many tasks."""
-    both = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = folder.put(both, f"{name}_ids")
-    texts = folder.put(docs.where("text is not null").join(_small(wanted), "doc_id").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node", "text"]), f"{name}_texts")
+def _heads_and_tails(pairs: DataFrame, docs: DataFrame, folder: Folder, name: str) -> DataFrame:
+    """Rows (a, part, b, text) of pairs of documents: b is null with the text of a, once for SERVED pairs; all others have
+    the text of b, once a pair. a is the document of a pair that has more of them, so that what many are compared with
+    neither travels often nor falls to one task."""
+    both = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+    wanted = folder.put(both.groupBy("doc_id").agg(F.count("*").alias("c")), f"{name}_ids")
+    texts = folder.put(docs.where("text is not null").join(_small(wanted.select("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node", "text"]), f"{name}_texts")
+    of = lambda x: _small(wanted).select(F.col("doc_id").alias(x), F.col("c").alias(f"c{x}"))
+    by_a = F.col("ca") >= F.col("cb")
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b").select(F.when(by_a, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(by_a, F.col("b")).otherwise(F.col("a")).alias("b"))
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SERVED).alias("parts"))
     heads = texts.join(parts, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"), "text")
     tails = pairs.join(parts, "a").join(texts, F.col("node") == F.col("b")).select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b", "text")
-    rows = heads.unionByName(tails).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return heads.unionByName(tails)
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, folder: Folder, name: str, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of documents that link, judged on whole texts."""
+    rows = _heads_and_tails(pairs, docs, folder, name).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
         last, head = None, []
@@ -503,7 +516,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, folder: Folder, name: str, n: int
                     if b is None:
                         head.append(s)
                     elif any(linked(h, s, percent) for h in head):
-                        out.append((a, b))
+                        out.append((min(a, b), max(a, b)))
                 yield _batch(a=pa.array([r[0] for r in out], pa.int64()), b=pa.array([r[1] for r in out], pa.int64()))
 
     found = folder.put(rows.mapInArrow(run, "a bigint, b bigint").distinct(), name)
@@ -560,21 +573,27 @@ class Join:
         self.shared = put(shared.select("token", "node", "n", "at", "many", F.when(F.col("many"), F.col("wide")).otherwise(F.col("short")).alias("short")), "shared")
 
     def pairs(self, groups: DataFrame | None, name: str) -> DataFrame:
-        """(a, b): candidates that pass the filters of all orders and the bitmaps, of different groups (id, component) only."""
+        """(a, b): candidates that pass the filters of all orders and the bitmaps, of different groups (id, component) only;
+        rows of crowded tokens that one group has to itself are not dealt."""
         rows = self.shared.withColumn("g", F.col("node"))
         if groups is not None:
             rows = self.shared.join(_small(groups).withColumnRenamed("id", "node"), "node", "left").withColumn("g", F.coalesce("component", "node"))
+            crowded = rows.where("many")
+            several = self.folder.put(crowded.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("z")).where("a < z").select("token"), f"{name}_tokens")
+            rows = rows.where("not many").unionByName(crowded.join(_small(several), "token", "left_semi").select(*rows.columns))
         rows = rows.select("token", "node", "n", "g", "short")
         hot = self.shared.where(F.col("at") == BLOCK).select("token").distinct()
         rows = _in_blocks(rows, None if hot.isEmpty() else hot)
-        return self.folder.put(_plausible(_candidates(rows, self.percent), self.classes, self.percent), name)
+        found = self.folder.put(_plausible(_candidates(rows, self.percent), self.classes, self.percent, self.folder, name), name)
+        self.folder.drop(f"{name}_tokens", f"{name}_met", f"{name}_met_ids")
+        return found
 
     def gathered(self, stars: DataFrame, name: str) -> DataFrame:
         """The links of stars (a, b) by which each a is joined to the b that its bitmap is nearest to."""
-        near = _plausible(stars, self.classes, self.percent).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x"))
+        near = _plausible(stars, self.classes, self.percent, self.folder, name).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x"))
         pairs = self.folder.put(near.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct(), f"{name}_stars")
         found = self.verified(pairs, name)
-        self.folder.drop(f"{name}_stars")
+        self.folder.drop(f"{name}_stars", f"{name}_met", f"{name}_met_ids")
         return found
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netloom.llm import chat, common, decontaminate, embedding_dedup, fm_index, jaccard_join, quality, secret_scan, sentencepiece, sharding, substring_dedup, url_filter
+from netloom.plans.shared import Folder
 
 DOCS = "doc_id bigint, text string"
 
@@ -270,6 +271,26 @@ def test_texts_just_too_different_are_no_candidates(spark):
     assert join.shared.where("many").count() > 1000 and met.count() < 60
 
 
+def test_a_common_partner_travels_once(spark):
+    rows = [(i, f"text {i}") for i in range(51)]
+    pairs = [(i, 50) for i in range(50)] + [(0, 1)]
+    dealt = jaccard_join._heads_and_tails(spark.createDataFrame(pairs, "a bigint, b bigint"), spark.createDataFrame(rows, DOCS), Folder(spark), "t").collect()
+    assert sorted((min(r["a"], r["b"]), max(r["a"], r["b"])) for r in dealt if r["b"] is not None) == sorted(pairs)
+    assert [r["text"] for r in dealt].count("text 50") == 1 and all(r["text"] == f"text {r['a'] if r['b'] is None else r['b']}" for r in dealt)
+
+
+def test_tokens_of_one_group_are_not_dealt(spark, monkeypatch):
+    rng = random.Random(9)
+    base = words(rng, 80, 10_000).split()
+    rows = [(i, " ".join([*base[:k], f"z{i}", *base[k + 1 :]])) for i, k in enumerate(rng.sample(range(80), 30))]
+    join = jaccard_join.Join(spark.createDataFrame(rows, DOCS), 2, 80)
+    dealt, in_blocks = [], jaccard_join._in_blocks
+    monkeypatch.setattr(jaccard_join, "_in_blocks", lambda rows, hot: dealt.append(rows.count()) or in_blocks(rows, hot))
+    one = spark.createDataFrame([(i, 0) for i in range(30)], "id bigint, component bigint")
+    assert join.pairs(one, "one").count() == 0 and join.pairs(one.where("id < 29"), "two").count() == 29
+    assert dealt[0] == join.shared.where("not many").count() < dealt[1]
+
+
 def test_texts_are_taken_up_in_small_slices(monkeypatch):
     monkeypatch.setattr(common, "TAKEN", 5000)
     batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(["x" * 90] * 300)], names=["id", "text"])
