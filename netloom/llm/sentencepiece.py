@@ -148,10 +148,10 @@ class Unigram:
         inner = any(MARK in t.lstrip(MARK) for t, _, k in self.pieces if k in (NORMAL, USER))
         breaks = "".join(c for c in "\n\t\r" if not any(c in t for t, _, k in self.pieces if k in (NORMAL, USER)))
         self.parts = None if inner else re.compile(f"[{breaks}]|{MARK}*[^{MARK}{breaks}]+|{MARK}+" if breaks else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.memory: dict[str, bytes] = {}  # a word's ids, four bytes each
         self.tables = [np.frombuffer(x, dtype=np.int32) for x in (self.trie.base, self.trie.check, self.trie.value)]
         self.score_of = np.array(self.scores, dtype=np.float64)
-        self.written = [bytes([self.byte_of[i]]) if k == BYTE else t.replace(MARK, " ").encode() if k in (NORMAL, USER) else " ⁇ ".encode() if k == UNKNOWN else b"" for i, (t, _, k) in enumerate(self.pieces)]
+        self.written = pa.array([bytes([self.byte_of[i]]) if k == BYTE else t.replace(MARK, " ").encode() if k in (NORMAL, USER) else " ⁇ ".encode() if k == UNKNOWN else b"" for i, (t, _, k) in enumerate(self.pieces)], pa.large_binary())
 
     def best(self, part: str) -> tuple[int, ...]:
         """The ids of the best path through one part; of equal scores the earlier last cut wins. Linear in its length."""
@@ -182,8 +182,8 @@ class Unigram:
             at = back[at]
         return tuple(reversed(out))
 
-    def best_of_many(self, parts: list[str]) -> list[tuple[int, ...]]:
-        """best() of each part, with all of them moving through the trie together."""
+    def best_of_many(self, parts: list[str]) -> list[bytes]:
+        """best() of each part as int32 in a row, with all of them moving through the trie together."""
         raw = [p.encode() for p in parts]
         lens = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         out: list = [None] * len(parts)
@@ -194,10 +194,10 @@ class Unigram:
             wide = int(n[0])
             grid = np.frombuffer(b"".join(raw[i].ljust(wide + 1, b"\0") for i in rows), dtype=np.uint8).reshape(len(rows), wide + 1).astype(np.int32)
             for i, path in zip(rows.tolist(), self._paths(grid, n)):
-                out[i] = self.best(parts[i]) if path is None else path
+                out[i] = _packed(self.best(parts[i])) if path is None else path
         return out
 
-    def _paths(self, grid: np.ndarray, n: np.ndarray) -> list[tuple[int, ...] | None]:
+    def _paths(self, grid: np.ndarray, n: np.ndarray) -> list[bytes | None]:
         """The best paths through rows of bytes, longest first; None where a path needs an unknown character."""
         base, check, value = self.tables
         many, wide = len(n), grid.shape[1] - 1
@@ -246,31 +246,29 @@ class Unigram:
             odd |= got == -1
             steps.append(got)
             at = np.where(at > 0, back[rows, at], 0)
-        table = np.array(steps[::-1], dtype=np.int32).T.tolist() if steps else [[]] * many
-        return [None if o else tuple(i for i in t if i >= 0) for o, t in zip(odd.tolist(), table)]
+        table = np.ascontiguousarray(np.array(steps[::-1], dtype=np.int32).reshape(len(steps), many).T)
+        taken = table >= 0
+        ids, ends = table[taken].tobytes(), (4 * np.cumsum(taken.sum(axis=1))).tolist()
+        return [None if o else ids[a:z] for o, a, z in zip(odd.tolist(), [0, *ends], ends)]
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
-        """encode() of each text; the words that are new are looked up together."""
-        split, new, memory = [], {}, self.memory
+        """encode() of each text."""
+        return [np.frombuffer(x, dtype=np.int32).tolist() for x in self.packed_many(texts)]
+
+    def packed_many(self, texts: list[str]) -> list[bytes]:
+        """encode() of each text, as int32 in a row; the words that are new are looked up together."""
+        memory = self.memory
         if self.parts is None:
-            return [self.encode(t) for t in texts]
+            return [_packed(self.encode(t)) for t in texts]
         if len(memory) >= REMEMBERED:
             memory.clear()
-        for t in texts:
-            parts = self.parts.findall((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else []
-            split.append(parts)
-            new.update((p, None) for p in parts if p not in memory)
+        split = [self.parts.findall((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
+        new = set().union(*split).difference(memory)
         short = [p for p in new if len(p) <= REMEMBERED_CHARS]
-        found = memory
-        for p, ids in zip(short, self.best_of_many(short)):
-            found[p] = ids
-        out = []
-        for parts in split:
-            ids: list[int] = []
-            for p in parts:
-                ids += found[p] if p in found else self.best(p)
-            out.append(ids)
-        return out
+        memory.update(zip(short, self.best_of_many(short)))
+        if len(short) == len(new):
+            return [b"".join(map(memory.__getitem__, parts)) for parts in split]
+        return [b"".join([memory[p] if p in memory else _packed(self.best(p)) for p in parts]) for parts in split]
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text: spaces become marks, a mark stands before it if the model says so; an empty text has none."""
@@ -284,8 +282,20 @@ class Unigram:
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces and the others' UTF-8 in a row, marks as spaces, without the prefix's mark."""
-        text = b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return self.decode_many(np.array(ids, dtype=np.int32), [len(ids)])[0]
+
+    def decode_many(self, flat: np.ndarray, counts: list[int] | np.ndarray) -> list[str]:
+        """decode() of runs of `counts` ids each, which lie end to end in flat; the pieces' bytes are gathered at once."""
+        gathered = self.written.take(pa.array(flat))
+        _, offsets, raw = gathered.buffers()
+        ends = np.frombuffer(offsets, np.int64)[: len(flat) + 1][np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))].tolist() if len(flat) else [0] * (len(counts) + 1)
+        view = memoryview(raw) if raw is not None else b""
+        out = [str(view[a:z], "utf-8", "replace") for a, z in zip(ends, ends[1:])]
+        return [t[1:] if t.startswith(" ") else t for t in out] if self.prefix else out
+
+
+def _packed(ids) -> bytes:
+    return array("i", ids).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -323,17 +333,13 @@ def encode(docs: DataFrame, data: bytes, keep: list[str] = ()) -> DataFrame:
             for low in range(0, big.num_rows, 256):
                 b = big.slice(low, 256)
                 texts = b.column(b.num_columns - 1).to_pylist()
-                flat, ends, nulls = array("i"), [0], []
-                for t, ids in zip(texts, model.encode_many([t or "" for t in texts])):
-                    flat.extend(ids)
-                    ends.append(len(flat))
-                    nulls.append(t is None)
-                taken = np.concatenate(([0], np.cumsum(is_byte[np.frombuffer(flat, dtype=np.int32)]))) if len(flat) else np.zeros(1, np.int64)
-                n_bytes = np.diff(taken[np.array(ends)])
-                offsets = pa.array([None if i < len(nulls) and nulls[i] else e for i, e in enumerate(ends)], pa.int32())
-                values = pa.array(np.frombuffer(flat, dtype=np.int32) if len(flat) else np.empty(0, np.int32))
-                n = np.diff(np.array(ends, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, values), pa.array(n), pa.array(n_bytes)], names=[*b.schema.names[:-1], "ids", "n_ids", "n_byte_ids"])
+                coded = model.packed_many([t or "" for t in texts])
+                flat = np.frombuffer(b"".join(coded), dtype=np.int32)
+                ends = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded], dtype=np.int64)))
+                taken = np.concatenate(([0], np.cumsum(is_byte[flat])))
+                n_bytes = np.diff(taken[ends])
+                offsets = pa.array(ends.astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(np.diff(ends)), pa.array(n_bytes)], names=[*b.schema.names[:-1], "ids", "n_ids", "n_byte_ids"])
 
     return rows.mapInArrow(run, ", ".join([*fields, "ids array<int>", "n_ids bigint", "n_byte_ids bigint"]))
 
@@ -356,12 +362,14 @@ def decode(coded: DataFrame, data: bytes, keep: list[str] = ()) -> DataFrame:
             for low in range(0, big.num_rows, 256):
                 b = big.slice(low, 256)
                 column = b.column(b.num_columns - 1)
-                flat = column.flatten().drop_null().to_numpy()
-                safe = column.null_count == 0 and (not len(flat) or (flat.min() >= 0 and flat.max() < n)) and len(flat) == len(column.flatten())
-                lists = column.to_pylist()
-                if not safe:
-                    lists = [None if x is None else [i if 0 <= i < n else model.unknown for i in x if i is not None] for x in lists]
-                out = [None if x is None else model.decode(x) for x in lists]
+                inner = column.flatten()
+                counts = column.value_lengths().fill_null(0).to_numpy()
+                if inner.null_count:
+                    of = np.repeat(np.arange(len(column)), counts)[inner.is_valid().to_numpy(zero_copy_only=False)]
+                    inner, counts = inner.drop_null(), np.bincount(of, minlength=len(column))
+                flat = inner.to_numpy()
+                decoded = model.decode_many(np.where((flat < 0) | (flat >= n), model.unknown, flat).astype(np.int32), counts)
+                out = [t if v else None for t, v in zip(decoded, column.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], names=[*b.schema.names[:-1], "decoded"])
 
     return rows.mapInArrow(run, ", ".join([*fields, "decoded string"]))

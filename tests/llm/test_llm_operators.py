@@ -425,6 +425,13 @@ def test_unigram_is_best_and_lossless(model):
         assert not t or abs(score - brute_viterbi(model, t)) < 1e-6 * max(1, abs(score))
 
 
+def test_many_texts_are_packed_and_decoded_together(model):
+    packed = model.packed_many(TEXTS)
+    assert [np.frombuffer(x, np.int32).tolist() for x in packed] == [model.encode(t) for t in TEXTS]
+    assert model.decode_many(np.frombuffer(b"".join(packed), np.int32), [len(x) // 4 for x in packed]) == TEXTS
+    assert model.decode_many(np.empty(0, np.int32), [0, 0]) == ["", ""] and model.decode_many(np.empty(0, np.int32), []) == []
+
+
 def test_double_array_holds_its_words():
     rng = random.Random(5)
     held = {bytes(rng.randrange(256) for _ in range(rng.randrange(1, 5))): 0 for _ in range(500)}
