@@ -154,16 +154,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_wo
             out = out & (F.element_at(bits, _word(h, k, size) + 1).bitwiseAND(_bit(h, k)) != 0)
         return out
 
-    def hits(raw, t, width):
+    def hits(raw, t, width, bits):
         """The windows that the filter passes."""
         hashed = _cut(raw, t, F.lit(width), lambda i, w, r: F.struct(i.alias("at"), F.xxhash64(w).alias("h")))
-        return F.transform(F.filter(hashed, lambda x: maybe(x["h"], table)), lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), F.slice(t, x["at"], width).alias("t"), F.slice(raw, x["at"], width).alias("raw")))
+        return F.transform(F.filter(hashed, lambda x: maybe(x["h"], bits)), lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), F.slice(t, x["at"], width).alias("t"), F.slice(raw, x["at"], width).alias("raw")))
 
-    def looking(raw, width):
-        return lambda t: hits(raw, t, width)
+    def looking(raw, width, bits):
+        return lambda t: hits(raw, t, width, bits)
 
     looked = [(f, w) for w in sorted(facts["widths"]) for f in ((template, caseless_template) if w == window else (caseless_template,))]
-    found = _let(raw_tokens(F.col("text")), lambda raw: F.array_distinct(F.concat(*[_let(f(raw), looking(raw, w)) for f, w in looked])))
+    at_all = lambda bits: lambda raw: F.array_distinct(F.concat(*[_let(f(raw), looking(raw, w, bits)) for f, w in looked]))
+    found = _let(table, lambda bits: _let(raw_tokens(F.col("text")), at_all(bits)))  # the literal stands in the plan once: the driver writes the plan out again and again
     rows = docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.h", "x.at", "x.t", "x.raw")
     own = benchmark_windows(items, window)
     met = rows.join(F.broadcast(own) if count <= BROADCAST_WINDOWS else own, "h").where(F.col("t") == F.col("words"))
