@@ -485,19 +485,31 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int, folder: Folde
     return rows.mapInArrow(run, "a bigint, b bigint, apart bigint").groupBy("a", "b").agg(F.min("apart").alias("apart"))
 
 
+def _once(rows: DataFrame, folder: Folder, name: str) -> DataFrame:
+    """rows (node, text), each once. Only texts of nodes that have several rows are dealt out for that."""
+    again = folder.put(rows.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node"), f"{name}_again")
+    if again.isEmpty():
+        return rows
+    again = _small(again)
+    return folder.put(rows.join(again, "node", "left_anti").unionByName(rows.join(again, "node", "left_semi").dropDuplicates(["node", "text"])), f"{name}_once")
+
+
 def _heads_and_tails(pairs: DataFrame, docs: DataFrame, folder: Folder, name: str) -> DataFrame:
     """Rows (a, part, b, text) of pairs of documents: b is null with the text of a, once for SERVED pairs; all others have
     the text of b, once a pair. a is the document of a pair that has more of them, so that what many are compared with
-    neither travels often nor falls to one task."""
+    neither travels often nor falls to one task. Where the pairs are few enough to be broadcast, a text crosses no
+    shuffle on the way here."""
     both = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
     wanted = folder.put(both.groupBy("doc_id").agg(F.count("*").alias("c")), f"{name}_ids")
-    texts = folder.put(docs.where("text is not null").join(_small(wanted.select("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node", "text"]), f"{name}_texts")
+    rows = folder.put(docs.where("text is not null").join(_small(wanted.select("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text"), f"{name}_texts")
+    texts = _once(rows, folder, name)
     of = lambda x: _small(wanted).select(F.col("doc_id").alias(x), F.col("c").alias(f"c{x}"))
     by_a = F.col("ca") >= F.col("cb")
     pairs = pairs.join(of("a"), "a").join(of("b"), "b").select(F.when(by_a, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(by_a, F.col("b")).otherwise(F.col("a")).alias("b"))
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SERVED).alias("parts"))
+    parts = _small(folder.put(pairs.groupBy("a").agg(F.ceil(F.count("*") / SERVED).alias("parts")), f"{name}_parts"))
     heads = texts.join(parts, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"), "text")
-    tails = pairs.join(parts, "a").join(texts, F.col("node") == F.col("b")).select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b", "text")
+    sent = _small(folder.put(pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b"), f"{name}_sent"))
+    tails = texts.join(sent, F.col("node") == F.col("b")).select("a", "part", "b", "text")
     return heads.unionByName(tails)
 
 
@@ -520,7 +532,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, folder: Folder, name: str, n: int
                 yield _batch(a=pa.array([r[0] for r in out], pa.int64()), b=pa.array([r[1] for r in out], pa.int64()))
 
     found = folder.put(rows.mapInArrow(run, "a bigint, b bigint").distinct(), name)
-    folder.drop(f"{name}_ids", f"{name}_texts")
+    folder.drop(*(f"{name}_{x}" for x in ("ids", "texts", "again", "once", "parts", "sent")))
     return found
 
 
